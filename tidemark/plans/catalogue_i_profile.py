@@ -135,8 +135,11 @@ def _(t):
 
 @query(
     "i10_gate",
-    f"""WITH {HOLED} SELECT 1::BIGINT AS n_error, 1::BIGINT AS n_warn, 1::BIGINT AS n_info, false AS passed
-        FROM (SELECT count(*) FILTER (o_totalprice > 400000) AS bad, count(o_orderstatus)::DOUBLE / count(*) AS c FROM h) WHERE bad > 0 AND c < 0.7""",
+    PROFILE_SQL
+    + """, i AS (SELECT (SELECT count(*) FROM (SELECT 1 FROM h WHERE o_totalprice > 400000 OR o_totalprice < 0 LIMIT 1)) AS n_error,
+             (SELECT count(*) FROM p WHERE completeness < 0.7) AS n_warn,
+             (SELECT count(*) FROM p WHERE unique_ratio >= 0.999 AND total_rows > 1 AND nulls = 0) AS n_info)
+        SELECT n_error, n_warn, n_info, n_error = 0 AS passed FROM i""",
 )
 def _(t):
     return pf.gate(pf.issues(holed(t), {"o_totalprice": (0, 400000)}))
