@@ -58,6 +58,8 @@ def kind(arrow_type) -> str:
     text = str(arrow_type)
     if text.startswith("timestamp"):
         return "timestamp"
+    if text.startswith("list<"):
+        return "list<" + text.split(": ", 1)[1]
     if text.startswith("decimal"):
         return text
     if text == "large_string":

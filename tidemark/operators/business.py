@@ -74,14 +74,15 @@ def clv(orders: DataFrame, as_of: str, customer: str, date: str, amount: str, mo
     cut = F.lit(as_of).cast("date")
     past = orders.filter(F.col(date) < cut.cast("timestamp_ntz"))
     g = past.groupBy(customer).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(money(amount)).cast("double").alias("v"),
+        F.sum(money(amount)).alias("v"),
         F.min(F.col(date).cast("date")).alias("first"),
         F.count_distinct(period(date, "month")).alias("active"),
     )
     life = F.greatest(F.lit(1), F.year(cut) * 12 + F.month(cut) - F.year("first") * 12 - F.month("first"))
-    probability = F.least(F.lit(1.0), F.col("active") / life)
-    value = F.round(F.col("n") / life * months * (F.col("v") / F.col("n")) * probability, 4)
+    active = F.least(F.col("active"), life)
+    # rate x average order = value per month, so one division keeps the figure exact
+    value = (F.col("v") * months * active).cast("double") / (life * life).cast("double")
+    probability = active.cast("double") / life.cast("double")
     scored = g.select(customer, F.round(probability, 6).alias("purchase_probability"), value.alias("clv"))
     return ntile_by_rank(scored, [], ["clv", customer], 4, "tier")
 

@@ -39,9 +39,9 @@ def _(t):
 
 @query(
     "p3_clv",
-    f"""WITH g AS (SELECT o_custkey, count(*) AS n, {msum('o_totalprice')} AS v, min(o_orderdate) AS first, count(DISTINCT date_trunc('month', o_orderdate)) AS active FROM orders WHERE o_orderdate < TIMESTAMP '2001-01-01' GROUP BY 1),
+    f"""WITH g AS (SELECT o_custkey, sum(CAST(o_totalprice AS {DEC})) AS v, min(o_orderdate) AS first, count(DISTINCT date_trunc('month', o_orderdate)) AS active FROM orders WHERE o_orderdate < TIMESTAMP '2001-01-01' GROUP BY 1),
              l AS (SELECT *, greatest(1, 2001 * 12 + 1 - year(first) * 12 - month(first)) AS life FROM g),
-             s AS (SELECT o_custkey, round(least(1.0, active::DOUBLE / life), 6)::DOUBLE AS purchase_probability, round(n::DOUBLE / life * 12 * (v / n) * least(1.0, active::DOUBLE / life), 4) AS clv FROM l)
+             s AS (SELECT o_custkey, round(least(1.0, active::DOUBLE / life), 6)::DOUBLE AS purchase_probability, (v * 12 * least(active, life))::DOUBLE / (life * life)::DOUBLE AS clv FROM l)
         SELECT *, CAST(ntile(4) OVER (ORDER BY clv, o_custkey) AS INTEGER) AS tier FROM s""",
 )
 def _(t):
