@@ -94,6 +94,19 @@ def running_sums(
     return out.drop(BUCKET, *[f"_o_{o}" for o in sums])
 
 
+def running_min(
+    df: DataFrame, order: Sequence[str], col: str, out: str, by: Sequence[str] = (), buckets: int | None = None
+) -> DataFrame:
+    """Smallest value up to and including each row, in order."""
+    cut = add_bucket(df, order[0], buckets)
+    part = [*by, BUCKET]
+    within = W.partitionBy(*part).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    before = W.partitionBy(*by).orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)
+    rows = cut.withColumn(out, F.min(col).over(within))
+    carried = cut.groupBy(*part).agg(F.min(col).alias("_m")).select(*part, F.min("_m").over(before).alias("_o"))
+    return _attach(rows, carried, by).withColumn(out, F.least(out, "_o")).drop(BUCKET, "_o")
+
+
 def neighbour(
     df: DataFrame,
     by: Sequence[str],
