@@ -54,8 +54,8 @@ def psi(expected: DataFrame, actual: DataFrame, col: str, bins: int = 10, strict
     for c in inner:
         number = number + (F.col("v") >= c).cast("int")
     g = both.groupBy(number.alias("bin")).agg(F.count(F.when(F.col("is_a"), 1)).alias("e"), F.count(F.when(~F.col("is_a"), 1)).alias("a"))
-    total = F.sum(_psi_terms(F.col("e") / s["ne"], F.col("a") / s["na"])).alias("psi")
-    out = g.agg(total, F.count(F.lit(1)).alias("n_bins"))
+    total = F.sum(_psi_terms(F.col("e") / F.col("_s.ne"), F.col("a") / F.col("_s.na"))).alias("psi")
+    out = g.withColumn("_s", s).agg(total, F.count(F.lit(1)).alias("n_bins"))
     return out.withColumn("band", _band(F.col("psi")))
 
 
@@ -68,7 +68,7 @@ def _category_counts(a: DataFrame, b: DataFrame, col: str) -> DataFrame:
 def psi_cat(expected: DataFrame, actual: DataFrame, col: str) -> DataFrame:
     g = _category_counts(expected, actual, col)
     s = g.agg(F.struct(F.sum("e").alias("e"), F.sum("a").alias("a"))).scalar()
-    out = g.agg(F.sum(_psi_terms(F.col("e") / s["e"], F.col("a") / s["a"])).alias("psi"))
+    out = g.withColumn("_s", s).agg(F.sum(_psi_terms(F.col("e") / F.col("_s.e"), F.col("a") / F.col("_s.a"))).alias("psi"))
     return out.withColumn("band", _band(F.col("psi")))
 
 

@@ -24,27 +24,33 @@ def _position(df: DataFrame, col: str) -> Column:
     kind = df.schema[col].dataType
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return F.unix_micros(F.col(col).cast("timestamp")).cast("double")
+    if isinstance(kind, T.StringType):
+        # six bytes after the prefix that the smallest and the largest value share
+        ends = df.agg(F.hex(F.min(col)).alias("lo"), F.hex(F.max(col)).alias("hi")).first()
+        lo, hi = ends["lo"] or "", ends["hi"] or ""
+        same = next((i for i, (x, y) in enumerate(zip(lo, hi, strict=False)) if x != y), min(len(lo), len(hi)))
+        tail = F.rpad(F.substring(F.hex(col), same + 1, 12), 12, "0")
+        return F.conv(tail, 16, 10).cast("double")
     return F.col(col).cast("double")
 
 
-def cut_points(df: DataFrame, col: str, n: int, weight: str | None = None) -> list[float]:
+def _cut_points(positions: DataFrame, n: int) -> list[float]:
     """At most ``n - 1`` interior cuts (a bounded driver-side array)."""
     shares = [i / n for i in range(1, n)]
-    freq = F.lit(1) if weight is None else F.col(weight)
-    spread = df.select(_position(df, col).alias("p"), freq.alias("w")).filter("p IS NOT NULL")
-    row = spread.agg(F.percentile_approx("p", shares, max(1000, 4 * n)).alias("c")).first()
+    row = positions.filter("p IS NOT NULL").agg(F.percentile_approx("p", shares, max(1000, 4 * n)).alias("c")).first()
     return sorted({float(x) for x in (row.c or []) if x == x and abs(x) != float("inf")})
 
 
 def add_bucket(df: DataFrame, col: str, buckets: int | None = None) -> DataFrame:
     """Add ``_bucket``, a monotone range number of ``col`` (NULL sorts first)."""
     n = buckets or shuffle_width(df.sparkSession)
-    cuts = cut_points(df, col, n)
+    position = _position(df, col)
+    cuts = _cut_points(df.select(position.alias("p")), n)
     if not cuts:
         return df.withColumn(BUCKET, F.lit(0))
     splits = [-float("inf"), *cuts, float("inf")]
     cutter = Bucketizer(splits=splits, inputCol="_pos", outputCol="_cut", handleInvalid="keep")
-    marked = cutter.transform(df.withColumn("_pos", _position(df, col)))
+    marked = cutter.transform(df.withColumn("_pos", position))
     return marked.withColumn(BUCKET, F.coalesce(F.col("_cut").cast("int"), F.lit(-1))).drop("_pos", "_cut")
 
 

@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.classification import LogisticRegression
@@ -194,13 +195,13 @@ def paired_t(df: DataFrame, before: str, after: str) -> DataFrame:
 def mann_whitney(df: DataFrame, is_b: Column, col: str) -> DataFrame:
     """U of arm b with tie-corrected z, from value counts."""
     counts = value_counts_table(df, col, {"n": F.lit(True), "nb": is_b})
-    r = running_sums(counts, [col], {"cum": "n"}, totals={"N": "n", "B": "nb"})
+    r = running_sums(counts, [col], {"cum": "n"}, totals={"n_all": "n", "b_all": "nb"})
     rank = F.col("cum") - F.col("n") + (F.col("n") + 1) / 2
     n = F.col("n").cast("double")
     s = r.agg(
-        F.sum(rank * F.col("nb")).alias("rb"), F.sum(n * n * n - n).alias("ties"), F.max("N").cast("double").alias("N"), F.max("B").cast("double").alias("nb")
+        F.sum(rank * F.col("nb")).alias("rb"), F.sum(n * n * n - n).alias("ties"), F.max("n_all").cast("double").alias("tot"), F.max("b_all").cast("double").alias("nb")
     )
-    nb, na, tot = F.col("nb"), F.col("N") - F.col("nb"), F.col("N")
+    nb, na, tot = F.col("nb"), F.col("tot") - F.col("nb"), F.col("tot")
     u = F.col("rb") - nb * (nb + 1) / 2
     sd = F.sqrt(na * nb / 12 * ((tot + 1) - F.col("ties") / (tot * (tot - 1))))
     out = s.select(u.alias("u"), ((u - na * nb / 2) / sd).alias("z"), na.cast("long").alias("n_a"), nb.cast("long").alias("n_b"))
@@ -227,10 +228,10 @@ def wilcoxon(df: DataFrame, before: str, after: str) -> DataFrame:
     d = df.select((F.col(after) - F.col(before)).alias("_d")).filter("_d <> 0")
     d = d.select(F.abs("_d").alias("_a"), (F.col("_d") > 0).alias("_pos"))
     counts = value_counts_table(d, "_a", {"n": F.lit(True), "np": F.col("_pos")})
-    r = running_sums(counts, ["_a"], {"cum": "n"}, totals={"N": "n"})
+    r = running_sums(counts, ["_a"], {"cum": "n"}, totals={"n_all": "n"})
     rank = F.col("cum") - F.col("n") + (F.col("n") + 1) / 2
     n = F.col("n").cast("double")
-    s = r.agg(F.sum(rank * F.col("np")).alias("w"), F.sum(n * n * n - n).alias("ties"), F.max("N").cast("double").alias("n"))
+    s = r.agg(F.sum(rank * F.col("np")).alias("w"), F.sum(n * n * n - n).alias("ties"), F.max("n_all").cast("double").alias("n"))
     m = F.col("n")
     sd = F.sqrt(m * (m + 1) * (2 * m + 1) / 24 - F.col("ties") / 48)
     out = s.select("w", ((F.col("w") - m * (m + 1) / 4) / sd).alias("z"), m.cast("long").alias("n"))
@@ -322,8 +323,6 @@ def chi2(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def fisher_exact(table: DataFrame) -> DataFrame:
     """Two-sided Fisher p of 2 x 2 count rows (columns a, b, c, d)."""
-    import pandas as pd
-
     def p_values(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
         from math import lgamma
 

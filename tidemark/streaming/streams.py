@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+import pandas as pd
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.functions.columns import micros
+from tidemark.operators.rules import RowRule, failed_rules
 from tidemark.session import new_path
 
 
@@ -56,3 +60,146 @@ def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], che
         .start()
     )
     run.awaitTermination()
+
+
+def dedup_stream(df: DataFrame, keys: Sequence[str], ts: str, delay: str) -> DataFrame:
+    """One row per key; state is dropped once the watermark passes the delay."""
+    return event_time(df, ts).withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
+
+
+def windowed_kpi(df: DataFrame, ts: str, width: str, by: Sequence[str], value: str, delay: str) -> DataFrame:
+    """Tumbling-window count and exact sum; a window is emitted once it is complete."""
+    w = event_time(df, ts).withWatermark(ts, delay)
+    g = w.groupBy(F.window(ts, width), *by).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col(value).cast("decimal(18,2)")).alias("total")
+    )
+    wall = {"window_start": F.col("window.start"), "window_end": F.col("window.end")}
+    return g.select(*[c.cast("timestamp_ntz").alias(n) for n, c in wall.items()], *by, "n", "total")
+
+
+def finalise_after(df: DataFrame, ts: str, unit: str, buffer: str, by: Sequence[str], value: str) -> DataFrame:
+    """Close a period only when the buffer after its end has passed."""
+    return windowed_kpi(df, ts, f"1 {unit}", by, value, buffer)
+
+
+def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
+    """One folder per batch: a replayed batch replaces itself."""
+    df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
+def route_late(df: DataFrame, event: str, load: str, allowed_hours: float, base: str) -> tuple[str, str]:
+    """Split rows by lateness into a main and a side table; returns both paths."""
+    main, side = f"{base}/on_time", f"{base}/late"
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        late = (micros(load) - micros(event)) / F.lit(3.6e9) > allowed_hours
+        _write_batch(batch.filter(~late), main, batch_id)
+        _write_batch(batch.filter(late), side, batch_id)
+
+    run_batches(df, handle, f"{base}/checkpoint")
+    return main, side
+
+
+def enrich_stream(df: DataFrame, dim: DataFrame, on: str, key: str) -> DataFrame:
+    """Stream-static left join; the dimension is read again for every batch."""
+    return df.join(dim, F.col(on) == F.col(key), "left")
+
+
+def pair_streams(a: DataFrame, b: DataFrame, on: str, a_ts: str, b_ts: str, within: str, delay: str) -> DataFrame:
+    """Each left event with the right events of the same key that follow within a time span."""
+    left = event_time(a, a_ts).withWatermark(a_ts, delay)
+    right = event_time(b, b_ts).withColumnRenamed(on, "_on").withWatermark(b_ts, delay)
+    cond = (F.col(on) == F.col("_on")) & (F.col(b_ts) > F.col(a_ts)) & (F.col(b_ts) <= F.col(a_ts) + F.expr(f"INTERVAL {within}"))
+    return left.join(right, cond, "inner").drop("_on")
+
+
+def cycles_stream(df: DataFrame, key: str, ts: str, kind: str, start: str, end: str, tie: str, timeout: str = "30 days") -> DataFrame:
+    """Stateful start-end pairing per entity: a cycle is emitted when it closes.
+
+    State is the open start and the cycle number. A restart before any end
+    abandons the open cycle, as the batch version leaves its end NULL. Rows are
+    ordered within a micro-batch, whose size the source limits.
+    """
+    out = f"{key} long, cycle_no long, started_at timestamp, ended_at timestamp"
+    wait_ms = pd.Timedelta(timeout) // pd.Timedelta("1ms")
+
+    def track(k: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        number, opened = state.get if state.exists else (0, None)
+        rows = pd.concat(list(chunks)).sort_values([ts, tie])
+        done = []
+        for at, what in zip(rows[ts], rows[kind], strict=True):
+            if what == start:
+                number, opened = number + 1, at
+            elif opened is not None:
+                done.append((k[0], number, opened, at))
+                opened = None
+        state.update((number, None if opened is None or pd.isna(opened) else opened.to_pydatetime()))
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, int(rows[ts].max().timestamp() * 1000)) + wait_ms)
+        yield pd.DataFrame(done, columns=[key, "cycle_no", "started_at", "ended_at"])
+
+    timed = event_time(df.filter(F.col(kind).isin(start, end)), ts).withWatermark(ts, "1 hour")
+    return timed.select(key, ts, kind, tie).groupBy(key).applyInPandasWithState(
+        track, out, "number long, opened timestamp", "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
+def upsert_stream(df: DataFrame, path: str, key: Sequence[str], order: Sequence[str]) -> None:
+    """Append the newest row per key of every batch; readers merge with ``read_upserted``.
+
+    A batch writes only its own folder, so replays are harmless and no large
+    table is rewritten per batch.
+    """
+    from tidemark.operators.windows import dedup_latest
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        _write_batch(dedup_latest(batch, key, [F.desc(c) for c in order]), f"{path}/log", batch_id)
+
+    run_batches(df, handle, f"{path}/checkpoint")
+
+
+def read_upserted(spark: SparkSession, path: str, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Current rows: the newest per key over all batches."""
+    from tidemark.operators.windows import dedup_latest
+
+    log = spark.read.parquet(f"{path}/log")
+    return dedup_latest(log, key, [F.desc(c) for c in order]).drop("batch")
+
+
+def mark_failures(df: DataFrame, rules: Sequence[RowRule]) -> DataFrame:
+    """Row rules inside the stream: names of the broken rules per row."""
+    return df.withColumn("failed_rules", failed_rules(rules))
+
+
+def validate_stream(df: DataFrame, rules: Sequence[RowRule], base: str) -> tuple[str, str]:
+    """Good rows and quarantined rows to two tables; returns both paths."""
+    good, bad = f"{base}/good", f"{base}/quarantine"
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        _write_batch(batch.filter(F.size("failed_rules") == 0).drop("failed_rules"), good, batch_id)
+        _write_batch(batch.filter(F.size("failed_rules") > 0), bad, batch_id)
+
+    run_batches(mark_failures(df, rules), handle, f"{base}/checkpoint")
+    return good, bad
+
+
+LEDGER = "batch_id long, n_rows long, min_ts timestamp, max_ts timestamp"
+
+
+def monitor_stream(df: DataFrame, ts: str, base: str) -> str:
+    """Write the rows and, from the same pass, one volume and freshness record per batch."""
+    data, ledger = f"{base}/data", f"{base}/ledger"
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        seen = Observation(f"batch_{batch_id}")
+        stamp = F.col(ts).cast("timestamp")
+        watched = batch.observe(seen, F.count(F.lit(1)).alias("n"), F.min(stamp).alias("lo"), F.max(stamp).alias("hi"))
+        _write_batch(watched, data, batch_id)
+        m = seen.get
+        row = batch.sparkSession.createDataFrame([(batch_id, m["n"], m["lo"], m["hi"])], LEDGER)
+        row.coalesce(1).write.mode("overwrite").parquet(f"{ledger}/batch={batch_id}")
+
+    run_batches(df, handle, f"{base}/checkpoint")
+    return ledger
