@@ -29,6 +29,9 @@ def oracle(folder: str):
     return con
 
 
+STRICT = bool(os.environ.get("STRICT"))
+
+
 def norm(value):
     if value is None:
         return None
@@ -39,8 +42,8 @@ def norm(value):
     if isinstance(value, float):
         if math.isnan(value):
             return None
-        value = float(f"{value:.10g}")
-        value = round(value, 7)
+        if not STRICT:
+            value = round(float(f"{value:.10g}"), 7)
         return int(value) if value == int(value) else value
     if isinstance(value, dt.datetime):
         return value.replace(tzinfo=None).isoformat()
@@ -64,7 +67,7 @@ def kind(arrow_type) -> str:
         return text
     if text == "large_string":
         return "string"
-    return KINDS.get(text, text)
+    return text if STRICT else KINDS.get(text, text)
 
 
 def compare(spark_table, duck_table) -> list[str]:

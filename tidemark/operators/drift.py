@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark.functions.columns import safe_div
 from tidemark.functions.distributions import kolmogorov_sf
-from tidemark.operators.ordered import exact_quantiles, neighbour, running_sums, unpivot_numeric, value_counts_table
+from tidemark.operators.ordered import column_lookup, exact_quantiles, neighbour, running_sums, unpivot_numeric, value_counts_table
 from tidemark.operators.windows import day_number
 
 # Stability bands and the floor for empty bins.
@@ -116,7 +116,11 @@ def descriptors(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> D
     keys = [*by, "column"]
     rows = unpivot_numeric(df, cols, by).filter("value IS NOT NULL")
     base = rows.groupBy(*keys).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
-    joined = rows.join(base.select(*keys, F.col("mean").alias("_m")), keys)
+    centre = base.select(*keys, F.col("mean").alias("_m"))
+    if by:
+        joined = rows.join(centre, keys)
+    else:
+        joined = rows.withColumn("_m", column_lookup(centre, ["_m"])[F.col("column")]["_m"])
     dev = F.col("value") - F.col("_m")
     m2, m3, m4 = (F.avg(F.pow(dev, k)) for k in (2, 3, 4))
     shape = joined.groupBy(*keys).agg(safe_div(m3, F.pow(m2, 1.5)).alias("skewness"), (safe_div(m4, m2 * m2) - 3).alias("kurtosis"))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from tidemark.session import shuffle_width
 
-BUCKET = "_bucket"
+BUCKET, PART = "_bucket", "_part"
 
 
 def _position(df: DataFrame, col: str) -> Column:
@@ -54,15 +54,28 @@ def add_bucket(df: DataFrame, col: str, buckets: int | None = None) -> DataFrame
     return marked.withColumn(BUCKET, F.coalesce(F.col("_cut").cast("int"), F.lit(-1))).drop("_pos", "_cut")
 
 
-def _attach(rows: DataFrame, side: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Left join the small per-range table on (by, bucket), NULL keys included."""
-    renamed = side
-    cond = F.col(BUCKET) == F.col("_k_bucket")
-    for key in by:
-        cond = cond & F.col(key).eqNullSafe(F.col(f"_k_{key}"))
-        renamed = renamed.withColumnRenamed(key, f"_k_{key}")
-    renamed = renamed.withColumnRenamed(BUCKET, "_k_bucket")
-    return rows.join(renamed, cond, "left").drop("_k_bucket", *[f"_k_{k}" for k in by])
+def _cut_rows(df: DataFrame, by: Sequence[str], order: Sequence[str], buckets: int | None) -> DataFrame:
+    """Rows with ``_part``: key columns and value range as one struct.
+
+    Struct equality treats NULL fields as equal, so one plain equi key serves the
+    window, the per-range aggregate and the join back; the rows are shuffled once.
+    """
+    cut = add_bucket(df, order[0], buckets)
+    return cut.withColumn(PART, F.struct(*by, BUCKET)).drop(BUCKET)
+
+
+def _key_window(by: Sequence[str]):
+    """Ranges of a key in order (a small table: one row per key and range)."""
+    return W.partitionBy(*[F.col(f"{PART}.{k}") for k in by]).orderBy(F.col(f"{PART}.{BUCKET}"))
+
+
+def _earlier(by: Sequence[str]):
+    return _key_window(by).rowsBetween(W.unboundedPreceding, -1)
+
+
+def _attach(rows: DataFrame, side: DataFrame) -> DataFrame:
+    """Join the per-range table back; the rows keep their partitioning."""
+    return rows.join(side, PART, "left").drop(PART)
 
 
 def running_sums(
@@ -78,39 +91,35 @@ def running_sums(
     ``sums`` and ``totals`` map an output name to an input column.
     """
     totals = dict(totals or {})
-    cut = add_bucket(df, order[0], buckets)
-    part = [*by, BUCKET]
-    within = W.partitionBy(*part).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    cut = _cut_rows(df, by, order, buckets)
+    within = W.partitionBy(PART).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     rows = cut.select("*", *[F.sum(c).over(within).alias(o) for o, c in sums.items()])
-    per_range = cut.groupBy(*part).agg(
+    per_range = cut.groupBy(PART).agg(
         *[F.sum(c).alias(f"_s_{o}") for o, c in sums.items()],
         *[F.sum(c).alias(f"_t_{o}") for o, c in totals.items()],
     )
-    before = W.partitionBy(*by).orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy(*by)
+    whole = W.partitionBy(*[F.col(f"{PART}.{k}") for k in by])
     carried = per_range.select(
-        *part,
-        *[F.sum(f"_s_{o}").over(before).alias(f"_o_{o}") for o in sums],
+        PART,
+        *[F.sum(f"_s_{o}").over(_earlier(by)).alias(f"_o_{o}") for o in sums],
         *[F.sum(f"_t_{o}").over(whole).alias(o) for o in totals],
     )
-    out = _attach(rows, carried, by)
+    out = _attach(rows, carried)
     out = out.withColumns(
         {o: F.coalesce(F.col(o) + F.coalesce(F.col(f"_o_{o}"), F.lit(0)), F.col(f"_o_{o}")) for o in sums}
     )
-    return out.drop(BUCKET, *[f"_o_{o}" for o in sums])
+    return out.drop(*[f"_o_{o}" for o in sums])
 
 
 def running_min(
     df: DataFrame, order: Sequence[str], col: str, out: str, by: Sequence[str] = (), buckets: int | None = None
 ) -> DataFrame:
     """Smallest value up to and including each row, in order."""
-    cut = add_bucket(df, order[0], buckets)
-    part = [*by, BUCKET]
-    within = W.partitionBy(*part).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    before = W.partitionBy(*by).orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)
+    cut = _cut_rows(df, by, order, buckets)
+    within = W.partitionBy(PART).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     rows = cut.withColumn(out, F.min(col).over(within))
-    carried = cut.groupBy(*part).agg(F.min(col).alias("_m")).select(*part, F.min("_m").over(before).alias("_o"))
-    return _attach(rows, carried, by).withColumn(out, F.least(out, "_o")).drop(BUCKET, "_o")
+    carried = cut.groupBy(PART).agg(F.min(col).alias("_m")).select(PART, F.min("_m").over(_earlier(by)).alias("_o"))
+    return _attach(rows, carried).withColumn(out, F.least(out, "_o")).drop("_o")
 
 
 def neighbour(
@@ -124,24 +133,22 @@ def neighbour(
     """Value of the previous (``step=-1``) or next (``step=1``) row in order."""
     if step not in (-1, 1):
         raise ValueError("step must be -1 or 1")
-    cut = add_bucket(df, order[0], buckets)
-    part = [*by, BUCKET]
-    within = W.partitionBy(*part).orderBy(*order)
+    cut = _cut_rows(df, by, order, buckets)
+    within = W.partitionBy(PART).orderBy(*order)
     shift = F.lag if step < 0 else F.lead
     edge = F.max_by if step < 0 else F.min_by
-    ends = F.asc(BUCKET)
     rows = cut.select(
         "*",
         shift(F.lit(1)).over(within).isNull().alias("_edge"),
         *[shift(F.col(c)).over(within).alias(o) for o, c in cols.items()],
     )
-    tail = cut.groupBy(*part).agg(
+    tail = cut.groupBy(PART).agg(
         edge(F.struct(*[F.col(c).alias(o) for o, c in cols.items()]), F.struct(*order)).alias("_t")
     )
-    carried = tail.select(*part, shift(F.col("_t")).over(W.partitionBy(*by).orderBy(ends)).alias("_c"))
-    out = _attach(rows, carried, by)
+    carried = tail.select(PART, shift(F.col("_t")).over(_key_window(by)).alias("_c"))
+    out = _attach(rows, carried)
     out = out.withColumns({o: F.when(F.col("_edge"), F.col(f"_c.{o}")).otherwise(F.col(o)) for o in cols})
-    return out.drop(BUCKET, "_edge", "_c")
+    return out.drop("_edge", "_c")
 
 
 def carry_forward(
@@ -152,19 +159,28 @@ def carry_forward(
     buckets: int | None = None,
 ) -> DataFrame:
     """Last non-NULL value up to and including each row, in order."""
-    cut = add_bucket(df, order[0], buckets)
-    part = [*by, BUCKET]
-    within = W.partitionBy(*part).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    cut = _cut_rows(df, by, order, buckets)
+    within = W.partitionBy(PART).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     rows = cut.select("*", *[F.last(c, ignorenulls=True).over(within).alias(o) for o, c in cols.items()])
     key = F.struct(*order)
-    tail = cut.groupBy(*part).agg(
+    tail = cut.groupBy(PART).agg(
         *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), key)).alias(f"_t_{o}") for o, c in cols.items()]
     )
-    before = W.partitionBy(*by).orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)
-    carried = tail.select(*part, *[F.last(f"_t_{o}", ignorenulls=True).over(before).alias(f"_c_{o}") for o in cols])
-    out = _attach(rows, carried, by)
+    carried = tail.select(
+        PART, *[F.last(f"_t_{o}", ignorenulls=True).over(_earlier(by)).alias(f"_c_{o}") for o in cols]
+    )
+    out = _attach(rows, carried)
     out = out.withColumns({o: F.coalesce(F.col(o), F.col(f"_c_{o}")) for o in cols})
-    return out.drop(BUCKET, *[f"_c_{o}" for o in cols])
+    return out.drop(*[f"_c_{o}" for o in cols])
+
+
+def column_lookup(stats: DataFrame, fields: Sequence[str], key: str = "column") -> Column:
+    """Per-column figures as a map for use beside raw rows, without shuffling those.
+
+    Its size is the number of profiled columns, which the schema bounds.
+    """
+    entry = F.struct(F.col(key), F.struct(*fields))
+    return stats.agg(F.map_from_entries(F.collect_list(entry))).scalar()
 
 
 def value_counts_table(

@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from tidemark.functions.columns import TIMESTAMP_FORMATS, hash_diff, micros, parse_ts, period, safe_div
-from tidemark.operators.ordered import exact_quantiles, neighbour, unpivot_numeric
+from tidemark.operators.ordered import column_lookup, exact_quantiles, neighbour, unpivot_numeric
 
 # Profile thresholds.
 COMPLETENESS_MIN = 0.7
@@ -111,11 +111,12 @@ def iqr_outliers(df: DataFrame, cols: Sequence[str] | None = None, k: float = IQ
     q = exact_quantiles(rows, "value", QUARTILES, by=["column"])
     iqr = F.col("q75") - F.col("q25")
     fences = q.select("column", (F.col("q25") - k * iqr).alias("lower"), (F.col("q75") + k * iqr).alias("upper"))
-    out = (F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper"))
+    marked = rows.withColumn("_f", column_lookup(fences, ["lower", "upper"])[F.col("column")])
+    out = (F.col("value") < F.col("_f.lower")) | (F.col("value") > F.col("_f.upper"))
     return (
-        rows.join(fences, "column")
-        .groupBy("column", "lower", "upper")
-        .agg(F.count(F.when(out, 1)).alias("n_outliers"))
+        marked.groupBy("column")
+        .agg(F.first("_f").alias("_f"), F.count(F.when(out, 1)).alias("n_outliers"))
+        .select("column", "_f.lower", "_f.upper", "n_outliers")
     )
 
 

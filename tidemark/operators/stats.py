@@ -22,6 +22,7 @@ from tidemark.functions.columns import col_of, safe_div
 from tidemark.operators.ordered import (
     average_ranks,
     carry_forward,
+    column_lookup,
     exact_quantiles,
     running_min,
     running_sums,
@@ -60,10 +61,14 @@ def describe_stats(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), k
     known = rows.filter("value IS NOT NULL")
     q = exact_quantiles(known, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, by=keys)
     side = base.select(*keys, F.col("mean").alias("_m")).join(q, keys)
+    if by:
+        marked = known.join(side, keys)
+    else:
+        marked = known.select("*", column_lookup(side, ["_m", "q1", "q3"])[F.col("column")].alias("_s")).select("column", "value", "_s.*")
     d = F.col("value") - F.col("_m")
     iqr = F.col("q3") - F.col("q1")
     out = (F.col("value") < F.col("q1") - k * iqr) | (F.col("value") > F.col("q3") + k * iqr)
-    shape = known.join(side, keys).groupBy(*keys).agg(
+    shape = marked.groupBy(*keys).agg(
         F.count(F.lit(1)).cast("double").alias("_n"),
         safe_div(F.avg(d * d * d), F.pow(F.avg(d * d), 1.5)).alias("_g1"),
         (safe_div(F.avg(d * d * d * d), F.pow(F.avg(d * d), 2)) - 3).alias("_g2"),

@@ -26,16 +26,31 @@ def top_n_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], n
     return out.drop("_rn") if rank is None else out.withColumnRenamed("_rn", rank)
 
 
-def rank_by(df: DataFrame, by: Sequence[str], order: Sequence[Column], kinds: Sequence[str], tiles: int = 4):
-    w = W.partitionBy(*by).orderBy(*order)
-    made = {
-        "row_number": F.row_number,
-        "rank": F.rank,
-        "dense_rank": F.dense_rank,
-        "percent_rank": F.percent_rank,
-        "ntile": lambda: F.ntile(tiles),
-    }
-    return df.withColumns({k: made[k]().over(w) for k in kinds})
+def rank_by(df: DataFrame, by: Sequence[str], order: Sequence[str], kinds: Sequence[str], tiles: int = 4) -> DataFrame:
+    """``rank``, ``dense_rank``, ``row_number`` and ``ntile`` per group, for groups of any size.
+
+    Ranks come from counts of distinct order values; ``row_number`` and ``ntile``
+    need an ``order`` without ties.
+    """
+    from tidemark.operators.business import ntile_by_rank
+    from tidemark.operators.ordered import running_sums
+
+    out = df
+    if {"rank", "dense_rank"} & set(kinds):
+        ties = df.groupBy(*by, *order).agg(F.count(F.lit(1)).alias("_n")).withColumn("_one", F.lit(1).cast("long"))
+        r = running_sums(ties, order, {"_cum": "_n", "dense_rank": "_one"}, by=by)
+        keys = [*by, *order]
+        side = r.select(*[F.col(k).alias(f"_r_{k}") for k in keys], (F.col("_cum") - F.col("_n") + 1).alias("rank"), "dense_rank")
+        side = side.drop(*[k for k in ("rank", "dense_rank") if k not in kinds])
+        cond = F.lit(True)
+        for k in keys:
+            cond = cond & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+        out = out.join(side, cond, "left").drop(*[f"_r_{k}" for k in keys])
+    if "row_number" in kinds:
+        out = running_sums(out.withColumn("_one", F.lit(1).cast("long")), order, {"row_number": "_one"}, by=by).drop("_one")
+    if "ntile" in kinds:
+        out = ntile_by_rank(out, by, order, tiles, "ntile")
+    return out
 
 
 def _rows(by, order, lo, hi):

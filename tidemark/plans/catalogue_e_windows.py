@@ -36,8 +36,8 @@ def _(t):
 )
 def _(t):
     df = t.customer.withColumn("k", F.floor(F.col("c_acctbal") / 1000))
-    out = wn.rank_by(df, ["c_nationkey"], [F.col("k")], ["rank", "dense_rank"])
-    out = wn.rank_by(out, ["c_nationkey"], [F.col("c_acctbal"), F.col("c_custkey")], ["ntile"], 4)
+    out = wn.rank_by(df, ["c_nationkey"], ["k"], ["rank", "dense_rank"])
+    out = wn.rank_by(out, ["c_nationkey"], ["c_acctbal", "c_custkey"], ["ntile"], 4)
     return out.select(
         "c_custkey",
         F.col("rank").cast("long").alias("rank"),

@@ -145,7 +145,13 @@ def _(t):
     return pf.gate(pf.issues(holed(t), {"o_totalprice": (0, 400000)}))
 
 
-@query("i11_type_inference")
+@query(
+    "i11_type_inference",
+    """WITH m AS (SELECT count(*) AS n, count(*) FILTER (o_orderpriority <> '5-LOW') AS k FROM orders)
+       SELECT 'price_text' AS "column", n AS n_values, n AS n_numeric, 0::BIGINT AS n_datetime, 'numeric' AS inferred FROM m
+       UNION ALL SELECT 'order_dt', n, 0, n, 'datetime' FROM m UNION ALL SELECT 'status', n, 0, 0, 'text' FROM m
+       UNION ALL SELECT 'mixed', n, k, 0, CASE WHEN k >= 0.95 * n THEN 'numeric' ELSE 'text' END FROM m""",
+)
 def _(t):
     text = t.orders.select(
         F.col("o_totalprice").cast("string").alias("price_text"),
@@ -235,7 +241,21 @@ def _(t):
     return out.withColumn("excess_rate", F.round("excess_rate", 8))
 
 
-@query("i19_find_keys")
+FREE = ["c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"]
+
+
+@query(
+    "i19_find_keys",
+    "WITH d AS ("
+    + union(f"SELECT '{c}' AS key, count(DISTINCT {c}) = count(*) AS ok FROM customer" for c in FREE)
+    + "), p AS ("
+    + union(
+        f"SELECT '{a},{b}' AS key, '{a}' AS a, '{b}' AS b, count(DISTINCT ({a}, {b})) = count(*) AS ok FROM customer"
+        for i, a in enumerate(FREE) for b in FREE[i + 1 :]
+    )
+    + """) SELECT key, 1 AS n_columns FROM d WHERE ok
+           UNION ALL SELECT key, 2 FROM p WHERE ok AND a NOT IN (SELECT key FROM d WHERE ok) AND b NOT IN (SELECT key FROM d WHERE ok)""",
+)
 def _(t):
     return pf.find_keys(t.customer.drop("c_name"))
 

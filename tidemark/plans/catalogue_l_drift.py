@@ -32,7 +32,13 @@ def _(t):
     return dr.psi(*pair(t), "l_extendedprice").withColumn("psi", F.round("psi", 8))
 
 
-@query("l1_psi_strict")
+@query(
+    "l1_psi_strict",
+    f"""WITH {PAIR}, c AS (SELECT """ + ", ".join(f"quantile_cont(v, {i / 10}) AS c{i}" for i in range(11)) + """ FROM a),
+        g AS (SELECT bin, count(*) FILTER (is_a)::DOUBLE / (SELECT count(*) FROM a) AS e, count(*) FILTER (NOT is_a)::DOUBLE / (SELECT count(*) FROM b) AS p
+              FROM (SELECT is_a, """ + " + ".join(f"(v >= c{i})::INT" for i in range(1, 10)) + """ AS bin FROM (SELECT v, true AS is_a FROM a UNION ALL SELECT v, false FROM b), c WHERE v BETWEEN c0 AND c10) GROUP BY 1)
+        SELECT round(sum((p - e) * ln(p / e)), 8) AS psi, count(*) AS n_bins, CASE WHEN sum((p - e) * ln(p / e)) < 0.1 THEN 'low' WHEN sum((p - e) * ln(p / e)) <= 0.25 THEN 'moderate' ELSE 'high' END AS band FROM g""",
+)
 def _(t):
     return dr.psi(*pair(t), "l_extendedprice", strict_reference=True).withColumn("psi", F.round("psi", 8))
 

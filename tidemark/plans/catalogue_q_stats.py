@@ -160,6 +160,17 @@ def _(t):
     return out.select(F.round("f", 6).alias("f"), "df_between", "df_within", F.round("eta_squared", 10).alias("eta_squared"))
 
 
+@query(
+    "q12_pairwise_t",
+    """WITH g AS (SELECT o_orderpriority AS g, count(*) AS n, avg(o_totalprice) AS m, var_samp(o_totalprice) AS v FROM orders GROUP BY 1)
+       SELECT a.g AS group_a, b.g AS group_b, round(b.m - a.m, 4) AS diff, round((b.m - a.m) / sqrt(a.v / a.n + b.v / b.n), 6) AS t,
+              round(pow(a.v / a.n + b.v / b.n, 2) / (pow(a.v / a.n, 2) / (a.n - 1) + pow(b.v / b.n, 2) / (b.n - 1)), 4) AS df FROM g a JOIN g b ON a.g < b.g""",
+)
+def _(t):
+    out = st.pairwise(t.orders, "o_orderpriority", "o_totalprice")
+    return out.select("group_a", "group_b", F.round("diff", 4).alias("diff"), F.round("t", 6).alias("t"), F.round("df", 4).alias("df"))
+
+
 @query("q12_pairwise")
 def _(t):
     return st.pairwise(t.orders, "o_orderpriority", "o_totalprice")
@@ -176,12 +187,19 @@ def _(t):
     return out.select(F.round("statistic", 6).alias("statistic"), "df", F.round("min_expected", 6).alias("min_expected"), F.round("cramers_v", 8).alias("cramers_v"), "low_expected")
 
 
-@query("q13_fisher_exact")
+@query(
+    "q13_fisher_exact",
+    """WITH c AS (SELECT count(*) FILTER (quality = 1 AND toxic = 1) AS a, count(*) FILTER (quality = 1 AND toxic = 0) AS b, count(*) FILTER (quality = 0 AND toxic = 1) AS c, count(*) FILTER (quality = 0 AND toxic = 0) AS d FROM labels),
+            k AS (SELECT *, unnest(range(greatest(0, a + c - (c + d)), least(a + b, a + c) + 1)) AS k FROM c),
+            l AS (SELECT *, lgamma(a + b + 1) - lgamma(k + 1) - lgamma(a + b - k + 1) + lgamma(c + d + 1) - lgamma(a + c - k + 1) - lgamma(d - a + k + 1) - (lgamma(a + b + c + d + 1) - lgamma(a + c + 1) - lgamma(b + d + 1)) AS lp FROM k),
+            o AS (SELECT max(lp) FILTER (k = a) AS lp0 FROM l)
+       SELECT a, b, c, d, round(least(1, sum(exp(lp)) FILTER (lp <= lp0 + 1e-7) / sum(exp(lp))), 8) AS p_value FROM l, o GROUP BY a, b, c, d""",
+)
 def _(t):
     table = t.labels.agg(
         *[F.count(F.when((F.col("quality") == q) & (F.col("toxic") == x), 1)).alias(n) for n, q, x in (("a", 1, 1), ("b", 1, 0), ("c", 0, 1), ("d", 0, 0))]
     )
-    return st.fisher_exact(table)
+    return st.fisher_exact(table).withColumn("p_value", F.round("p_value", 8))
 
 
 PS = "p AS (SELECT p_brand, round(abs(avg(p_retailprice) - (SELECT avg(p_retailprice) FROM part)) / 100, 6) AS p FROM part GROUP BY 1)"
@@ -239,6 +257,17 @@ def _(t):
     return st.ols(t.lineitem, "l_extendedprice", ["l_quantity", "l_discount"], {"l_returnflag": ["A", "N", "R"]})
 
 
+@query(
+    "q17_simple_ols_hc3",
+    """WITH m AS (SELECT avg(l_quantity) AS xm, regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a, regr_sxx(l_extendedprice, l_quantity) AS sxx, count(*) AS n FROM lineitem),
+            e AS (SELECT l_quantity - xm AS d, (l_extendedprice - a - b * l_quantity) / (1 - (1.0::DOUBLE / n + pow(l_quantity - xm, 2) / sxx)) AS u, sxx, b FROM lineitem, m)
+       SELECT 'l_quantity' AS term, round(any_value(b), 4) AS estimate, round(sqrt(sum(d * d * u * u)) / any_value(sxx), 4) AS std_error FROM e""",
+)
+def _(t):
+    out = st.ols(t.lineitem, "l_extendedprice", ["l_quantity"], robust=True).filter("term = 'l_quantity'")
+    return out.select("term", F.round("estimate", 4).alias("estimate"), F.round("std_error", 4).alias("std_error"))
+
+
 @query("q17_ols_hc3")
 def _(t):
     return st.ols(t.lineitem, "l_extendedprice", ["l_quantity", "l_discount"], robust=True)

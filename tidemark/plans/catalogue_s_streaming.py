@@ -82,8 +82,8 @@ def _(t):
        SELECT * FROM c WHERE ended_at IS NOT NULL""",
 )
 def _(t):
-    out = ss.run_to_table(ss.cycles_stream(stream(t), "user_id", "ts", "event_type", "signup", "purchase", "event_id"), "cycles")
-    return out.select("user_id", "cycle_no", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("started_at", "ended_at")])
+    path = ss.cycles_stream(stream(t), "user_id", "ts", "event_type", "signup", "purchase", ["event_id"], new_path(t.spark, "cycles"))
+    return t.spark.read.parquet(path).select("user_id", "cycle_no", "started_at", "ended_at")
 
 
 @query(

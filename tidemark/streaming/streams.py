@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions.columns import micros
 from tidemark.operators.rules import RowRule, failed_rules
@@ -113,37 +111,51 @@ def pair_streams(a: DataFrame, b: DataFrame, on: str, a_ts: str, b_ts: str, with
     return left.join(right, cond, "inner").drop("_on")
 
 
-def cycles_stream(df: DataFrame, key: str, ts: str, kind: str, start: str, end: str, tie: str, timeout: str = "30 days") -> DataFrame:
-    """Stateful start-end pairing per entity: a cycle is emitted when it closes.
+def cycles_stream(
+    df: DataFrame, key: str, ts: str, kind: str, start: str, end: str, order: Sequence[str], base: str, timeout: str = "30 days"
+) -> str:
+    """Start-end pairing per entity across micro-batches; returns the path of closed cycles.
 
-    State is the open start and the cycle number. A restart before any end
-    abandons the open cycle, as the batch version leaves its end NULL. Rows are
-    ordered within a micro-batch, whose size the source limits.
+    State is a table with one row per entity: its cycle number and open start.
+    Each batch pairs its events together with the open starts in the same
+    distributed way as the batch operator (a busy entity is spread over tasks),
+    writes the cycles that closed and the next state, both under the batch number,
+    so a replay reads the same old state and rewrites the same folders. An open
+    start older than ``timeout`` is given up. Batches must not go back in time.
     """
-    out = f"{key} long, cycle_no long, started_at timestamp, ended_at timestamp"
-    wait_ms = pd.Timedelta(timeout) // pd.Timedelta("1ms")
-
-    def track(k: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        number, opened = state.get if state.exists else (0, None)
-        rows = pd.concat(list(chunks)).sort_values([ts, tie])
-        done = []
-        for at, what in zip(rows[ts], rows[kind], strict=True):
-            if what == start:
-                number, opened = number + 1, at
-            elif opened is not None:
-                done.append((k[0], number, opened, at))
-                opened = None
-        state.update((number, None if opened is None or pd.isna(opened) else opened.to_pydatetime()))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, int(rows[ts].max().timestamp() * 1000)) + wait_ms)
-        yield pd.DataFrame(done, columns=[key, "cycle_no", "started_at", "ended_at"])
-
-    timed = event_time(df.filter(F.col(kind).isin(start, end)), ts).withWatermark(ts, "1 hour")
-    return timed.select(key, ts, kind, tie).groupBy(key).applyInPandasWithState(
-        track, out, "number long, opened timestamp", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    from tidemark.operators.business import build_cycles
+
+    closed, states = f"{base}/cycles", f"{base}/state"
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        events = batch.filter(F.col(kind).isin(start, end)).select(key, ts, kind, *order)
+        if batch_id == 0:
+            old = events.select(F.col(key).alias("_k"), F.lit(0).cast("long").alias("_no"), F.col(ts).alias("_open")).limit(0)
+        else:
+            old = spark.read.parquet(f"{states}/batch={batch_id - 1}")
+        resumed = old.filter("_open IS NOT NULL").select(
+            F.col("_k").alias(key), F.col("_open").alias(ts), F.lit(start).alias(kind),
+            *[F.lit(None).cast(events.schema[c].dataType).alias(c) for c in order],
+        )
+        pairs = build_cycles(events.unionByName(resumed), key, ts, kind, start, end, order)
+        before = old.select("_k", (F.col("_no") - F.col("_open").isNotNull().cast("long")).alias("_base"))
+        pairs = pairs.join(before, F.col(key) == F.col("_k"), "left").drop("_k")
+        pairs = pairs.withColumn("cycle_no", F.col("cycle_no") + F.coalesce("_base", F.lit(0))).drop("_base")
+        work = f"{base}/work/batch={batch_id}"
+        pairs.write.mode("overwrite").parquet(work)
+        pairs = spark.read.parquet(work)
+        _write_batch(pairs.filter("ended_at IS NOT NULL"), closed, batch_id)
+        last = pairs.groupBy(key).agg(F.max_by(F.struct("cycle_no", "started_at", "ended_at"), "cycle_no").alias("_l"))
+        both = old.join(last, F.col("_k") == F.col(key), "full")
+        limit = events.agg(F.max(ts)).scalar() - F.expr(f"INTERVAL {timeout}")
+        opened = F.when(F.col("_l").isNull(), F.col("_open")).when(F.col("_l.ended_at").isNull(), F.col("_l.started_at"))
+        state = both.select(F.coalesce("_k", key).alias("_k"), F.coalesce("_l.cycle_no", "_no").alias("_no"), opened.alias("_open"))
+        fresh = F.when(F.col("_open") >= F.coalesce(limit, F.col("_open")), F.col("_open"))
+        _write_batch(state.withColumn("_open", fresh), states, batch_id)
+
+    run_batches(df, handle, f"{base}/checkpoint")
+    return closed
 
 
 def upsert_stream(df: DataFrame, path: str, key: Sequence[str], order: Sequence[str]) -> None:
