@@ -11,6 +11,7 @@ from tidemark.functions.columns import col_of, micros, money, period, safe_div
 from tidemark.operators.joins import asof_join
 from tidemark.operators.measures import pct_change
 from tidemark.operators.ordered import neighbour, running_sums
+from tidemark.session import settle
 
 # Cumulative-share limits of the classes.
 PARETO_CLASSES = {"A": 0.80, "B": 0.95}
@@ -58,9 +59,11 @@ def rfm(orders: DataFrame, as_of: Sequence[str], customer: str, date: str, amoun
         F.count(F.lit(1)).alias("frequency"),
         F.sum("_m").cast("double").alias("monetary"),
     )
-    ranked = base.withColumns({"_nr": -F.col("recency_days")})
+    base = settle(base.withColumn("_nr", -F.col("recency_days")), "rfm")
+    ranked = base
     for name, col in {"r": "_nr", "f": "frequency", "m": "monetary"}.items():
-        ranked = ntile_by_rank(ranked, ["as_of"], [col, customer], 5, name)
+        tiles = ntile_by_rank(base.select("as_of", customer, col), ["as_of"], [col, customer], 5, name)
+        ranked = ranked.join(tiles.drop(col), ["as_of", customer])
     r, fm = F.col("r"), (F.col("f") + F.col("m")) / 2
     label = (
         F.when((r >= 4) & (fm >= 4), "Champions").when((r >= 3) & (fm >= 3), "Loyal").when((r <= 2) & (fm >= 3), "At-Risk")
@@ -111,11 +114,12 @@ def market_basket(lines: DataFrame, basket: str, item: str, min_support: float)
     share of baskets, so the frequent items number at most
     (average basket size / min_support) however large the data is.
     """
-    pairs = lines.select(basket, F.col(item).cast("string").alias("_i")).distinct()
+    pairs = settle(lines.select(basket, F.col(item).cast("string").alias("_i")).distinct(), "basket-items")
     n = pairs.agg(F.count_distinct(F.col(basket)).alias("n")).first()["n"]  # one number
     frequent = pairs.groupBy("_i").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= min_support * n)
+    frequent = settle(frequent, "frequent-items")
     useful = pairs.join(frequent.select("_i"), "_i", "left_semi")
-    baskets = useful.groupBy(basket).agg(F.collect_set("_i").alias("items"))  # frequent items only
+    baskets = settle(useful.groupBy(basket).agg(F.collect_set("_i").alias("items")), "baskets")  # frequent items only
     share = min_support * n / max(1, baskets.count()) * (1 - 1e-9)  # rounding must not lose a pair
     sets = FPGrowth(itemsCol="items", minSupport=min(1.0, share), minConfidence=1.0).fit(baskets).freqItemsets
     two = sets.filter((F.size("items") == 2) & (F.col("freq") >= min_support * n)).select(F.array_sort("items").alias("p"), "freq")

@@ -11,7 +11,7 @@ from tidemark.functions.columns import date_key, fiscal, hash_diff, hash_key, mo
 from tidemark.operators.joins import join_scd2, orphans, star_join
 from tidemark.operators.ordered import neighbour, running_sums
 from tidemark.operators.reconcile import row_diff
-from tidemark.session import shuffle_width
+from tidemark.session import settle, shuffle_width
 
 UNKNOWN_KEY = -1
 FROM, TO, CURRENT = "row_effective_from", "row_effective_to", "is_current"
@@ -180,6 +180,7 @@ def scd2_from_history(changes: DataFrame, key: str, cols: Sequence[str], ts: str
     rows = last.select(key, ts, "_v.*").withColumn("_h", hash_diff(cols))
     flagged = neighbour(rows, [key], [ts], {"_was": "_h"}, step=-1)
     starts = flagged.filter(F.col("_was").isNull() | (F.col("_was") != F.col("_h"))).drop("_was", "_h")
+    starts = settle(starts, "version-starts")
     spans = neighbour(starts, [key], [ts], {TO: ts}, step=1)
     return spans.select(key, *cols, F.col(ts).alias(FROM), TO, F.col(TO).isNull().alias(CURRENT))
 

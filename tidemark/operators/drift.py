@@ -10,6 +10,7 @@ from tidemark.functions.columns import safe_div
 from tidemark.functions.distributions import kolmogorov_sf
 from tidemark.operators.ordered import column_lookup, exact_quantiles, neighbour, running_sums, unpivot_numeric, value_counts_table
 from tidemark.operators.windows import day_number
+from tidemark.session import settle
 
 # Stability bands and the floor for empty bins.
 PSI_BANDS = {"low": 0.1, "moderate": 0.25}
@@ -173,7 +174,7 @@ def anomalies(df: DataFrame, key: Sequence[str], date: str, val: str, method: st
         w = W.partitionBy(*key).orderBy(day_number(date)).rangeBetween(-days, -1)
         out = df.withColumns({"centre": F.avg(v).over(w), "spread": F.stddev_samp(v).over(w)})
     elif method == "mad":
-        mid = exact_quantiles(df, val, {"centre": 0.5}, by=key)
+        mid = settle(exact_quantiles(df, val, {"centre": 0.5}, by=key), "centres")
         dev = df.join(mid, list(key)).withColumn("_dev", F.abs(v - F.col("centre")))
         mad = exact_quantiles(dev, "_dev", {"_mad": 0.5}, by=key)
         out = dev.drop("_dev").join(mad, list(key)).withColumn("spread", MAD_SCALE * F.col("_mad")).drop("_mad")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from tidemark.functions.columns import micros, safe_div
 from tidemark.operators.aggregate import percentiles
+from tidemark.session import settle
 
 # Minimum completeness by criticality, in percent.
 COMPLETENESS_BY_CRITICALITY = {"critical": 99.9, "important": 99.0, "informational": 95.0}
@@ -412,7 +413,7 @@ def time_to_repair(results: DataFrame, rule: Sequence[str], ts: str = "checked_a
     prev = neighbour(results, rule, [ts], {"_was": "passed"}, step=-1)
     edges = prev.filter(F.col("_was").isNull() | (F.col("_was") != F.col("passed")))
     edges = edges.filter(~F.col("passed") | F.col("_was").isNotNull()).select(*rule, ts, "passed")
-    nxt = neighbour(edges, rule, [ts], {"repaired_at": ts}, step=1)
+    nxt = neighbour(settle(edges, "incident-edges"), rule, [ts], {"repaired_at": ts}, step=1)
     hours = (micros("repaired_at") - micros(ts)) / F.lit(3.6e9)
     return nxt.filter(~F.col("passed")).select(*rule, F.col(ts).alias("failed_at"), "repaired_at", hours.alias("hours"))
 

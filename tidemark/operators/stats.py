@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark.functions import distributions as ds
 from tidemark.functions.columns import col_of, safe_div
+from tidemark.session import settle
 from tidemark.operators.ordered import (
     average_ranks,
     carry_forward,
@@ -88,11 +89,13 @@ def robust_stats(df: DataFrame, col: str, by: Sequence[str] = (), trim: float =
     """Trimmed mean (values within the trim quantiles), median, MAD and mode (smallest on ties)."""
     x = df.select(*by, F.col(col).cast("double").alias("_v"), F.lit(0).alias("_g")).filter("_v IS NOT NULL")
     keys = [*by, "_g"]
-    q = exact_quantiles(x, "_v", {"_lo": trim, "median": 0.5, "_hi": 1 - trim}, by=keys)
-    j = x.join(q, keys)
-    mean = j.groupBy(*keys).agg(F.avg(F.when(F.col("_v").between(F.col("_lo"), F.col("_hi")), F.col("_v"))).alias("trimmed_mean"))
-    mad = exact_quantiles(j.withColumn("_d", F.abs(F.col("_v") - F.col("median"))), "_d", {"mad": 0.5}, by=keys)
-    counts = x.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    # everything below needs only distinct values and their counts
+    counts = settle(x.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n")), "value-counts")
+    q = settle(exact_quantiles(counts, "_v", {"_lo": trim, "median": 0.5, "_hi": 1 - trim}, by=keys, weight="_n"), "quantiles")
+    j = counts.join(q, keys)
+    inside = F.when(F.col("_v").between(F.col("_lo"), F.col("_hi")), F.col("_n"))
+    mean = j.groupBy(*keys).agg((F.sum(F.col("_v") * inside) / F.sum(inside)).alias("trimmed_mean"))
+    mad = exact_quantiles(j.withColumn("_d", F.abs(F.col("_v") - F.col("median"))), "_d", {"mad": 0.5}, by=keys, weight="_n")
     mode = counts.groupBy(*keys).agg(F.max_by("_v", F.struct("_n", -F.col("_v"))).alias("mode"))
     parts = [mean, q.select(*keys, "median"), mad, mode]
     return reduce(lambda a, b: a.join(b, keys), parts).drop("_g")
@@ -549,7 +552,7 @@ def psm_att(df: DataFrame, key: str, treated: str, y: str, xs: Sequence[str]) ->
     )
     fit = LogisticRegression(featuresCol="_f", labelCol="_t", maxIter=50).fit(data)
     scored = fit.transform(data).select(key, F.col("_t"), F.col(y).cast("double").alias("_y"), vector_to_array("probability")[1].alias("s"))
-    scored = scored.withColumns({"_c": F.when(F.col("_t") == 0, F.struct("s", "_y")), "_neg": -F.col("s")})
+    scored = settle(scored, "propensity").withColumns({"_c": F.when(F.col("_t") == 0, F.struct("s", "_y")), "_neg": -F.col("s")})
     below = carry_forward(scored, [], ["s", key], {"_lo": "_c"})
     both = carry_forward(below, [], ["_neg", key], {"_hi": "_c"}).filter("_t = 1")
     dl, dh = F.col("s") - F.col("_lo.s"), F.col("_hi.s") - F.col("s")

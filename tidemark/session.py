@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(app: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
@@ -49,6 +49,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Write a result that several later steps read, and read it back.
+
+    This cuts the lineage through the shared folder, so neither a lost executor nor
+    a chain of ordered steps recomputes it, and its true size is known to the
+    planner, which then decides about broadcasting.
+    """
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """Number of range buckets to cut ordered work into: one per shuffle task."""
     return max(8, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2000))
