@@ -36,9 +36,10 @@ def sync(target: DataFrame, src: DataFrame, key: Sequence[str], on_missing: str
 
 
 def overwrite_partitions(df: DataFrame, path: str, col: str) -> None:
-    """Replace only the partitions present in ``df``."""
+    """Replace only the partitions present in ``df``; hot partitions are split over tasks."""
     (
-        df.write.mode("overwrite")
+        df.hint("rebalance", col)
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(col)
         .parquet(path)

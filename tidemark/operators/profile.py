@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from tidemark.functions.columns import TIMESTAMP_FORMATS, hash_diff, micros, parse_ts, period, safe_div
 from tidemark.operators.ordered import column_lookup, exact_quantiles, neighbour, unpivot_numeric
+from tidemark.session import settle
 
 # Profile thresholds.
 COMPLETENESS_MIN = 0.7
@@ -48,16 +49,28 @@ def column_value_counts(df: DataFrame, cols: Sequence[str] | None = None, blank_
     )
 
 
-def profile(df: DataFrame, cols: Sequence[str] | None = None, blank_is_null: bool = True) -> DataFrame:
-    """Type, rows, NULLs, completeness, distinct values and unique ratio per column."""
+def profile(
+    df: DataFrame, cols: Sequence[str] | None = None, blank_is_null: bool = True, approx: bool = False
+) -> DataFrame:
+    """Type, rows, NULLs, completeness, distinct values and unique ratio per column.
+
+    ``approx`` estimates distinct counts with sketches in one pass without a shuffle
+    of values; the default is exact.
+    """
     cols = list(cols or df.columns)
     kinds = F.create_map(*[F.lit(x) for c in cols for x in (c, df.schema[c].dataType.simpleString())])
-    seen = column_value_counts(df, cols, blank_is_null)
-    stats = seen.groupBy("column").agg(
-        F.sum("n").alias("total_rows"),
-        F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("non_null"),
-        F.count("value").alias("unique_count"),
-    )
+    if approx:
+        stats = _long_text(df, cols, blank_is_null).groupBy("column").agg(
+            F.count(F.lit(1)).alias("total_rows"),
+            F.count("value").alias("non_null"),
+            F.approx_count_distinct("value", 0.01).alias("unique_count"),
+        )
+    else:
+        stats = column_value_counts(df, cols, blank_is_null).groupBy("column").agg(
+            F.sum("n").alias("total_rows"),
+            F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("non_null"),
+            F.count("value").alias("unique_count"),
+        )
     return stats.select(
         "column",
         kinds[F.col("column")].alias("dtype"),
@@ -167,7 +180,7 @@ def check_range(df: DataFrame, specs: Mapping[str, tuple[float | None, float | N
 
 def issues(df: DataFrame, ranges: Mapping | None = None, threshold: float = COMPLETENESS_MIN) -> DataFrame:
     """Issue list of a profile run: completeness, key candidates and range breaks."""
-    prof = profile(df)
+    prof = settle(profile(df), "profile")  # one row per column, read twice
     out = check_completeness(prof, threshold).unionByName(pk_candidates(prof))
     if ranges:
         hit = check_range(df, ranges).filter("n_below + n_above > 0")

@@ -252,6 +252,17 @@ def _(t):
     return out.select("term", F.round("estimate", 4).alias("estimate"), F.round("r_squared", 8).alias("r_squared"), "n")
 
 
+@query(
+    "q16_ols_groups",
+    """WITH g AS (SELECT l_returnflag AS g, avg(l_extendedprice) AS m, count(*) AS n, var_samp(l_extendedprice) * (count(*) - 1) AS ss FROM lineitem GROUP BY 1), s AS (SELECT sum(ss) / (sum(n) - 3) AS s2 FROM g), a AS (SELECT * FROM g WHERE g = 'A')
+       SELECT 'intercept' AS term, round(a.m, 4) AS estimate, round(sqrt(s2 / a.n), 4) AS std_error FROM a, s
+       UNION ALL SELECT 'l_returnflag[' || g.g || ']', round(g.m - a.m, 4), round(sqrt(s2 * (1.0::DOUBLE / g.n + 1.0::DOUBLE / a.n)), 4) FROM g, a, s WHERE g.g <> 'A'""",
+)
+def _(t):
+    out = st.ols(t.lineitem, "l_extendedprice", [], {"l_returnflag": ["A", "N", "R"]})
+    return out.select("term", F.round("estimate", 4).alias("estimate"), F.round("std_error", 4).alias("std_error"))
+
+
 @query("q16_ols_dummies")
 def _(t):
     return st.ols(t.lineitem, "l_extendedprice", ["l_quantity", "l_discount"], {"l_returnflag": ["A", "N", "R"]})
@@ -268,9 +279,45 @@ def _(t):
     return out.select("term", F.round("estimate", 4).alias("estimate"), F.round("std_error", 4).alias("std_error"))
 
 
-@query("q17_ols_hc3")
+def _hc3(name, s, o):
+    return f"""SELECT '{name}' AS term, round(b{s}, 4) AS estimate, round(sqrt(sum(pow(d{s} - S12 / S{o}{o} * d{o}, 2) * u * u)) / sum(pow(d{s} - S12 / S{o}{o} * d{o}, 2)), 4) AS std_error FROM u GROUP BY b{s}"""
+
+
+@query(
+    "q17_ols_hc3",
+    """WITH m AS (SELECT avg(l_quantity) AS m1, avg(l_discount) AS m2, avg(l_extendedprice) AS my, count(*) AS n FROM lineitem),
+            c AS (SELECT l_quantity - m1 AS d1, l_discount - m2 AS d2, l_extendedprice - my AS y, n FROM lineitem, m),
+            s AS (SELECT sum(d1 * d1) AS S11, sum(d1 * d2) AS S12, sum(d2 * d2) AS S22, sum(d1 * y) AS S1y, sum(d2 * y) AS S2y FROM c),
+            b AS (SELECT *, S11 * S22 - S12 * S12 AS det, (S22 * S1y - S12 * S2y) / (S11 * S22 - S12 * S12) AS b1, (S11 * S2y - S12 * S1y) / (S11 * S22 - S12 * S12) AS b2 FROM s),
+            u AS (SELECT d1, d2, S11, S12, S22, b1, b2, (y - b1 * d1 - b2 * d2) / (1 - (1.0::DOUBLE / n + (d1 * d1 * S22 - 2 * d1 * d2 * S12 + d2 * d2 * S11) / det)) AS u FROM c, b)
+       """ + _hc3("l_quantity", 1, 2) + " UNION ALL " + _hc3("l_discount", 2, 1),
+)
+def _(t):
+    out = st.ols(t.lineitem, "l_extendedprice", ["l_quantity", "l_discount"], robust=True).filter("term <> 'intercept'")
+    return out.select("term", F.round("estimate", 4).alias("estimate"), F.round("std_error", 4).alias("std_error"))
+
+
+@query(
+    "q18_logistic_binary",
+    """WITH c AS (SELECT count(*) FILTER (l_discount > 0.05 AND l_returnflag = 'R')::DOUBLE AS a, count(*) FILTER (l_discount > 0.05 AND l_returnflag <> 'R')::DOUBLE AS b, count(*) FILTER (l_discount <= 0.05 AND l_returnflag = 'R')::DOUBLE AS c, count(*) FILTER (l_discount <= 0.05 AND l_returnflag <> 'R')::DOUBLE AS d FROM lineitem)
+       SELECT 'high' AS term, round(ln(a * d / (b * c)), 5) AS estimate, round(sqrt(1 / a + 1 / b + 1 / c + 1 / d), 5) AS std_error FROM c UNION ALL SELECT 'intercept', round(ln(c / d), 5), round(sqrt(1 / c + 1 / d), 5) FROM c""",
+)
 def _(t):
-    return st.ols(t.lineitem, "l_extendedprice", ["l_quantity", "l_discount"], robust=True)
+    df = t.lineitem.select((F.col("l_returnflag") == "R").cast("int").alias("y"), (F.col("l_discount") > 0.05).cast("int").alias("high"))
+    out = st.glm(df, "y", ["high"])
+    return out.select("term", F.round("estimate", 5).alias("estimate"), F.round("std_error", 5).alias("std_error"))
+
+
+@query(
+    "q18_poisson_binary",
+    """WITH n AS (SELECT c_custkey, c_acctbal > 0 AS h, count(*)::DOUBLE AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2), g AS (SELECT sum(n) FILTER (h) AS s1, count(*) FILTER (h) AS k1, sum(n) FILTER (NOT h) AS s0, count(*) FILTER (NOT h) AS k0 FROM n)
+       SELECT 'positive' AS term, round(ln((s1 / k1) / (s0 / k0)), 5) AS estimate, round(sqrt(1 / s1 + 1 / s0), 5) AS std_error FROM g UNION ALL SELECT 'intercept', round(ln(s0 / k0), 5), round(sqrt(1 / s0), 5) FROM g""",
+)
+def _(t):
+    df = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    df = df.groupBy("c_custkey", (F.col("c_acctbal") > 0).cast("int").alias("positive")).agg(F.count("*").alias("n"))
+    out = st.glm(df, "n", ["positive"], "poisson")
+    return out.select("term", F.round("estimate", 5).alias("estimate"), F.round("std_error", 5).alias("std_error"))
 
 
 @query("q18_logistic")

@@ -93,11 +93,13 @@ def with_source_file(spark: SparkSession, path: str) -> DataFrame:
 def write_table(
     df: DataFrame, path: str, partition_by: Sequence[str] = (), sort_by: Sequence[str] = (), mode: str = "errorifexists"
 ) -> None:
-    """Write parquet; rows are clustered so that each partition gets few files."""
+    """Write parquet in few, evenly sized files per partition.
+
+    The rebalance hint shuffles by partition value and lets the adaptive planner
+    split hot values by size and merge small ones.
+    """
     if partition_by:
-        # spread hot partition values over several tasks by the remaining row hash
-        spread = F.pmod(F.xxhash64(*df.columns), F.lit(8))
-        df = df.repartition(*[F.col(c) for c in partition_by], spread)
+        df = df.hint("rebalance", *partition_by)
     if sort_by:
         df = df.sortWithinPartitions(*partition_by, *sort_by)
     writer = df.write.mode(mode)
