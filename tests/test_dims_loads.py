@@ -47,6 +47,33 @@ def test_scd2_join_is_half_open(spark, dim2):
     assert sorted((x.at.day, x.v) for x in out if x.v) == [(4, "b"), (5, "c"), (6, "c")] and len(out) == 4
 
 
+def test_dense_scd2_join_equals_range_join(spark, dim2):
+    rows = [(k, day(d)) for k in (1, 2, 3, 9) for d in (1, 4, 5, 6)] + [(None, day(3))]
+    fact = spark.createDataFrame(rows, "k int, at timestamp_ntz")
+    gap = dim2.filter("NOT (k = 2 AND v = 'c')")  # key 2 has no version after day 5
+    for dim in (dim2, gap):
+        for how in ("left", "inner"):
+            a = jn.join_scd2(fact, dim, "k", "at", how=how).select("k", "at", "v", "is_current")
+            b = jn.join_scd2(fact, dim, "k", "at", how=how, dense=True).select("k", "at", "v", "is_current")
+            assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
+def test_interval_sums_equal_pairs_for_overlapping_intervals(spark):
+    import random
+
+    rnd = random.Random(3)
+    t0 = dt.datetime(2024, 1, 1)
+    c = [(i, 0 if rnd.random() < 0.6 else rnd.randint(1, 4), t0 + dt.timedelta(hours=rnd.randint(0, 90))) for i in range(120)]
+    c = [(i, k, a, a + dt.timedelta(hours=rnd.randint(0, 40))) for i, k, a in c]
+    r = [(0 if rnd.random() < 0.6 else rnd.randint(1, 4), t0 + dt.timedelta(hours=rnd.randint(0, 120)), round(rnd.random() * 9, 2)) for _ in range(300)]
+    cycles = spark.createDataFrame(c, "id int, k int, a timestamp_ntz, b timestamp_ntz")
+    points = spark.createDataFrame(r, "k int, t timestamp_ntz, v double")
+    got = {x.id: (x.n_readings, float(x.s)) for x in jn.interval_sums(cycles, points, ["id"], ["k"], "a", "b", "t", {"s": "v"}).collect()}
+    for i, k, a, b in c:
+        inside = [v for kk, t, v in r if kk == k and a <= t < b]
+        assert got[i][0] == len(inside) and got[i][1] == pytest.approx(sum(inside))
+
+
 def test_history_collapses_repeats(spark):
     log = [(1, "a", day(1)), (1, "a", day(2)), (1, None, day(3)), (1, None, day(4)), (1, "a", day(5))]
     out = dm.scd2_from_history(spark.createDataFrame(log, "k int, v string, ts timestamp_ntz"), "k", ["v"], "ts")

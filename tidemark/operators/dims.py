@@ -244,6 +244,7 @@ def build_fact(
     ts: str,
     keep: Sequence[str],
     measures: Mapping[str, Column],
+    dense: bool = False,
 ) -> DataFrame:
     """Star fact: type 1 keys, versioned keys valid at ``ts``, date key, typed measures.
 
@@ -252,7 +253,7 @@ def build_fact(
     out = star_join(src, dims, UNKNOWN_KEY)
     for fk, (dim, bk, sk) in scd2_dims.items():
         side = dim.select(F.col(bk).alias("_dim_bk"), F.col(sk).alias("_dim_sk"), FROM, TO)
-        out = join_scd2(out, side, fk, ts, dim_bk="_dim_bk")
+        out = join_scd2(out, side, fk, ts, dim_bk="_dim_bk", dense=dense)
         out = out.withColumn(f"{fk}_version_key", F.coalesce("_dim_sk", F.lit(UNKNOWN_KEY).cast(side.schema["_dim_sk"].dataType)))
         out = out.drop("_dim_sk")
     keys = [f"{fk}_key" for fk in dims] + [f"{fk}_version_key" for fk in scd2_dims]

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.operators.ordered import carry_forward
+from tidemark.operators.ordered import carry_forward, running_sums
 
 
 def left_join_on(
@@ -82,8 +82,22 @@ def join_scd2(
     valid_from: str = "row_effective_from",
     valid_to: str = "row_effective_to",
     how: str = "left",
+    dense: bool = False,
 ) -> DataFrame:
-    """Version valid at the fact time: equi key plus half-open range; NULL end is open."""
+    """Version valid at the fact time: equi key plus half-open range; NULL end is open.
+
+    The range join suits dimensions with few versions per key (and broadcasts small
+    ones). ``dense`` takes the linear as-of path instead, for keys that have very many
+    versions and facts at once; it relies on versions that do not overlap.
+    """
+    if dense:
+        attrs = [c for c in dim.columns if c not in (dim_bk or bk, valid_from)]
+        side = dim.withColumnsRenamed({dim_bk or bk: bk}) if (dim_bk or bk) != bk else dim
+        hit = asof_join(fact, side, [bk], ts, valid_from, attrs)
+        live = F.col(f"matched_{valid_from}").isNotNull() & (F.col(valid_to).isNull() | (F.col(ts) < F.col(valid_to)))
+        kept = {c: F.when(live, F.col(c)) for c in attrs if c != valid_to}
+        out = hit.filter(live) if how == "inner" else hit.withColumns(kept)
+        return out.drop(f"matched_{valid_from}", valid_to)
     right = dim.withColumnsRenamed({dim_bk or bk: "_bk", valid_from: "_from", valid_to: "_to"})
     at = F.col(ts)
     cond = (F.col(bk) == F.col("_bk")) & (at >= F.col("_from")) & (F.col("_to").isNull() | (at < F.col("_to")))
@@ -147,6 +161,41 @@ def interval_agg(
     return spans.join(points, cond, "left").groupBy(*keys).agg(*[e.alias(n) for n, e in aggs.items()])
 
 
+def interval_sums(
+    cycles: DataFrame,
+    readings: DataFrame,
+    cycle_key: Sequence[str],
+    on: Sequence[str],
+    start: str,
+    end: str,
+    ts: str,
+    sums: Mapping[str, str],
+    count: str = "n_readings",
+) -> DataFrame:
+    """Exact sums and count of readings inside each [start, end) without pairing them.
+
+    Interval bounds are placed among the readings in time order; a sum is the running
+    total at the end minus the one at the start. Linear for any overlap and any hot key.
+    """
+    keys = list(dict.fromkeys([*cycle_key, *on, start, end]))
+    exact = {f"_v_{o}": F.coalesce(F.col(c).cast("decimal(28,6)"), F.lit(0)) for o, c in sums.items()}
+    zero = {name: F.lit(0).cast("decimal(28,6)") for name in exact}
+    points = readings.select(*on, F.col(ts).alias("_t"), F.lit(1).alias("_side"), *[c.alias(n) for n, c in exact.items()], F.lit(1).cast("long").alias("_one"))
+    bounds = F.array(
+        F.struct(F.col(start).alias("_t"), F.lit(-1).alias("_sign")),
+        F.struct(F.greatest(F.col(start), F.col(end)).alias("_t"), F.lit(1).alias("_sign")),
+    )
+    marks = cycles.select(*keys, F.struct(*keys).alias("_cycle"), F.inline(bounds)).select(
+        *on, "_t", F.lit(0).alias("_side"), *[c.alias(n) for n, c in zero.items()], F.lit(0).cast("long").alias("_one"), "_cycle", "_sign"
+    )
+    totals = {f"_r{n}": n for n in [*exact, "_one"]}
+    run = running_sums(points.unionByName(marks, allowMissingColumns=True), ["_t", "_side"], totals, by=on).filter("_side = 0")
+    out = run.groupBy("_cycle").agg(
+        F.sum(F.col("_sign") * F.col("_r_one")).alias(count), *[F.sum(F.col("_sign") * F.col(f"_r_v_{o}")).alias(o) for o in sums]
+    )
+    return out.select("_cycle.*", count, *sums)
+
+
 def lateral_top(df: DataFrame, other: DataFrame, on: str, key: str, order: Sequence[Column], n: int = 1) -> DataFrame:
     """Top ``n`` right rows per left row; the ranking filter runs before the shuffle."""
     from tidemark.operators.windows import top_n_per_group

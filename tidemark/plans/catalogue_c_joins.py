@@ -123,18 +123,24 @@ def customer_versions(t):
     )
 
 
-@query(
-    "c9_scd2_range_join",
-    f"""WITH {VERSIONS}
-        SELECT prio, l_returnflag, count(*) AS n, {msum('l_extendedprice')} AS revenue
-        FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-        LEFT JOIN versions ON bk = o_custkey AND l_shipdate >= vf AND (vt IS NULL OR l_shipdate < vt)
-        GROUP BY ALL""",
-)
-def _(t):
+for _name, _dense in (("c9_scd2_range_join", False), ("c9_scd2_dense_join", True)):
+
+    @query(
+        _name,
+        f"""WITH {VERSIONS}
+            SELECT prio, l_returnflag, count(*) AS n, {msum('l_extendedprice')} AS revenue
+            FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+            LEFT JOIN versions ON bk = o_custkey AND l_shipdate >= vf AND (vt IS NULL OR l_shipdate < vt)
+            GROUP BY ALL""",
+    )
+    def _(t, dense=_dense):
+        return _versioned_revenue(t, dense)
+
+
+def _versioned_revenue(t, dense):
     fact = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
     fact = fact.select("o_custkey", "l_shipdate", "l_returnflag", "l_extendedprice")
-    out = jn.join_scd2(fact, customer_versions(t), "o_custkey", "l_shipdate", dim_bk="bk")
+    out = jn.join_scd2(fact, customer_versions(t), "o_custkey", "l_shipdate", dim_bk="bk", dense=dense)
     return out.groupBy("prio", "l_returnflag").agg(
         F.count("*").alias("n"), fx.money_sum("l_extendedprice").alias("revenue")
     )
@@ -168,14 +174,24 @@ def _(t):
     return _asof(t, "6 HOURS")
 
 
-@query(
-    "c11_interval_agg",
-    f"""SELECT c.event_id, c.user_id, c.ts AS start_ts, c.ts + INTERVAL 36 HOUR AS end_ts,
+INTERVALS = f"""SELECT c.event_id, c.user_id, c.ts AS start_ts, c.ts + INTERVAL 36 HOUR AS end_ts,
               count(r.ts) AS n_readings, coalesce({msum('r.value')}, 0) AS total
         FROM (SELECT * FROM events WHERE event_type = 'signup') c
         LEFT JOIN events r ON r.user_id = c.user_id AND r.ts >= c.ts AND r.ts < c.ts + INTERVAL 36 HOUR
-        GROUP BY 1, 2, 3, 4""",
-)
+        GROUP BY 1, 2, 3, 4"""
+
+
+@query("c11_interval_sums", INTERVALS)
+def _(t):
+    cycles = t.events.filter("event_type = 'signup'").select(
+        "event_id", "user_id", F.col("ts").alias("start_ts"), (F.col("ts") + F.expr("INTERVAL 36 HOURS")).alias("end_ts")
+    )
+    readings = t.events.select("user_id", "ts", "value")
+    out = jn.interval_sums(cycles, readings, ["event_id"], ["user_id"], "start_ts", "end_ts", "ts", {"total": "value"})
+    return out.withColumn("total", F.col("total").cast("double"))
+
+
+@query("c11_interval_agg", INTERVALS)
 def _(t):
     cycles = t.events.filter("event_type = 'signup'").select(
         "event_id", "user_id", F.col("ts").alias("start_ts"), (F.col("ts") + F.expr("INTERVAL 36 HOURS")).alias("end_ts")
