@@ -44,6 +44,8 @@ def psi(expected: DataFrame, actual: DataFrame, col: str, bins: int = 10, strict
     """
     names = {f"c{i}": i / bins for i in range(bins + 1)}
     row = exact_quantiles(expected, col, names).first()  # bins + 1 numbers
+    if row is None or row["c0"] is None:
+        raise ValueError("the expected sample has no values")
     cuts = sorted({row[c] for c in names})
     both = tagged(expected, actual, col)
     sizes = both.groupBy().agg(F.count(F.when(F.col("is_a"), 1)).alias("ne"), F.count(F.when(~F.col("is_a"), 1)).alias("na"))
@@ -55,7 +57,7 @@ def psi(expected: DataFrame, actual: DataFrame, col: str, bins: int = 10, strict
     for c in inner:
         number = number + (F.col("v") >= c).cast("int")
     g = both.groupBy(number.alias("bin")).agg(F.count(F.when(F.col("is_a"), 1)).alias("e"), F.count(F.when(~F.col("is_a"), 1)).alias("a"))
-    total = F.sum(_psi_terms(F.col("e") / F.col("_s.ne"), F.col("a") / F.col("_s.na"))).alias("psi")
+    total = F.sum(_psi_terms(safe_div("e", "_s.ne"), safe_div("a", "_s.na"))).alias("psi")
     out = g.withColumn("_s", s).agg(total, F.count(F.lit(1)).alias("n_bins"))
     return out.withColumn("band", _band(F.col("psi")))
 
@@ -69,7 +71,7 @@ def _category_counts(a: DataFrame, b: DataFrame, col: str) -> DataFrame:
 def psi_cat(expected: DataFrame, actual: DataFrame, col: str) -> DataFrame:
     g = _category_counts(expected, actual, col)
     s = g.agg(F.struct(F.sum("e").alias("e"), F.sum("a").alias("a"))).scalar()
-    out = g.withColumn("_s", s).agg(F.sum(_psi_terms(F.col("e") / F.col("_s.e"), F.col("a") / F.col("_s.a"))).alias("psi"))
+    out = g.withColumn("_s", s).agg(F.sum(_psi_terms(safe_div("e", "_s.e"), safe_div("a", "_s.a"))).alias("psi"))
     return out.withColumn("band", _band(F.col("psi")))
 
 
@@ -100,8 +102,8 @@ def chi2_gof(expected: DataFrame, actual: DataFrame, col: str) -> DataFrame:
     """Chi-square of actual counts against expected shares; unseen categories are reported apart."""
     g = _category_counts(expected, actual, col)
     s = g.agg(F.struct(F.sum("e").alias("e"), F.sum("a").alias("a"))).scalar()
-    exp = F.col("e") * s["a"] / s["e"]
-    term = F.when(F.col("e") > 0, (F.col("a") - exp) * (F.col("a") - exp) / exp)
+    exp = safe_div(F.col("e") * s["a"], s["e"])
+    term = F.when(F.col("e") > 0, safe_div((F.col("a") - exp) * (F.col("a") - exp), exp))
     return g.agg(
         F.sum(term).alias("statistic"), (F.count(F.when(F.col("e") > 0, 1)) - 1).alias("df"),
         F.coalesce(F.sum(F.when(F.col("e") == 0, F.col("a"))), F.lit(0)).alias("n_unseen"),

@@ -94,7 +94,7 @@ def robust_stats(df: DataFrame, col: str, by: Sequence[str] = (), trim: float =
     q = settle(exact_quantiles(counts, "_v", {"_lo": trim, "median": 0.5, "_hi": 1 - trim}, by=keys, weight="_n"), "quantiles")
     j = counts.join(q, keys)
     inside = F.when(F.col("_v").between(F.col("_lo"), F.col("_hi")), F.col("_n"))
-    mean = j.groupBy(*keys).agg((F.sum(F.col("_v") * inside) / F.sum(inside)).alias("trimmed_mean"))
+    mean = j.groupBy(*keys).agg(safe_div(F.sum(F.col("_v") * inside), F.sum(inside)).alias("trimmed_mean"))
     mad = exact_quantiles(j.withColumn("_d", F.abs(F.col("_v") - F.col("median"))), "_d", {"mad": 0.5}, by=keys, weight="_n")
     mode = counts.groupBy(*keys).agg(F.max_by("_v", F.struct("_n", -F.col("_v"))).alias("mode"))
     parts = [mean, q.select(*keys, "median"), mad, mode]
@@ -109,7 +109,7 @@ def moments(df: DataFrame, group: Sequence[str], col: str | Column) -> DataFrame
 def mean_ci(df: DataFrame, by: Sequence[str], col: str, conf: float = 0.95) -> DataFrame:
     """Student t interval of the mean."""
     m = moments(df, by, col)
-    half = ds.t_quantile(F.lit(0.5 + conf / 2), F.col("n") - 1) * F.sqrt(F.col("var") / F.col("n"))
+    half = ds.t_quantile(F.lit(0.5 + conf / 2), F.col("n") - 1) * F.sqrt(safe_div("var", "n"))
     return m.withColumn("_h", half).select(
         *by, "n", "mean", (F.col("mean") - F.col("_h")).alias("ci_low"), (F.col("mean") + F.col("_h")).alias("ci_high")
     )
@@ -177,22 +177,26 @@ def two_arm(df: DataFrame, is_b: Column, col: str | Column) -> DataFrame:
     return df.agg(*aggs)
 
 
+def _welch_df(sa: Column, sb: Column, na: Column, nb: Column) -> Column:
+    return safe_div((sa + sb) * (sa + sb), safe_div(sa * sa, na - 1) + safe_div(sb * sb, nb - 1))
+
+
 def welch(df: DataFrame, is_b: Column, col: str | Column) -> DataFrame:
     """Welch t, degrees of freedom and two-sided p."""
     m = two_arm(df, is_b, col)
-    sa, sb = F.col("var_a") / F.col("n_a"), F.col("var_b") / F.col("n_b")
+    sa, sb = safe_div("var_a", "n_a"), safe_div("var_b", "n_b")
     m = m.withColumns(
         {
             "diff": F.col("mean_b") - F.col("mean_a"),
             "se": F.sqrt(sa + sb),
-            "df": (sa + sb) * (sa + sb) / (sa * sa / (F.col("n_a") - 1) + sb * sb / (F.col("n_b") - 1)),
+            "df": _welch_df(sa, sb, F.col("n_a"), F.col("n_b")),
         }
-    ).withColumn("t", F.col("diff") / F.col("se"))
+    ).withColumn("t", safe_div("diff", "se"))
     return m.withColumn("p_value", ds.t_two_sided(F.col("t"), F.col("df")))
 
 
 def one_sample_t(df: DataFrame, col: str | Column, mu: float = 0.0) -> DataFrame:
-    m = moments(df, [], col).withColumn("t", (F.col("mean") - mu) / F.sqrt(F.col("var") / F.col("n"))).withColumn("df", F.col("n") - 1)
+    m = moments(df, [], col).withColumn("t", safe_div(F.col("mean") - mu, F.sqrt(safe_div("var", "n")))).withColumn("df", F.col("n") - 1)
     return m.withColumn("p_value", ds.t_two_sided(F.col("t"), F.col("df")))
 
 
@@ -211,8 +215,8 @@ def mann_whitney(df: DataFrame, is_b: Column, col: str) -> DataFrame:
     )
     nb, na, tot = F.col("nb"), F.col("tot") - F.col("nb"), F.col("tot")
     u = F.col("rb") - nb * (nb + 1) / 2
-    sd = F.sqrt(na * nb / 12 * ((tot + 1) - F.col("ties") / (tot * (tot - 1))))
-    out = s.select(u.alias("u"), ((u - na * nb / 2) / sd).alias("z"), na.cast("long").alias("n_a"), nb.cast("long").alias("n_b"))
+    sd = F.sqrt(na * nb / 12 * ((tot + 1) - safe_div("ties", tot * (tot - 1))))
+    out = s.select(u.alias("u"), safe_div(u - na * nb / 2, sd).alias("z"), na.cast("long").alias("n_a"), nb.cast("long").alias("n_b"))
     return out.withColumn("p_value", ds.two_sided_normal(F.col("z")))
 
 
@@ -226,7 +230,7 @@ def kruskal(df: DataFrame, group: str, col: str) -> DataFrame:
     t = ranks.agg(F.struct(F.sum(n * n * n - n).alias("ties"), F.max("n_total").cast("double").alias("N"))).scalar()
     h = g.agg(F.sum(F.col("r") * F.col("r") / F.col("ng")).alias("s"), F.count(F.lit(1)).alias("k"))
     tot = t["N"]
-    stat = (12 / (tot * (tot + 1)) * F.col("s") - 3 * (tot + 1)) / (1 - t["ties"] / (tot * tot * tot - tot))
+    stat = safe_div(12 / (tot * (tot + 1)) * F.col("s") - 3 * (tot + 1), 1 - safe_div(t["ties"], tot * tot * tot - tot))
     out = h.select(stat.alias("h"), (F.col("k") - 1).alias("df"))
     return out.withColumn("p_value", ds.chi2_tail(F.col("h"), F.col("df")))
 
@@ -242,7 +246,7 @@ def wilcoxon(df: DataFrame, before: str, after: str) -> DataFrame:
     s = r.agg(F.sum(rank * F.col("np")).alias("w"), F.sum(n * n * n - n).alias("ties"), F.max("n_all").cast("double").alias("n"))
     m = F.col("n")
     sd = F.sqrt(m * (m + 1) * (2 * m + 1) / 24 - F.col("ties") / 48)
-    out = s.select("w", ((F.col("w") - m * (m + 1) / 4) / sd).alias("z"), m.cast("long").alias("n"))
+    out = s.select("w", safe_div(F.col("w") - m * (m + 1) / 4, sd).alias("z"), m.cast("long").alias("n"))
     return out.withColumn("p_value", ds.two_sided_normal(F.col("z")))
 
 
@@ -251,9 +255,9 @@ def two_proportion_z(df: DataFrame, is_b: Column, flag: Column) -> DataFrame:
         F.count(F.when(~is_b, 1)).alias("n_a"), F.count(F.when(~is_b & flag, 1)).alias("x_a"),
         F.count(F.when(is_b, 1)).alias("n_b"), F.count(F.when(is_b & flag, 1)).alias("x_b"),
     )
-    pa, pb = F.col("x_a") / F.col("n_a"), F.col("x_b") / F.col("n_b")
-    pool = (F.col("x_a") + F.col("x_b")) / (F.col("n_a") + F.col("n_b"))
-    z = (pb - pa) / F.sqrt(pool * (1 - pool) * (1 / F.col("n_a") + 1 / F.col("n_b")))
+    pa, pb = safe_div("x_a", "n_a"), safe_div("x_b", "n_b")
+    pool = safe_div(F.col("x_a") + F.col("x_b"), F.col("n_a") + F.col("n_b"))
+    z = safe_div(pb - pa, F.sqrt(pool * (1 - pool) * (safe_div(F.lit(1), "n_a") + safe_div(F.lit(1), "n_b"))))
     out = m.withColumns({"p_a": pa, "p_b": pb, "z": z})
     return out.withColumn("p_value", ds.two_sided_normal(F.col("z")))
 
@@ -267,7 +271,7 @@ def _anova_sums(g: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.sum("n").alias("N"), F.count(F.lit(1)).alias("k"), F.sum(F.col("n") * F.col("mean")).alias("s"),
         F.sum(F.coalesce(F.col("var"), F.lit(0.0)) * (F.col("n") - 1)).alias("ssw"),
     )
-    w = w.withColumn("grand", F.col("s") / F.col("N"))
+    w = w.withColumn("grand", safe_div("s", "N"))
     side = w.select(*by, "grand")
     j = g.join(side, list(by)) if by else g.withColumn("grand", side.scalar())
     dev = F.col("mean") - F.col("grand")
@@ -275,7 +279,7 @@ def _anova_sums(g: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     out = w.join(ssb, list(by)) if by else w.withColumn("ssb", ssb.scalar())
     dfb, dfw = F.col("k") - 1, F.col("N") - F.col("k")
     return out.select(
-        *by, (F.col("ssb") / dfb / (F.col("ssw") / dfw)).alias("f"), dfb.alias("df_between"), dfw.alias("df_within"),
+        *by, safe_div(safe_div("ssb", dfb), safe_div("ssw", dfw)).alias("f"), dfb.alias("df_between"), dfw.alias("df_within"),
         safe_div("ssb", F.col("ssb") + F.col("ssw")).alias("eta_squared"),
     )
 
@@ -298,10 +302,10 @@ def pairwise(df: DataFrame, group: str, col: str, method: str = "bh") -> DataFra
     a = m.withColumnsRenamed({group: "group_a", "n": "na", "mean": "ma", "var": "va"}).withColumn("_j", F.lit(1))
     b = m.withColumnsRenamed({group: "group_b", "n": "nb", "mean": "mb", "var": "vb"}).withColumn("_k", F.lit(1))
     j = a.join(b, (F.col("_j") == F.col("_k")) & (F.col("group_a") < F.col("group_b")))
-    sa, sb = F.col("va") / F.col("na"), F.col("vb") / F.col("nb")
+    sa, sb = safe_div("va", "na"), safe_div("vb", "nb")
     j = j.select(
-        "group_a", "group_b", (F.col("mb") - F.col("ma")).alias("diff"), ((F.col("mb") - F.col("ma")) / F.sqrt(sa + sb)).alias("t"),
-        ((sa + sb) * (sa + sb) / (sa * sa / (F.col("na") - 1) + sb * sb / (F.col("nb") - 1))).alias("df"),
+        "group_a", "group_b", (F.col("mb") - F.col("ma")).alias("diff"), safe_div(F.col("mb") - F.col("ma"), F.sqrt(sa + sb)).alias("t"),
+        _welch_df(sa, sb, F.col("na"), F.col("nb")).alias("df"),
     )
     return adjust_p(j.withColumn("p_value", ds.t_two_sided(F.col("t"), F.col("df"))), "p_value", method)
 
@@ -322,8 +326,8 @@ def chi2(df: DataFrame, a: str, b: str) -> DataFrame:
     small = F.least(F.col("_r.k"), F.col("_c.k")) - 1
     out = s.select(
         stat.alias("statistic"), ((F.col("_r.k") - 1) * (F.col("_c.k") - 1)).alias("df"),
-        (F.col("_r.lo") * F.col("_c.lo") / F.col("n")).alias("min_expected"),
-        F.sqrt(stat / (F.col("n") * small)).alias("cramers_v"),
+        safe_div(F.col("_r.lo") * F.col("_c.lo"), "n").alias("min_expected"),
+        F.sqrt(safe_div(stat, F.col("n") * small)).alias("cramers_v"),
     )
     out = out.withColumn("p_value", ds.chi2_tail(F.col("statistic"), F.col("df")))
     return out.withColumn("low_expected", F.col("min_expected") < 5)
@@ -387,7 +391,7 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     j = joint.join(rx, F.col("_x") == F.col("vx")).join(ry, F.col("_y") == F.col("vy"))
     mid = (joint.agg(F.sum("c").cast("double")).scalar() + 1) / 2  # mean of all ranks
     a, b, c = F.col("rx") - mid, F.col("ry") - mid, F.col("c")
-    return j.agg((F.sum(c * a * b) / F.sqrt(F.sum(c * a * a) * F.sum(c * b * b))).alias("r"))
+    return j.agg(safe_div(F.sum(c * a * b), F.sqrt(F.sum(c * a * a) * F.sum(c * b * b))).alias("r"))
 
 
 # --- regression ---------------------------------------------------------------------------
@@ -463,7 +467,7 @@ def ols(
         (names[i], float(coef[i]), float(np.sqrt(cov[i, i])), vif[i], int(n), float(1 - rss / yy), int(n - k)) for i in range(k)
     ]
     out = spark.createDataFrame(rows, "term string, estimate double, std_error double, vif double, n long, r_squared double, df long")
-    out = out.withColumn("t", F.col("estimate") / F.col("std_error"))
+    out = out.withColumn("t", safe_div("estimate", "std_error"))
     return out.withColumn("p_value", ds.t_two_sided(F.col("t"), F.col("df")))
 
 
@@ -489,9 +493,10 @@ def glm(df: DataFrame, y: str, xs: Sequence[str], family: str = "binomial") -> D
 def effect_size(df: DataFrame, is_b: Column, col: str) -> DataFrame:
     """Absolute and relative difference, Cohen's d."""
     m = two_arm(df, is_b, col)
-    pooled = F.sqrt(((F.col("n_a") - 1) * F.col("var_a") + (F.col("n_b") - 1) * F.col("var_b")) / (F.col("n_a") + F.col("n_b") - 2))
+    squares = (F.col("n_a") - 1) * F.col("var_a") + (F.col("n_b") - 1) * F.col("var_b")
+    pooled = F.sqrt(safe_div(squares, F.col("n_a") + F.col("n_b") - 2))
     diff = F.col("mean_b") - F.col("mean_a")
-    return m.select(diff.alias("absolute"), safe_div(diff, "mean_a").alias("relative"), (diff / pooled).alias("cohens_d"))
+    return m.select(diff.alias("absolute"), safe_div(diff, "mean_a").alias("relative"), safe_div(diff, pooled).alias("cohens_d"))
 
 
 def ab_test(df: DataFrame, is_b: Column, col: str, mde: float, alpha: float = 0.05) -> DataFrame:
@@ -514,7 +519,7 @@ def required_n(df: DataFrame, by: Sequence[str], col: str, mde: float) -> DataFr
     m = moments(df, by, col)
     need = F.ceil(16 * F.col("var") / (mde * mde))
     return m.select(
-        *by, "n", need.alias("required_n"), F.sqrt(32 * F.col("var") / F.col("n")).alias("detectable_effect"),
+        *by, "n", need.alias("required_n"), F.sqrt(safe_div(32 * F.col("var"), "n")).alias("detectable_effect"),
         (F.col("n") >= 2 * need).alias("is_powered"),
     )
 
@@ -528,7 +533,7 @@ def simpson(df: DataFrame, treated: Column, y: Column | str, strata: Sequence[st
     )
     whole = df.agg((F.avg(F.when(treated, v)) - F.avg(F.when(~treated, v)))).scalar()
     s = g.filter("effect IS NOT NULL").agg(
-        (F.sum(F.col("effect") * F.col("n")) / F.sum("n")).alias("adjusted_effect"),
+        safe_div(F.sum(F.col("effect") * F.col("n")), F.sum("n")).alias("adjusted_effect"),
         F.count(F.lit(1)).alias("n_strata"),
         F.count(F.when(F.col("effect") > 0, 1)).alias("n_positive"),
         F.count(F.when(F.col("effect") < 0, 1)).alias("n_negative"),
@@ -571,7 +576,7 @@ def did(df: DataFrame, treated: Column, post: Column, y: str) -> DataFrame:
     for t, ct in ((1, treated), (0, ~treated)):
         for p, cp in ((1, post), (0, ~post)):
             x = F.when(ct & cp, v)
-            aggs += [F.avg(x).alias(f"m{t}{p}"), (F.var_samp(x) / F.count(x)).alias(f"v{t}{p}")]
+            aggs += [F.avg(x).alias(f"m{t}{p}"), safe_div(F.var_samp(x), F.count(x)).alias(f"v{t}{p}")]
     m = df.agg(*aggs)
     est = F.col("m11") - F.col("m10") - (F.col("m01") - F.col("m00"))
     se = F.sqrt(F.col("v11") + F.col("v10") + F.col("v01") + F.col("v00"))
@@ -611,7 +616,7 @@ def leave_one_out(df: DataFrame, group: str, col: str) -> DataFrame:
     """Mean without each group (totals minus group) and its shift from the full mean."""
     g = df.groupBy(group).agg(F.sum(F.col(col).cast("double")).alias("s"), F.count(col).alias("n"))
     t = g.agg(F.struct(F.sum("s").alias("s"), F.sum("n").alias("n"))).scalar()
-    full = t["s"] / t["n"]
+    full = safe_div(t["s"], t["n"])
     rest = safe_div(t["s"] - F.col("s"), t["n"] - F.col("n"))
     return g.select(group, rest.alias("mean_without"), (rest - full).alias("shift"))
 
@@ -647,12 +652,12 @@ def autocorr(df: DataFrame, key: Sequence[str], date: str, val: str, k: int = 1)
     w = W.partitionBy(*key).orderBy(date)
     x = d.withColumns({"_l": F.lag(val, k).over(w), "_e1": F.lag("_e", 1).over(w)})
     step = F.col("_e") - F.col("_e1")
-    return x.groupBy(*key).agg(F.corr(val, "_l").alias("autocorrelation"), (F.sum(step * step) / F.sum(F.col("_e") * F.col("_e"))).alias("durbin_watson"))
+    return x.groupBy(*key).agg(F.corr(val, "_l").alias("autocorrelation"), safe_div(F.sum(step * step), F.sum(F.col("_e") * F.col("_e"))).alias("durbin_watson"))
 
 
 def e_value(rr: Column) -> Column:
     """Confounding strength that could explain a risk ratio away."""
-    r = F.when(rr < 1, 1 / rr).otherwise(rr)
+    r = F.when(rr < 1, safe_div(F.lit(1), rr)).otherwise(rr)
     return r + F.sqrt(r * (r - 1))
 
 
