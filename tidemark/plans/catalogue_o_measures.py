@@ -226,11 +226,13 @@ def _(t):
 @query(
     "o14_kpi_strip",
     f"""WITH {MONTHLY}, w AS (SELECT * FROM s WHERE month <= DATE '2001-07-01' AND month > DATE '2000-06-01'),
-        g AS (SELECT seg, list(v::DOUBLE ORDER BY month) AS series FROM w GROUP BY 1) SELECT seg, series[-1] AS value, round(series[-1] - series[-2], 2) AS delta, series FROM g""",
+        g AS (SELECT seg, list(v::DOUBLE ORDER BY month) AS s, string_agg(CAST(v AS VARCHAR), ',' ORDER BY month) AS series FROM w GROUP BY 1) SELECT seg, s[-1] AS value, round(s[-1] - s[-2], 2) AS delta, series FROM g""",
 )
 def _(t):
     df = monthly(t).withColumn("v", F.col("v").cast("double"))
-    return ms.kpi_strip(df, ["seg"], "month", "v", "2001-07-01", 13).withColumn("delta", F.round("delta", 2))
+    out = ms.kpi_strip(df, ["seg"], "month", "v", "2001-07-01", 13)
+    series = F.array_join(F.transform("series", lambda x: x.cast("decimal(18,2)").cast("string")), ",")
+    return out.withColumns({"delta": F.round("delta", 2), "series": series})
 
 
 @query(

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tidemark.plans.days import DAYS
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -36,17 +38,23 @@ def query(name: str, sql: str | None = None):
     """Register ``fn(tables)`` under ``name``; ``sql`` is its independent check."""
 
     def wrap(fn):
+        days = DAYS.get(name, ())
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
 
         def run(spark: SparkSession, folder: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
-            return fn(Tables(spark, folder))
+            df = fn(Tables(spark, folder))
+            return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in days}) if days else df
 
         run.__name__ = name
         QUERIES[name] = run
         if sql is not None:
-            CHECK_SQL[name] = sql
+            if days:
+                stamps = ", ".join(f'CAST("{c}" AS TIMESTAMP) AS "{c}"' for c in days)
+                CHECK_SQL[name] = f"SELECT * REPLACE ({stamps}) FROM (\n{sql}\n) AS r"
+            else:
+                CHECK_SQL[name] = sql
         return fn
 
     return wrap
