@@ -102,7 +102,10 @@ def ratio(df: DataFrame, num: str | Column, den: str | Column, by: Sequence[str]
 
 
 def concat_agg(df: DataFrame, by: Sequence[str], col: str, sep: str = ",") -> DataFrame:
-    """Sorted distinct values as one text; de-duplicated before any list is built."""
+    """Sorted distinct values as one text; de-duplicated before any list is built.
+
+    The result is one text per group, so it suits columns with few distinct values.
+    """
     return (
         df.select(*by, col)
         .distinct()

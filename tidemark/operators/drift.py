@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark.functions.columns import safe_div
 from tidemark.functions.distributions import kolmogorov_sf
-from tidemark.operators.ordered import column_lookup, exact_quantiles, neighbour, running_sums, unpivot_numeric, value_counts_table
+from tidemark.operators.ordered import beside, column_lookup, exact_quantiles, neighbour, running_sums, unpivot_numeric, value_counts_table
 from tidemark.operators.windows import day_number
 from tidemark.session import settle
 
@@ -177,9 +177,9 @@ def anomalies(df: DataFrame, key: Sequence[str], date: str, val: str, method: st
         out = df.withColumns({"centre": F.avg(v).over(w), "spread": F.stddev_samp(v).over(w)})
     elif method == "mad":
         mid = settle(exact_quantiles(df, val, {"centre": 0.5}, by=key), "centres")
-        dev = df.join(mid, list(key)).withColumn("_dev", F.abs(v - F.col("centre")))
+        dev = beside(df, mid, key).withColumn("_dev", F.abs(v - F.col("centre")))
         mad = exact_quantiles(dev, "_dev", {"_mad": 0.5}, by=key)
-        out = dev.drop("_dev").join(mad, list(key)).withColumn("spread", MAD_SCALE * F.col("_mad")).drop("_mad")
+        out = beside(dev.drop("_dev"), mad, key).withColumn("spread", MAD_SCALE * F.col("_mad")).drop("_mad")
     else:
         raise ValueError(f"unknown method {method!r}")
     return out.withColumn("is_anomaly", F.coalesce(F.abs(v - F.col("centre")) > k * F.col("spread"), F.lit(False)))

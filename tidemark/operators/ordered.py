@@ -183,6 +183,19 @@ def column_lookup(stats: DataFrame, fields: Sequence[str], key: str = "column")
     return stats.agg(F.map_from_entries(F.collect_list(entry))).scalar()
 
 
+def beside(rows: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Group figures next to each row: NULL-safe join on the keys, or scalars when there are none."""
+    fields = [c for c in stats.columns if c not in by]
+    if not by:
+        one = stats.select(F.struct(*fields)).scalar()
+        return rows.withColumn("_b", one).select(*rows.columns, *[F.col(f"_b.{c}").alias(c) for c in fields])
+    side = stats.withColumnsRenamed({k: f"_b_{k}" for k in by})
+    cond = F.lit(True)
+    for k in by:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_b_{k}"))
+    return rows.join(side, cond, "left").drop(*[f"_b_{k}" for k in by])
+
+
 def value_counts_table(
     df: DataFrame, value: str, groups: Mapping[str, Column] | None = None, by: Sequence[str] = ()
 ) -> DataFrame:

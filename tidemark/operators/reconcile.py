@@ -11,6 +11,8 @@ from tidemark.functions.columns import hash_diff, money, safe_div
 
 def _nullsafe_full(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Full join on NULL-safe keys; the key columns are coalesced."""
+    if not keys:
+        raise ValueError("need at least one key; use reconcile_total for whole tables")
     right = b.withColumnsRenamed({k: f"_r_{k}" for k in keys})
     cond = F.lit(True)
     for k in keys:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions.columns import col_of, micros, safe_div
-from tidemark.operators.ordered import average_ranks, exact_quantiles, neighbour, running_sums
+from tidemark.operators.ordered import average_ranks, beside, exact_quantiles, neighbour, running_sums
 
 
 def boxplot_stats(df: DataFrame, by: Sequence[str], col: str, k: float = 1.5) -> DataFrame:
@@ -18,7 +18,7 @@ def boxplot_stats(df: DataFrame, by: Sequence[str], col: str, k: float = 1.5) ->
     q = q.withColumns({"lower": F.col("q1") - k * iqr, "upper": F.col("q3") + k * iqr})
     v, n = F.col("_v"), F.col("_n")
     inside = v.between(F.col("lower"), F.col("upper"))
-    return counts.join(q, list(by)).groupBy(*by, "q1", "median", "q3").agg(
+    return beside(counts, q, by).groupBy(*by, "q1", "median", "q3").agg(
         F.min(F.when(inside, v)).alias("whisker_lo"), F.max(F.when(inside, v)).alias("whisker_hi"),
         F.coalesce(F.sum(F.when(~inside, n)), F.lit(0)).alias("n_outliers"),
     )

@@ -298,10 +298,15 @@ def variance_explained(df: DataFrame, y: str, factors: Sequence[str]) -> DataFra
 
 def pairwise(df: DataFrame, group: str, col: str, method: str = "bh") -> DataFrame:
     """Welch tests for every pair of groups (group rows only), corrected p."""
-    m = moments(df, [group], col)
-    a = m.withColumnsRenamed({group: "group_a", "n": "na", "mean": "ma", "var": "va"}).withColumn("_j", F.lit(1))
-    b = m.withColumnsRenamed({group: "group_b", "n": "nb", "mean": "mb", "var": "vb"}).withColumn("_k", F.lit(1))
-    j = a.join(b, (F.col("_j") == F.col("_k")) & (F.col("group_a") < F.col("group_b")))
+    # number the groups, let each unfold the numbers after its own, match by number
+    m = moments(df.filter(F.col(group).isNotNull()), [group], col).withColumn("_one", F.lit(1).cast("long"))
+    m = settle(running_sums(m, [group], {"_i": "_one"}, totals={"_g": "_one"}), "groups")
+    a = m.filter(F.col("_i") < F.col("_g")).select(
+        F.col(group).alias("group_a"), F.col("n").alias("na"), F.col("mean").alias("ma"), F.col("var").alias("va"),
+        F.explode(F.sequence(F.col("_i") + 1, F.col("_g"))).alias("_j"),
+    )
+    b = m.select(F.col("_i").alias("_j"), F.col(group).alias("group_b"), F.col("n").alias("nb"), F.col("mean").alias("mb"), F.col("var").alias("vb"))
+    j = a.join(b, "_j")
     sa, sb = safe_div("va", "na"), safe_div("vb", "nb")
     j = j.select(
         "group_a", "group_b", (F.col("mb") - F.col("ma")).alias("diff"), safe_div(F.col("mb") - F.col("ma"), F.sqrt(sa + sb)).alias("t"),

@@ -120,12 +120,9 @@ def group_transform(df: DataFrame, by: Sequence[str], col: str | Column, fn: str
     combines on the map side and the join splits hot keys.
     """
     agg = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count": F.count}[fn]
-    groups = df.groupBy(*by).agg(agg(col_of(col)).alias(out))
-    right = groups.withColumnsRenamed({k: f"_r_{k}" for k in by})
-    cond = F.lit(True)
-    for k in by:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-    return df.join(right, cond, "left").drop(*[f"_r_{k}" for k in by])
+    from tidemark.operators.ordered import beside
+
+    return beside(df, df.groupBy(*by).agg(agg(col_of(col)).alias(out)), by)
 
 
 def rolling_ratio(df: DataFrame, by: Sequence[str], date: str, num: str, den: str, n: int, out: str) -> DataFrame:
