@@ -115,6 +115,11 @@ def test_fisher_and_intervals(spark):
 
 
 def test_matching_recovers_effect(spark):
+    from pyspark.sql import Observation
+
+    seen = Observation("metrics before a model fit must not break scoring")
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == 3
     rng = np.random.default_rng(5)
     n = 3000
     x = rng.normal(0, 1, n)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tidemark.functions.columns import col_of, money, safe_div
 from tidemark.operators.ordered import exact_quantiles, running_sums, unpivot_numeric, value_counts_table
 from tidemark.operators.windows import day_number
+from tidemark.session import new_path
 
 # Feature and label windows in days around an as-of date.
 FEATURE_DAYS, RECENT_DAYS = 180, 30
@@ -274,6 +275,17 @@ def fairness(df: DataFrame, attr: str, y: str, yhat: Column) -> DataFrame:
 # --- models -------------------------------------------------------------------------------
 
 
+def stored(model: PipelineModel, df: DataFrame) -> PipelineModel:
+    """Save a fitted model in the shared folder and load it back.
+
+    A freshly fitted model drags its training summary, and with it the session, into
+    every scoring task, which fails to serialise once the session has observed metrics.
+    """
+    path = new_path(df.sparkSession, "model")
+    model.save(path)
+    return PipelineModel.load(path)
+
+
 def fit_classifier(train: DataFrame, y: str, xs: Sequence[str], kind: str = "linear", seed: int = 42) -> PipelineModel:
     """Scaled logistic regression or boosted trees."""
     parts = [VectorAssembler(inputCols=list(xs), outputCol="_raw", handleInvalid="skip")]
@@ -283,7 +295,7 @@ def fit_classifier(train: DataFrame, y: str, xs: Sequence[str], kind: str = "lin
         parts.append(GBTClassifier(featuresCol="_raw", labelCol="_label", maxIter=20, maxDepth=4, seed=seed))
     else:
         raise ValueError(f"unknown model {kind!r}")
-    return Pipeline(stages=parts).fit(train.withColumn("_label", F.col(y).cast("double")))
+    return stored(Pipeline(stages=parts).fit(train.withColumn("_label", F.col(y).cast("double"))), train)
 
 
 def score(model: PipelineModel, df: DataFrame, out: str = "p") -> DataFrame:
@@ -336,7 +348,7 @@ def cluster_outcomes(df: DataFrame, xs: Sequence[str], k: int, y: str | Column,
         ]
     ).fit(df)
     v = col_of(y).cast("double")
-    return prep.transform(df).groupBy("cluster").agg(
+    return stored(prep, df).transform(df).groupBy("cluster").agg(
         F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean_outcome"), *[F.avg(x).alias(f"mean_{x}") for x in xs]
     )
 

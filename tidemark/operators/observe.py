@@ -6,7 +6,7 @@ import datetime as dt
 from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.functions.columns import micros, safe_div
 from tidemark.operators.loads import append_ledger
@@ -19,12 +19,12 @@ RUN_SCHEMA = "model string, started_at timestamp_ntz, ended_at timestamp_ntz, st
 def record_run(
     spark: SparkSession, ledger: str, model: str, build: Callable[[], DataFrame], path: str, clock: Callable[[], dt.datetime]
 ) -> DataFrame:
-    """Build and write a table; append one ledger row with status and row count from the same pass."""
+    """Build and write a table; append one ledger row with status and row count (from the file footers)."""
     started = clock()
     try:
-        seen = Observation(f"run_{model}")
-        build().observe(seen, F.count(F.lit(1)).alias("n")).write.mode("errorifexists").parquet(path)
-        append_ledger(spark, ledger, [(model, started, clock(), "success", seen.get["n"], None)], RUN_SCHEMA)
+        build().write.mode("errorifexists").parquet(path)
+        n = spark.read.parquet(path).count()
+        append_ledger(spark, ledger, [(model, started, clock(), "success", n, None)], RUN_SCHEMA)
     except Exception as err:
         append_ledger(spark, ledger, [(model, started, clock(), "failed", None, str(err)[:500])], RUN_SCHEMA)
         raise

@@ -12,7 +12,6 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -561,7 +560,11 @@ def psm_att(df: DataFrame, key: str, treated: str, y: str, xs: Sequence[str]) ->
         df.withColumn("_t", F.col(treated).cast("double"))
     )
     fit = LogisticRegression(featuresCol="_f", labelCol="_t", maxIter=50).fit(data)
-    scored = fit.transform(data).select(key, F.col("_t"), F.col(y).cast("double").alias("_y"), vector_to_array("probability")[1].alias("s"))
+    # score from the coefficients, in plain columns
+    line = F.lit(float(fit.intercept))
+    for b, x in zip(fit.coefficients.toArray(), xs, strict=True):
+        line = line + F.lit(float(b)) * F.col(x).cast("double")
+    scored = data.select(key, F.col("_t"), F.col(y).cast("double").alias("_y"), (1 / (1 + F.exp(-line))).alias("s"))
     scored = settle(scored, "propensity").withColumns({"_c": F.when(F.col("_t") == 0, F.struct("s", "_y")), "_neg": -F.col("s")})
     below = carry_forward(scored, [], ["s", key], {"_lo": "_c"})
     both = carry_forward(below, [], ["_neg", key], {"_hi": "_c"}).filter("_t = 1")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.functions.columns import micros
 from tidemark.operators.rules import RowRule, failed_rules
@@ -197,21 +197,18 @@ def validate_stream(df: DataFrame, rules: Sequence[RowRule], base: str) -> tuple
     return good, bad
 
 
-LEDGER = "batch_id long, n_rows long, min_ts timestamp, max_ts timestamp"
-
-
 def monitor_stream(df: DataFrame, ts: str, base: str) -> str:
-    """Write the rows and, from the same pass, one volume and freshness record per batch."""
+    """Write the rows and one volume and freshness record per batch, read off the written files."""
     data, ledger = f"{base}/data", f"{base}/ledger"
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        seen = Observation(f"batch_{batch_id}")
+        _write_batch(batch, data, batch_id)
         stamp = F.col(ts).cast("timestamp")
-        watched = batch.observe(seen, F.count(F.lit(1)).alias("n"), F.min(stamp).alias("lo"), F.max(stamp).alias("hi"))
-        _write_batch(watched, data, batch_id)
-        m = seen.get
-        row = batch.sparkSession.createDataFrame([(batch_id, m["n"], m["lo"], m["hi"])], LEDGER)
-        row.coalesce(1).write.mode("overwrite").parquet(f"{ledger}/batch={batch_id}")
+        row = batch.sparkSession.read.parquet(f"{data}/batch={batch_id}").agg(
+            F.lit(batch_id).cast("long").alias("batch_id"), F.count(F.lit(1)).alias("n_rows"),
+            F.min(stamp).alias("min_ts"), F.max(stamp).alias("max_ts"),
+        )
+        _write_batch(row, ledger, batch_id)
 
     run_batches(df, handle, f"{base}/checkpoint")
     return ledger
