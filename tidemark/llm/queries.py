@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import quality
+from tidemark.llm import packing, quality, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECK_SQL: dict[str, str] = {}
@@ -29,3 +30,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 @query("op1_quality_rules")
 def _(spark, folder):
     return quality.judge(table(spark, folder, "documents"))
+
+
+@query("op5_bestfit_packing")
+def _(spark, folder):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack_documents(table(spark, folder, "documents"), path)
+
+
+@query("op6_token_counts")
+def _(spark, folder):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return token_counts.count_tokens(table(spark, folder, "documents"), path)

@@ -120,11 +120,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each run, by its content alone (a polynomial read off running sums)."""
+    """Hash of each run by its content alone: a polynomial read off running sums, odd and so never 0."""
     up, down = _power(max(len(data), 1))
     total = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64)) | np.uint64(1)
 
 
 def window_hashes(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -165,3 +165,53 @@ def shingles(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndar
     merged = np.insert(found, at[short], whole)
     per_text[short] = 1
     return merged, np.concatenate(([0], np.cumsum(per_text)))
+
+
+class WordTable:
+    """A bounded map from 64-bit hashes to numbers, read and filled a whole array at a time."""
+
+    def __init__(self, bits: int = 21):
+        self.size, self.mask = 1 << bits, np.uint64((1 << bits) - 1)
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.values = np.zeros(self.size, np.uint64), np.zeros(self.size, np.int64)
+        self.n = 0
+
+    def room(self, more: int) -> bool:
+        return 2 * (self.n + more) <= self.size
+
+    def _slots(self, hashes: np.ndarray) -> np.ndarray:
+        return ((hashes >> np.uint64(1)) & self.mask).astype(np.int64)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each hash, or -1."""
+        out = np.full(len(hashes), -1, dtype=np.int64)
+        rows, slots, wanted = np.arange(len(hashes)), self._slots(hashes), hashes
+        while len(rows):
+            held = self.keys[slots]
+            same = held == wanted
+            out[rows[same]] = self.values[slots[same]]
+            on = np.flatnonzero(~same & (held != 0))
+            rows, wanted, slots = rows[on], wanted[on], (slots[on] + 1) & int(self.mask)
+        return out
+
+    def add(self, hashes: np.ndarray, values: np.ndarray) -> None:
+        """Distinct hashes that are not in the table yet."""
+        self.n += len(hashes)
+        slots = self._slots(hashes)
+        while len(hashes):
+            order = np.flatnonzero(self.keys[slots] == 0)
+            spot, first = np.unique(slots[order], return_index=True)
+            won = order[first]
+            self.keys[spot], self.values[spot] = hashes[won], values[won]
+            left = np.ones(len(hashes), dtype=bool)
+            left[won] = False
+            hashes, values, slots = hashes[left], values[left], (slots[left] + 1) & int(self.mask)
+
+
+def gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The items of all runs, one run after another, and the offsets of the runs."""
+    lengths = ends - starts
+    offsets = np.concatenate(([0], np.cumsum(lengths)))
+    return data[np.repeat(starts - offsets[:-1], lengths) + np.arange(offsets[-1])], offsets
