@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import packing, quality, token_counts
+from tidemark.llm import checks, decontaminate, packing, quality, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECK_SQL: dict[str, str] = {}
@@ -42,3 +42,8 @@ def _(spark, folder):
 def _(spark, folder):
     path = public_tokenizers.path("byte_bpe_50k.json")
     return token_counts.count_tokens(table(spark, folder, "documents"), path)
+
+
+@query("op7_benchmark_decontamination", checks.DECONTAMINATION)
+def _(spark, folder):
+    return decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
