@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import checks, decontaminate, packing, quality, token_counts
+from tidemark.llm import checks, decontaminate, neardup, packing, quality, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECK_SQL: dict[str, str] = {}
@@ -32,6 +32,11 @@ def _(spark, folder):
     return quality.judge(table(spark, folder, "documents"))
 
 
+@query("op2_minhash_neardup")
+def _(spark, folder):
+    return neardup.near_duplicates(table(spark, folder, "documents"))
+
+
 @query("op5_bestfit_packing")
 def _(spark, folder):
     path = public_tokenizers.path("word_bpe_49k.json")

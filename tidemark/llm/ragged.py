@@ -159,7 +159,7 @@ def shingles(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndar
         part = hashes[first[row] : first[row + 1]]
         value = np.uint64(len(part))
         for h in part:
-            value = mix(np.array([value + h], dtype=np.uint64))[0]
+            value = mix(np.array([value], dtype=np.uint64) + h)[0]
         whole[i] = value
     per_text = np.diff(at)
     merged = np.insert(found, at[short], whole)
