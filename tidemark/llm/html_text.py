@@ -38,9 +38,7 @@ DROPPED = frozenset(
     "option input textarea label fieldset dialog menu title xmp noembed noframes".split()
 )
 #: Words of a class, id or role that mark what is not the article, and those that mark what is.
-UNNEGATING = frozenset("with has no without non".split())
-TITLE_WORDS = frozenset("header head".split())
-LIKELY = frozenset(
+UNLIKELY = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner banners breadcrumb breadcrumbs comment comments commentlist "
     "discussion discuss disqus cookie cookies consent gdpr notice notices alert disclaimer foot footer footnav copyright legal head header masthead topbar "
     "menu menus nav navbar navigation navigational sidebar sidebars side aside rail widget widgets related recommended recommendations "
