@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import checks, decontaminate, html_text, neardup, packing, quality, token_counts
+from tidemark.llm import checks, decontaminate, html_text, neardup, packing, pii, quality, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECK_SQL: dict[str, str] = {}
@@ -57,3 +57,8 @@ def _(spark, folder):
 @query("op8_html_extraction")
 def _(spark, folder):
     return html_text.extract_pages(table(spark, folder, "pages"))
+
+
+@query("op9_pii_sanitisation")
+def _(spark, folder):
+    return pii.report(table(spark, folder, "documents"))
