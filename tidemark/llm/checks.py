@@ -19,3 +19,21 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words_hit USING (doc_id) LEFT JOIN item_list USING (doc_id)
 """
+
+SHARDS, SLOTS = 64, 6553
+
+SHARDING = f"""
+WITH RECURSIVE shard AS (SELECT list(('0x' || substr(md5('shard-' || lpad(CAST(i AS VARCHAR), 2, '0') || '/offset'), 1, 15))::BIGINT % {SLOTS} ORDER BY i) AS wish,
+       list(1 + ('0x' || substr(md5('shard-' || lpad(CAST(i AS VARCHAR), 2, '0') || '/stride'), 1, 15))::BIGINT % ({SLOTS} - 1) ORDER BY i) AS stride
+  FROM range({SHARDS}) AS r(i)),
+turn AS (
+  SELECT 0 AS t, CAST(NULL AS BIGINT) AS slot, list_transform(range({SLOTS}), lambda i: true) AS free
+  UNION ALL
+  SELECT t + 1, pick, list_transform(free, lambda f, i: f AND i <> pick + 1) FROM (
+    SELECT t, free, list_filter(list_transform(range({SLOTS}), lambda j: (wish[t % {SHARDS} + 1] + j * stride[t % {SHARDS} + 1]) % {SLOTS}),
+                                lambda s: free[s + 1])[1] AS pick
+    FROM turn, shard WHERE t < {SLOTS}) AS x),
+owner AS (SELECT slot, 'shard-' || lpad(CAST((t - 1) % {SHARDS} AS VARCHAR), 2, '0') AS shard FROM turn WHERE t > 0),
+d AS (SELECT doc_id, ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15))::BIGINT % {SLOTS} AS slot FROM documents)
+SELECT doc_id, d.slot, shard FROM d JOIN owner USING (slot)
+"""

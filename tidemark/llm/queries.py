@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import checks, decontaminate, html_text, neardup, packing, pii, quality, token_counts
+from tidemark.llm import checks, decontaminate, html_text, neardup, packing, pii, quality, shards, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECK_SQL: dict[str, str] = {}
@@ -37,6 +37,13 @@ def _(spark, folder):
     return neardup.near_duplicates(table(spark, folder, "documents"))
 
 
+@query("op4_shard_lookup", checks.SHARDING)
+def _(spark, folder):
+    names = [f"shard-{i:02d}" for i in range(checks.SHARDS)]
+    docs = table(spark, folder, "documents").select("doc_id", "source", "lang", "n_chars")
+    return shards.place(docs, names, checks.SLOTS, fallback=["source", "lang", "n_chars"]).select("doc_id", "slot", "shard")
+
+
 @query("op5_bestfit_packing")
 def _(spark, folder):
     path = public_tokenizers.path("word_bpe_49k.json")
