@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import checks, decontaminate, html_text, neardup, packing, pii, quality, shards, token_counts
+from tidemark.llm import chat, checks, decontaminate, html_text, neardup, packing, pii, quality, secret_scan, shards, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECK_SQL: dict[str, str] = {}
@@ -37,6 +37,11 @@ def _(spark, folder):
     return neardup.near_duplicates(table(spark, folder, "documents"))
 
 
+@query("op3_chat_repair")
+def _(spark, folder):
+    return chat.repair(table(spark, folder, "conversations"))
+
+
 @query("op4_shard_lookup", checks.SHARDING)
 def _(spark, folder):
     names = [f"shard-{i:02d}" for i in range(checks.SHARDS)]
@@ -69,3 +74,8 @@ def _(spark, folder):
 @query("op9_pii_sanitisation")
 def _(spark, folder):
     return pii.report(table(spark, folder, "documents"))
+
+
+@query("op10_secret_scan")
+def _(spark, folder):
+    return secret_scan.scan(table(spark, folder, "documents"))
