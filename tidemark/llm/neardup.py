@@ -10,12 +10,14 @@ at a similarity of exactly 0.8 about one in a million shares none.
 Entries with thousands of members never become all pairs. Documents with equal sets are
 one class from the start. First every member meets the smallest member of its entry;
 links are confirmed on full shingle sets and merged into components. Then members of
-one entry that are still in different components are compared by signature, in blocks
-of bounded size, and the closest pairs of each two components are confirmed; rounds
-with growing numbers of pairs go on until nothing is left to compare. So a group of
-copies costs about one pair a member, and no pair in an entry is skipped unless its two
-documents are already in one component or differ in more places than ``MAX_DISTANCE``
-(for J = 0.8, six deviations above the mean).
+one entry that are still in different components are compared in blocks of bounded
+size, and the closest pairs of each two components are confirmed; rounds with growing
+numbers of pairs go on until none was left out. So a group of copies costs about one
+pair a member, and no pair in an entry is skipped unless its two documents are already
+in one component or cannot be similar enough: by their sizes, by a signature distance
+over ``MAX_DISTANCE`` or by the share of equal cells in a second sketch (the smallest
+shingle hash in each of BINS ranges, which for short texts keeps nearly all shingles);
+both bounds lie five and more deviations from what a similarity of 0.8 gives.
 
 Shingles are compared as 64-bit hashes. Defined cases: a document without words is
 linked with nothing; with fewer words than a shingle, its whole sequence is one. Rows
@@ -38,6 +40,8 @@ from tidemark.session import settle
 CHUNKS, WIDTH = 10, 5
 PLACES = CHUNKS * WIDTH
 MAX_DISTANCE = 27
+BINS = 256
+SLACK = 5.0
 BLOCK = 1024
 _random = np.random.default_rng(20_240_501)
 FLIPS = _random.integers(0, 1 << 63, PLACES, dtype=np.uint64)
@@ -69,14 +73,34 @@ def signatures(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def sketches(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """8 bits of the smallest hash in each of BINS ranges; 0 where a range has none."""
+    n = len(offsets) - 1
+    spread = ragged.mix(hashes ^ np.uint64(0x2545F4914F6CDD1D))
+    cell = np.repeat(np.arange(n), np.diff(offsets)) * BINS + (spread >> np.uint64(56)).astype(np.int64)
+    low = np.full(n * BINS, np.uint64(0xFFFFFFFFFFFFFFFF))
+    np.minimum.at(low, cell, spread)
+    kept = 1 + (ragged.mix(low) % np.uint64(255)).astype(np.uint8)
+    return np.where(low == np.uint64(0xFFFFFFFFFFFFFFFF), np.uint8(0), kept).reshape(n, BINS)
+
+
+def alike(left: np.ndarray, right: np.ndarray, sizes_l: np.ndarray, sizes_r: np.ndarray, percent: int) -> np.ndarray:
+    """Of paired sketches: can the sets have ``percent`` of their union in common?"""
+    fits = 100 * np.minimum(sizes_l, sizes_r) >= percent * np.maximum(sizes_l, sizes_r)
+    both = ((left == right) & (left != 0)).sum(axis=1)
+    filled = ((left != 0) | (right != 0)).sum(axis=1)
+    share = percent / 100
+    return fits & (both >= share * filled - SLACK * np.sqrt(share * (1 - share) * filled))
+
+
 FEATURES = [
     T.StructField("n_shingles", T.LongType()), T.StructField("set_a", T.LongType()), T.StructField("set_b", T.LongType()),
-    T.StructField("signature", T.BinaryType()),
+    T.StructField("signature", T.BinaryType()), T.StructField("sketch", T.BinaryType()),
 ]
 
 
 def features(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, size and 128-bit hash of the shingle set, signature."""
+    """doc_id, size and 128-bit hash of the shingle set, signature and sketch."""
     schema = T.StructType([docs.schema["doc_id"], *FEATURES])
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,6 +119,7 @@ def features(docs: DataFrame, width: int) -> DataFrame:
                     [
                         batch.column(0).slice(first, last - first), pa.array(np.bincount(owners, minlength=n)), *sums,
                         pa.array([r.tobytes() for r in rows], pa.binary()),
+                        pa.array([r.tobytes() for r in sketches(hashes, offsets)], pa.binary()),
                     ],
                     names=schema.names,
                 )
@@ -102,8 +127,9 @@ def features(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(compute, schema)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(len(column), PLACES)
+def _matrix(column: pa.Array, kind: type = np.uint16) -> np.ndarray:
+    width = PLACES if kind is np.uint16 else BINS
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(len(column), width)
 
 
 def entries(classes: DataFrame) -> DataFrame:
@@ -127,19 +153,19 @@ def entries(classes: DataFrame) -> DataFrame:
     return classes.select("id", "signature").mapInArrow(compute, schema)
 
 
-def near_signatures(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures differ in at most MAX_DISTANCE places."""
+def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches and sizes leave the similarity open."""
     kind = pairs.schema["a"].dataType
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            apart = (_matrix(batch.column(2)) != _matrix(batch.column(3))).sum(axis=1)
-            near = pa.array(apart <= MAX_DISTANCE)
+            sketch = [_matrix(batch.column(i), np.uint8) for i in (2, 3)]
+            near = pa.array(alike(*sketch, batch.column(4).to_numpy(), batch.column(5).to_numpy(), percent))
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(near) for i in (0, 1)], names=schema.names)
 
-    of = lambda name: classes.select(F.col("id").alias(name), F.col("signature").alias(f"s{name}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb").mapInArrow(compute, schema)
+    of = lambda name: classes.select(F.col("id").alias(name), F.col("sketch").alias(f"s{name}"), F.col("n_shingles").alias(f"n{name}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb", "na", "nb").mapInArrow(compute, schema)
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int, broadcast_rows: int = 500_000) -> DataFrame:
@@ -172,77 +198,86 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int, broadca
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ta", "tb").mapInArrow(compute, schema)
 
 
-def _close_pairs(ids: list, comps: np.ndarray, blocks: np.ndarray, pair: tuple[int, int], rows: np.ndarray, most: int):
-    """Of each two components that meet in a block pair, the ``most`` closest pairs; was any left out?"""
-    left, right = np.flatnonzero(blocks == pair[0]), np.flatnonzero(blocks == pair[1])
-    out, more = [], False
-    apart = np.zeros((len(left), len(right)), dtype=np.int32)
+def _apart(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Signature distance of every row of ``left`` from every row of ``right``."""
+    if left.shape[0] * right.shape[0] < 5_000:
+        return (left[:, None, :] != right[None, :, :]).sum(axis=2)
+    out = np.zeros((len(left), len(right)), dtype=np.uint8)
     for k in range(PLACES):
-        apart += rows[left, k][:, None] != rows[right, k][None, :]
+        out += left[:, k][:, None] != right[:, k][None, :]
+    return out
+
+
+def _close_pairs(group: dict[str, np.ndarray], pair: tuple[int, int], most: int, percent: int):
+    """Of each two components that meet in a block pair, the ``most`` closest pairs; was any left out?"""
+    left, right = np.flatnonzero(group["block"] == pair[0]), np.flatnonzero(group["block"] == pair[1])
+    comps, none = group["comp"], (np.zeros(0, np.int64),) * 2
     different = comps[left][:, None] != comps[right][None, :]
     if pair[0] == pair[1]:
         different &= left[:, None] < right[None, :]
+    if not different.any():
+        return *none, False
+    apart = _apart(group["signature"][left], group["signature"][right])
     i, j = np.nonzero(different & (apart <= MAX_DISTANCE))
-    if not len(i):
-        return out, more
-    a, b = left[i], right[j]
+    a, b, apart = left[i], right[j], apart[i, j]
+    open_ = np.zeros(len(a), dtype=bool)
+    for at in range(0, len(a), 20_000):
+        x, y = a[at : at + 20_000], b[at : at + 20_000]
+        open_[at : at + 20_000] = alike(group["sketch"][x], group["sketch"][y], group["n_shingles"][x], group["n_shingles"][y], percent)
+    a, b, apart = a[open_], b[open_], apart[open_]
+    if not len(a):
+        return *none, False
     low, high = np.minimum(comps[a], comps[b]), np.maximum(comps[a], comps[b])
-    order = np.lexsort((apart[i, j], high, low))
+    order = np.lexsort((apart, high, low))
     low, high, a, b = low[order], high[order], a[order], b[order]
     fresh = np.concatenate(([True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])))
     rank = np.arange(len(a)) - np.maximum.accumulate(np.where(fresh, np.arange(len(a)), 0))
-    more = bool((rank >= most).any())
-    for x, y in zip(a[rank < most], b[rank < most]):
-        out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
-    return out, more
+    x, y = group["id"][a[rank < most]], group["id"][b[rank < most]]
+    return np.minimum(x, y), np.maximum(x, y), bool((rank >= most).any())
 
 
-def remaining_pairs(index: DataFrame, classes: DataFrame, found: DataFrame, most: int) -> DataFrame:
+def remaining_pairs(index: DataFrame, classes: DataFrame, found: DataFrame, most: int, percent: int) -> DataFrame:
     """(a, b, more): close pairs of one entry in different components; entries are compared in blocks."""
     kind = classes.schema["id"].dataType
     parts = index.join(found.select(F.col("node").alias("id"), "root"), "id", "left")
     parts = parts.select("entry", "id", F.coalesce("root", "id").alias("comp"))
     split = parts.groupBy("entry").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"))
     split = split.filter(F.col("low") < F.col("high")).select("entry", F.ceil(F.col("n") / (BLOCK // 2)).cast("int").alias("n_blocks"))
-    rows = parts.join(split, "entry").join(classes.select("id", "signature"), "id")
+    rows = parts.join(split, "entry").join(classes.select("id", "n_shingles", "signature", "sketch"), "id")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    rows = rows.select("entry", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "id", "comp", "block", "signature")
+    pair = [F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q")]
+    rows = rows.select("entry", *pair, "id", "comp", "block", "n_shingles", "signature", "sketch")
     dealt = rows.repartition("entry", "p", "q").sortWithinPartitions("entry", "p", "q", "id")
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("more", T.BooleanType())])
 
+    def compare(table: pa.Table, whole: bool) -> tuple[pa.RecordBatch, pa.Table]:
+        """Pairs of the groups of a sorted table, and the last group, which may go on in the next batch."""
+        heads = [table.column(c).to_numpy() for c in ("entry", "p", "q")]
+        edge = np.flatnonzero(np.any([h[1:] != h[:-1] for h in heads], axis=0)) + 1
+        cuts = [0, *edge.tolist(), *([table.num_rows] if whole else [])]
+        data = {c: table.column(c).to_numpy() for c in ("id", "comp", "block", "n_shingles")}
+        data["signature"] = _matrix(table.column("signature").combine_chunks())
+        data["sketch"] = _matrix(table.column("sketch").combine_chunks(), np.uint8)
+        out_a, out_b, out_more = [], [], []
+        for s, e in zip(cuts, cuts[1:]):
+            if e - s < 2 or (data["comp"][s:e] == data["comp"][s]).all():
+                continue
+            a, b, more = _close_pairs({c: v[s:e] for c, v in data.items()}, (heads[1][s], heads[2][s]), most, percent)
+            out_a.append(a), out_b.append(b), out_more.append(np.full(len(a), more))
+        columns = [pa.array(np.concatenate(x) if x else [], t) for x, t in ((out_a, pa.int64()), (out_b, pa.int64()), (out_more, pa.bool_()))]
+        return pa.RecordBatch.from_arrays(columns, names=schema.names), table.slice(cuts[-1])
+
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
-
-        def groups(table: pa.Table, last: bool):
-            """Whole groups of a sorted table; the last one may go on in the next batch."""
-            heads = [table.column(c).to_numpy() for c in ("entry", "p", "q")]
-            edge = np.flatnonzero(np.any([h[1:] != h[:-1] for h in heads], axis=0)) + 1
-            cuts = [0, *edge.tolist(), *([table.num_rows] if last else [])]
-            out_a, out_b, out_more = [], [], []
-            rows = _matrix(table.column("signature").combine_chunks())
-            ids, comps, blocks = (table.column(c) for c in ("id", "comp", "block"))
-            ids, comps, blocks = ids.to_pylist(), comps.to_numpy(), blocks.to_numpy()
-            for s, e in zip(cuts, cuts[1:]):
-                if e - s < 2:
-                    continue
-                found, more = _close_pairs(ids[s:e], comps[s:e], blocks[s:e], (heads[1][s], heads[2][s]), rows[s:e], most)
-                out_a += [x for x, _ in found]
-                out_b += [y for _, y in found]
-                out_more += [more] * len(found)
-            rest = table.slice(cuts[-1])
-            return pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()), pa.array(out_more, pa.bool_())], names=schema.names), rest
-
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            held = pa.concat_tables([held, table]) if held is not None else table
-            done, held = groups(held, False)
+            done, held = compare(pa.concat_tables([held, table]) if held is not None else table, False)
             yield done
         if held is not None and held.num_rows:
-            yield groups(held, True)[0]
+            yield compare(held, True)[0]
 
-    pairs = dealt.mapInArrow(compute, schema)
-    return pairs.groupBy("a", "b").agg(F.max("more").alias("more"))
+    return dealt.mapInArrow(compute, schema).groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
@@ -255,33 +290,27 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
     rows = settle(features(docs, width), "features")
     sets = ["n_shingles", "set_a", "set_b"]
     known = rows.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = settle(known.groupBy(*sets).agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature")), "classes")
+    first = [F.first(c).alias(c) for c in ("signature", "sketch")]
+    classes = settle(known.groupBy(*sets).agg(F.min("doc_id").alias("id"), *first), "classes")
 
     index = entries(classes)
     crowded = index.groupBy("entry").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    star = index.join(crowded, "entry").filter(F.col("id") != F.col("b")).select(F.col("id").alias("a"), "b").distinct()
-    tested = settle(near_signatures(settle(star, "star"), classes), "pairs")
+    star = index.join(crowded, "entry").filter(F.col("id") != F.col("b")).select(F.col("b").alias("a"), F.col("id").alias("b")).distinct()
+    tested = settle(likely(star, classes, percent), "pairs")
     linked = settle(confirm(tested, docs, width, percent), "links")
-    found = roots(linked)
-    most = 4
-    while True:
-        left = settle(remaining_pairs(index, classes, found, most), "remaining")
-        new = settle(left.select("a", "b").join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
+    found, most, more = roots(linked), 4, True
+    while more:
+        left = settle(remaining_pairs(index, classes, found, most, percent), "remaining")
+        new = settle(left.select("a", "b").join(tested, ["a", "b"], "left_anti"), "pairs")
         if not new.isEmpty():
             tested = tested.unionByName(new)
-            confirmed = settle(confirm(new, docs, width, percent), "links")
-            if not confirmed.isEmpty():
-                linked = linked.unionByName(confirmed)
-                found = roots(linked)
-        elif left.filter("more").isEmpty():
-            break
-        if left.filter("more").isEmpty() and (new.isEmpty() or confirmed.isEmpty()):
-            break
-        most *= 8
+            linked = linked.unionByName(settle(confirm(new, docs, width, percent), "links"))
+            found = roots(linked)
+        more, most = not left.filter("more").isEmpty(), most * 256
     placed = classes.select(*sets, "id").join(found.withColumnRenamed("node", "id"), "id", "left")
     placed = placed.select(*[F.col(s).alias(f"_{s}") for s in sets], F.coalesce("root", "id").alias("component_id"))
     same = [F.col(s) == F.col(f"_{s}") for s in sets]
-    out = rows.drop("signature").join(placed, same, "left")
+    out = rows.drop("signature", "sketch").join(placed, same, "left")
     component = F.coalesce("component_id", "doc_id")
     kept = F.coalesce(F.col("doc_id") == component, component.isNull())
     return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))

@@ -4,8 +4,8 @@ The patterns give e-mail addresses, IP addresses, card and telephone numbers. Th
 values are the protected entities. A term (a run of letters) that keeps appearing near
 one entity and hardly elsewhere identifies it, as a name does, even when the number is
 gone. How strongly is estimated from the whole corpus: with n(t) contexts of the term,
-n(e) of the entity, n(t, e) of the term within ``reach`` terms of the entity and N in
-all, the term discloses log2(n(t, e) N / (n(t) n(e))) bits about the entity, and names
+n(e) of the entity, n(t, e) of the term within ``reach`` terms of the entity and N terms
+in all, the term discloses log2(n(t, e) N / (n(t) n(e))) bits about the entity, and names
 it with probability n(t, e) / n(t). Terms beyond both thresholds are generalised
 wherever they stand. A context is the term with its two neighbours, so copies of one
 passage count once.
@@ -108,13 +108,18 @@ def entity_hash(kind: str, value: str) -> int:
 
 
 def neighbours(docs: DataFrame, reach: int) -> DataFrame:
-    """(entity, term, context): the terms within ``reach`` terms of each mention of an entity, outside all spans."""
+    """(entity, term, context): the terms within ``reach`` terms of each mention of an entity, outside all spans.
+
+    Rows without an entity carry the number of terms of some texts.
+    """
     schema = T.StructType([T.StructField(n, T.LongType()) for n in ("entity", "term", "context")])
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, texts in ragged.chunks(batch):
                 flat = ragged.flatten(texts)
+                n_terms = len(ragged.runs(LETTERS[flat.data], flat.offsets).starts)
+                yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in (None, n_terms, None)], names=schema.names)
                 out: list[tuple[int, np.ndarray, np.ndarray]] = []
                 for row in suspects(flat).tolist():
                     text = texts[row].as_py()
@@ -161,8 +166,8 @@ def _member(wanted: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def occurrences(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """(term, context) wherever one of the terms stands."""
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("term", "context")])
+    """(term, context, n) wherever one of the terms stands."""
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("term", "context", "n")])
     held = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,8 +175,8 @@ def occurrences(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
             for _, _, texts in ragged.chunks(batch):
                 _, hashes, contexts = terms(ragged.flatten(texts))
                 hit = _member(held.value, hashes)
-                pairs = np.unique(np.stack((hashes[hit], contexts[hit])), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(p.view(np.int64)) for p in pairs], names=schema.names)
+                pairs, n = np.unique(np.stack((hashes[hit], contexts[hit])), axis=1, return_counts=True)
+                yield pa.RecordBatch.from_arrays([*[pa.array(p.view(np.int64)) for p in pairs], pa.array(n)], names=schema.names)
 
     return docs.select("text").mapInArrow(compute, schema)
 
@@ -181,17 +186,21 @@ def revealing_terms(docs: DataFrame, reach: int = REACH, support: int = 4, share
 
     ``support``: contexts a term must share with the entity at least.
     """
-    near = settle(neighbours(docs, reach).distinct(), "neighbours")
-    together = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te"))
+    rows = neighbours(docs, reach).groupBy("entity", "context", F.when(F.col("entity").isNotNull(), F.col("term")).alias("term"))
+    n_terms = F.sum(F.when(F.col("entity").isNull(), F.col("term"))).alias("n_terms")
+    rows = settle(rows.agg(n_terms, F.count(F.lit(1)).alias("n")), "neighbours")
+    near = rows.filter(F.col("entity").isNotNull())
+    together = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te"), F.sum("n").alias("stands_te"))
     entity = near.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    total = near.agg(F.count(F.lit(1))).first()[0]
+    total = rows.agg(F.sum("n_terms")).first()[0] or 0
     pairs = settle(together.filter(F.col("n_te") >= support).join(entity, "entity"), "pairs")
     counted = None
     candidates = pairs.select("term").distinct()
     for wanted in hash_parts(candidates, "term"):
         if not len(wanted):
             break
-        part = occurrences(docs, wanted).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+        part = occurrences(docs, wanted).groupBy("term", "context").agg(F.sum("n").alias("n"))
+        part = part.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"), F.sum("n").alias("stands_t"))
         counted = part if counted is None else counted.unionByName(part)
     if counted is None:
         return pairs.select("term", "entity", F.lit(0.0).alias("bits"), F.lit(0.0).alias("share"))
@@ -199,7 +208,7 @@ def revealing_terms(docs: DataFrame, reach: int = REACH, support: int = 4, share
         "term",
         "entity",
         F.log2(F.col("n_te") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e"))).alias("bits"),
-        (F.col("n_te") / F.col("n_t")).alias("share"),
+        F.least(F.col("n_te") / F.col("n_t"), F.col("stands_te") / F.col("stands_t")).alias("share"),
     )
     return settle(named.filter((F.col("bits") >= bits) & (F.col("share") >= share)), "revealing")
 
