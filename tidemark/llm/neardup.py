@@ -11,13 +11,12 @@ Entries with thousands of members never become all pairs. Documents with equal s
 one class from the start. First every member meets the smallest member of its entry;
 links are confirmed on full shingle sets and merged into components. Then members of
 one entry that are still in different components are compared in blocks of bounded
-size, and the closest pairs of each two components are confirmed; rounds with growing
-numbers of pairs go on until none was left out. So a group of copies costs about one
-pair a member, and no pair in an entry is skipped unless its two documents are already
-in one component or cannot be similar enough: by their sizes, by a signature distance
-over ``MAX_DISTANCE`` or by the share of equal cells in a second sketch (the smallest
-shingle hash in each of BINS ranges, which for short texts keeps nearly all shingles);
-both bounds lie five and more deviations from what a similarity of 0.8 gives.
+size, on all their shingles as 32-bit prints, and one link for each two components
+leaves the block. So a group of copies costs about one pair a member, and no pair in an
+entry is skipped unless its two documents are already in one component or cannot be
+similar enough: by their sizes, by a signature distance over ``MAX_DISTANCE`` or by the
+share of equal cells in a second sketch (the smallest shingle hash in each of BINS
+ranges); both bounds lie five and more deviations from what a similarity of 0.8 gives.
 
 Shingles are compared as 64-bit hashes. Defined cases: a document without words is
 linked with nothing; with fewer words than a shingle, its whole sequence is one. Rows
@@ -168,17 +167,22 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb", "na", "nb").mapInArrow(compute, schema)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int, broadcast_rows: int = 500_000) -> DataFrame:
+def some_texts(docs: DataFrame, ids: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
+    """(doc_id, text) of the ids (a written table), written. The ids are broadcast while
+    their count, which is checked, stays below ``broadcast_rows``."""
+    few = ids.count() <= broadcast_rows
+    return settle(docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), "texts")
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs whose full shingle sets have ``percent`` of their union in common. ``pairs`` is a written table.
 
-    Only texts that occur in a pair are moved. Their ids are broadcast while their
-    count, which is checked, stays below ``broadcast_rows``.
+    Only texts that occur in a pair are moved.
     """
     kind = pairs.schema["a"].dataType
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
-    wanted = settle(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
-    few = wanted.count() <= broadcast_rows
-    texts = settle(docs.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi"), "texts")
+    wanted = settle(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).select(F.col("a").alias("doc_id")).distinct(), "wanted")
+    texts = some_texts(docs, wanted)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,8 +212,42 @@ def _apart(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return out
 
 
-def _close_pairs(group: dict[str, np.ndarray], pair: tuple[int, int], most: int, percent: int):
-    """Of each two components that meet in a block pair, the ``most`` closest pairs; was any left out?"""
+def prints(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(id, prints) of some documents: their distinct shingles as sorted 32-bit numbers."""
+    schema = T.StructType([T.StructField("id", docs.schema["doc_id"].dataType), T.StructField("prints", T.BinaryType())])
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, texts in ragged.chunks(batch):
+                hashes, offsets = shingle_sets(texts, width)
+                low = (hashes >> np.uint64(16)).astype(np.uint32)
+                sets = [np.unique(low[a:b]).tobytes() for a, b in zip(offsets, offsets[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(sets, pa.binary())], names=schema.names)
+
+    return settle(some_texts(docs, ids).mapInArrow(compute, schema), "prints")
+
+
+def common(sets: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many prints the sets of each pair have in common, by bit rows over the prints that several sets have."""
+    used, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    own = [np.frombuffer(sets[k], dtype=np.uint32) for k in used.tolist()]
+    rows = np.repeat(np.arange(len(own)), [len(o) for o in own])
+    values, column, n = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+    shared = np.cumsum(n > 1) - 1
+    keep = n[column] > 1
+    width = -(-int((n > 1).sum()) // 64)
+    bits = np.zeros((len(own), max(width, 1)), dtype=np.uint64)
+    rows, column = rows[keep], shared[column[keep]]
+    np.bitwise_or.at(bits, (rows, column // 64), np.uint64(1) << (column % 64).astype(np.uint64))
+    x, y = at[: len(a)], at[len(a) :]
+    out, step = np.zeros(len(a), dtype=np.int64), max(1, 4_000_000 // max(width, 1))
+    for k in range(0, len(a), step):
+        out[k : k + step] = np.bitwise_count(bits[x[k : k + step]] & bits[y[k : k + step]]).sum(axis=1)
+    return out
+
+
+def _links_between(group: dict, pair: tuple[int, int], most: int, percent: int):
+    """Of each two components that meet in a block pair, the ``most`` most similar links; was any left out?"""
     left, right = np.flatnonzero(group["block"] == pair[0]), np.flatnonzero(group["block"] == pair[1])
     comps, none = group["comp"], (np.zeros(0, np.int64),) * 2
     different = comps[left][:, None] != comps[right][None, :]
@@ -217,53 +255,64 @@ def _close_pairs(group: dict[str, np.ndarray], pair: tuple[int, int], most: int,
         different &= left[:, None] < right[None, :]
     if not different.any():
         return *none, False
-    apart = _apart(group["signature"][left], group["signature"][right])
-    i, j = np.nonzero(different & (apart <= MAX_DISTANCE))
-    a, b, apart = left[i], right[j], apart[i, j]
+    i, j = np.nonzero(different & (_apart(group["signature"][left], group["signature"][right]) <= MAX_DISTANCE))
+    a, b, sizes = left[i], right[j], group["n_shingles"]
     open_ = np.zeros(len(a), dtype=bool)
     for at in range(0, len(a), 20_000):
         x, y = a[at : at + 20_000], b[at : at + 20_000]
-        open_[at : at + 20_000] = alike(group["sketch"][x], group["sketch"][y], group["n_shingles"][x], group["n_shingles"][y], percent)
-    a, b, apart = a[open_], b[open_], apart[open_]
+        open_[at : at + 20_000] = alike(group["sketch"][x], group["sketch"][y], sizes[x], sizes[y], percent)
+    a, b = a[open_], b[open_]
     if not len(a):
         return *none, False
+    both = common(group["prints"], a, b)
+    linked = 100 * both >= percent * (sizes[a] + sizes[b] - both)
+    a, b, both = a[linked], b[linked], both[linked]
     low, high = np.minimum(comps[a], comps[b]), np.maximum(comps[a], comps[b])
-    order = np.lexsort((apart, high, low))
+    order = np.lexsort((-both, high, low))
     low, high, a, b = low[order], high[order], a[order], b[order]
-    fresh = np.concatenate(([True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])))
+    fresh = np.ones(len(a), dtype=bool)
+    fresh[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
     rank = np.arange(len(a)) - np.maximum.accumulate(np.where(fresh, np.arange(len(a)), 0))
     x, y = group["id"][a[rank < most]], group["id"][b[rank < most]]
     return np.minimum(x, y), np.maximum(x, y), bool((rank >= most).any())
 
 
-def remaining_pairs(index: DataFrame, classes: DataFrame, found: DataFrame, most: int, percent: int) -> DataFrame:
-    """(a, b, more): close pairs of one entry in different components; entries are compared in blocks."""
+def remaining_links(index: DataFrame, classes: DataFrame, found: DataFrame, docs: DataFrame, width: int, percent: int, most: int) -> DataFrame:
+    """(a, b, more): links between different components of one entry; entries are compared in blocks.
+
+    Entries with the same members are compared once.
+    """
     kind = classes.schema["id"].dataType
     parts = index.join(found.select(F.col("node").alias("id"), "root"), "id", "left")
     parts = parts.select("entry", "id", F.coalesce("root", "id").alias("comp"))
-    split = parts.groupBy("entry").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    split = split.filter(F.col("low") < F.col("high")).select("entry", F.ceil(F.col("n") / (BLOCK // 2)).cast("int").alias("n_blocks"))
-    rows = parts.join(split, "entry").join(classes.select("id", "n_shingles", "signature", "sketch"), "id")
+    members = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"h{k}") for k in (1, 2)]
+    split = parts.groupBy("entry").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"), *members)
+    split = split.filter(F.col("low") < F.col("high")).groupBy("n", "h1", "h2").agg(F.min("entry").alias("entry"))
+    split = split.select("entry", F.ceil(F.col("n") / (BLOCK // 2)).cast("int").alias("n_blocks"))
+    parts = settle(parts.join(split, "entry"), "open")
+    sets = prints(docs, settle(parts.select(F.col("id").alias("doc_id")).distinct(), "wanted"), width)
+    rows = parts.join(classes.select("id", "n_shingles", "signature", "sketch"), "id").join(sets, "id")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     pair = [F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q")]
-    rows = rows.select("entry", *pair, "id", "comp", "block", "n_shingles", "signature", "sketch")
+    rows = rows.select("entry", *pair, "id", "comp", "block", "n_shingles", "signature", "sketch", "prints")
     dealt = rows.repartition("entry", "p", "q").sortWithinPartitions("entry", "p", "q", "id")
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("more", T.BooleanType())])
 
     def compare(table: pa.Table, whole: bool) -> tuple[pa.RecordBatch, pa.Table]:
-        """Pairs of the groups of a sorted table, and the last group, which may go on in the next batch."""
+        """Links in the groups of a sorted table, and the last group, which may go on in the next batch."""
         heads = [table.column(c).to_numpy() for c in ("entry", "p", "q")]
         edge = np.flatnonzero(np.any([h[1:] != h[:-1] for h in heads], axis=0)) + 1
         cuts = [0, *edge.tolist(), *([table.num_rows] if whole else [])]
         data = {c: table.column(c).to_numpy() for c in ("id", "comp", "block", "n_shingles")}
         data["signature"] = _matrix(table.column("signature").combine_chunks())
         data["sketch"] = _matrix(table.column("sketch").combine_chunks(), np.uint8)
+        data["prints"] = table.column("prints").to_pylist()
         out_a, out_b, out_more = [], [], []
         for s, e in zip(cuts, cuts[1:]):
             if e - s < 2 or (data["comp"][s:e] == data["comp"][s]).all():
                 continue
-            a, b, more = _close_pairs({c: v[s:e] for c, v in data.items()}, (heads[1][s], heads[2][s]), most, percent)
+            a, b, more = _links_between({c: v[s:e] for c, v in data.items()}, (heads[1][s], heads[2][s]), most, percent)
             out_a.append(a), out_b.append(b), out_more.append(np.full(len(a), more))
         columns = [pa.array(np.concatenate(x) if x else [], t) for x, t in ((out_a, pa.int64()), (out_b, pa.int64()), (out_more, pa.bool_()))]
         return pa.RecordBatch.from_arrays(columns, names=schema.names), table.slice(cuts[-1])
@@ -298,15 +347,18 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
     star = index.join(crowded, "entry").filter(F.col("id") != F.col("b")).select(F.col("b").alias("a"), F.col("id").alias("b")).distinct()
     tested = settle(likely(star, classes, percent), "pairs")
     linked = settle(confirm(tested, docs, width, percent), "links")
-    found, most, more = roots(linked), 4, True
-    while more:
-        left = settle(remaining_pairs(index, classes, found, most, percent), "remaining")
-        new = settle(left.select("a", "b").join(tested, ["a", "b"], "left_anti"), "pairs")
-        if not new.isEmpty():
-            tested = tested.unionByName(new)
-            linked = linked.unionByName(settle(confirm(new, docs, width, percent), "links"))
+    found, most = roots(linked), 1
+    while True:
+        left = settle(remaining_links(index, classes, found, docs, width, percent, most), "remaining")
+        confirmed = settle(confirm(left.select("a", "b"), docs, width, percent), "links")
+        sure, n_left = confirmed.count(), left.count()
+        if sure:
+            linked = linked.unionByName(confirmed)
             found = roots(linked)
-        more, most = not left.filter("more").isEmpty(), most * 256
+        # prints say too much about one pair in ten thousand; where the link told was none, others are asked for
+        if sure == n_left or left.filter("more").isEmpty():
+            break
+        most *= 64
     placed = classes.select(*sets, "id").join(found.withColumnRenamed("node", "id"), "id", "left")
     placed = placed.select(*[F.col(s).alias(f"_{s}") for s in sets], F.coalesce("root", "id").alias("component_id"))
     same = [F.col(s) == F.col(f"_{s}") for s in sets]
