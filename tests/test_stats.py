@@ -1,5 +1,7 @@
 """Distribution functions on published values, tests on planted effects."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -161,3 +163,51 @@ def test_auc_counts_ties_as_half(spark):
     rows = [(1, 0.9), (0, 0.9), (1, 0.4), (0, 0.1)]
     r = ft.auc(spark.createDataFrame(rows, "y int, p double"), "y", "p").first()
     assert r.auc_roc == pytest.approx((0.5 + 1 + 0 + 1) / 4)
+
+
+def test_tails_of_large_parameters(spark):
+    """Values at the mean from the expansion of the median; symmetric beta; normal limit."""
+    df = spark.createDataFrame([(10.0**k,) for k in range(2, 10)], "v double")
+    got = df.select("v", ds.chi2_tail(F.col("v"), F.col("v")).alias("chi"), ds.f_tail(F.lit(1.0), F.col("v"), F.col("v")).alias("f"),
+                    ds.t_two_sided(F.lit(1.959963984540054), F.col("v")).alias("t")).collect()
+    for r in got:
+        # upper tail at the mean: 1/2 - 1/(3 sqrt(2 pi s)) with s half the degrees of freedom, next term s^-1.5
+        s = r.v / 2
+        assert r.chi == pytest.approx(0.5 - 1 / (3 * math.sqrt(2 * math.pi * s)) - 1 / (540 * s * math.sqrt(2 * math.pi * s)), abs=1e-9 + 2e-5 / r.v)
+        assert r.f == pytest.approx(0.5, abs=1e-9)
+        # normal tail plus the first correction of Student t
+        x = 1.959963984540054
+        density = math.exp(-x * x / 2) / math.sqrt(2 * math.pi)
+        assert r.t == pytest.approx(0.05 + 2 * density * x * (x * x + 1) / (4 * r.v), abs=0.6 / r.v**2 + 1e-9)
+    low = spark.range(1).select(ds.t_quantile(F.lit(0.99999), F.lit(1.0)).alias("q")).first().q
+    assert low == pytest.approx(math.tan(math.pi * 0.49999), rel=1e-6)
+
+
+def test_fisher_of_any_margins(spark):
+    """Against exact sums of whole-number binomials, and the normal limit where margins are in the millions."""
+    from math import comb
+
+    rows = [(3, 1, 1, 3), (10, 2, 3, 15), (0, 5, 5, 0), (40, 60, 55, 45), (7, 7, 7, 7), (1, 0, 0, 1), (200, 10, 120, 90)]
+    big = [(1_500_000, 1_500_000, 1_500_000, 1_500_000), (1_501_000, 1_499_000, 1_499_000, 1_501_000), (3_000_000, 10, 10, 3_000_000)]
+    got = {(r.a, r.b, r.c, r.d): r.p_value for r in st.fisher_exact(spark.createDataFrame(rows + big, "a long, b long, c long, d long")).collect()}
+    for a, b, c, d in rows:
+        weights = [comb(a + b, k) * comb(c + d, a + c - k) for k in range(max(0, a - d), min(a + b, a + c) + 1)]
+        seen = comb(a + b, a) * comb(c + d, c)
+        want = sum(w for w in weights if w <= seen * (1 + 1e-7)) / sum(weights)
+        assert got[a, b, c, d] == pytest.approx(want, rel=1e-9)
+    assert got[big[0]] == 1.0 and got[big[2]] < 1e-300
+    n = 3_000_000
+    sd = math.sqrt(n * n * n * n / ((2 * n) ** 2 * (2 * n - 1)))
+    assert got[big[1]] == pytest.approx(math.erfc((1000 - 0.5) / sd / math.sqrt(2)), rel=1e-4)
+
+
+def test_scores_keep_rows_with_unknown_features(spark):
+    from tidemark.operators import features as fe
+
+    rows = [(i, float(i % 7), None if i % 10 == 0 else float(i % 3), float("nan") if i % 25 == 0 else 1.0 * (i % 5), i % 2) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, y int")
+    for kind in ("linear", "boosted"):
+        scored = fe.score(fe.fit_classifier(df, "y", ["a", "b", "c"], kind), df)
+        assert scored.count() == 200 and scored.filter("p IS NULL").count() == df.filter("b IS NULL OR isnan(c)").count()
+    assert fe.left_out(df, ["a", "b", "c"]).first().n_left_out == 24
+    assert fe.cluster_outcomes(df, ["a", "b", "c"], 3, "y").agg(F.sum("n")).first()[0] == 200

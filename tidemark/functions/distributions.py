@@ -70,60 +70,104 @@ def kolmogorov_sf(lam: Column) -> Column:
 
 
 def _kernels():
-    """Incomplete beta and gamma by continued fractions (kept inside the function so
-    that executors get them by value)."""
-
-    def betainc(a, b, x):
+    """Incomplete beta and gamma (kept inside the function so that executors get them by value).
+
+    Series and fractions run until they converge, about as long as the square root of
+    the parameters. The factors in front are written as densities by deviance and
+    Stirling error, so that large parameters don't cancel.
+    """
+
+    def stirling_error(n):
+        """log n! less Stirling's formula."""
+        if n < 16:
+            return math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi)
+        m = n * n
+        return (1 / 12 - (1 / 360 - (1 / 1260 - (1 / 1680 - 1 / (1188 * m)) / m) / m) / m) / n
+
+    def deviance(x, mean):
+        """x log(x / mean) + mean - x, without loss where x is near the mean."""
+        if abs(x - mean) < 0.1 * (x + mean):
+            v = (x - mean) / (x + mean)
+            total, term, k = (x - mean) * v, 2 * x * v, 1
+            while True:
+                term *= v * v
+                k += 2
+                more = total + term / k
+                if more == total:
+                    return total
+                total = more
+        return x * math.log(x / mean) + mean - x
+
+    def beta_front(a, b, x, y):
+        """x^a y^b / B(a, b) with y = 1 - x."""
+        n = a + b
+        logs = stirling_error(n) - stirling_error(a) - stirling_error(b) - deviance(a, n * x) - deviance(b, n * y)
+        return math.exp(logs) * math.sqrt(a * b / (2 * math.pi * n))
+
+    def betainc(a, b, x, y=None):
+        y = 1 - x if y is None else y
         if x <= 0:
             return 0.0
-        if x >= 1:
+        if y <= 0:
             return 1.0
+        # one parameter far larger than the other: the fraction would cancel, the gamma limit is exact to 1e-10
+        if a * a > 1e10 * (1 + b) ** 3:
+            return gammainc_upper(b, -(a + (b - 1) / 2) * math.log1p(-y))
+        if b * b > 1e10 * (1 + a) ** 3:
+            return 1.0 - gammainc_upper(a, -(b + (a - 1) / 2) * math.log1p(-x))
         if x > (a + 1) / (a + b + 2):
-            return 1.0 - betainc(b, a, 1 - x)
-        front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-        f, c, d = 1.0, 1.0, 0.0
-        for i in range(0, 400):
-            m = i // 2
-            if i == 0:
-                num = 1.0
-            elif i % 2 == 0:
-                num = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-            else:
-                num = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-            d = 1.0 / max(1.0 + num * d, 1e-300) if 1.0 + num * d > 0 else 1.0 / min(1.0 + num * d, -1e-300)
-            c = 1.0 + num / c
-            c = c if abs(c) > 1e-300 else 1e-300
-            f *= c * d
-            if abs(1.0 - c * d) < 1e-14:
-                break
-        return front * (f - 1.0)
+            return 1.0 - betainc(b, a, y, x)
+        c, d, f, m = 1.0, 0.0, 1.0, 0
+        while True:  # two steps of the continued fraction at a time
+            f_old = f
+            for num in (
+                (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))) if m else 1.0,
+                -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
+            ):
+                d = 1.0 + num * d
+                d = 1.0 / (d if abs(d) > 1e-300 else 1e-300)
+                c = 1.0 + num / c
+                c = c if abs(c) > 1e-300 else 1e-300
+                f *= c * d
+            m += 1
+            if abs(f - f_old) <= 1e-15 * abs(f):
+                return beta_front(a, b, x, y) / a * (f - 1.0)
+            if f != f:
+                raise ArithmeticError(f"incomplete beta of {a}, {b} at {x}")
 
     def gammainc_upper(s, x):
         if x <= 0:
             return 1.0
-        scale = math.exp(-x + s * math.log(x) - math.lgamma(s))
+        density = math.exp(-stirling_error(s) - deviance(s, x)) / math.sqrt(2 * math.pi * s)  # x^s e^-x / s!
         if x < s + 1:
-            term = total = 1.0 / s
-            for n in range(1, 2000):
+            term = total = 1.0
+            n = 0
+            while term > total * 1e-17:
+                n += 1
                 term *= x / (s + n)
                 total += term
-                if term < total * 1e-16:
-                    break
-            return 1.0 - total * scale
+            return 1.0 - total * density
         b = x + 1 - s
         c, d = 1e300, 1.0 / b
-        h = d
-        for n in range(1, 2000):
+        h, n = d, 0
+        while True:
+            n += 1
             an = -n * (n - s)
             b += 2
-            d = 1.0 / (an * d + b)
+            d = an * d + b
+            d = 1.0 / (d if abs(d) > 1e-300 else 1e-300)
             c = b + an / c
+            c = c if abs(c) > 1e-300 else 1e-300
             h *= d * c
             if abs(d * c - 1) < 1e-15:
-                break
-        return scale * h
+                return density * s * h
+            if h != h:
+                raise ArithmeticError(f"incomplete gamma of {s} at {x}")
 
     def solve(fn, lo, hi):
+        """Root of a growing function; ``hi`` is doubled until it lies beyond the root."""
+        while hi > 1 and fn(hi) < 0:
+            hi *= 2
         for _ in range(200):
             mid = (lo + hi) / 2
             if fn(mid) < 0:
@@ -158,7 +202,7 @@ def t_two_sided(t: Column, df: Column) -> Column:
 
     def make():
         betainc, _, _ = kernels()
-        return lambda x, v: betainc(v / 2, 0.5, v / (v + x * x))
+        return lambda x, v: betainc(v / 2, 0.5, v / (v + x * x), x * x / (v + x * x))
 
     return _row_function(make, t, df)
 
@@ -168,7 +212,7 @@ def f_tail(f: Column, d1: Column, d2: Column) -> Column:
 
     def make():
         betainc, _, _ = kernels()
-        return lambda x, a, b: betainc(b / 2, a / 2, b / (b + a * x))
+        return lambda x, a, b: betainc(b / 2, a / 2, b / (b + a * x), a * x / (b + a * x))
 
     return _row_function(make, f, d1, d2)
 
@@ -189,7 +233,8 @@ def t_quantile(p: Column, df: Column) -> Column:
 
     def make():
         betainc, _, solve = kernels()
-        return lambda q, v: solve(lambda x: (1 - betainc(v / 2, 0.5, v / (v + x * x)) / 2) - q, 0.0, 1e4)
+        tail = lambda x, v: betainc(v / 2, 0.5, v / (v + x * x), x * x / (v + x * x)) / 2
+        return lambda q, v: solve(lambda x: (1 - q) - tail(x, v), 0.0, 16.0)
 
     return _row_function(make, p, df)
 

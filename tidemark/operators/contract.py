@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import yaml
-from pyspark.sql import Column, functions as F
+from pyspark.sql import functions as F
 
 from tidemark.operators import rules as r
 
@@ -34,57 +34,103 @@ def column_rules(columns: Sequence[dict]) -> list:
     return out
 
 
-def _filtered(expr: str | None) -> Column | None:
-    return F.expr(expr) if expr else None
+def _known(where: str, given: dict, *names: str) -> dict:
+    """The section, if it holds no other keys: a key that no rule takes would be read over."""
+    unknown = set(given) - set(names)
+    if unknown:
+        raise ValueError(f"unknown keys {sorted(unknown)} in {where}")
+    return given
 
 
-def quality_rule(rule: dict, as_of: str | None = None) -> list:
-    """One entry of the contract's quality section as rules."""
-    kind, p, c = rule["type"], rule.get("params", {}), rule.get("checks", {})
+# Keys that describe a check for people or other tools and decide nothing.
+NOTES = ("sql", "source_query", "expected_result_type", "sla_metric", "manual_acknowledgement_required", "notify_data_steward_on_fail")
+
+
+def quality_rule(rule: dict, as_of: str | None = None, key: Sequence[str] = ()) -> list:
+    """One entry of the contract's quality section as rules; ``key`` is the table's primary key."""
+    _known(rule.get("id", "a rule"), rule, "id", "description", "type", "params", "severity", "checks")
+    kind, ident = rule["type"], rule["id"]
     level = CRITICALITY[rule.get("severity", "error")]
-    ident = rule["id"]
+
+    def params(*names: str) -> dict:
+        return _known(f"params of {ident}", rule.get("params", {}), *names)
+
+    def checks(*names: str) -> dict:
+        return _known(f"checks of {ident}", rule.get("checks", {}), *names, *NOTES)
+
     if kind == "freshness":
-        one = r.freshness_pct(p["timestampColumn"], p["loadedAtColumn"], p["toleranceMinutes"], p["percentagePass"], level)
-        return [one]
+        p = params("timestampColumn", "loadedAtColumn", "toleranceMinutes", "percentagePass")
+        most = checks("max_allowed_failed").get("max_allowed_failed")
+        return [r.freshness_pct(p["timestampColumn"], p["loadedAtColumn"], p["toleranceMinutes"], p["percentagePass"], level, most)]
     if kind == "partition_availability":
-        days = int(p["lookbackDays"])
+        p = params("partitionColumn", "partitionGranularity", "readyByTime", "lookbackDays", "expectedMinRowsPerPartition", "loadedAtColumn")
+        checks()
+        if p.get("partitionGranularity", "day") != "day":
+            raise ValueError(f"only days are known as partitions, not in {ident}")
         if as_of is None:
             raise ValueError("partition rules need as_of, the first day of the look-back window")
-        return [r.partition_ready(p["partitionColumn"], p["expectedMinRowsPerPartition"], as_of, days, level)]
+        if p.get("readyByTime") and not p.get("loadedAtColumn"):
+            raise ValueError(f"readyByTime needs loadedAtColumn in {ident}")
+        rows, days = p["expectedMinRowsPerPartition"], int(p["lookbackDays"])
+        return [r.partition_ready(p["partitionColumn"], rows, as_of, days, level, p.get("loadedAtColumn"), p.get("readyByTime"))]
     if kind == "uniqueness":
-        return [r.unique(p["columns"], criticality=level)]
+        most = checks("duplicate_count_max").get("duplicate_count_max", 0)
+        return [r.unique(params("columns")["columns"], criticality=level, max_duplicates=most)]
     if kind == "not_null":
-        return r.not_null(p["columns"], level)
+        return r.not_null(params("columns")["columns"], level, checks("null_pct_per_column_max").get("null_pct_per_column_max", 0.0))
     if kind == "foreign_key":
-        parent = p["parentTable"].split(".")[-1]
-        return [
-            r.foreign_key(p["childColumn"], parent, p["parentColumn"], p.get("ignoreNullChild", False),
-                          c.get("orphan_count_max", 0), level)
-        ]
+        p = params("childColumn", "parentTable", "parentColumn", "ignoreNullChild")
+        parent, most = p["parentTable"].split(".")[-1], checks("orphan_count_max").get("orphan_count_max", 0)
+        return [r.foreign_key(p["childColumn"], parent, p["parentColumn"], p.get("ignoreNullChild", False), most, level)]
     if kind == "expression_match":
+        p = params("leftExpression", "rightExpression", "toleranceAbsolute")
         left, right = F.expr(p["leftExpression"]), F.expr(p["rightExpression"])
-        return [r.expression_match(ident, left, right, p["toleranceAbsolute"], c.get("failed_pct_max", 0.0), level)]
+        return [r.expression_match(ident, left, right, p["toleranceAbsolute"], checks("failed_pct_max").get("failed_pct_max", 0.0), level)]
     if kind == "threshold_range":
-        return [r.in_range(p["column"], p.get("minValue"), p.get("maxValue"), c.get("outlier_pct_max", 0.0), level)]
+        p = params("column", "minValue", "maxValue")
+        return [r.in_range(p["column"], p.get("minValue"), p.get("maxValue"), checks("outlier_pct_max").get("outlier_pct_max", 0.0), level)]
     if kind == "grouped_statistical_range":
+        p = params("valueColumn", "groupByColumn", "filterClause", "expectedRanges")
+        checks()
         bands = {k: (v["minMean"], v["maxMean"], v["minRowsPerGroup"]) for k, v in p["expectedRanges"].items()}
-        return [r.group_mean_range(p["valueColumn"], p["groupByColumn"], bands, level)]
+        where = F.expr(p["filterClause"]) if p.get("filterClause") else None
+        return [r.group_mean_range(p["valueColumn"], p["groupByColumn"], bands, level, where)]
     if kind == "ordered":
-        return [r.ordered(p["columns"], c.get("failed_rows_max"), level)]
+        return [r.ordered(params("columns")["columns"], checks("failed_rows_max").get("failed_rows_max"), level)]
     if kind == "custom_sql":
-        return [r.custom_sql(ident, p["sql"], c.get("failed_rows_max", 0), level)]
+        p, c = params("sql", "entityColumn"), checks("failed_rows_max", "affected_entity_pct_max")
+        share, entity = c.get("affected_entity_pct_max"), p.get("entityColumn") or (key[0] if key else None)
+        if share is not None and entity is None:
+            raise ValueError(f"affected_entity_pct_max needs entityColumn or a primary key in {ident}")
+        most = c.get("failed_rows_max", 0 if share is None else None)
+        return [r.custom_sql(ident, p["sql"], most, level, share, entity)]
     raise ValueError(f"unknown rule type {kind!r} in {ident}")
 
 
+def table_rules(table: dict, columns: Sequence[dict], quality, as_of: str | None) -> list:
+    key = list(table.get("primaryKey") or [])
+    found = column_rules(columns)
+    if key:
+        found += r.not_null(key) + [r.unique(key)]
+    for link in table.get("foreignKeys") or []:
+        parent, column = link["references"].split(".")[-2:]
+        found.append(r.foreign_key(link["column"], parent, column))
+    for section in quality.values() if isinstance(quality, dict) else [quality or []]:
+        for rule in section:
+            found += quality_rule(rule, as_of, key)
+    return found
+
+
 def rules_from_contract(text: str, as_of: str | None = None) -> dict[str, list]:
-    """``{table: rules}`` from a contract document with tables, columns and quality sections."""
+    """``{table: rules}`` from a contract document.
+
+    It may nest one table below ``spec`` (``schema.table``, ``schema.columns``,
+    ``quality``), hold a list of ``tables``, or be one table itself.
+    """
     doc = yaml.safe_load(text)
-    out: dict[str, list] = {}
-    for table in doc.get("tables", [doc]):
-        found = column_rules(table.get("columns", []))
-        quality = table.get("quality", {})
-        for section in quality.values() if isinstance(quality, dict) else [quality]:
-            for rule in section:
-                found += quality_rule(rule, as_of)
-        out[table["name"]] = found
-    return out
+    if "spec" in doc:
+        spec = doc["spec"]
+        table = spec["schema"]["table"]
+        name = table if isinstance(table, str) else table["table"]
+        return {name: table_rules({} if isinstance(table, str) else table, spec["schema"].get("columns", []), spec.get("quality", {}), as_of)}
+    return {t["name"]: table_rules(t, t.get("columns", []), t.get("quality", {}), as_of) for t in doc.get("tables", [doc])}

@@ -286,21 +286,37 @@ def stored(model: PipelineModel, df: DataFrame) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+def unknown(xs: Sequence[str]) -> Column:
+    """A feature is NULL or NaN."""
+    bad = F.lit(False)
+    for x in xs:
+        v = F.col(x).cast("double")
+        bad = bad | v.isNull() | F.isnan(v)
+    return bad
+
+
+def left_out(df: DataFrame, xs: Sequence[str]) -> DataFrame:
+    """How many rows a fit over ``xs`` uses and leaves out."""
+    return df.agg(F.count(F.when(~unknown(xs), 1)).alias("n_used"), F.count(F.when(unknown(xs), 1)).alias("n_left_out"))
+
+
 def fit_classifier(train: DataFrame, y: str, xs: Sequence[str], kind: str = "linear", seed: int = 42) -> PipelineModel:
-    """Scaled logistic regression or boosted trees."""
-    parts = [VectorAssembler(inputCols=list(xs), outputCol="_raw", handleInvalid="skip")]
+    """Scaled logistic regression or boosted trees, fitted to rows whose features are all known."""
+    parts = [VectorAssembler(inputCols=list(xs), outputCol="_raw", handleInvalid="keep")]
     if kind == "linear":
         parts += [StandardScaler(inputCol="_raw", outputCol="_x", withMean=True), LogisticRegression(featuresCol="_x", labelCol="_label", maxIter=50)]
     elif kind == "boosted":
         parts.append(GBTClassifier(featuresCol="_raw", labelCol="_label", maxIter=20, maxDepth=4, seed=seed))
     else:
         raise ValueError(f"unknown model {kind!r}")
-    return stored(Pipeline(stages=parts).fit(train.withColumn("_label", F.col(y).cast("double"))), train)
+    known = train.filter(~unknown(xs)).withColumn("_label", F.col(y).cast("double"))
+    return stored(Pipeline(stages=parts).fit(known), train)
 
 
 def score(model: PipelineModel, df: DataFrame, out: str = "p") -> DataFrame:
-    """Batch scores; helper columns are dropped."""
-    scored = model.transform(df).withColumn(out, vector_to_array("probability")[1])
+    """Batch scores, one for every row: NULL where a feature is unknown. Helper columns are dropped."""
+    xs = model.stages[0].getInputCols()
+    scored = model.transform(df).withColumn(out, F.when(~unknown(xs), vector_to_array("probability")[1]))
     return scored.select(*df.columns, out)
 
 
@@ -339,16 +355,17 @@ def label_permutation_auc(df: DataFrame, key: str, y: str, xs: Sequence[str], se
 
 
 def cluster_outcomes(df: DataFrame, xs: Sequence[str], k: int, y: str | Column, seed: int = 42) -> DataFrame:
-    """K-means clusters with their size and mean outcome."""
+    """K-means clusters with their size and mean outcome; rows with an unknown feature have cluster NULL."""
     prep = Pipeline(
         stages=[
-            VectorAssembler(inputCols=list(xs), outputCol="_raw", handleInvalid="skip"),
+            VectorAssembler(inputCols=list(xs), outputCol="_raw", handleInvalid="keep"),
             StandardScaler(inputCol="_raw", outputCol="_x", withMean=True),
             KMeans(featuresCol="_x", predictionCol="cluster", k=k, seed=seed),
         ]
-    ).fit(df)
+    ).fit(df.filter(~unknown(xs)))
     v = col_of(y).cast("double")
-    return stored(prep, df).transform(df).groupBy("cluster").agg(
+    placed = stored(prep, df).transform(df).withColumn("cluster", F.when(~unknown(xs), F.col("cluster")))
+    return placed.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean_outcome"), *[F.avg(x).alias(f"mean_{x}") for x in xs]
     )
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidemark.operators.ordered import carry_forward, running_sums
 
@@ -171,15 +171,22 @@ def interval_sums(
     ts: str,
     sums: Mapping[str, str],
     count: str = "n_readings",
+    scale: int = 12,
 ) -> DataFrame:
     """Exact sums and count of readings inside each [start, end) without pairing them.
 
-    Interval bounds are placed among the readings in time order; a sum is the running
+    Whole numbers and decimals keep all their digits; doubles keep ``scale`` of them
+    behind the point. Interval bounds are placed among the readings in time order; a sum is the running
     total at the end minus the one at the start. Linear for any overlap and any hot key.
     """
     keys = list(dict.fromkeys([*cycle_key, *on, start, end]))
-    exact = {f"_v_{o}": F.coalesce(F.col(c).cast("decimal(28,6)"), F.lit(0)) for o, c in sums.items()}
-    zero = {name: F.lit(0).cast("decimal(28,6)") for name in exact}
+    kept = {}
+    for o, c in sums.items():
+        kind = readings.schema[c].dataType
+        digits = kind.scale if isinstance(kind, T.DecimalType) else scale if isinstance(kind, T.FractionalType) else 0
+        kept[f"_v_{o}"] = f"decimal(38,{digits})"
+    exact = {f"_v_{o}": F.coalesce(F.col(c).cast(kept[f"_v_{o}"]), F.lit(0)) for o, c in sums.items()}
+    zero = {name: F.lit(0).cast(kept[name]) for name in exact}
     points = readings.select(*on, F.col(ts).alias("_t"), F.lit(1).alias("_side"), *[c.alias(n) for n, c in exact.items()], F.lit(1).cast("long").alias("_one"))
     bounds = F.array(
         F.struct(F.col(start).alias("_t"), F.lit(-1).alias("_sign")),

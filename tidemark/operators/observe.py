@@ -26,7 +26,7 @@ def record_run(
         n = spark.read.parquet(path).count()
         append_ledger(spark, ledger, [(model, started, clock(), "success", n, None)], RUN_SCHEMA)
     except Exception as err:
-        append_ledger(spark, ledger, [(model, started, clock(), "failed", None, str(err)[:500])], RUN_SCHEMA)
+        append_ledger(spark, ledger, [(model, started, clock(), "failed", None, str(err))], RUN_SCHEMA)
         raise
     return spark.read.parquet(path)
 

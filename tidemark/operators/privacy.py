@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -78,7 +79,7 @@ def rls(df: DataFrame, user_map: DataFrame, user: str, col: str) -> DataFrame:
     return df.join(allowed, F.col(col) == F.col("_v"), "left_semi")
 
 
-def reachable(edges: DataFrame, root: DataFrame, src: str, dst: str, max_depth: int = 50) -> DataFrame:
+def reachable(edges: DataFrame, root: DataFrame, src: str, dst: str) -> DataFrame:
     """Nodes reachable from ``root`` (one column ``node``) with their depth; cycles are safe.
 
     Breadth first: every level is written to the shared folder, which cuts the
@@ -88,7 +89,7 @@ def reachable(edges: DataFrame, root: DataFrame, src: str, dst: str, max_depth:
     base = new_path(spark, "reach")
     root.select(F.col(root.columns[0]).alias("node"), F.lit(0).alias("depth")).distinct().write.parquet(f"{base}/level=0")
     links = edges.select(F.col(src).alias("_s"), F.col(dst).alias("_d")).filter("_s <> _d")
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         last = spark.read.parquet(f"{base}/level={depth - 1}")
         seen = spark.read.parquet(*[f"{base}/level={i}" for i in range(depth)]).select("node")
         found = links.join(last, F.col("_s") == F.col("node")).select(F.col("_d").alias("node")).distinct()
@@ -96,7 +97,6 @@ def reachable(edges: DataFrame, root: DataFrame, src: str, dst: str, max_depth:
         fresh.write.parquet(f"{base}/level={depth}")
         if spark.read.parquet(f"{base}/level={depth}").isEmpty():
             return spark.read.parquet(*[f"{base}/level={i}" for i in range(depth)])
-    raise ValueError(f"graph is deeper than {max_depth} levels")
 
 
 def subtree(edges: DataFrame, root: DataFrame, parent: str, child: str) -> DataFrame:

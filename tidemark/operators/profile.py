@@ -178,16 +178,72 @@ def check_range(df: DataFrame, specs: Mapping[str, tuple[float | None, float | N
     return df.agg(F.array(*aggs).alias("r")).select(F.inline("r"))
 
 
-def issues(df: DataFrame, ranges: Mapping | None = None, threshold: float = COMPLETENESS_MIN) -> DataFrame:
-    """Issue list of a profile run: completeness, key candidates and range breaks."""
+def _told(severity: str, rule: str, message: Column):
+    return F.lit(severity).alias("severity"), F.lit(rule).alias("rule"), F.col("column"), message.alias("message")
+
+
+def range_issues(df: DataFrame, ranges: Mapping) -> DataFrame:
+    """Values outside stated bounds; missing columns and bounds that are no numbers are errors."""
+    spark, good, wrong = df.sparkSession, {}, []
+    for c, bounds in ranges.items():
+        try:
+            lo, hi = (None if v is None else float(v) for v in bounds)
+        except (TypeError, ValueError):
+            wrong.append(("error", "range_config_error", c, f"bounds {bounds!r} are not two numbers"))
+            continue
+        if c not in df.columns:
+            wrong.append(("error", "range_column_missing", c, "no such column"))
+        else:
+            good[c] = (lo, hi)
+    out = spark.createDataFrame(wrong, "severity string, rule string, column string, message string")
+    if good:
+        hit = check_range(df, good).filter("n_below + n_above > 0")
+        text = F.concat(F.col("n_below").cast("string"), F.lit(" below, "), F.col("n_above").cast("string"), F.lit(" above"))
+        out = out.unionByName(hit.select(*_told("warn", "range_violation", text)))
+    return out
+
+
+def key_issues(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """A stated key that lacks columns, repeats or is unique."""
+    state = check_pk(df, key)
+    rule = F.when(F.col("missing").isNotNull(), "pk_missing_columns").when(F.col("is_unique"), "pk_unique").otherwise("pk_not_unique")
+    severity = F.when(F.col("missing").isNull() & F.col("is_unique"), "info").otherwise("error")
+    text = F.coalesce(F.concat(F.lit("no column "), "missing"), F.concat(F.col("n_duplicates").cast("string"), F.lit(" duplicates")))
+    return state.select(severity.alias("severity"), rule.alias("rule"), F.col("key").alias("column"), text.alias("message"))
+
+
+def issues(
+    df: DataFrame,
+    ranges: Mapping | None = None,
+    threshold: float = COMPLETENESS_MIN,
+    key: Sequence[str] | None = None,
+    gap_hours: float = 0,
+    k: float = IQR_MULTIPLIER,
+) -> DataFrame:
+    """Issue list of a profile run: severity, rule, column and message.
+
+    Completeness, key candidates, numeric outliers, gaps in time columns (if
+    ``gap_hours`` is over 0), duplicate rows, the stated key and the stated ranges.
+    """
     prof = settle(profile(df), "profile")  # one row per column, read twice
-    out = check_completeness(prof, threshold).unionByName(pk_candidates(prof))
+    parts = [check_completeness(prof, threshold), pk_candidates(prof)]
+    if numeric_columns(df):
+        far = iqr_outliers(df, k=k).filter("n_outliers > 0")
+        parts.append(far.select(*_told("warn", "numeric_outliers", F.concat(F.col("n_outliers").cast("string"), F.lit(" outside the fences")))))
+    if gap_hours > 0:
+        for f in df.schema.fields:
+            if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
+                n = ts_gaps(df, f.name, gap_hours).agg(F.count(F.lit(1)).alias("n")).filter("n > 0").withColumn("column", F.lit(f.name))
+                parts.append(n.select(*_told("warn", "datetime_gap", F.concat(F.col("n").cast("string"), F.lit(f" gaps over {gap_hours} h")))))
+    again = duplicate_rows(df).filter("n_duplicates > 0").withColumn("column", F.lit(None).cast("string"))
+    parts.append(again.select(*_told("warn", "duplicate_rows", F.concat(F.col("n_duplicates").cast("string"), F.lit(" duplicate rows")))))
+    if key:
+        parts.append(key_issues(df, key))
     if ranges:
-        hit = check_range(df, ranges).filter("n_below + n_above > 0")
-        text = F.concat(F.col("n_below").cast("string"), F.lit(" below, "), F.col("n_above").cast("string"), F.lit(" above"))
-        out = out.unionByName(
-            hit.select(F.lit("error").alias("severity"), F.lit("out_of_range").alias("rule"), "column", text.alias("message"))
-        )
+        parts.append(range_issues(df, ranges))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out
 
 

@@ -7,6 +7,7 @@ aggregate. Key, reference and group rules each build their own small result.
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 
@@ -66,8 +67,8 @@ def completeness(col: str, sentinels: Sequence = (), min_pct: float | None = Non
     return RowRule(f"completeness:{col}", col, "completeness", ok, 100 - need, criticality=criticality)
 
 
-def not_null(cols: Sequence[str], criticality="critical") -> list[RowRule]:
-    return [RowRule(f"not_null:{c}", c, "not_null", F.col(c).isNotNull(), criticality=criticality) for c in cols]
+def not_null(cols: Sequence[str], criticality="critical", max_failed_pct: float = 0.0) -> list[RowRule]:
+    return [RowRule(f"not_null:{c}", c, "not_null", F.col(c).isNotNull(), max_failed_pct, criticality=criticality) for c in cols]
 
 
 def accepted(col: str, values: Sequence, max_failed_pct=0.0, criticality="critical") -> RowRule:
@@ -116,9 +117,9 @@ def ordered(cols: Sequence[str], max_failed: int | None = None, criticality="cri
     return RowRule(f"ordered:{','.join(cols)}", "", "event_order", in_order(cols), 0.0, max_failed, None, criticality)
 
 
-def freshness_pct(ts: str, loaded: str, minutes: int, pct: float, criticality="critical") -> RowRule:
+def freshness_pct(ts: str, loaded: str, minutes: int, pct: float, criticality="critical", max_failed: int | None = None) -> RowRule:
     ok = micros(loaded) - micros(ts) <= minutes * 60_000_000
-    return RowRule(f"freshness:{ts}", ts, "freshness", ok, 100 - pct, criticality=criticality)
+    return RowRule(f"freshness:{ts}", ts, "freshness", ok, 100 - pct, max_failed, criticality=criticality)
 
 
 # --- set rules ------------------------------------------------------------------
@@ -128,18 +129,18 @@ def _verdict(df: DataFrame, observed: Column, passed: Column) -> DataFrame:
     return df.select(observed.cast("double").alias("observed_value"), F.coalesce(passed, F.lit(False)).alias("passed"))
 
 
-def unique(cols: Sequence[str], expected_dup_pct: float = 0.0, tol_pp: float = 0.1, criticality="critical") -> SetRule:
-    """No duplicate key, or a known duplicate rate within ``tol_pp`` percentage points."""
+def unique(cols: Sequence[str], expected_dup_pct: float = 0.0, tol_pp: float = 0.1, criticality="critical", max_duplicates: int = 0) -> SetRule:
+    """At most ``max_duplicates`` duplicate keys, or a known duplicate rate within ``tol_pp`` percentage points."""
 
     def build(_, df):
         n = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
         s = n.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("d"), F.coalesce(F.sum("n"), F.lit(0)).alias("t"))
         if expected_dup_pct == 0:
-            return _verdict(s, F.col("d"), F.col("d") == 0)
+            return _verdict(s, F.col("d"), F.col("d") <= max_duplicates)
         rate = safe_div(100 * F.col("d"), "t", 0)
         return _verdict(s, F.round(rate, 6), F.abs(rate - expected_dup_pct) <= tol_pp)
 
-    limit = "0 duplicates" if expected_dup_pct == 0 else f"{expected_dup_pct}% +- {tol_pp}pp"
+    limit = f"{max_duplicates} duplicates" if expected_dup_pct == 0 else f"{expected_dup_pct}% +- {tol_pp}pp"
     return SetRule(f"unique:{','.join(cols)}", ",".join(cols), "uniqueness", limit, build, criticality)
 
 
@@ -173,10 +174,13 @@ def ri_late(fact: DataFrame, fk: str, dim: DataFrame, pk: str, ts: str, as_of: s
     )
 
 
-def group_mean_range(value: str, by: str, bands: Mapping[str, tuple[float, float, int]], criticality="important"):
-    """Group means inside (low, high), each with at least the stated rows."""
+def group_mean_range(
+    value: str, by: str, bands: Mapping[str, tuple[float, float, int]], criticality="important", where: Column | None = None
+):
+    """Group means inside (low, high), each with at least the stated rows; of the rows ``where`` holds, if given."""
 
     def build(_, df):
+        df = df if where is None else df.filter(where)
         bad = F.lit(0)
         for name, (lo, hi, rows) in bands.items():
             here = F.col(by) == name
@@ -187,13 +191,22 @@ def group_mean_range(value: str, by: str, bands: Mapping[str, tuple[float, float
     return SetRule(f"group_mean:{value}", value, "group_mean_range", "all groups in band", build, criticality)
 
 
-def partition_ready(col: str, min_rows: int, start: str, days: int, criticality="critical") -> SetRule:
-    """Each of ``days`` days from ``start`` holds at least ``min_rows`` rows."""
+def partition_ready(
+    col: str, min_rows: int, start: str, days: int, criticality="critical", loaded: str | None = None, ready_by: str | None = None
+) -> SetRule:
+    """Each of ``days`` days from ``start`` holds at least ``min_rows`` rows.
+
+    With ``ready_by`` (HH:MM:SS) only rows count whose ``loaded`` time is at or before
+    that time of the following day.
+    """
 
     def build(_, df):
         day = F.col(col).cast("date")
         lo = F.lit(start).cast("date")
         inside = df.filter((F.col(col) >= F.lit(start).cast("timestamp_ntz")) & (day < F.date_add(lo, days)))
+        if ready_by is not None:
+            due = F.concat(F.date_add(day, 1).cast("string"), F.lit(f" {ready_by}")).cast("timestamp_ntz")
+            inside = inside.filter(F.col(loaded) <= due)
         counts = inside.groupBy(day.alias("d")).agg(F.count(F.lit(1)).alias("n"))
         ok = counts.agg(F.count(F.when(F.col("n") >= min_rows, 1)).alias("ok"))
         return _verdict(ok, F.lit(days) - F.col("ok"), F.col("ok") == days)
@@ -201,16 +214,33 @@ def partition_ready(col: str, min_rows: int, start: str, days: int, criticality=
     return SetRule(f"partition_ready:{col}", col, "partition_availability", f">= {min_rows} rows a day", build, criticality)
 
 
-def custom_sql(name: str, sql: str, max_count: float, criticality="critical") -> SetRule:
-    """A query over the suite's tables whose single number must not exceed ``max_count``."""
+def custom_sql(
+    name: str, sql: str, max_count: float | None = None, criticality="critical", max_pct: float | None = None, entity: str | None = None
+) -> SetRule:
+    """A query over the suite's tables whose single number must not exceed ``max_count``.
+
+    Tables are named plainly or as ``{table}``. With ``max_pct`` the number may be that
+    share, in percent, of the distinct values of ``entity`` in the rule's table.
+    """
 
     def build(tables, df):
-        used = {k: v for k, v in tables.items() if "{" + k + "}" in sql}
-        one = df.sparkSession.sql(sql, **used)
+        used = {name: frame for name, frame in tables.items() if re.search(rf"\b{re.escape(name)}\b", sql)}
+        text = sql.strip()
+        for name in used:  # a schema in front of a listed table goes
+            text = re.sub(rf"(?i)\b(from|join)(\s+)(?:\w+\.)+{re.escape(name)}\b", rf"\1\2{name}", text)
+        views = ", ".join(f"{name} AS (SELECT * FROM {{{name}}})" for name in used)
+        own = re.match(r"(?i)with\s", text)
+        text = f"WITH {views}{', ' + text[own.end() :] if own else ' ' + text}" if views else text
+        one = df.sparkSession.sql(text, **used)
         value = F.col(one.columns[0])
-        return _verdict(one, value, value <= max_count)
-
-    return SetRule(name, "", "custom_sql", f"<= {max_count}", build, criticality)
+        if max_pct is None:
+            return _verdict(one, value, value <= max_count)
+        entities = df.agg(F.count_distinct(F.col(entity))).scalar()
+        rate = safe_div(100 * value, entities, 0)
+        return _verdict(one, rate, (rate <= max_pct) & (F.lit(True) if max_count is None else value <= max_count))
+
+    limit = f"<= {max_count}" if max_pct is None else f"<= {max_pct}% of {entity}"
+    return SetRule(name, "", "custom_sql", limit, build, criticality)
 
 
 def timeliness(ts: str, as_of: str, lag_hours: float, future_h: float = 24, closed_before: str | None = None, criticality="critical"):

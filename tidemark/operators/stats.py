@@ -119,15 +119,17 @@ def poisson_weight(key: Sequence[Column], replicate: Column, seed: int) -> Colum
     u = (F.pmod(F.xxhash64(*key, replicate, F.lit(seed)), F.lit(2**53)).cast("double") + 0.5) / F.lit(float(2**53))
     out = F.lit(0)
     mass, total = float(np.exp(-1.0)), 0.0
-    for k in range(1, 13):
+    k = 0
+    while 1.0 - total > 2.0**-53:  # until what is left is below the resolution of the draw
         total += mass
         out = out + (u > total).cast("int")
+        k += 1
         mass /= k
     return out
 
 
 def bootstrap_ci(
-    df: DataFrame, key: Sequence[str], col: str, stat: str = "mean", n: int = 500, conf: float = 0.95, seed: int = 42
+    df: DataFrame, key: Sequence[str], col: str, stat: str = "mean", n: int = 10_000, conf: float = 0.95, seed: int = 42
 ) -> DataFrame:
     """Percentile interval of a statistic over Poisson bootstrap replicates.
 
@@ -338,24 +340,56 @@ def chi2(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def fisher_exact(table: DataFrame) -> DataFrame:
-    """Two-sided Fisher p of 2 x 2 count rows (columns a, b, c, d)."""
-    def p_values(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-        from math import lgamma
+    """Two-sided Fisher p of 2 x 2 count rows (columns a, b, c, d), for margins of any size.
 
+    Probabilities are taken relative to one term and followed outwards by the ratio of
+    neighbours until they no longer count: about the square root of the counts.
+    """
+    def p_values(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
         def one(a, b, c, d):
             r1, r2, c1 = a + b, c + d, a + c
             lo, hi = max(0, c1 - r2), min(r1, c1)
-            if hi - lo > 1_000_000:
-                return None  # margins this large: use the chi-square test
-
-            def logp(k):
-                return -(lgamma(k + 1) + lgamma(r1 - k + 1) + lgamma(c1 - k + 1) + lgamma(r2 - c1 + k + 1))
 
-            logs = np.array([logp(k) for k in range(lo, hi + 1)])
-            probs = np.exp(logs - logs.max())
-            probs /= probs.sum()
-            seen = probs[a - lo]
-            return float(min(1.0, probs[probs <= seen * (1 + 1e-7)].sum()))
+            def log_steps(k, way, n):
+                """Log ratios of the ``n`` terms beyond k to the terms before them."""
+                at = k + np.arange(n, dtype="float64") * way
+                up, down = (at, at + 1) if way > 0 else (at - 1, at)
+                ratio = np.log(r1 - up) + np.log(c1 - up) - np.log(down) - np.log(r2 - c1 + down)
+                return ratio * way
+
+            def outward(k, way):
+                """Sum of the terms from k on, in units of the term at k."""
+                total, log_term, room = 1.0, 0.0, hi - k if way > 0 else k - lo
+                while room > 0:
+                    n = min(room, 4096)
+                    logs = log_term + np.cumsum(log_steps(k, way, n))
+                    total += float(np.exp(logs).sum())
+                    k, room, log_term = k + n * way, room - n, float(logs[-1])
+                    if np.exp(log_term) < 1e-18 * total:
+                        break
+                return total
+
+            mode = min(hi, max(lo, int((r1 + 1) * (c1 + 1) / (r1 + r2 + 2))))
+            whole = outward(mode, 1) + outward(mode, -1) - 1.0
+            if a == mode:
+                return 1.0
+            way, seen, k = (1 if a > mode else -1), 0.0, mode
+            while k != a:  # log of the observed term in units of the one at the mode
+                n = min(abs(a - k), 1 << 20)
+                seen += float(log_steps(k, way, n).sum())
+                k += n * way
+            total, log_term, k = outward(a, way), 0.0, mode
+            end = lo if way > 0 else hi
+            while k != end:  # on the other side, from the first term that is no likelier than the observed one
+                n = min(abs(end - k), 4096)
+                logs = log_term + np.cumsum(log_steps(k, -way, n))
+                rare = np.flatnonzero(logs <= seen + 1e-7)
+                if len(rare):
+                    at = k - way * (int(rare[0]) + 1)
+                    total += np.exp(float(logs[rare[0]]) - seen) * outward(at, -way)
+                    break
+                k, log_term = k - n * way, float(logs[-1])
+            return float(min(1.0, np.exp(seen) * total / whole))
 
         return pd.Series([one(*map(int, r)) for r in zip(a, b, c, d, strict=True)], dtype="float64")
 
@@ -476,10 +510,12 @@ def ols(
 
 
 def glm(df: DataFrame, y: str, xs: Sequence[str], family: str = "binomial") -> DataFrame:
-    """Logistic (binomial) or Poisson regression: estimates, errors and p values."""
-    data = VectorAssembler(inputCols=list(xs), outputCol="_f", handleInvalid="skip").transform(
-        df.filter(F.col(y).isNotNull()).withColumn("_y", F.col(y).cast("double"))
-    )
+    """Logistic (binomial) or Poisson regression: estimates, errors and p values.
+
+    The fit uses rows whose values are all known; ``features.left_out`` counts the others.
+    """
+    known = df.withColumn("_y", F.col(y).cast("double")).na.drop(subset=["_y", *xs])
+    data = VectorAssembler(inputCols=list(xs), outputCol="_f").transform(known)
     fit = GeneralizedLinearRegression(featuresCol="_f", labelCol="_y", family=family, maxIter=50).fit(data)
     s = fit.summary
     names = [*xs, "intercept"]
@@ -554,11 +590,11 @@ def psm_att(df: DataFrame, key: str, treated: str, y: str, xs: Sequence[str]) ->
     """Average effect on the treated by nearest propensity score, with replacement.
 
     Neighbours come from carrying the last and the next control along the score
-    order in value ranges: linear, no pairing of treated with all controls.
+    order in value ranges: linear, no pairing of treated with all controls. Rows with an
+    unknown value can't be scored; ``features.left_out`` counts them.
     """
-    data = VectorAssembler(inputCols=list(xs), outputCol="_f", handleInvalid="skip").transform(
-        df.withColumn("_t", F.col(treated).cast("double"))
-    )
+    known = df.withColumn("_t", F.col(treated).cast("double")).na.drop(subset=["_t", y, *xs])
+    data = VectorAssembler(inputCols=list(xs), outputCol="_f").transform(known)
     fit = LogisticRegression(featuresCol="_f", labelCol="_t", maxIter=50).fit(data)
     # score from the coefficients, in plain columns
     line = F.lit(float(fit.intercept))

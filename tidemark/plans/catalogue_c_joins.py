@@ -55,14 +55,15 @@ def _(t):
     "c5_key_by_period_spine",
     """SELECT s.c_mktsegment, CAST(m.period AS DATE) AS period, count(o_orderkey) AS n
        FROM (SELECT DISTINCT c_mktsegment FROM customer) s
-       CROSS JOIN (SELECT unnest(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2002-12-01', INTERVAL 1 MONTH)) AS period) m
+       CROSS JOIN (SELECT unnest(generate_series((SELECT date_trunc('month', min(o_orderdate))::TIMESTAMP FROM orders), (SELECT max(o_orderdate)::TIMESTAMP FROM orders), INTERVAL 1 MONTH)) AS period) m
        LEFT JOIN (SELECT c_mktsegment AS seg, date_trunc('month', o_orderdate) AS mon, o_orderkey
                   FROM orders JOIN customer ON o_custkey = c_custkey) o ON o.seg = s.c_mktsegment AND o.mon = m.period
        GROUP BY 1, 2""",
 )
 def _(t):
-    keys = t.customer.select("c_mktsegment").distinct()
-    spine = jn.cross_spine(keys, "1995-01-01", "2002-12-01", "1 month")
+    first, last = (t.orders.agg(F.trunc(f("o_orderdate"), "month")).scalar() for f in (F.min, F.max))
+    keys = t.customer.select("c_mktsegment").distinct().withColumns({"_first": first, "_last": last})
+    spine = jn.cross_spine(keys, "_first", "_last", "1 month").drop("_first", "_last")
     facts = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
     facts = facts.groupBy("c_mktsegment", fx.period("o_orderdate", "month").alias("period")).agg(F.count("*").alias("n"))
     return spine.join(facts, ["c_mktsegment", "period"], "left").fillna(0, ["n"])

@@ -113,7 +113,7 @@ def _(t):
 @query(
     "h12_currency_convert",
     """WITH rates AS (SELECT CAST(n_nationkey AS VARCHAR) AS ccy, m AS valid_from, CAST(1 + n_nationkey / 100.0 + month(m) / 1000.0 AS DECIMAL(10,3)) AS rate
-                      FROM nation, (SELECT unnest(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2001-12-01', INTERVAL 1 MONTH)) AS m))
+                      FROM nation, (SELECT unnest(generate_series((SELECT date_trunc('month', min(o_orderdate))::TIMESTAMP FROM orders), (SELECT max(o_orderdate)::TIMESTAMP FROM orders), INTERVAL 1 MONTH)) AS m))
        SELECT o_orderkey, CAST(round(CAST(o_totalprice AS DECIMAL(18,2)) * rate, 2) AS DOUBLE) AS converted FROM orders JOIN customer ON o_custkey = c_custkey
        JOIN rates ON ccy = CAST(c_nationkey AS VARCHAR) AND valid_from = date_trunc('month', o_orderdate)""",
 )
@@ -121,7 +121,8 @@ def _(t):
     from tidemark.operators.business import convert
     from tidemark.operators.joins import cross_spine
 
-    rates = cross_spine(t.nation, "1995-01-01", "2001-12-01", "1 month", "m")
+    first, last = (t.orders.agg(F.trunc(f("o_orderdate"), "month")).scalar() for f in (F.min, F.max))
+    rates = cross_spine(t.nation.withColumns({"_first": first, "_last": last}), "_first", "_last", "1 month", "m")
     rates = rates.select(
         F.col("n_nationkey").cast("string").alias("ccy"),
         F.col("m").cast("timestamp_ntz").alias("valid_from"),

@@ -133,16 +133,44 @@ def _(t):
     return pf.check_range(t.lineitem, {"l_quantity": (5, 45), "l_returnflag": (0, 1), "l_tax": (None, 0.07)})
 
 
+def _outliers(column):
+    return f"""SELECT 'warn' AS severity, 'numeric_outliers' AS rule, '{column}' AS "column" FROM h, (SELECT quantile_cont({column}, 0.25) AS a, quantile_cont({column}, 0.75) AS b FROM h) q
+        HAVING count(*) FILTER ({column} < a - 1.5 * (b - a) OR {column} > b + 1.5 * (b - a)) > 0"""
+
+
+ISSUES_SQL = PROFILE_SQL + ", i AS (" + union(
+    [
+        """SELECT 'warn' AS severity, 'completeness_below_threshold' AS rule, "column" FROM p WHERE completeness < 0.7""",
+        """SELECT 'info', 'pk_candidate', "column" FROM p WHERE unique_ratio >= 0.999 AND total_rows > 1 AND nulls = 0""",
+        *[_outliers(c) for c in ("o_orderkey", "o_custkey", "o_totalprice")],
+        """SELECT 'warn', 'datetime_gap', 'o_orderdate' FROM (SELECT o_orderdate AS a, lead(o_orderdate) OVER (ORDER BY o_orderdate) AS b FROM h) g HAVING count(*) FILTER (b - a > INTERVAL 12 HOUR) > 0""",
+        "SELECT 'warn', 'duplicate_rows', NULL FROM h HAVING count(*) > (SELECT count(*) FROM (SELECT DISTINCT * FROM h) u)",
+        "SELECT 'error', 'pk_not_unique', 'o_custkey' FROM h HAVING count(*) > count(DISTINCT o_custkey)",
+        "SELECT 'warn', 'range_violation', 'o_totalprice' FROM h HAVING count(*) FILTER (o_totalprice > 400000 OR o_totalprice < 0) > 0",
+        "SELECT 'error', 'range_column_missing', 'o_region'",
+        "SELECT 'error', 'range_config_error', 'o_orderkey'",
+    ]
+) + ")"
+
+
+def all_issues(t):
+    ranges = {"o_totalprice": (0, 400000), "o_region": (0, 1), "o_orderkey": ("low", 1)}
+    return pf.issues(holed(t), ranges, key=["o_custkey"], gap_hours=12)
+
+
+@query("i10_issues", ISSUES_SQL + " SELECT * FROM i")
+def _(t):
+    return all_issues(t).select("severity", "rule", "column")
+
+
 @query(
     "i10_gate",
-    PROFILE_SQL
-    + """, i AS (SELECT (SELECT count(*) FROM (SELECT 1 FROM h WHERE o_totalprice > 400000 OR o_totalprice < 0 LIMIT 1)) AS n_error,
-             (SELECT count(*) FROM p WHERE completeness < 0.7) AS n_warn,
-             (SELECT count(*) FROM p WHERE unique_ratio >= 0.999 AND total_rows > 1 AND nulls = 0) AS n_info)
-        SELECT n_error, n_warn, n_info, n_error = 0 AS passed FROM i""",
+    ISSUES_SQL
+    + """ SELECT count(*) FILTER (severity = 'error') AS n_error, count(*) FILTER (severity = 'warn') AS n_warn,
+             count(*) FILTER (severity = 'info') AS n_info, count(*) FILTER (severity = 'error') = 0 AS passed FROM i""",
 )
 def _(t):
-    return pf.gate(pf.issues(holed(t), {"o_totalprice": (0, 400000)}))
+    return pf.gate(all_issues(t))
 
 
 @query(

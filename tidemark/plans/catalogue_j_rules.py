@@ -348,6 +348,84 @@ def _(t):
     return contract_results(t).select("rule", "criticality", "observed_value", "passed")
 
 
+NESTED = """
+spec:
+  schema:
+    table:
+      schema: sales
+      table: orders
+      primaryKey: [o_orderkey]
+      foreignKeys:
+        - {column: o_custkey, references: sales.customer.c_custkey}
+    columns:
+      - {name: o_orderstatus, type: VARCHAR(1), required: true}
+  quality:
+    freshness:
+      - id: F-1
+        type: freshness
+        severity: warn
+        params: {timestampColumn: o_orderdate, loadedAtColumn: o_orderdate, toleranceMinutes: 90, percentagePass: 99}
+        checks: {max_allowed_failed: 100}
+      - id: F-2
+        type: partition_availability
+        severity: warn
+        params: {partitionColumn: o_orderdate, readyByTime: "06:30:00", loadedAtColumn: o_orderdate, lookbackDays: 30, expectedMinRowsPerPartition: 1}
+    schema:
+      - id: S-1
+        type: uniqueness
+        severity: error
+        params: {columns: [o_custkey]}
+        checks: {duplicate_count_max: 10000000}
+      - id: S-2
+        type: not_null
+        severity: error
+        params: {columns: [o_orderpriority]}
+        checks: {null_pct_per_column_max: 0.5}
+    distribution:
+      - id: D-1
+        type: grouped_statistical_range
+        severity: warn
+        params:
+          valueColumn: o_totalprice
+          groupByColumn: o_orderstatus
+          filterClause: "o_totalprice > 100000"
+          expectedRanges: {F: {minMean: 200000, maxMean: 400000, minRowsPerGroup: 100}}
+    custom:
+      - id: C-1
+        type: custom_sql
+        severity: error
+        params: {sql: "SELECT count(*) AS bad FROM orders JOIN customer c ON o_custkey = c.c_custkey WHERE orders.o_totalprice > 499000"}
+        checks: {failed_rows_max: 50}
+      - id: C-2
+        type: custom_sql
+        severity: warn
+        params: {sql: "SELECT count(DISTINCT o_custkey) AS affected FROM sales.orders WHERE o_totalprice > 490000", entityColumn: o_custkey}
+        checks: {affected_entity_pct_max: 20.0}
+"""
+
+NESTED_SQL = """
+SELECT 'not_null:o_orderstatus' AS rule, 'critical' AS criticality, round(100.0 * count(*) FILTER (o_orderstatus IS NULL) / count(*), 6)::DOUBLE AS observed_value, count(*) = count(o_orderstatus) AS passed FROM orders
+UNION ALL SELECT 'max_length:o_orderstatus', 'critical', round(100.0 * count(*) FILTER (length(o_orderstatus) > 1) / count(*), 6)::DOUBLE, count(*) FILTER (length(o_orderstatus) > 1) = 0 FROM orders
+UNION ALL SELECT 'not_null:o_orderkey', 'critical', 0.0::DOUBLE, count(*) = count(o_orderkey) FROM orders
+UNION ALL SELECT 'unique:o_orderkey', 'critical', (count(*) - count(DISTINCT o_orderkey))::DOUBLE, count(*) = count(DISTINCT o_orderkey) FROM orders
+UNION ALL SELECT 'foreign_key:o_custkey', 'critical', count(*)::DOUBLE, count(*) = 0 FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)
+UNION ALL SELECT 'freshness:o_orderdate', 'important', 0.0::DOUBLE, true
+UNION ALL SELECT 'partition_ready:o_orderdate', 'important', (30 - count(DISTINCT CAST(o_orderdate AS DATE)))::DOUBLE, count(DISTINCT CAST(o_orderdate AS DATE)) = 30 FROM orders
+  WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1996-01-31'
+UNION ALL SELECT 'unique:o_custkey', 'critical', (count(*) - count(DISTINCT o_custkey))::DOUBLE, count(*) - count(DISTINCT o_custkey) <= 10000000 FROM orders
+UNION ALL SELECT 'not_null:o_orderpriority', 'critical', round(100.0 * count(*) FILTER (o_orderpriority IS NULL) / count(*), 6)::DOUBLE, count(*) FILTER (o_orderpriority IS NULL) <= 0.005 * count(*) FROM orders
+UNION ALL SELECT 'group_mean:o_totalprice', 'important', (NOT (avg(o_totalprice) BETWEEN 200000 AND 400000 AND count(*) >= 100))::INT::DOUBLE, avg(o_totalprice) BETWEEN 200000 AND 400000 AND count(*) >= 100 FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000
+UNION ALL SELECT 'C-1', 'critical', count(*)::DOUBLE, count(*) <= 50 FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 499000
+UNION ALL SELECT 'C-2', 'important', (100.0 * count(DISTINCT o_custkey) FILTER (o_totalprice > 490000) / count(DISTINCT o_custkey))::DOUBLE, 100.0 * count(DISTINCT o_custkey) FILTER (o_totalprice > 490000) <= 20 * count(DISTINCT o_custkey) FROM orders
+"""
+
+
+@query("j22_contract_nested", NESTED_SQL)
+def _(t):
+    rules = contract.rules_from_contract(NESTED, "1996-01-01")
+    return r.run_suite({"orders": t.orders, "customer": t.customer}, rules, NOW).select("rule", "criticality", "observed_value", "passed")
+
+
 @query("j23_results_table", f"SELECT rule, passed, TIMESTAMP '2024-02-01' AS checked_at, 'orders' AS \"table\" FROM ({CONTRACT_SQL})")
 def _(t):
     path = new_path(t.spark, "dq_results")

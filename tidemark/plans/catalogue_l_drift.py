@@ -8,17 +8,19 @@ from tidemark.plans.registry import query
 from tidemark.plans.sqltext import union
 
 DEC = "DECIMAL(18,2)"
-A, B = "l_shipdate < TIMESTAMP '1998-01-01'", "l_shipdate >= TIMESTAMP '1998-01-01' AND l_quantity > 5"
+A, B = "l_shipdate < TIMESTAMP '1998-01-01'", "l_shipdate >= TIMESTAMP '1998-01-01'"
+RAISED = "CASE WHEN l_quantity <= 5 THEN l_extendedprice + 5000 ELSE l_extendedprice END"
+RENAMED = "CASE WHEN l_quantity <= 5 THEN 'R' ELSE l_returnflag END"
 
 
 def pair(t):
-    """Line prices before 1998 against later lines of more than five pieces."""
+    """Line prices before 1998 against later ones, of which small orders cost more and count as returned."""
     cut = F.lit("1998-01-01").cast("timestamp_ntz")
-    a = t.lineitem.filter(F.col("l_shipdate") < cut)
-    return a, t.lineitem.filter((F.col("l_shipdate") >= cut) & (F.col("l_quantity") > 5))
+    later = t.lineitem.filter(F.col("l_shipdate") >= cut)
+    return t.lineitem.filter(F.col("l_shipdate") < cut), later.withColumns({"l_extendedprice": F.expr(RAISED), "l_returnflag": F.expr(RENAMED)})
 
 
-PAIR = f"a AS (SELECT l_extendedprice AS v, l_returnflag AS f FROM lineitem WHERE {A}), b AS (SELECT l_extendedprice AS v, l_returnflag AS f FROM lineitem WHERE {B})"
+PAIR = f"a AS (SELECT l_extendedprice AS v, l_returnflag AS f FROM lineitem WHERE {A}), b AS (SELECT {RAISED} AS v, {RENAMED} AS f FROM lineitem WHERE {B})"
 
 
 @query(
@@ -47,7 +49,7 @@ def _(t):
     "l2_psi_categorical",
     f"""WITH {PAIR}, g AS (SELECT f, count(*) FILTER (is_a)::DOUBLE / (SELECT count(*) FROM a) AS e, count(*) FILTER (NOT is_a)::DOUBLE / (SELECT count(*) FROM b) AS p
               FROM (SELECT f, true AS is_a FROM a UNION ALL SELECT f, false FROM b) GROUP BY 1)
-        SELECT round(sum((p - e) * ln(p / e)), 10) AS psi, 'low' AS band FROM g""",
+        SELECT round(sum((p - e) * ln(p / e)), 10) AS psi, CASE WHEN sum((p - e) * ln(p / e)) < 0.1 THEN 'low' WHEN sum((p - e) * ln(p / e)) <= 0.25 THEN 'moderate' ELSE 'high' END AS band FROM g""",
 )
 def _(t):
     return dr.psi_cat(*pair(t), "l_returnflag").withColumn("psi", F.round("psi", 10))
@@ -116,7 +118,7 @@ def _(t):
     "l7_band_check",
     union(
         f"""SELECT '{c}' AS "column", n.p50, round(n.m, 6) AS mean, b.q1 AS base_p25, b.q3 AS base_p75, round(b.m, 6) AS base_mean, n.p50 BETWEEN b.q1 AND b.q3 AS median_in_band, abs(n.m - b.m) <= 0.05 * abs(b.m) AS mean_within_5pct
-            FROM (SELECT round(quantile_cont({c}, 0.5), 6) AS p50, avg({c}) AS m FROM lineitem WHERE {B}) n, (SELECT round(quantile_cont({c}, 0.25), 6) AS q1, round(quantile_cont({c}, 0.75), 6) AS q3, avg({c}) AS m FROM lineitem WHERE {A}) b"""
+            FROM (SELECT round(quantile_cont({c}, 0.5), 6) AS p50, avg({c}) AS m FROM (SELECT * REPLACE ({RAISED} AS l_extendedprice) FROM lineitem) WHERE {B}) n, (SELECT round(quantile_cont({c}, 0.25), 6) AS q1, round(quantile_cont({c}, 0.75), 6) AS q3, avg({c}) AS m FROM lineitem WHERE {A}) b"""
         for c in COLS
     ),
 )
@@ -178,12 +180,12 @@ def _(t):
 
 @query(
     "l11_volume_anomaly",
-    f"""WITH c AS (SELECT CAST(l_shipdate AS DATE) AS day, count(*) AS n FROM lineitem WHERE l_quantity = 7 GROUP BY 1), s AS (SELECT CAST(unnest(generate_series((SELECT min(day)::TIMESTAMP FROM c), (SELECT max(day)::TIMESTAMP FROM c), INTERVAL 1 DAY)) AS DATE) AS day),
+    f"""WITH c AS (SELECT CAST(l_shipdate AS DATE) AS day, count(*) AS n FROM lineitem GROUP BY 1), s AS (SELECT CAST(unnest(generate_series((SELECT min(day)::TIMESTAMP FROM c), (SELECT max(day)::TIMESTAMP FROM c), INTERVAL 1 DAY)) AS DATE) AS day),
              f AS (SELECT day, coalesce(n, 0) AS n FROM s LEFT JOIN c USING (day)), w AS (SELECT day, n, avg(n) OVER x AS mean, stddev_samp(n) OVER x AS sd FROM f WINDOW x AS (ORDER BY {DN} RANGE BETWEEN 30 PRECEDING AND 1 PRECEDING))
         SELECT day, n, round(mean, 6) AS mean, round(sd, 6) AS sd, CASE WHEN n = 0 THEN 'empty' WHEN n >= 10 * mean THEN 'tenfold' WHEN abs(n - mean) > 3 * sd THEN 'outside_band' ELSE 'ok' END AS flag FROM w""",
 )
 def _(t):
-    counts = t.lineitem.filter("l_quantity = 7").groupBy(F.col("l_shipdate").cast("date").alias("day")).agg(F.count("*").alias("n"))
+    counts = t.lineitem.groupBy(F.col("l_shipdate").cast("date").alias("day")).agg(F.count("*").alias("n"))
     out = dr.volume_anomaly(counts, "day", "n")
     return out.withColumns({"mean": F.round("mean", 6), "sd": F.round("sd", 6)})
 

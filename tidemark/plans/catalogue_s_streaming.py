@@ -9,7 +9,7 @@ from tidemark.streaming import streams as ss
 
 
 def stream(t):
-    return ss.read_events_stream(t.spark, t.folder, t.events.schema, "events.parquet")
+    return ss.read_events_stream(t.spark, t.path("events"), t.events.schema)
 
 
 @query("s1_dedup_stream", "SELECT event_id, user_id, event_type FROM events")

@@ -14,11 +14,16 @@ from tidemark.session import new_path
 def read_events_stream(
     spark: SparkSession, path: str, schema: T.StructType | str, glob: str | None = None, files_per_batch: int = 1000
 ) -> DataFrame:
-    """File-based event source; a broker source only changes ``format`` and options."""
+    """File-based event source; a broker source only changes ``format`` and options.
+
+    ``path`` is a folder of files or one file. The reader takes a plain path for a
+    folder only, so the last character is made a pattern, which fits either.
+    """
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.parquet(path)
+    path = path.rstrip("/")
+    return reader.parquet(path if "*" in path else f"{path[:-1]}[{path[-1]}]")
 
 
 def read_kafka_stream(spark: SparkSession, servers: str, topic: str, schema: T.StructType | str) -> DataFrame:
@@ -99,7 +104,7 @@ def route_late(df: DataFrame, event: str, load: str, allowed_hours: float, base:
 
 
 def enrich_stream(df: DataFrame, dim: DataFrame, on: str, key: str) -> DataFrame:
-    """Stream-static left join; the dimension is read again for every batch."""
+    """Stream-static left join; the dimension's list of files is that of the frame given."""
     return df.join(dim, F.col(on) == F.col(key), "left")
 
 
@@ -112,7 +117,7 @@ def pair_streams(a: DataFrame, b: DataFrame, on: str, a_ts: str, b_ts: str, with
 
 
 def cycles_stream(
-    df: DataFrame, key: str, ts: str, kind: str, start: str, end: str, order: Sequence[str], base: str, timeout: str = "30 days"
+    df: DataFrame, key: str, ts: str, kind: str, start: str, end: str, order: Sequence[str], base: str, timeout: str | None = None
 ) -> str:
     """Start-end pairing per entity across micro-batches; returns the path of closed cycles.
 
@@ -120,8 +125,9 @@ def cycles_stream(
     Each batch pairs its events together with the open starts in the same
     distributed way as the batch operator (a busy entity is spread over tasks),
     writes the cycles that closed and the next state, both under the batch number,
-    so a replay reads the same old state and rewrites the same folders. An open
-    start older than ``timeout`` is given up. Batches must not go back in time.
+    so a replay reads the same old state and rewrites the same folders. Open starts
+    are kept for ever, or with ``timeout`` given up once they are older and written
+    to ``given_up`` below ``base``. Batches must not go back in time.
     """
     from tidemark.operators.business import build_cycles
 
@@ -148,11 +154,14 @@ def cycles_stream(
         _write_batch(pairs.filter("ended_at IS NOT NULL"), closed, batch_id)
         last = pairs.groupBy(key).agg(F.max_by(F.struct("cycle_no", "started_at", "ended_at"), "cycle_no").alias("_l"))
         both = old.join(last, F.col("_k") == F.col(key), "full")
-        limit = events.agg(F.max(ts)).scalar() - F.expr(f"INTERVAL {timeout}")
         opened = F.when(F.col("_l").isNull(), F.col("_open")).when(F.col("_l.ended_at").isNull(), F.col("_l.started_at"))
         state = both.select(F.coalesce("_k", key).alias("_k"), F.coalesce("_l.cycle_no", "_no").alias("_no"), opened.alias("_open"))
-        fresh = F.when(F.col("_open") >= F.coalesce(limit, F.col("_open")), F.col("_open"))
-        _write_batch(state.withColumn("_open", fresh), states, batch_id)
+        if timeout is not None:
+            limit = events.agg(F.max(ts)).scalar() - F.expr(f"INTERVAL {timeout}")
+            old_start = F.coalesce(F.col("_open") < limit, F.lit(False))
+            _write_batch(state.filter(old_start), f"{base}/given_up", batch_id)
+            state = state.withColumn("_open", F.when(~old_start, F.col("_open")))
+        _write_batch(state, states, batch_id)
 
     run_batches(df, handle, f"{base}/checkpoint")
     return closed
