@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.columns import col_of, micros, money, period, safe_div
@@ -108,25 +107,26 @@ def cohort_retention(orders: DataFrame, customer: str, date: str, amount: str) -
 
 
 def market_basket(lines: DataFrame, basket: str, item: str, min_support: float) -> DataFrame:
-    """Item pairs with support, confidence and lift, by FP-growth.
+    """Item pairs with support, confidence and lift.
 
-    Frequent-pattern trees never list all pairs of a basket. ``min_support`` is a
-    share of baskets, so the frequent items number at most
-    (average basket size / min_support) however large the data is.
+    Only pairs of frequent items are counted, beside each basket and then over all.
+    ``min_support`` is a share of baskets, so the frequent items number at most
+    (average basket size / min_support) however large the data or a basket is. A basket
+    unfolds by its first item first, so no row holds all its pairs.
     """
     pairs = settle(lines.select(basket, F.col(item).cast("string").alias("_i")).distinct(), "basket-items")
     n = pairs.agg(F.count_distinct(F.col(basket)).alias("n")).first()["n"]  # one number
     frequent = pairs.groupBy("_i").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= min_support * n)
     frequent = settle(frequent, "frequent-items")
     useful = pairs.join(frequent.select("_i"), "_i", "left_semi")
-    baskets = settle(useful.groupBy(basket).agg(F.collect_set("_i").alias("items")), "baskets")  # frequent items only
-    share = min_support * n / max(1, baskets.count()) * (1 - 1e-9)  # rounding must not lose a pair
-    sets = FPGrowth(itemsCol="items", minSupport=min(1.0, share), minConfidence=1.0).fit(baskets).freqItemsets
-    two = sets.filter((F.size("items") == 2) & (F.col("freq") >= min_support * n)).select(F.array_sort("items").alias("p"), "freq")
+    baskets = useful.groupBy(basket).agg(F.array_sort(F.collect_set("_i")).alias("items"))  # frequent items only
+    firsts = baskets.select("items", F.posexplode("items").alias("_at", "item_a"))
+    rest = F.slice("items", F.col("_at") + 2, F.size("items"))
+    counted = firsts.select("item_a", F.explode(rest).alias("item_b")).groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("n_baskets"))
+    out = counted.filter(F.col("n_baskets") >= min_support * n)
     one = frequent.select("_i", "c")
     a = one.withColumnsRenamed({"_i": "item_a", "c": "_ca"})
     b = one.withColumnsRenamed({"_i": "item_b", "c": "_cb"})
-    out = two.select(F.col("p")[0].alias("item_a"), F.col("p")[1].alias("item_b"), F.col("freq").alias("n_baskets"))
     out = out.join(a, "item_a").join(b, "item_b")
     return out.select(
         "item_a", "item_b", "n_baskets", (F.col("n_baskets") / F.lit(n)).alias("support"),

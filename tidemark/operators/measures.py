@@ -151,11 +151,11 @@ def balances(moves: DataFrame, entity: str, date: str, val: Column | str, unit:
 
 def calc_group(df: DataFrame, by: Sequence[str], date: str, measures: Sequence[str]) -> DataFrame:
     """Every measure with its variants (current, YTD, prior year, YoY %) in long form."""
-    out = df
+    priors = [F.max_by(m, date).alias(f"{m}|prior_year") for m in measures]
+    out = _lookup(df, df.groupBy(*by, F.add_months(F.col(date), 12).alias("_d")).agg(*priors), by, date)
     names = []
     for m in measures:
-        prior = df.groupBy(*by, F.add_months(F.col(date), 12).alias("_d")).agg(F.max_by(m, date).alias(f"{m}|prior_year"))
-        out = _lookup(to_date(out, by, date, m, "year", out=f"{m}|ytd"), prior, by, date)
+        out = to_date(out, by, date, m, "year", out=f"{m}|ytd")
         out = out.withColumn(f"{m}|yoy_pct", pct_change(F.col(m), F.col(f"{m}|prior_year")))
         out = out.withColumn(f"{m}|current", F.col(m))
         names += [f"{m}|{v}" for v in ("current", "ytd", "prior_year", "yoy_pct")]

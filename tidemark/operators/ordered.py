@@ -2,65 +2,33 @@
 
 Ranks, running sums, exact quantiles and neighbour rows all need a global (or
 per-key) order. A plain window would push one whole key - or the whole table -
-through one task. Here the ordering column is cut into value ranges first; each
-range is windowed on its own and a small per-range table carries totals or edge
-rows across the cuts. The cuts only balance work: results are exact for any cuts.
+through one task. Here the rows are dealt into ranges of (key, order, hash of the row),
+so ties are split too; each range is windowed on its own and a small per-range table
+carries totals or edge rows across the cuts. The dealt rows are written once and read
+twice: the input is evaluated once, and both readings see the same values.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from tidemark.session import shuffle_width
+from tidemark.session import settle, shuffle_width
 
-BUCKET, PART = "_bucket", "_part"
-
-
-def _position(df: DataFrame, col: str) -> Column:
-    """A double that never decreases as ``col`` grows."""
-    kind = df.schema[col].dataType
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return F.unix_micros(F.col(col).cast("timestamp")).cast("double")
-    if isinstance(kind, T.StringType):
-        # six bytes after the prefix that the smallest and the largest value share
-        ends = df.agg(F.hex(F.min(col)).alias("lo"), F.hex(F.max(col)).alias("hi")).first()
-        lo, hi = ends["lo"] or "", ends["hi"] or ""
-        same = next((i for i, (x, y) in enumerate(zip(lo, hi, strict=False)) if x != y), min(len(lo), len(hi)))
-        tail = F.rpad(F.substring(F.hex(col), same + 1, 12), 12, "0")
-        return F.conv(tail, 16, 10).cast("double")
-    return F.col(col).cast("double")
-
-
-def _cut_points(positions: DataFrame, n: int) -> list[float]:
-    """At most ``n - 1`` interior cuts (a bounded driver-side array)."""
-    shares = [i / n for i in range(1, n)]
-    row = positions.filter("p IS NOT NULL").agg(F.percentile_approx("p", shares, max(1000, 4 * n)).alias("c")).first()
-    return sorted({float(x) for x in (row.c or []) if x == x and abs(x) != float("inf")})
-
-
-def add_bucket(df: DataFrame, col: str, buckets: int | None = None) -> DataFrame:
-    """Add ``_bucket``, a monotone range number of ``col`` (NULL sorts first)."""
-    n = buckets or shuffle_width(df.sparkSession)
-    position = _position(df, col)
-    cuts = _cut_points(df.select(position.alias("p")), n)
-    if not cuts:
-        return df.withColumn(BUCKET, F.lit(0))
-    splits = [-float("inf"), *cuts, float("inf")]
-    cutter = Bucketizer(splits=splits, inputCol="_pos", outputCol="_cut", handleInvalid="keep")
-    marked = cutter.transform(df.withColumn("_pos", position))
-    return marked.withColumn(BUCKET, F.coalesce(F.col("_cut").cast("int"), F.lit(-1))).drop("_pos", "_cut")
+BUCKET, PART, TIE = "_bucket", "_part", "_tie"
 
 
 def _cut_rows(df: DataFrame, by: Sequence[str], order: Sequence[str], buckets: int | None) -> DataFrame:
-    """Rows with ``_part``: key columns and value range as one struct.
+    """Rows with ``_part``, key columns and range number as one struct, and ``_tie``, which ends the order.
 
     Struct equality treats NULL fields as equal, so one plain equi key serves the
-    window, the per-range aggregate and the join back; the rows are shuffled once.
+    window, the per-range aggregate and the join back.
     """
-    cut = add_bucket(df, order[0], buckets)
+    n = buckets or shuffle_width(df.sparkSession, df)
+    plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    dealt = df.withColumn(TIE, F.xxhash64(*plain)).repartitionByRange(n, *by, *order, TIE)
+    cut = settle(dealt.withColumn(BUCKET, F.spark_partition_id()), "ranges")
     return cut.withColumn(PART, F.struct(*by, BUCKET)).drop(BUCKET)
 
 
@@ -75,7 +43,7 @@ def _earlier(by: Sequence[str]):
 
 def _attach(rows: DataFrame, side: DataFrame) -> DataFrame:
     """Join the per-range table back; the rows keep their partitioning."""
-    return rows.join(side, PART, "left").drop(PART)
+    return rows.join(side, PART, "left").drop(PART, TIE)
 
 
 def running_sums(
@@ -92,7 +60,7 @@ def running_sums(
     """
     totals = dict(totals or {})
     cut = _cut_rows(df, by, order, buckets)
-    within = W.partitionBy(PART).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    within = W.partitionBy(PART).orderBy(*order, TIE).rowsBetween(W.unboundedPreceding, 0)
     rows = cut.select("*", *[F.sum(c).over(within).alias(o) for o, c in sums.items()])
     per_range = cut.groupBy(PART).agg(
         *[F.sum(c).alias(f"_s_{o}") for o, c in sums.items()],
@@ -116,7 +84,7 @@ def running_min(
 ) -> DataFrame:
     """Smallest value up to and including each row, in order."""
     cut = _cut_rows(df, by, order, buckets)
-    within = W.partitionBy(PART).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    within = W.partitionBy(PART).orderBy(*order, TIE).rowsBetween(W.unboundedPreceding, 0)
     rows = cut.withColumn(out, F.min(col).over(within))
     carried = cut.groupBy(PART).agg(F.min(col).alias("_m")).select(PART, F.min("_m").over(_earlier(by)).alias("_o"))
     return _attach(rows, carried).withColumn(out, F.least(out, "_o")).drop("_o")
@@ -134,7 +102,7 @@ def neighbour(
     if step not in (-1, 1):
         raise ValueError("step must be -1 or 1")
     cut = _cut_rows(df, by, order, buckets)
-    within = W.partitionBy(PART).orderBy(*order)
+    within = W.partitionBy(PART).orderBy(*order, TIE)
     shift = F.lag if step < 0 else F.lead
     edge = F.max_by if step < 0 else F.min_by
     rows = cut.select(
@@ -143,7 +111,7 @@ def neighbour(
         *[shift(F.col(c)).over(within).alias(o) for o, c in cols.items()],
     )
     tail = cut.groupBy(PART).agg(
-        edge(F.struct(*[F.col(c).alias(o) for o, c in cols.items()]), F.struct(*order)).alias("_t")
+        edge(F.struct(*[F.col(c).alias(o) for o, c in cols.items()]), F.struct(*order, TIE)).alias("_t")
     )
     carried = tail.select(PART, shift(F.col("_t")).over(_key_window(by)).alias("_c"))
     out = _attach(rows, carried)
@@ -160,9 +128,9 @@ def carry_forward(
 ) -> DataFrame:
     """Last non-NULL value up to and including each row, in order."""
     cut = _cut_rows(df, by, order, buckets)
-    within = W.partitionBy(PART).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    within = W.partitionBy(PART).orderBy(*order, TIE).rowsBetween(W.unboundedPreceding, 0)
     rows = cut.select("*", *[F.last(c, ignorenulls=True).over(within).alias(o) for o, c in cols.items()])
-    key = F.struct(*order)
+    key = F.struct(*order, TIE)
     tail = cut.groupBy(PART).agg(
         *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), key)).alias(f"_t_{o}") for o, c in cols.items()]
     )

@@ -61,9 +61,14 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def shuffle_width(spark: SparkSession) -> int:
-    """Number of range buckets to cut ordered work into: one per shuffle task."""
-    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def shuffle_width(spark: SparkSession, df: DataFrame | None = None, target: int = 64 << 20) -> int:
+    """Number of ranges to cut ordered work into: one per shuffle task, fewer for a table
+    that the planner knows to be small (``target`` bytes a range)."""
+    tasks = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if df is None:
+        return tasks
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(8, min(tasks, size // target + 1))
 
 
 def bench_master() -> str:
