@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import ordered as od
 
@@ -83,3 +84,19 @@ def test_empty_and_single(spark):
     one = spark.createDataFrame([(1, None, 7.0, 2)], SCHEMA)
     assert od.exact_quantiles(one, "v", {"m": 0.5}).first()["m"] == 7.0
     assert od.neighbour(one, ["k"], ["v"], {"o": "id"}).first()["o"] is None
+
+
+@pytest.mark.parametrize("kind", ["ties", "strings"])
+def test_ranges_are_even(spark, kind):
+    """Neither 80 % ties nor one outlying string puts more than twice the mean into a range."""
+    n = 40_000
+    if kind == "ties":
+        df = spark.range(n).select("id", F.when(F.col("id") % 5 < 4, 1).otherwise(F.col("id")).alias("v"))
+    else:
+        df = spark.range(n).select("id", F.concat(F.lit("https://example.org/a/long/prefix/"), F.col("id").cast("string")).alias("v"))
+        df = df.unionByName(spark.createDataFrame([(-1, "A"), (-2, "z")], "id long, v string"))
+    cut = od._cut_rows(df, [], ["v"], 20)
+    sizes = [r.n for r in cut.groupBy(f"{od.PART}.{od.BUCKET}").agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 20 and max(sizes) <= 2 * sum(sizes) / 20
+    run = od.running_sums(df.withColumn("one", F.lit(1)), ["v"], {"r": "one"}, buckets=20)
+    assert run.select("r").distinct().count() == df.count() == run.agg(F.max("r")).first()[0]

@@ -167,3 +167,30 @@ def test_change_contribution(spark):
     got = {x.component: x for x in bz.change_contribution(df, F.col("p") == 1, cols).collect()}
     assert got["c0"].pct_of_change == pytest.approx(100 * 7.3 / 12.8)
     assert sum(x.pct_of_change for x in got.values()) == pytest.approx(100)
+
+
+def test_contract_keys_that_no_rule_takes_raise():
+    head = "tables: [{name: t, quality: {a: [{id: X, type: "
+    for body in (
+        "uniqueness, params: {columns: [k], filterClause: 'k > 0'}}]}}]",
+        "not_null, params: {columns: [k]}, checks: {duplicate_count_max: 3}}]}}]",
+        "partition_availability, params: {partitionColumn: d, readyByTime: '06:30:00', lookbackDays: 1, expectedMinRowsPerPartition: 1}}]}}]",
+    ):
+        with pytest.raises(ValueError):
+            contract.rules_from_contract(head + body, "2024-01-01")
+
+
+def test_partition_ready_by_time(spark):
+    rows = [("2024-01-01 10:00:00", "2024-01-02 06:00:00"), ("2024-01-02 10:00:00", "2024-01-03 06:31:00")]
+    df = spark.createDataFrame(rows, "d string, l string").select(*[F.col(c).cast("timestamp_ntz").alias(c) for c in "dl"])
+    for ready, want in ((None, 0.0), ("06:30:00", 1.0), ("07:00:00", 0.0)):
+        rule = r.partition_ready("d", 1, "2024-01-01", 2, loaded="l", ready_by=ready)
+        assert rule.build({}, df).first()["observed_value"] == want
+
+
+def test_custom_sql_over_plain_and_qualified_names(spark):
+    t = spark.createDataFrame([(1, 5), (2, 50), (2, 60)], "k int, v int")
+    for sql in ("SELECT count(*) FROM t WHERE t.v > 10", "WITH x AS (SELECT * FROM gold.t) SELECT count(*) FROM x WHERE v > 10", "SELECT count(*) FROM {t} WHERE v > 10"):
+        assert r.custom_sql("q", sql, 1).build({"t": t, "other": t}, t).first()["observed_value"] == 2.0
+    share = r.custom_sql("q", "SELECT count(DISTINCT k) FROM t WHERE v > 10", max_pct=50.0, entity="k").build({"t": t}, t).first()
+    assert share["observed_value"] == 50.0 and share["passed"]

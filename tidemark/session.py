@@ -28,6 +28,17 @@ def get_spark(app: str = "tidemark", master: str | None = None, **conf: str) ->
     return builder.getOrCreate()
 
 
+def show_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it.
+
+    It serves drivers started elsewhere; a cluster has the package installed or shipped.
+    """
+    root, held = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), spark.sparkContext.environment
+    paths = [p for p in held.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        held["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach for written tables and checkpoints.
 
