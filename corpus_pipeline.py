@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontaminate, neardup, packing, pii, quality
-from tidemark.session import settle
+from tidemark.session import settle, show_package
 
 ORACLE_SQL = None  # fitted quality, near-duplicates and token ids are beyond SQL; tests compare with brute force
 
@@ -52,6 +52,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each one's result is written and read again."""
+    show_package(spark)
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     for name, stage in STAGES:
         docs = settle(stage(spark, docs, sf_dir), name)
