@@ -47,12 +47,19 @@ def _(t):
     return src.read_table(t.spark, t.path("events"), order_by=["ts", "event_id"], limit=100)
 
 
-@query("a5_key_sample")
+def _draw(key):
+    return f"('0x' || substr(md5(concat_ws('|', {key}, 7)), 1, 15))::BIGINT % 1000000"
+
+
+@query("a5_key_sample", f"SELECT * FROM events WHERE {_draw('user_id')} < 250000")
 def _(t):
     return src.sample(t.events, 0.25, by=["user_id"], seed=7)
 
 
-@query("a5_stratified_sample")
+@query(
+    "a5_stratified_sample",
+    f"SELECT * FROM orders WHERE {_draw('o_orderkey')} < CASE o_orderstatus WHEN 'F' THEN 500000 WHEN 'O' THEN 100000 ELSE 0 END",
+)
 def _(t):
     return src.sample_strata(t.orders, "o_orderstatus", {"F": 0.5, "O": 0.1}, ["o_orderkey"], seed=7)
 

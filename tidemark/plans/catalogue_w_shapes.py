@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as fx
+from tidemark.functions import distributions as ds
 from tidemark.operators import shapes as sh
 from tidemark.plans.registry import query
 
@@ -50,9 +51,32 @@ def _(t):
     return sh.bins2d(t.lineitem, "l_quantity", "l_extendedprice", 20)
 
 
-@query("w4_qq_points")
+def _ratio(top, bottom, x):
+    """A ratio of two polynomials as SQL text."""
+    def poly(coefficients):
+        out = "0.0::DOUBLE"
+        for c in coefficients:
+            out = f"({out} * {x} + ({c!r})::DOUBLE)"
+        return out
+
+    return f"{poly(top)} / {poly(bottom)}"
+
+
+# the published rational approximation of the normal quantile, in SQL
+MIDDLE = f"{_ratio(ds.QUANTILE_A, (*ds.QUANTILE_B, 1.0), '((p - 0.5) * (p - 0.5))')} * (p - 0.5)"
+LOW, HIGH = (_ratio(ds.QUANTILE_C, (*ds.QUANTILE_D, 1.0), f"sqrt(-2 * ln({q}))") for q in ("p", "1 - p"))
+
+
+@query(
+    "w4_qq_points",
+    f"""WITH q AS (SELECT i / 20.0::DOUBLE AS p FROM range(1, 20) AS r(i)), m AS (SELECT avg(o_totalprice) AS mu, stddev_samp(o_totalprice) AS sd FROM orders),
+             s AS (SELECT unnest(range(1, 20)) AS i, unnest((SELECT quantile_cont(o_totalprice, [{", ".join(str(i / 20) for i in range(1, 20))}]) FROM orders)) AS sample)
+        SELECT round(p, 6) AS p, round(sample, 6) AS sample, round(mu + sd * CASE WHEN p < 0.02425 THEN {LOW} WHEN p > 1 - 0.02425 THEN -({HIGH}) ELSE {MIDDLE} END, 4) AS theoretical
+        FROM q JOIN s ON s.i = round(q.p * 20), m""",
+)
 def _(t):
-    return sh.qq_points(t.orders, "o_totalprice", 19)
+    out = sh.qq_points(t.orders, "o_totalprice", 19)
+    return out.select(F.round("p", 6).alias("p"), F.round("sample", 6).alias("sample"), F.round("theoretical", 4).alias("theoretical"))
 
 
 @query(

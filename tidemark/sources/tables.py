@@ -55,22 +55,26 @@ def read_table(
     return df.orderBy(*order_by).limit(limit)
 
 
+DRAWS = 1_000_000
+
+
+def _draw(keys: Sequence[str], seed: int) -> Column:
+    """A number below DRAWS from the md5 of the keys, which other engines repeat."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys], F.lit(seed))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long") % DRAWS
+
+
 def sample(df: DataFrame, frac: float, by: Sequence[str] | None = None, seed: int = 42) -> DataFrame:
     """Keep ``frac`` of the keys (or rows): the same key is always in or always out."""
-    keys = list(by) if by else df.columns
-    buckets = 1_000_000
-    draw = F.pmod(F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)), F.lit(buckets))
-    return df.filter(draw < F.lit(round(frac * buckets)))
+    return df.filter(_draw(list(by) if by else df.columns, seed) < round(frac * DRAWS))
 
 
 def sample_strata(df: DataFrame, stratum: str, fractions: dict, key: Sequence[str], seed: int = 42) -> DataFrame:
     """Per-stratum keep rates; strata without a rate are left out."""
-    buckets = 1_000_000
-    draw = F.pmod(F.xxhash64(*[F.col(k) for k in key], F.lit(seed)), F.lit(buckets))
     rate = F.lit(0)
     for name, frac in fractions.items():
-        rate = F.when(F.col(stratum) == name, F.lit(round(frac * buckets))).otherwise(rate)
-    return df.filter(draw < rate)
+        rate = F.when(F.col(stratum) == name, F.lit(round(frac * DRAWS))).otherwise(rate)
+    return df.filter(_draw(key, seed) < rate)
 
 
 def land_bronze(df: DataFrame, path: str, source: str, batch_id: str, now: dt.datetime) -> None:
