@@ -10,7 +10,7 @@ from compare import compare, oracle
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import chat, checks, decontaminate, html_text, queries, secret_scan, shards
+from tidemark.llm import chat, checks, decontaminate, html_text, neardup, pii, queries, secret_scan, shards
 
 ITEM = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
 
@@ -42,9 +42,13 @@ def test_decontamination_edges(spark, make_docs):
 
 def test_decontamination_removes(spark, make_docs):
     items = benchmark(spark, [(1, ITEM)])
-    docs = make_docs([f"Before, this. {ITEM}! After (that).", "clean É text", None]).withColumn("_hash", F.lit("x"))
-    docs = docs.drop("_hash")
+    docs = make_docs([f"Before, this. {ITEM}! After (that).", "clean É text", None])
+    docs = docs.withColumns({c: F.lit("x") for c in ("_hash", "_id", "gram", "start", "_row", "_spans", "_gone", "component_id")})
+    for left in (decontaminate.drop_documents(docs, items), decontaminate.drop_spans(docs, items), neardup.drop_near_duplicates(docs), pii.scrub_documents(docs)):
+        assert left.columns == docs.columns and left.count() >= 2
     assert {r["doc_id"] for r in decontaminate.drop_documents(docs, items).collect()} == {1, 2}
+    placed = shards.place(docs.withColumn("shard", F.lit("old")), ["a"], 2)
+    assert placed.columns.count("shard") == 1 and placed.filter("shard = 'a'").count() == 3
     left = {r["doc_id"]: r for r in decontaminate.drop_spans(docs, items).collect()}
     assert left[0]["text"] == "Before, this. After (that)." and left[0]["n_chars"] == 27
     assert left[1]["text"] == "clean É text" and left[2]["text"] is None

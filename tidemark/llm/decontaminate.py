@@ -45,9 +45,10 @@ def item_windows(items: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataF
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """Docs with KEY columns in front; other columns keep their names."""
+    """KEY columns and ``_row`` with all columns of the documents, whatever their names."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id").alias("_id"), F.xxhash64(text).alias("_hash"), F.octet_length(text).alias("_bytes"), "*")
+    keys = [F.col("doc_id").alias("_id"), F.xxhash64(text).alias("_hash"), F.octet_length(text).alias("_bytes")]
+    return docs.select(*keys, F.struct(*docs.columns).alias("_row"))
 
 
 def find(docs: DataFrame, items: DataFrame, width: int = WIDTH, broadcast_rows: int = 200_000) -> tuple[DataFrame, DataFrame]:
@@ -55,7 +56,7 @@ def find(docs: DataFrame, items: DataFrame, width: int = WIDTH, broadcast_rows:
     grams, owners = item_windows(items, width)
     if grams.limit(broadcast_rows + 1).count() <= broadcast_rows:
         grams = F.broadcast(grams)
-    scanned = identified(docs.select("doc_id", "text")).select(*KEY, words(F.col("text")).alias("w"))
+    scanned = identified(docs.select("doc_id", "text")).select(*KEY, words(F.col("_row.text")).alias("w"))
     # the outer form: the planner would else split each text once more to leave out empty ones
     scanned = scanned.select(*KEY, "w", F.posexplode_outer("w").alias("at", "anchor"))
     met = scanned.join(grams, "anchor")
@@ -92,7 +93,8 @@ def report(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     hits, owners = find(docs, items, width)
     counts, names = covered(hits), listed(hits, owners)
     found = counts.join(names, same_key(counts, names), "left").select(*[counts[k] for k in KEY], "n_hit", "items")
-    rows = identified(docs.select("doc_id", "text")).select(*KEY, F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    n_words = F.size(words(F.col("_row.text"))).cast("long").alias("n_words")
+    rows = identified(docs.select("doc_id", "text")).select(*KEY, n_words)
     out = rows.join(found, same_key(rows, found), "left")
     items_ = F.coalesce(F.col("items"), F.array().cast("array<string>"))
     n_hit = F.coalesce(F.col("n_hit"), F.lit(0)).cast("long")
@@ -111,7 +113,7 @@ def drop_documents(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> Dat
     hits, _ = find(docs, items, width)
     marked = hits.select(*KEY).distinct()
     rows = identified(docs)
-    return rows.join(marked, same_key(rows, marked), "left_anti").drop(*KEY)
+    return rows.join(marked, same_key(rows, marked), "left_anti").select("_row.*")
 
 
 def drop_spans(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -122,10 +124,10 @@ def drop_spans(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFra
     hits, _ = find(docs, items, width)
     spans = hits.groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans"))
     rows = identified(docs)
-    joined = rows.join(spans, same_key(rows, spans), "left").select(*[rows[c] for c in rows.columns], "_spans")
-    text = F.col("text")
+    joined = rows.join(spans, same_key(rows, spans), "left").select("_row", "_spans")
+    text = F.col("_row.text")
     units = F.regexp_extract_all(text, F.lit(f"{RAW_WORD}+{RAW_GAP}*"), F.lit(0))
     lies = lambda i: F.exists("_spans", lambda s: (s["start"] <= i) & (i < s["end"]))
     left = F.concat(F.regexp_extract(text, f"^{RAW_GAP}*", 0), F.array_join(F.filter(units, lambda u, i: ~lies(i)), ""))
-    out = joined.withColumn("text", F.when(F.col("_spans").isNull(), text).otherwise(left)).drop(*KEY, "_spans")
+    out = joined.select(F.col("_row").withField("text", F.when(F.col("_spans").isNull(), text).otherwise(left)).alias("_row")).select("_row.*")
     return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out

@@ -60,7 +60,8 @@ def slot_of(key: Column, size: int) -> Column:
 
 
 def place(docs: DataFrame, shards: Sequence[str], size: int, key: str = "doc_id", fallback: Sequence[str] = ()) -> DataFrame:
-    """The rows with their slot and shard."""
+    """The rows with their slot and shard, which replace columns of these names."""
+    docs = docs.drop("slot", "shard")
     text = F.coalesce(F.col(key).cast("string"), F.concat_ws("|", F.lit("no key"), *[F.col(c).cast("string") for c in fallback]))
     table = table_frame(docs.sparkSession, shards, size)
     return docs.withColumn("slot", slot_of(text, size)).join(F.broadcast(table), "slot")
