@@ -223,7 +223,8 @@ def segment_compare(df: DataFrame, dims: Sequence[str], after: Column, measure:
 
 def build_legs(events: DataFrame, key: str, ts: str, place: str, order: Sequence[str] = ()) -> DataFrame:
     """Consecutive checkpoint pairs per entity with their duration."""
-    nxt = neighbour(events.select(key, ts, place, *order), [key], [ts, *order], {"to_place": place, "arrived_at": ts}, step=1)
+    used = dict.fromkeys([key, ts, place, *order])
+    nxt = neighbour(events.select(*used), [key], [ts, *order], {"to_place": place, "arrived_at": ts}, step=1)
     legs = nxt.filter(F.col("arrived_at").isNotNull())
     hours = (micros("arrived_at") - micros(ts)) / F.lit(3.6e9)
     return legs.select(key, F.col(place).alias("from_place"), "to_place", F.col(ts).alias("left_at"), "arrived_at", hours.alias("hours"))

@@ -39,6 +39,13 @@ def show_package(spark: SparkSession) -> None:
         held["PYTHONPATH"] = os.pathsep.join([root, *paths])
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Bound the memory of Python workers and Arrow buffers for tables of long texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach for written tables and checkpoints.
 
