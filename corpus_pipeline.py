@@ -10,18 +10,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontaminate, neardup, packing, pii, quality
-from tidemark.session import settle, show_package
+from tidemark.session import settle, show_package, small_batches
 
 ORACLE_SQL = None  # fitted quality, near-duplicates and token ids are beyond SQL; tests compare with brute force
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base test or whose quality is below one half go."""
+    small_batches(spark)
     return quality.keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, similarity 0.8) the smallest doc_id stays."""
+    small_batches(spark)
     return neardup.drop_near_duplicates(docs, width=5, percent=80)
 
 
@@ -33,11 +35,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and the terms that disclose it are replaced by their kind; all documents stay."""
+    small_batches(spark)
     return pii.scrub_documents(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of 4096: one row per piece of a document with its place."""
+    small_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
