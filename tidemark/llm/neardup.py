@@ -122,6 +122,7 @@ def features(docs: DataFrame, width: int) -> DataFrame:
                     ],
                     names=schema.names,
                 )
+        ragged.release()
 
     return docs.select("doc_id", "text").mapInArrow(compute, schema)
 
@@ -148,6 +149,7 @@ def entries(classes: DataFrame) -> DataFrame:
                     variant = ragged.mix(np.array([c * WIDTH + out + 1], dtype=np.uint64))[0]
                     key = ragged.mix(packed ^ variant)
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0)], names=schema.names)
+        ragged.release()
 
     return classes.select("id", "signature").mapInArrow(compute, schema)
 
@@ -197,6 +199,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(i).slice(first, n).filter(linked) for i in (0, 1)], names=schema.names
                 )
+        ragged.release()
 
     of = lambda name: texts.select(F.col("doc_id").alias(name), F.col("text").alias(f"t{name}"))
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ta", "tb").mapInArrow(compute, schema)
@@ -325,6 +328,8 @@ def remaining_links(index: DataFrame, classes: DataFrame, found: DataFrame, docs
             yield done
         if held is not None and held.num_rows:
             yield compare(held, True)[0]
+        held = None
+        ragged.release()
 
     return dealt.mapInArrow(compute, schema).groupBy("a", "b").agg(F.max("more").alias("more"))
 

@@ -161,6 +161,8 @@ def cut(docs: DataFrame, path: str, length: int = 4096, end_id: int = 1, with_id
                 if with_ids:
                     columns.append(pa.array(kept, pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
+        words.forget()
+        ragged.release()
 
     return docs.select("doc_id", "text").mapInArrow(pieces, schema)
 

@@ -269,6 +269,7 @@ def reporter(parts: list[np.ndarray]):
                 counts[KINDS.index(kind), row] += 1
             digests[row] = hashlib.sha256(_joined(fixed).encode()).hexdigest()
             spans[row] = _joined(sorted(fixed + extra, key=lambda x: (x[1], [*KINDS, "term"].index(x[0]))))
+        ragged.release()
         columns = [*[pa.array(c) for c in counts], pa.array(digests, pa.string()), pa.array(spans, pa.string())]
         return pa.StructArray.from_arrays(columns, names=REPORT.names)
 
@@ -288,6 +289,7 @@ def scrubber(parts: list[np.ndarray]):
                     pieces += [text[done:s], MASKS[kind]]
                 done = max(done, e)
             out[row] = "".join(pieces) + text[done:]
+        ragged.release()
         return pa.array(out, pa.string())
 
     return scrub

@@ -94,6 +94,7 @@ def count_features(texts: pa.Array) -> dict[str, np.ndarray]:
 def text_counts(texts: pa.Array) -> pa.Array:
     batch = pa.RecordBatch.from_arrays([texts], ["text"])
     parts = [count_features(piece) for _, _, piece in ragged.chunks(batch)]
+    ragged.release()
     columns = [pa.array(np.concatenate([p[c] for p in parts] or [np.zeros(0)]).astype(np.int64)) for c in COUNTS]
     return pa.StructArray.from_arrays(columns, names=list(COUNTS))
 

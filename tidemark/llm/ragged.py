@@ -7,13 +7,16 @@ Words are hashed to 64 bits by their bytes; equal hashes count as equal words.
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 SPACE = np.zeros(256, dtype=bool)
@@ -22,6 +25,21 @@ UPPER_TO_LOWER = np.arange(256, dtype=np.uint8)
 UPPER_TO_LOWER[65:91] += 32
 
 
+@functools.cache
+def _trim():
+    """The C library's way to give back free memory, where it has one."""
+    name = ctypes.util.find_library("c")
+    return getattr(ctypes.CDLL(name), "malloc_trim", None) if name else None
+
+
+def release() -> None:
+    """Give free memory back to the system: a reused worker would hold it through stages that need it elsewhere."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    if _trim() is not None:
+        _trim()(0)
+
+
 def text_column(batch: pa.RecordBatch, name: str) -> pa.Array:
     column = batch.column(batch.schema.get_field_index(name))
     return column.cast(pa.large_string()) if column.type != pa.large_string() else column
@@ -170,7 +188,7 @@ def shingles(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndar
 class WordTable:
     """A bounded map from 64-bit hashes to numbers, read and filled a whole array at a time."""
 
-    def __init__(self, bits: int = 21):
+    def __init__(self, bits: int = 20):
         self.size, self.mask = 1 << bits, np.uint64((1 << bits) - 1)
         self.clear()
 
