@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import brute
 import numpy as np
@@ -197,3 +198,35 @@ def test_names_that_disclose_are_generalised(make_docs):
     copies = [rows[0]] * 9 + rows[20:]
     assert not any("term:" in r["spans"] for r in pii.report(make_docs(copies)).collect())
     assert pii.report(make_docs([])).count() == 0
+
+
+def disclosed(make_docs, rows):
+    """The terms generalised anywhere, in lower case."""
+    got = pii.report(make_docs(rows)).collect()
+    spans = [(r["doc_id"], *x.split(":")) for r in got for x in r["spans"].split(",") if x.startswith("term:")]
+    return Counter(rows[i][int(s) : int(e)].lower() for i, _, s, e in spans)
+
+
+def words_of(k, n=40):
+    return " ".join(random.Random(k).choices([a + b for a in ("al", "be", "ga", "de", "om") for b in ("pha", "ta", "mma", "ga")] + ["contact", "the"], k=n))
+
+
+def test_names_in_a_fixed_frame_are_generalised(make_docs):
+    rows = [f"{words_of(k)} Maria Lopez maria.lopez@acme.com {words_of(k + 500)}" for k in range(8)]
+    rows += [f"{words_of(k)} Contact Ivan Petrov at +1 (743) 555-3824 the {words_of(k + 500)}" for k in range(1000, 1006)]
+    rows += [f"{words_of(k)} at {words_of(k + 500)}" for k in range(2000, 2100)]
+    assert disclosed(make_docs, rows) == {"maria": 8, "lopez": 8, "ivan": 6, "petrov": 6}
+    assert not disclosed(make_docs, [rows[0]] * 9 + rows[14:])
+
+
+@pytest.mark.parametrize("others", [60, 0])
+def test_names_of_a_frequent_entity_are_generalised(make_docs, others):
+    rows = [f"{words_of(k)} Maria Lopez maria.lopez@acme.com {words_of(k + 500)}" for k in range(100)]
+    rows += [words_of(k) for k in range(2000, 2000 + others)]
+    assert disclosed(make_docs, rows) == {"maria": 100, "lopez": 100}
+
+
+def test_names_within_one_document_are_generalised(make_docs):
+    rows = [" ".join(f"{words_of(k)} Dubrovka {words_of(k + 500, 2)} anna.d@example.org" for k in range(9))]
+    rows += [words_of(k) for k in range(2000, 2100)]
+    assert disclosed(make_docs, rows) == {"dubrovka": 9}

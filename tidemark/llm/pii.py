@@ -3,12 +3,19 @@
 The patterns give e-mail addresses, IP addresses, card and telephone numbers. Their
 values are the protected entities. A term (a run of letters) that keeps appearing near
 one entity and hardly elsewhere identifies it, as a name does, even when the number is
-gone. How strongly is estimated from the whole corpus: with n(t) contexts of the term,
-n(e) of the entity, n(t, e) of the term within ``reach`` terms of the entity and N terms
-in all, the term discloses log2(n(t, e) N / (n(t) n(e))) bits about the entity, and names
-it with probability n(t, e) / n(t). Terms beyond both thresholds are generalised
-wherever they stand. A context is the term with its two neighbours, so copies of one
-passage count once.
+gone. How strongly is estimated from the whole corpus, in two ways:
+
+* by documents: of the n(t) documents with the term, n(t, e) have it within ``reach``
+  terms of the entity, so it names the entity with probability n(t, e) / n(t), against
+  n(e) / n of all documents;
+* by places: of all places where the term stands, those near the entity, against the
+  share of all terms that stand near it. This also tells the names of an entity that is
+  in most documents, or in one document many times.
+
+The evidence is n(t, e) times the bits log2 of probability over chance: many documents
+make up for an entity that is frequent by itself. Terms beyond the thresholds either way
+are generalised wherever they stand. Documents of equal text count once. By places,
+contexts (the term with its two neighbours outside all spans) count as well as documents.
 
 Terms near entities are few; only their hashes go back to the scans that count and mark
 them, ``HASHES`` at a time however many there are. Defined cases: a NULL or empty text
@@ -89,16 +96,38 @@ def suspects(flat: ragged.Flat) -> np.ndarray:
     return np.flatnonzero(np.diff(np.concatenate(([0], np.cumsum(marked)))[flat.offsets]))
 
 
-def terms(flat: ragged.Flat) -> tuple[ragged.Spans, np.ndarray, np.ndarray]:
-    """Runs of letters, their hashes (A-Z as a-z), and hashes of them with both neighbours in the text."""
+def terms(flat: ragged.Flat) -> tuple[ragged.Spans, np.ndarray]:
+    """Runs of letters and their hashes (A-Z as a-z)."""
     spans = ragged.runs(LETTERS[flat.data], flat.offsets)
-    hashes = ragged.span_hashes(ragged.UPPER_TO_LOWER[flat.data], spans.starts, spans.ends)
-    owners = spans.owners()
+    return spans, ragged.span_hashes(ragged.UPPER_TO_LOWER[flat.data], spans.starts, spans.ends)
+
+
+def contexts_of(hashes: np.ndarray) -> np.ndarray:
+    """Hashes of the terms of one text with both their neighbours."""
     before, after = np.zeros_like(hashes), np.zeros_like(hashes)
-    if len(hashes) > 1:
-        same = owners[1:] == owners[:-1]
-        before[1:][same], after[:-1][same] = hashes[:-1][same], hashes[1:][same]
-    return spans, hashes, ragged.mix(hashes + ragged.mix(before) * np.uint64(3) + ragged.mix(after) * np.uint64(7))
+    before[1:], after[:-1] = hashes[:-1], hashes[1:]
+    return ragged.mix(hashes + ragged.mix(before) * np.uint64(3) + ragged.mix(after) * np.uint64(7))
+
+
+def text_hashes(flat: ragged.Flat) -> np.ndarray:
+    """A hash of each whole text; 0 for an empty one."""
+    out, held = np.zeros(len(flat.offsets) - 1, dtype=np.uint64), np.diff(flat.offsets) > 0
+    out[held] = ragged.span_hashes(flat.data, flat.offsets[:-1][held], flat.offsets[1:][held])
+    return out
+
+
+def byte_bounds(data: np.ndarray, found: list[tuple[str, int, int]]) -> np.ndarray:
+    """[start, end) of spans in the bytes of their text."""
+    return np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))[[x[1:] for x in found]]
+
+
+def tally(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of one row for each distinct combination of keys, and how often it occurs."""
+    order = np.lexsort(keys)
+    fresh = np.ones(len(order), dtype=bool)
+    fresh[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
+    first = np.flatnonzero(fresh)
+    return order[first], np.diff(np.append(first, len(order)))
 
 
 def entity_hash(kind: str, value: str) -> int:
@@ -108,42 +137,53 @@ def entity_hash(kind: str, value: str) -> int:
 
 
 def neighbours(docs: DataFrame, reach: int) -> DataFrame:
-    """(entity, term, context): the terms within ``reach`` terms of each mention of an entity, outside all spans.
+    """(entity, term, context, doc, n): the terms within ``reach`` terms of an entity, outside all spans, and how often.
 
-    Rows without an entity carry the number of terms of some texts.
+    doc is a hash of the text. Rows without an entity carry the number of terms of a text.
     """
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("entity", "term", "context")])
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("entity", "term", "context", "doc", "n")])
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, texts in ragged.chunks(batch):
                 flat = ragged.flatten(texts)
-                n_terms = len(ragged.runs(LETTERS[flat.data], flat.offsets).starts)
-                yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in (None, n_terms, None)], names=schema.names)
-                out: list[tuple[int, np.ndarray, np.ndarray]] = []
+                docs_ = text_hashes(flat).view(np.int64)
+                n_terms = ragged.runs(LETTERS[flat.data], flat.offsets).counts
+                none = pa.nulls(len(docs_), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, pa.array(n_terms, pa.int64()), none, pa.array(docs_), none], names=schema.names)
+                out: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]] = []
                 for row in suspects(flat).tolist():
                     text = texts[row].as_py()
                     found = base_spans(text)
                     if not found:
                         continue
                     own = ragged.Flat(flat.data[flat.offsets[row] : flat.offsets[row + 1]], np.array([0, flat.offsets[row + 1] - flat.offsets[row]]))
-                    spans, hashes, contexts = terms(own)
-                    bounds = np.array([[len(text[:s].encode()), len(text[:e].encode())] for _, s, e in found])
+                    spans, hashes = terms(own)
+                    bounds = byte_bounds(own.data, found)
                     free = np.ones(len(hashes), dtype=bool)
                     for s, e in bounds:
                         free[np.searchsorted(spans.ends, s, "right") : np.searchsorted(spans.starts, e, "left")] = False
+                    contexts = np.zeros_like(hashes)
+                    contexts[free] = contexts_of(hashes[free])
                     free &= spans.ends - spans.starts >= TERM_BYTES
+                    places: dict[int, list[np.ndarray]] = {}
                     for (kind, s, e), (low, high) in zip(found, bounds):
                         first, last = np.searchsorted(spans.ends, low, "right"), np.searchsorted(spans.starts, high, "left")
                         near = np.arange(max(0, first - reach), min(len(hashes), last + reach))
-                        near = near[free[near]]
-                        out.append((entity_hash(kind, text[s:e]), hashes[near], contexts[near]))
+                        places.setdefault(entity_hash(kind, text[s:e]), []).append(near[free[near]])
+                    for entity, near in places.items():
+                        near = np.unique(np.concatenate(near))  # a place between two mentions counts once
+                        at, n = tally(contexts[near], hashes[near])
+                        out.append((entity, docs_[row], hashes[near[at]], contexts[near[at]], n))
                 if out:
+                    sizes = [len(x[4]) for x in out]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(np.repeat(np.array([x[0] for x in out], dtype=np.int64), [len(x[1]) for x in out])),
-                            pa.array(np.concatenate([x[1] for x in out]).view(np.int64)),
+                            pa.array(np.repeat(np.array([x[0] for x in out], dtype=np.int64), sizes)),
                             pa.array(np.concatenate([x[2] for x in out]).view(np.int64)),
+                            pa.array(np.concatenate([x[3] for x in out]).view(np.int64)),
+                            pa.array(np.repeat(np.array([x[1] for x in out], dtype=np.int64), sizes)),
+                            pa.array(np.concatenate([x[4] for x in out]), pa.int64()),
                         ],
                         names=schema.names,
                     )
@@ -166,17 +206,25 @@ def _member(wanted: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def occurrences(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """(term, context, n) wherever one of the terms stands."""
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("term", "context", "n")])
+    """(term, doc, n) wherever one of the terms stands outside all spans: an address may hold the name as well."""
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("term", "doc", "n")])
     held = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, texts in ragged.chunks(batch):
-                _, hashes, contexts = terms(ragged.flatten(texts))
+                flat = ragged.flatten(texts)
+                spans, hashes = terms(flat)
                 hit = _member(held.value, hashes)
-                pairs, n = np.unique(np.stack((hashes[hit], contexts[hit])), axis=1, return_counts=True)
-                yield pa.RecordBatch.from_arrays([*[pa.array(p.view(np.int64)) for p in pairs], pa.array(n)], names=schema.names)
+                for row in suspects(flat).tolist():
+                    (low, high), (begin, end) = spans.first[row : row + 2], flat.offsets[row : row + 2]
+                    if hit[low:high].any() and (fixed := base_spans(texts[row].as_py())):
+                        for s, e in byte_bounds(flat.data[begin:end], fixed) + begin:
+                            hit[low + np.searchsorted(spans.ends[low:high], s, "right") : low + np.searchsorted(spans.starts[low:high], e, "left")] = False
+                found, rows = hashes[hit], spans.owners()[hit]
+                at, n = tally(found, rows)
+                columns = [found[at].view(np.int64), text_hashes(flat)[rows[at]].view(np.int64), n]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=schema.names)
 
     return docs.select("text").mapInArrow(compute, schema)
 
@@ -184,33 +232,43 @@ def occurrences(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
 def revealing_terms(docs: DataFrame, reach: int = REACH, support: int = 4, share: float = 0.7, bits: float = 6.0) -> DataFrame:
     """(term, entity, bits, share) of the terms beyond the thresholds; written once.
 
-    ``support``: contexts a term must share with the entity at least.
+    ``support``: documents (by places, also contexts) a term must share with the entity at
+    least. ``bits``: what each of so few must tell; of more, together as much.
     """
-    rows = neighbours(docs, reach).groupBy("entity", "context", F.when(F.col("entity").isNotNull(), F.col("term")).alias("term"))
-    n_terms = F.sum(F.when(F.col("entity").isNull(), F.col("term"))).alias("n_terms")
-    rows = settle(rows.agg(n_terms, F.count(F.lit(1)).alias("n")), "neighbours")
+    # copies of a text have equal rows, so the largest n is that of one copy
+    rows = settle(neighbours(docs, reach).groupBy("entity", "term", "context", "doc").agg(F.max("n").alias("n")), "neighbours")
     near = rows.filter(F.col("entity").isNotNull())
-    together = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te"), F.sum("n").alias("stands_te"))
-    entity = near.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    total = rows.agg(F.sum("n_terms")).first()[0] or 0
-    pairs = settle(together.filter(F.col("n_te") >= support).join(entity, "entity"), "pairs")
+    together = near.groupBy("entity", "term").agg(
+        F.count_distinct("doc").alias("docs_te"), F.count_distinct("context").alias("contexts_te"), F.sum("n").alias("stands_te")
+    )
+    entity = near.groupBy("entity").agg(F.count_distinct("doc").alias("docs_e"), F.sum("n").alias("stands_e"))
+    n_docs, n_terms = rows.filter(F.col("entity").isNull()).agg(F.count(F.lit(1)), F.sum("term")).first()
+    enough = F.greatest("docs_te", "contexts_te")
+
+    def told(n: Column, by: str, total: int) -> Column:
+        """(bits, share) of the pairs beyond the thresholds, else NULL."""
+        part = F.col(f"{by}_te") / F.col(f"{by}_t")
+        gain = F.log2(part * F.lit(float(total)) / F.col(f"{by}_e"))
+        return F.when((n >= support) & (part >= share) & (n * gain >= support * bits), F.struct(gain.alias("bits"), part.alias("share")))
+
+    found = F.coalesce(told(F.col("docs_te"), "docs", n_docs), told(enough, "stands", n_terms or 0))
+    # a term stands at least where it is near any entity: what fails by these counts is not looked for
+    least = near.groupBy("term", "context", "doc").agg(F.max("n").alias("n"))
+    least = least.groupBy("term").agg(F.count_distinct("doc").alias("docs_t"), F.sum("n").alias("stands_t"))
+    pairs = together.filter(enough >= support).join(entity, "entity").join(least, "term").filter(found.isNotNull())
+    pairs = settle(pairs.drop("docs_t", "stands_t"), "pairs")
     counted = None
     candidates = pairs.select("term").distinct()
     for wanted in hash_parts(candidates, "term"):
         if not len(wanted):
             break
-        part = occurrences(docs, wanted).groupBy("term", "context").agg(F.sum("n").alias("n"))
-        part = part.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"), F.sum("n").alias("stands_t"))
+        part = occurrences(docs, wanted).groupBy("term", "doc").agg(F.max("n").alias("n"))
+        part = part.groupBy("term").agg(F.count(F.lit(1)).alias("docs_t"), F.sum("n").alias("stands_t"))
         counted = part if counted is None else counted.unionByName(part)
     if counted is None:
         return pairs.select("term", "entity", F.lit(0.0).alias("bits"), F.lit(0.0).alias("share"))
-    named = pairs.join(counted, "term").select(
-        "term",
-        "entity",
-        F.log2(F.col("n_te") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e"))).alias("bits"),
-        F.least(F.col("n_te") / F.col("n_t"), F.col("stands_te") / F.col("stands_t")).alias("share"),
-    )
-    return settle(named.filter((F.col("bits") >= bits) & (F.col("share") >= share)), "revealing")
+    named = pairs.join(counted, "term").select("term", "entity", found.alias("found")).filter(F.col("found").isNotNull())
+    return settle(named.select("term", "entity", "found.bits", "found.share"), "revealing")
 
 
 def term_spans(texts: pa.Array, wanted: np.ndarray) -> dict[int, list[tuple[str, int, int]]]:
@@ -218,7 +276,7 @@ def term_spans(texts: pa.Array, wanted: np.ndarray) -> dict[int, list[tuple[str,
     if not len(wanted):
         return {}
     flat = ragged.flatten(texts)
-    spans, hashes, _ = terms(flat)
+    spans, hashes = terms(flat)
     hit = np.flatnonzero(_member(wanted, hashes))
     if not len(hit):
         return {}
