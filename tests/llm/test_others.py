@@ -162,6 +162,30 @@ def test_page_layouts(around):
     assert html_text.extract(around.format(ARTICLE)) == WANT
 
 
+COMMENTS = "<p>I like this, very, much, indeed, thanks, a lot, and more, and more.</p>" * 9
+NAMED = [
+    "<body><article class='post hentry category-legal'>{}</article><div class=widget><p>Some, other, text, of, the, page here.</p></div>",
+    "<body><div class='layout sidebar-right'><article>{}</article></div><div class=sidebar><p>One, two, three, four, five, six.</p></div>",
+    "<body><div id=content class=comments-open>{}</div><div class=ads><p>Buy, this, one, now, and, be, happy.</p></div>",
+    "<body class=page><div class='wrap search'>{}</div><div class=footer><p>Imprint, and, terms, of, the, site.</p></div>",
+    "<body><form id=aspnetForm><input name=a><div class=menu><a href=1>One</a></div><div id=x>{}</div><select><option>Long, list, of, options here</select></form>",
+    "<body><form class=search><article class='alert recommended'>{}</article><label>Your, name, and, address, please.</label></form>",
+    "<body><article>{}</article><div class=comments>" + COMMENTS + "</div>",
+    "<body><article>{}<div class=related-content><p>Read, this, too, or, that, or, more.</p></div></article><section class=comments><article class=comment-body>"
+    + COMMENTS + "</article></section>",
+]
+
+
+@pytest.mark.parametrize("around", NAMED)
+def test_names_do_not_cut_the_article(around):
+    assert html_text.extract(around.format(ARTICLE)) == WANT
+
+
+def test_pages_split_over_suspect_names():
+    parts = [f"<div class='{c}'><p>Part {c}, of, the, text, long enough to count.</p></div>" for c in ("social", "alert", "legal")]
+    assert html_text.extract("<body>" + "".join(parts)).count("\n\n") == 2
+
+
 def test_page_edges(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, "u", "<p>a<p>b"), (3, "u", "<p>a<p>b"), (None, None, "plain"), (5, "u", "<div>" * 3000 + "deep" + "</p>" * 9)]
     got = html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()

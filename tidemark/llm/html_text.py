@@ -1,12 +1,15 @@
 """The main text of web pages by tree scoring.
 
 A page is parsed into a tree of elements (end tags may be missing, as HTML allows).
-What is never article text is cut off first: scripts, forms, navigation and elements
-whose class, id or role says advert, comment, side bar and the like. Every paragraph
-then gives points for its length and its commas to its ancestors, less the farther up;
-a container's points are discounted by the share of its text inside links. The best
-container is kept with those siblings that score well or read like prose, and their
-blocks are the text.
+What is never article text is cut off first: scripts, forms (of one that wraps most of
+the page, its controls only), navigation and elements whose class, id or role says
+advert, comment, side bar and the like. Of the latter, those that are or hold an article,
+are named like one as well or hold most of the page's prose only score less. Every
+paragraph then gives points for its length and its commas to its ancestors, less the
+farther up; a container's points are discounted by the share of its text inside links.
+The best container is kept with those siblings that score well or read like prose, and
+their blocks are the text. Where that is little of the page's prose and nothing else is
+an article by its name, names are left aside in a second try.
 
 Defined cases: NULL or empty html gives an empty text, as does a page without text;
 cut-off markup is read as far as it goes; repeated rows give equal results.
@@ -128,34 +131,63 @@ def parse(page: str) -> Node:
     return root
 
 
-def _unwanted(node: Node) -> bool:
-    """Not article text, by its tag or by the words of its names ("with-sidebar" is not a side bar)."""
-    if node.gone or node.tag in DROPPED or node.tag == "header":
-        return True
-    if node.tag in ("html", "body", "main"):
+def _suspect(node: Node) -> bool:
+    """Do the words of its names say that it is not article text ("with-sidebar" is not a side bar)?"""
+    if node.tag in ("html", "body", "main", "#root"):
         return False
     hits = {w for i, w in enumerate(node.names) if w in UNLIKELY and (i == 0 or node.names[i - 1] not in NEGATING)}
-    if not hits or (hits <= TITLE_WORDS and LIKELY & set(node.names)):
-        return False
-    return not any(n.tag == "main" for n in _order(node))
+    return bool(hits) and not (hits <= TITLE_WORDS and LIKELY & set(node.names))
+
+
+def _holders(nodes: list[Node]) -> set[int]:
+    """Elements with an article or a main element in them."""
+    out: set[int] = set()
+    for node in nodes:
+        up = node.parent if node.tag in ("article", "main") else None
+        while up is not None and id(up) not in out:
+            out.add(id(up))
+            up = up.parent
+    return out
 
 
 def _prune(root: Node) -> None:
-    stack = [root]
+    """Cut off what is never article text by its tag, and what is hidden."""
+    stack, forms = [root], []
     while stack:
         node = stack.pop()
         kept = []
         for child in node.children:
             if isinstance(child, str):
                 kept.append(child)
-            elif child.tag == "header" and not child.gone and _inside(child, "article"):
+                continue
+            if child.tag == "header" and not child.gone and _inside(child, "article"):
                 child.children = [c for c in child.children if not isinstance(c, str) and c.tag in ("h1", "h2", "h3", "hgroup")]
-                kept.append(child)
-                stack.append(child)
-            elif not _unwanted(child):
-                kept.append(child)
-                stack.append(child)
+            elif child.tag == "form" and not child.gone:
+                forms.append(child)
+            elif child.gone or child.tag in DROPPED or child.tag == "header":
+                continue
+            kept.append(child)
+            stack.append(child)
         node.children = kept
+    if forms:
+        nodes, prose = _prose(root)
+        holders = _holders(nodes)
+        for form in forms:
+            if id(form) not in holders and (not prose[id(form)] or 2 * prose[id(form)] < prose[id(root)]):
+                form.parent.children = [c for c in form.parent.children if c is not form]
+
+
+def _without(top: Node, cut) -> list[tuple[Node, list]]:
+    """Take out elements below ``top``; the children before, to put them back."""
+    held, stack = [], [top]
+    while stack:
+        node = stack.pop()
+        kept = [c for c in node.children if isinstance(c, str) or not cut(c)]
+        if len(kept) < len(node.children):
+            held.append((node, node.children))
+            node.children = kept
+        stack.extend(c for c in kept if not isinstance(c, str))
+    return held
 
 
 def _inside(node: Node, tag: str) -> bool:
@@ -166,6 +198,14 @@ def _inside(node: Node, tag: str) -> bool:
     return False
 
 
+def _within(node: Node | None, ids: set[int]) -> bool:
+    while node is not None:
+        if id(node) in ids:
+            return True
+        node = node.parent
+    return False
+
+
 def _order(root: Node) -> list[Node]:
     """All elements, parents before their children."""
     out, stack = [], [root]
@@ -204,9 +244,28 @@ def _own(node: Node, text: dict[int, int], commas: dict[int, int]) -> tuple[int,
     return n, c
 
 
-def best(root: Node) -> list[Node]:
-    """The kept elements in page order: the best container and its siblings that belong to it."""
+def _prose(root: Node) -> tuple[list[Node], dict[int, int]]:
+    """All elements, and of each the characters in paragraphs, without those inside links."""
     text, links, commas, nodes = _measure(root)
+    prose: dict[int, int] = {}
+    for node in reversed(nodes):
+        n = sum(prose[id(c)] for c in node.children if not isinstance(c, str))
+        if node.tag in PARAGRAPHS:
+            length, _ = _own(node, text, commas)
+            n += max(0, length - sum(links[id(c)] for c in node.children if not isinstance(c, str) and c.tag not in BLOCKS)) if length >= 25 else 0
+        prose[id(node)] = n
+    return nodes, prose
+
+
+def best(root: Node, doubtful: dict[int, float] | None = None) -> list[Node]:
+    """The kept elements in page order: the best container and its siblings that belong to it.
+
+    ``doubtful`` elements, by id, get no points for their names, and what is in them counts by a factor.
+    """
+    text, links, commas, nodes = _measure(root)
+    doubtful, low = doubtful or {}, {}
+    for node in nodes:
+        low[id(node)] = min(doubtful.get(id(node), 1), low.get(id(node.parent), 1))
     score: dict[int, float] = {}
     owner: dict[int, Node] = {}
     for node in nodes:
@@ -215,12 +274,12 @@ def best(root: Node) -> list[Node]:
         length, marks = _own(node, text, commas)
         if length < 25:
             continue
-        points = 1 + marks + min(length / 100, 3)
+        points = (1 + marks + min(length / 100, 3)) * low[id(node)]
         up, level = (node if node.tag in ("div", "section", "article", "main", "body", "td") else node.parent), 0
         while up is not None and up.tag != "#root" and level < 4:
             if id(up) not in score:
                 words = set(up.names)
-                score[id(up)] = (8 if up.tag in ("article", "main") else 0) + (5 if words & LIKELY else 0)
+                score[id(up)] = 0 if id(up) in doubtful else ((8 if up.tag in ("article", "main") else 0) + (5 if words & LIKELY else 0)) * low[id(up)]
                 owner[id(up)] = up
             score[id(up)] += points / (1, 2, 3, 6)[level]
             up, level = up.parent, level + 1
@@ -246,7 +305,7 @@ def best(root: Node) -> list[Node]:
     least = max(10.0, 0.2 * score.get(id(chosen), 0))
     kept = []
     for child in parent.children:
-        if isinstance(child, str):
+        if isinstance(child, str) or (id(child) in doubtful and child is not chosen):
             continue
         bonus = 0.2 * score.get(id(chosen), 0) if child.names and child.names == chosen.names else 0
         length = text[id(child)]
@@ -286,12 +345,52 @@ def blocks(kept: list[Node]) -> list[str]:
     return out
 
 
+def _claimed(root: Node, nodes: list[Node], suspects: set[int], total: int) -> bool:
+    """Is there an article by tag or name outside all suspects, with prose of its own?"""
+    held = _without(root, lambda n: id(n) in suspects)
+    left, prose = _prose(root)
+    text = _measure(root)[0]
+    for node, children in held:
+        node.children = children
+    for node in left:
+        if node.tag in ("article", "main") and text[id(node)] >= max(1, total // 20):
+            return True
+        if node.tag not in ("html", "body", "#root") and LIKELY & set(node.names) and prose[id(node)] >= max(25, total // 20):
+            return True
+    return False
+
+
 def extract(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
     _prune(root)
-    return "\n\n".join(blocks(best(root)))
+    nodes, prose = _prose(root)
+    suspects = {id(n) for n in nodes if _suspect(n)}
+    if not suspects:
+        return "\n\n".join(blocks(best(root)))
+    total, holders = prose[id(root)], _holders(nodes)
+    claimed = _claimed(root, nodes, suspects, total)
+    most = {k for k in suspects if not claimed and total and 2 * prose[k] >= total}
+    named = {id(n) for n in nodes if n.tag == "article" or LIKELY & set(n.names)}
+    spared = suspects & (most | named | holders)
+    held = _without(root, lambda n: id(n) in suspects and id(n) not in spared)
+    doubtful: dict[int, float] = {}  # beside an article in its own right, only one that is not in another suspect counts much
+    for node in nodes:
+        if id(node) in spared - most:
+            own = node.tag == "article" and LIKELY & set(node.names) and not _within(node.parent, suspects)
+            doubtful[id(node)] = 0.5 if own or not claimed else 0.1
+    kept = best(root, doubtful)
+    inside = sum(prose[id(n)] for n in kept)
+    for top in kept:  # within the article, names count again
+        entry = lambda n: top.tag != "article" and n.tag == "article" and LIKELY & set(n.names)  # noqa: B023, E731
+        held += _without(top, lambda n: id(n) in suspects and 2 * prose[id(n)] < max(inside, 1) and not entry(n))
+    out = "\n\n".join(blocks(kept))
+    if not claimed and 4 * len(out) < total:
+        for node, children in reversed(held):
+            node.children = children
+        out = max(out, "\n\n".join(blocks(best(root))), key=len)
+    return out
 
 
 @F.arrow_udf(T.StringType())
