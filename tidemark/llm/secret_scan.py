@@ -1,7 +1,9 @@
 """Secrets in documents: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of 16 and more characters as keys and tokens have them, with a
-digit in it. The forest judges its length, its make-up and changes of character class,
+A candidate is a run of 16 and more characters as keys and tokens have them (8 and more
+right after a =), with a digit in it, or any value assigned to a name that means a
+secret: 4 and more characters in quotes, 6 without. A name and its sign are not part of
+it. The forest judges its length, its make-up and changes of character class,
 how likely its letter pairs are in dictionary words, how much of it dictionary words
 cover, the path it comes from and the words around it. The dictionary is the corpus
 itself: of the letter runs inside candidates, those that also stand as words of their
@@ -9,8 +11,8 @@ own often enough in any document. Everything is DataFrame expressions and Spark
 
 The forest is trained on labelled findings (see ``findings`` for their columns), of
 which it takes at most about ``train_rows`` per class, drawn by hash. Without such a
-table, ``presumed_labels`` gives the two clear kinds: values assigned to a name that
-means a secret, and candidates with nothing of the kind around them.
+table, ``presumed_labels`` gives the two clear kinds: varied values assigned to a name
+that means a secret, and words, plain numbers, digests and examples.
 
 Defined cases: a NULL or empty text has no candidates; rows with a NULL doc_id or path
 are scanned as others; repeated rows give their findings again; without labels of both
@@ -26,14 +28,22 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.session import settle
 
-RUN = "A-Za-z0-9+/=_\\-"
-CANDIDATE = f"(?<![{RUN}])(?=[A-Za-z+/=_\\-]*+[0-9])[{RUN}]{{16,}}+"
+RUN = "A-Za-z0-9+/_\\-"
+KEY = f"(?<![{RUN}])(?=[A-Za-z+/_\\-]*+[0-9])(?:[{RUN}]{{16,}}+|(?<=[A-Za-z0-9_\\-]=)[{RUN}]{{8,}}+)(?:={{1,2}}+(?![{RUN}]))?+"
+#: Names before a sign. Before values of any form; the first look-behind of VALUE is there to fail early.
+OWNERS = (
+    "(?:(?:token|secret|passw(?:or)?d|passwd|pwd|api[_ -]?key|access[_ -]?key|private[_ -]?key|credential)[A-Za-z0-9_\\-]{0,20}"
+    "|auth(?:orization)?(?:[_\\-][A-Za-z0-9_\\-]{0,20})?)[\"'`]?\\s{0,3}[=:]>?\\s{0,3}(?:bearer\\s{1,3})?|bearer\\s{1,3}"
+)
+QUOTED = f"(?<=[\"'`])(?<=(?i:{OWNERS})[\"'`])[^\\s\"'`]{{4,}}+(?=[\"'`])"
+BARE = f"(?<=[=:>\\s])(?<=[=:rR]>?\\s{{0,3}})(?<=(?i:{OWNERS}))(?!(?i:bearer\\s))[^\\s\"'`,;&<>=:(){{}}\\[\\]][^\\s\"'`,;&<>(){{}}\\[\\]]{{5,}}(?<![.:?])"
+CANDIDATE = f"{QUOTED}|{BARE}|{KEY}"
 NAMES = "(?i)(token|secret|passw(or)?d|passwd|pwd|api[_ -]?key|access[_ -]?key|private[_ -]?key|credential|bearer|auth)"
 HARMLESS = "(?i)(example|sample|dummy|test|placeholder|changeme|your[_ -])"
 DIGEST_WORDS = "(?i)(sha[0-9]*|md5|commit|checksum|digest|uuid|revision|hash)"
 TEST_PATH = "(?i)(test|spec|fixture|mock|example|sample|doc)"
 CONFIG_PATH = "(?i)(config|settings|\\.env|secret|deploy|\\.ya?ml|\\.ini|\\.properties)"
-ASSIGNED = "[=:]\\s*[\"'`]?$"
+ASSIGNED = "[=:]>?\\s*[\"'`]?$"
 NEAR = 48  # characters of context on each side
 FEATURES = [
     "length", "digits", "uppers", "changes", "pair_score", "coverage", "test_path", "config_path", "named", "assigned",
@@ -57,7 +67,8 @@ def findings(docs: DataFrame, path: str = "source") -> DataFrame:
         "finding_no",
         (F.get("ends", F.col("finding_no")) + F.char_length(gap)).cast("long").alias("start"),
         "candidate",
-        F.right(gap, F.lit(NEAR)).alias("before"),
+        # a candidate just before may be the name of this one
+        F.right(F.concat(F.coalesce(F.get("found", F.col("finding_no") - 1), F.lit("")), gap), F.lit(NEAR)).alias("before"),
         F.left(F.get("gaps", F.col("finding_no") + 1), F.lit(NEAR)).alias("after"),
     )
 
@@ -130,10 +141,14 @@ def featured(found: DataFrame, spelled: DataFrame) -> DataFrame:
 
 
 def presumed_labels(rows: DataFrame) -> DataFrame:
-    """Adds label: 1.0 for a varied value assigned to a secret's name, 0.0 where no name, assignment or quote is near."""
+    """Adds label: 1.0 for a varied value assigned to a secret's name, 0.0 for words, numbers, digests and examples.
+
+    Others, as random runs without a name, have none and are left out.
+    """
     varied = (F.col("digits") > 0.15) & (F.col("digits") < 0.9) & (F.col("changes") > 0.15)
     sure = (F.col("named") == 1) & (F.col("assigned") == 1) & varied & (F.col("harmless") == 0) & (F.col("digest_word") == 0)
-    clear = (F.col("named") == 0) & (F.col("assigned") == 0) & (F.col("quoted") == 0)
+    apart = (F.col("named") == 0) | (F.col("assigned") == 0)  # words around prove nothing about a value assigned to such a name
+    clear = (F.col("coverage") >= 0.5) | (F.col("digits") == 1) | (apart & ((F.col("digest_word") == 1) | (F.col("harmless") == 1)))
     return rows.withColumn("label", F.when(sure, 1.0).when(clear, 0.0)).filter(F.col("label").isNotNull())
 
 
