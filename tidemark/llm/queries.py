@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, checks, decontaminate, html_text, neardup, packing, pii, quality, secret_scan, shards, token_counts
+from tidemark.llm import chat, checks, decontaminate, differencing, html_text, neardup, packing, pii, quality, secret_scan, shards, token_counts
 from tidemark.session import show_package, small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,9 @@ def _(spark, folder):
 @query("op10_secret_scan")
 def _(spark, folder):
     return secret_scan.scan(table(spark, folder, "documents"))
+
+
+@query("op13_differencing_packing")
+def _(spark, folder):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return differencing.pack_documents(table(spark, folder, "documents"), path)
