@@ -37,3 +37,19 @@ owner AS (SELECT slot, 'shard-' || lpad(CAST((t - 1) % {SHARDS} AS VARCHAR), 2,
 d AS (SELECT doc_id, ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15))::BIGINT % {SLOTS} AS slot FROM documents)
 SELECT doc_id, d.slot, shard FROM d JOIN owner USING (slot)
 """
+
+TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+SEARCH = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {TERMS} AS w FROM documents),
+sizes AS (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n FROM d WHERE len(w) > 0),
+total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM sizes),
+q AS (SELECT i, item_id, unnest(list_distinct(w)) AS term FROM (SELECT row_number() OVER () AS i, item_id, {TERMS} AS w FROM benchmark) AS b),
+counts AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) AS u WHERE term IN (SELECT term FROM q) GROUP BY r, term),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM counts, total GROUP BY term),
+parts AS (SELECT r, term, tf, doc_id, 100 - 50 + ((50 * n * docs) // terms) AS m FROM counts JOIN sizes USING (r), total),
+scored AS (SELECT i, item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+           FROM q JOIN weights USING (term) JOIN parts USING (term) GROUP BY i, item_id, r, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) AS x WHERE rank <= 50
+"""
