@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import block_max, chat, checks, decontaminate, differencing, html_text, neardup, packing, pii, quality, secret_scan, shards, token_counts
+from tidemark.llm import block_max, chat, checks, decontaminate, differencing, html_text, neardup, packing, pii, quality, secret_scan, shards, spelling, token_counts
 from tidemark.session import show_package, small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,6 +84,11 @@ def _(spark, folder):
     return secret_scan.scan(table(spark, folder, "documents"))
 
 
+@query("op11_spelling_variants")
+def _(spark, folder):
+    return spelling.variants(table(spark, folder, "documents"))
+
+
 @query("op12_ranked_search", checks.SEARCH)
 def _(spark, folder):
     return block_max.search(block_max.build_index(table(spark, folder, "documents")), table(spark, folder, "benchmark"))
