@@ -100,3 +100,53 @@ def test_ranges_are_even(spark, kind):
     assert len(sizes) == 20 and max(sizes) <= 2 * sum(sizes) / 20
     run = od.running_sums(df.withColumn("one", F.lit(1)), ["v"], {"r": "one"}, buckets=20)
     assert run.select("r").distinct().count() == df.count() == run.agg(F.max("r")).first()[0]
+
+
+def bracket_frame(seed, n=6000):
+    """Values with a tie that holds a third of the rows, NULLs, outliers, a hot key and a NULL key."""
+    rng = np.random.default_rng(seed)
+    v = np.where(rng.random(n) < 0.33, 7.25, rng.normal(0, 50, n))
+    v[:3] = [1e300, -1e300, 1e299]
+    key = np.where(rng.random(n) < 0.5, "hot", rng.choice(list("abc"), n)).astype(object)
+    key[rng.random(n) < 0.05] = None
+    return pd.DataFrame({"k": key, "v": v})
+
+
+PROBS = {"p0": 0.0, "p1": 0.01, "q1": 0.25, "m": 0.5, "again": 0.5, "close": 0.501, "p95": 0.95, "p100": 1.0}
+
+
+@pytest.mark.parametrize("whole, accuracy, window", [(20_000, 10_000, 1 << 21), (50, 200, 1 << 21), (50, 200, 10), (0, 40, 1 << 21)])
+@pytest.mark.parametrize("by", [[], ["k"]])
+def test_bracketed_quantiles_are_exact(spark, monkeypatch, whole, accuracy, window, by):
+    """Also where groups are bracketed by a coarse sketch, and where the brackets are too narrow at first."""
+    monkeypatch.setattr(od, "WHOLE_GROUP", whole)
+    monkeypatch.setattr(od, "SKETCH_ACCURACY", accuracy)
+    monkeypatch.setattr(od, "BRACKET", 4 / accuracy if whole else 1e-9)
+    monkeypatch.setattr(od, "WINDOW_ROWS", window)
+    pdf = bracket_frame(whole)
+    df = spark.createDataFrame(pdf, "k string, v double").unionByName(spark.createDataFrame([("a", None)] * 9, "k string, v double"))
+    got = od.exact_quantiles(df, "v", PROBS, by=by).collect()
+    assert len(got) == (5 if by else 1)
+    for row in got:
+        part = pdf if not by else pdf[pdf.k.isna()] if row["k"] is None else pdf[pdf.k == row["k"]]
+        want = np.percentile(np.sort(part.v), [100 * p for p in PROBS.values()])
+        assert [row[p] for p in PROBS] == pytest.approx(want.tolist(), rel=1e-9)
+
+
+def test_many_probabilities_and_no_rows(spark):
+    pdf = bracket_frame(9)
+    probs = {f"p{i}": i / 100 for i in range(1, 100)}
+    got = od.exact_quantiles(spark.createDataFrame(pdf, "k string, v double"), "v", probs).first()
+    assert list(got) == pytest.approx(np.percentile(pdf.v, range(1, 100)).tolist(), rel=1e-9)
+    far = spark.createDataFrame([(float("inf"),), (float("-inf"),), (1.0,)], "v double")
+    assert list(od.exact_quantiles(far, "v", {"a": 0.0, "m": 0.5, "z": 1.0}).first()) == [float("-inf"), 1.0, float("inf")]
+    none = spark.createDataFrame([(None,)], "v double")
+    assert od.exact_quantiles(none, "v", {"m": 0.5}).first()["m"] is None
+    assert od.exact_quantiles(spark.createDataFrame([], SCHEMA), "v", {"m": 0.5}).first()["m"] is None
+
+
+def test_bracketing_moves_few_values(spark):
+    """Of 300,000 distinct values, the shuffle gets those around the quantiles."""
+    rows = spark.range(300_000).select((F.pmod(F.xxhash64("id"), F.lit(10**9)) / 7.0).alias("_x"))
+    counts, bound = od.bracketed_counts(rows, [0.25, 0.5, 0.75], [], od.BRACKET)
+    assert counts.count() < 1000 and bound < 1000

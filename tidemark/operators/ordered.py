@@ -198,25 +198,106 @@ def exact_quantiles(
     probs: Mapping[str, float],
     by: Sequence[str] = (),
     weight: str | None = None,
+    few_keys: bool = True,
 ) -> DataFrame:
-    """Linear-interpolated quantiles per key, one output column per name.
+    """Linear-interpolated quantiles per key as doubles, one output column per name.
 
-    ``F.percentile`` keeps every distinct value of a group in one buffer; this
-    version shuffles distinct values into ranges and picks the two order
-    statistics around each position, so no group has to fit anywhere.
+    Two scans and no shuffle of the values: see ``bracketed_counts``. With a ``weight``, or
+    for so many keys that a sketch per key does not pay (``few_keys=False``), distinct
+    values are counted and dealt into ranges instead. No group has to fit anywhere, and the
+    result is exact either way.
+    """
+    names = {name: float(p) for name, p in probs.items()}
+    if weight is not None or not few_keys:
+        return _interpolated(average_ranks(df, value, by, weight), value, names, by).drop("_missed")
+    rows = df.select(*by, F.col(value).cast("double").alias("_x")).filter("_x IS NOT NULL")
+    spread = BRACKET
+    while True:
+        counts, bound = bracketed_counts(rows, list(names.values()), by, spread)
+        found = settle(_interpolated(_ranked(counts, by, bound), "_x", names, by, F.col("_gap")), "quantiles")
+        if found.filter("_missed").isEmpty():
+            return found.drop("_missed")
+        spread *= 16  # from one half on, the bracket is the whole range
+
+
+SKETCH_ACCURACY = 10_000
+BRACKET = 4 / SKETCH_ACCURACY  # on either side: the sketch's error, two ranks of the smallest sketched group, and as much again
+WHOLE_GROUP = 2 * SKETCH_ACCURACY  # groups of so many rows are not bracketed
+WINDOW_ROWS = 1 << 21
+
+
+def bracketed_counts(rows: DataFrame, probs: Sequence[float], by: Sequence[str], spread: float) -> tuple[DataFrame, int]:
+    """(by..., _x, _gap, n) and about how many rows that has: counts of the values that could be a wanted quantile.
+
+    A mergeable sketch per key gives a lower and an upper value around each probability.
+    The second scan counts the values inside some bracket one by one, and
+    all between two brackets together: such a count stands at the upper value of the
+    bracket below (NULL below the first), with ``_gap`` set. Both collapse on the map side.
+    """
+    levels = sorted({min(1.0, max(0.0, p + side * spread)) for p in probs for side in (-1, 1)})
+    at = {level: i for i, level in enumerate(levels)}
+    sketch = F.percentile_approx("_x", F.array(*[F.lit(x) for x in levels]), F.lit(SKETCH_ACCURACY)).alias("_q")
+    sketches = rows.groupBy(*by).agg(sketch, F.count(F.lit(1)).alias("_n"))
+    if by:
+        sketches = settle(sketches, "sketches")
+        beside_rows = beside(rows, sketches, by)
+        total = sketches.agg(F.sum(_bracketed(F.col("_n"), len(probs), spread))).first()[0] or 0
+    else:
+        one = sketches.select("_q", "_n", _bracketed(F.col("_n"), len(probs), spread).alias("held")).first()  # two numbers for each probability
+        q = F.array(*[F.lit(x) for x in one["_q"] or [0.0] * len(levels)])
+        beside_rows = rows.select("*", q.alias("_q"), F.lit(one["_n"]).alias("_n"))
+        total = one["held"] or 0
+    x, cuts = F.col("_x"), sorted(set(probs))
+    edge = {(p, side): F.col("_q")[at[min(1.0, max(0.0, p + side * spread))]] for p in cuts for side in (-1, 1)}
+
+    def place(first: int, last: int) -> Column:
+        """Value and gap of a row whose value lies above the brackets before ``first``; halves the brackets per step."""
+        if first == last:
+            p = cuts[first]
+            below = edge[cuts[first - 1], 1] if first else F.lit(None).cast("double")
+            inside = F.lit(True) if p - spread <= 0 else x >= edge[p, -1]
+            return F.when(inside, F.struct(x.alias("_x"), F.lit(False).alias("_gap"))).otherwise(F.struct(below.alias("_x"), F.lit(True).alias("_gap")))
+        middle = (first + last) // 2
+        return F.when(x <= edge[cuts[middle], 1], place(first, middle)).otherwise(place(middle + 1, last))
+
+    top = cuts[-1]
+    above = F.lit(False) if top + spread >= 1 else x > edge[top, 1]
+    placed = F.when(F.col("_n") <= WHOLE_GROUP, F.struct(x.alias("_x"), F.lit(False).alias("_gap")))
+    placed = placed.when(above, F.struct(edge[top, 1].alias("_x"), F.lit(True).alias("_gap"))).otherwise(place(0, len(cuts) - 1))
+    marked = beside_rows.select(*by, placed.alias("_p")).select(*by, "_p._x", "_p._gap")
+    return marked.groupBy(*by, "_x", "_gap").agg(F.count(F.lit(1)).alias("n")), int(total)
+
+
+def _bracketed(n: Column, probs: int, spread: float) -> Column:
+    return F.when(n <= WHOLE_GROUP, n).otherwise(F.least(n, F.ceil(n * (2 * spread * probs)) + probs + 1))
+
+
+def _ranked(counts: DataFrame, by: Sequence[str], bound: int) -> DataFrame:
+    """Running and whole sums of the counts: a plain window where all brackets together are small."""
+    if bound > WINDOW_ROWS:
+        return running_sums(counts, ["_x", "_gap"], {"cum": "n"}, by=by, totals={"n_total": "n"})
+    keyed = W.partitionBy(*by) if by else W.partitionBy()
+    return counts.select("*", F.sum("n").over(keyed.orderBy("_x", "_gap")).alias("cum"), F.sum("n").over(keyed).alias("n_total"))
+
+
+def _interpolated(ranked: DataFrame, value: str, probs: Mapping[str, float], by: Sequence[str], gap: Column | None = None) -> DataFrame:
+    """Quantiles from running counts (cum, n, n_total): the two order statistics around each position.
+
+    ``_missed`` says that one of them stands in a gap.
     """
-    ranked = average_ranks(df, value, by, weight)
     n, cum = F.col("n_total"), F.col("cum")
-    picks = []
+    gap = F.lit(False) if gap is None else gap
+    picks, missed = [], F.lit(False)
     for name, p in probs.items():
-        pos = (n - 1) * F.lit(float(p))
-        lo, hi = F.floor(pos), F.ceil(pos)
-        picks.append(F.max(F.when((cum - F.col("n") <= lo) & (lo < cum), F.col(value))).alias(f"_lo_{name}"))
-        picks.append(F.max(F.when((cum - F.col("n") <= hi) & (hi < cum), F.col(value))).alias(f"_hi_{name}"))
-    found = ranked.groupBy(*by).agg(F.max("n_total").alias("_n"), *picks)
+        pos = (n - 1) * F.lit(p)
+        for edge, rank in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
+            here = (cum - F.col("n") <= rank) & (rank < cum)
+            picks.append(F.max(F.when(here, F.col(value))).alias(f"_{edge}_{name}"))
+            missed = missed | (here & gap)
+    found = ranked.groupBy(*by).agg(F.max("n_total").alias("_n"), F.coalesce(F.max(missed), F.lit(False)).alias("_missed"), *picks)
     out = []
     for name, p in probs.items():
-        pos = (F.col("_n") - 1) * F.lit(float(p))
+        pos = (F.col("_n") - 1) * F.lit(p)
         lo, hi = F.col(f"_lo_{name}").cast("double"), F.col(f"_hi_{name}").cast("double")
-        out.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
-    return found.select(*by, *out)
+        out.append(F.when(lo == hi, lo).otherwise(lo + (hi - lo) * (pos - F.floor(pos))).alias(name))  # also for infinities
+    return found.select(*by, *out, "_missed")

@@ -12,15 +12,15 @@ from tidemark.operators.ordered import average_ranks, beside, exact_quantiles, n
 
 def boxplot_stats(df: DataFrame, by: Sequence[str], col: str, k: float = 1.5) -> DataFrame:
     """Quartiles, fences, whisker ends and outlier count per group."""
-    counts = df.filter(F.col(col).isNotNull()).groupBy(*by, F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    q = exact_quantiles(counts, "_v", {"q1": 0.25, "median": 0.5, "q3": 0.75}, by=by, weight="_n")
+    rows = df.filter(F.col(col).isNotNull()).select(*by, F.col(col).alias("_v"))
+    q = exact_quantiles(rows, "_v", {"q1": 0.25, "median": 0.5, "q3": 0.75}, by=by)
     iqr = F.col("q3") - F.col("q1")
     q = q.withColumns({"lower": F.col("q1") - k * iqr, "upper": F.col("q3") + k * iqr})
-    v, n = F.col("_v"), F.col("_n")
+    v = F.col("_v")
     inside = v.between(F.col("lower"), F.col("upper"))
-    return beside(counts, q, by).groupBy(*by, "q1", "median", "q3").agg(
+    return beside(rows, q, by).groupBy(*by, "q1", "median", "q3").agg(
         F.min(F.when(inside, v)).alias("whisker_lo"), F.max(F.when(inside, v)).alias("whisker_hi"),
-        F.coalesce(F.sum(F.when(~inside, n)), F.lit(0)).alias("n_outliers"),
+        F.count(F.when(~inside, 1)).alias("n_outliers"),
     )
 
 

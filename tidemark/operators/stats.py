@@ -21,6 +21,7 @@ from tidemark.functions.columns import col_of, safe_div
 from tidemark.session import settle
 from tidemark.operators.ordered import (
     average_ranks,
+    beside,
     carry_forward,
     column_lookup,
     exact_quantiles,
@@ -85,19 +86,22 @@ def describe_stats(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), k
 
 
 def robust_stats(df: DataFrame, col: str, by: Sequence[str] = (), trim: float = 0.1) -> DataFrame:
-    """Trimmed mean (values within the trim quantiles), median, MAD and mode (smallest on ties)."""
-    x = df.select(*by, F.col(col).cast("double").alias("_v"), F.lit(0).alias("_g")).filter("_v IS NOT NULL")
-    keys = [*by, "_g"]
-    # everything below needs only distinct values and their counts
-    counts = settle(x.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n")), "value-counts")
-    q = settle(exact_quantiles(counts, "_v", {"_lo": trim, "median": 0.5, "_hi": 1 - trim}, by=keys, weight="_n"), "quantiles")
-    j = counts.join(q, keys)
-    inside = F.when(F.col("_v").between(F.col("_lo"), F.col("_hi")), F.col("_n"))
-    mean = j.groupBy(*keys).agg(safe_div(F.sum(F.col("_v") * inside), F.sum(inside)).alias("trimmed_mean"))
-    mad = exact_quantiles(j.withColumn("_d", F.abs(F.col("_v") - F.col("median"))), "_d", {"mad": 0.5}, by=keys, weight="_n")
-    mode = counts.groupBy(*keys).agg(F.max_by("_v", F.struct("_n", -F.col("_v"))).alias("mode"))
-    parts = [mean, q.select(*keys, "median"), mad, mode]
-    return reduce(lambda a, b: a.join(b, keys), parts).drop("_g")
+    """Trimmed mean (values within the trim quantiles), median, MAD and mode (smallest on ties).
+
+    Only the mode needs the counts of all distinct values.
+    """
+    x = df.select(*by, F.col(col).cast("double").alias("_v")).filter("_v IS NOT NULL")
+    q = exact_quantiles(x, "_v", {"_lo": trim, "median": 0.5, "_hi": 1 - trim}, by=by)
+    near = beside(x, q, by)
+    inside = F.when(F.col("_v").between(F.col("_lo"), F.col("_hi")), F.col("_v"))
+    mean = near.groupBy(*by).agg(F.avg(inside).alias("trimmed_mean"))
+    mad = exact_quantiles(near.select(*by, F.abs(F.col("_v") - F.col("median")).alias("_d")), "_d", {"mad": 0.5}, by=by)
+    counts = x.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    mode = counts.groupBy(*by).agg(F.max_by("_v", F.struct("_n", -F.col("_v"))).alias("mode"))
+    out = q.select(*by, "median")
+    for part in (mean, mad, mode):
+        out = beside(out, part, by)
+    return out
 
 
 def moments(df: DataFrame, group: Sequence[str], col: str | Column) -> DataFrame:
