@@ -11,7 +11,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tidemark.functions.columns import micros
+from tidemark.operators.intervals import contained
 from tidemark.operators.ordered import carry_forward, running_sums
+from tidemark.session import settle
 
 
 def left_join_on(
@@ -84,11 +87,13 @@ def join_scd2(
     how: str = "left",
     dense: bool = False,
 ) -> DataFrame:
-    """Version valid at the fact time: equi key plus half-open range; NULL end is open.
+    """Version valid at the fact time: equal key and half-open range; NULL end is open.
 
-    The range join suits dimensions with few versions per key (and broadcasts small
-    ones). ``dense`` takes the linear as-of path instead, for keys that have very many
-    versions and facts at once; it relies on versions that do not overlap.
+    Versions may overlap; a fact then has a row for each. Facts and versions meet in the cells
+    of a dyadic cover (``operators/intervals.py``), so a key with very many of both is no
+    problem; only key, time and a row number of the facts unfold, and the facts are
+    written once. ``dense`` takes the as-of path instead, which reads each side once; it
+    relies on versions that do not overlap.
     """
     if dense:
         attrs = [c for c in dim.columns if c not in (dim_bk or bk, valid_from)]
@@ -98,10 +103,17 @@ def join_scd2(
         kept = {c: F.when(live, F.col(c)) for c in attrs if c != valid_to}
         out = hit.filter(live) if how == "inner" else hit.withColumns(kept)
         return out.drop(f"matched_{valid_from}", valid_to)
-    right = dim.withColumnsRenamed({dim_bk or bk: "_bk", valid_from: "_from", valid_to: "_to"})
-    at = F.col(ts)
-    cond = (F.col(bk) == F.col("_bk")) & (at >= F.col("_from")) & (F.col("_to").isNull() | (at < F.col("_to")))
-    return fact.join(right, cond, how).drop("_bk", "_from", "_to")
+    rows = settle(fact.withColumn("_id", F.monotonically_increasing_id()), "facts")
+    points = rows.select("_id", F.col(bk).alias("_key"), micros(ts).alias("_at"))
+    last = points.agg(F.max("_at")).scalar() + 1
+    start, end = micros(valid_from), micros(valid_to)
+    attrs = [c for c in dim.columns if c not in (dim_bk or bk, valid_from, valid_to)]
+    versions = dim.select(
+        F.col(dim_bk or bk).alias("_bk"), start.alias("_from"), F.coalesce(end, F.greatest(last, start + 1)).alias("_to"), F.struct(*attrs).alias("_v")
+    )
+    found = contained(points, versions, {"_key": "_bk"}, "_at", "_from", "_to").select("_id", "_v")
+    out = rows.join(found, "_id", how)
+    return out.select(*fact.columns, *[F.col(f"_v.{c}").alias(c) for c in attrs])
 
 
 def asof_join(
@@ -146,19 +158,16 @@ def interval_agg(
 ) -> DataFrame:
     """Aggregate readings inside each [start, end) interval.
 
-    Intervals unfold into the days they touch, so the join has an equi key
-    (entity, day) and compares a reading only with intervals of its own day.
+    Readings and intervals meet in the cells of a dyadic cover, whatever the overlap.
+    An interval without readings, or with a NULL bound, is aggregated over one row of NULLs.
     """
-    last = F.greatest(F.col(start), F.col(end) - F.expr("INTERVAL 1 MICROSECOND"))
-    days = F.sequence(F.col(start).cast("date"), last.cast("date"))
     keys = list(dict.fromkeys([*cycle_key, *on, start, end]))
-    spans = cycles.select(*keys).withColumn("_day", F.explode(days))
-    points = readings.withColumnsRenamed({k: f"_r_{k}" for k in on}).withColumn("_rday", F.col(ts).cast("date"))
-    cond = F.col("_day") == F.col("_rday")
-    for k in on:
-        cond = cond & (F.col(k) == F.col(f"_r_{k}"))
-    cond = cond & (F.col(ts) >= F.col(start)) & (F.col(ts) < F.col(end))
-    return spans.join(points, cond, "left").groupBy(*keys).agg(*[e.alias(n) for n, e in aggs.items()])
+    spans = cycles.select(*keys)
+    marked = spans.withColumns({"_from": micros(start), "_to": micros(end)})
+    points = readings.withColumnsRenamed({k: f"_r_{k}" for k in on}).withColumn("_at", micros(ts))
+    pairs = contained(points, marked, {f"_r_{k}": k for k in on}, "_at", "_from", "_to").drop("_from", "_to", "_at")
+    # a row of NULLs for every interval keeps those without readings and leaves both sides of the join free to be split
+    return pairs.unionByName(spans, allowMissingColumns=True).groupBy(*keys).agg(*[e.alias(n) for n, e in aggs.items()])
 
 
 def interval_sums(
@@ -171,36 +180,39 @@ def interval_sums(
     ts: str,
     sums: Mapping[str, str],
     count: str = "n_readings",
-    scale: int = 12,
+    scale: int = 24,
 ) -> DataFrame:
     """Exact sums and count of readings inside each [start, end) without pairing them.
 
-    Whole numbers and decimals keep all their digits; doubles keep ``scale`` of them
-    behind the point. Interval bounds are placed among the readings in time order; a sum is the running
+    Whole numbers and decimals keep all their digits. A double is summed in two parts, its
+    whole part (below 1e37) and the rest to ``scale`` digits behind the point, and comes back as a
+    double. Interval bounds are placed among the readings in time order; a sum is the running
     total at the end minus the one at the start. Linear for any overlap and any hot key.
     """
     keys = list(dict.fromkeys([*cycle_key, *on, start, end]))
-    kept = {}
+    parts: dict[str, Column] = {}
     for o, c in sums.items():
-        kind = readings.schema[c].dataType
-        digits = kind.scale if isinstance(kind, T.DecimalType) else scale if isinstance(kind, T.FractionalType) else 0
-        kept[f"_v_{o}"] = f"decimal(38,{digits})"
-    exact = {f"_v_{o}": F.coalesce(F.col(c).cast(kept[f"_v_{o}"]), F.lit(0)) for o, c in sums.items()}
-    zero = {name: F.lit(0).cast(kept[name]) for name in exact}
-    points = readings.select(*on, F.col(ts).alias("_t"), F.lit(1).alias("_side"), *[c.alias(n) for n, c in exact.items()], F.lit(1).cast("long").alias("_one"))
+        kind, value = readings.schema[c].dataType, F.col(c)
+        if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType):
+            rest = value.cast("double") % F.lit(1.0)  # exact
+            parts |= {f"_whole_{o}": (value.cast("double") - rest).cast("decimal(38,0)"), f"_rest_{o}": rest.cast(f"decimal(38,{scale})")}
+        else:
+            parts[f"_whole_{o}"] = value.cast(f"decimal(38,{kind.scale if isinstance(kind, T.DecimalType) else 0})")
+    points = readings.select(*on, F.col(ts).alias("_t"), F.lit(1).alias("_side"), *[c.alias(n) for n, c in parts.items()], F.lit(1).cast("long").alias("_one"))
+    points = points.fillna(0, list(parts))
     bounds = F.array(
         F.struct(F.col(start).alias("_t"), F.lit(-1).alias("_sign")),
         F.struct(F.greatest(F.col(start), F.col(end)).alias("_t"), F.lit(1).alias("_sign")),
     )
     marks = cycles.select(*keys, F.struct(*keys).alias("_cycle"), F.inline(bounds)).select(
-        *on, "_t", F.lit(0).alias("_side"), *[c.alias(n) for n, c in zero.items()], F.lit(0).cast("long").alias("_one"), "_cycle", "_sign"
+        *on, "_t", F.lit(0).alias("_side"), *[F.lit(0).cast(points.schema[n].dataType).alias(n) for n in parts], F.lit(0).cast("long").alias("_one"), "_cycle", "_sign"
     )
-    totals = {f"_r{n}": n for n in [*exact, "_one"]}
+    totals = {f"_r{n}": n for n in [*parts, "_one"]}
     run = running_sums(points.unionByName(marks, allowMissingColumns=True), ["_t", "_side"], totals, by=on).filter("_side = 0")
-    out = run.groupBy("_cycle").agg(
-        F.sum(F.col("_sign") * F.col("_r_one")).alias(count), *[F.sum(F.col("_sign") * F.col(f"_r_v_{o}")).alias(o) for o in sums]
-    )
-    return out.select("_cycle.*", count, *sums)
+    signed = {n: F.when(F.col("_sign") < 0, -F.col(f"_r{n}")).otherwise(F.col(f"_r{n}")) for n in [*parts, "_one"]}  # a product would lose digits
+    out = run.groupBy("_cycle").agg(*[F.sum(c).alias(n) for n, c in signed.items()])
+    total = {o: F.col(f"_whole_{o}").cast("double") + F.col(f"_rest_{o}").cast("double") if f"_rest_{o}" in parts else F.col(f"_whole_{o}") for o in sums}
+    return out.select("_cycle.*", F.col("_one").alias(count), *[c.alias(o) for o, c in total.items()])
 
 
 def lateral_top(df: DataFrame, other: DataFrame, on: str, key: str, order: Sequence[Column], n: int = 1) -> DataFrame:

@@ -73,10 +73,13 @@ def running_sums(
         *[F.sum(f"_t_{o}").over(whole).alias(o) for o in totals],
     )
     out = _attach(rows, carried)
-    out = out.withColumns(
-        {o: F.coalesce(F.col(o) + F.coalesce(F.col(f"_o_{o}"), F.lit(0)), F.col(f"_o_{o}")) for o in sums}
-    )
-    return out.drop(*[f"_o_{o}" for o in sums])
+    both = {}
+    for o in sums:
+        kind = out.schema[o].dataType
+        room = f"decimal(37,{kind.scale})" if isinstance(kind, T.DecimalType) and kind.precision == 38 and kind.scale < 38 else kind
+        own, before = F.col(o).cast(room), F.col(f"_o_{o}").cast(room)  # a sum of two full decimals would lose a digit behind the point
+        both[o] = F.coalesce(own + F.coalesce(before, F.lit(0).cast(room)), before).cast(kind)
+    return out.withColumns(both).drop(*[f"_o_{o}" for o in sums])
 
 
 def running_min(
