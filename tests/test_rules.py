@@ -194,3 +194,17 @@ def test_custom_sql_over_plain_and_qualified_names(spark):
         assert r.custom_sql("q", sql, 1).build({"t": t, "other": t}, t).first()["observed_value"] == 2.0
     share = r.custom_sql("q", "SELECT count(DISTINCT k) FROM t WHERE v > 10", max_pct=50.0, entity="k").build({"t": t}, t).first()
     assert share["observed_value"] == 50.0 and share["passed"]
+
+
+def test_contract_columns_are_checked(spark):
+    with pytest.raises(ValueError, match="requird"):
+        contract.column_rules([{"name": "a", "requird": True}])
+    spec = [
+        {"name": "id", "type": "BIGINT", "required": True, "description": "key"}, {"name": "code", "type": "VARCHAR(5)", "references": "gold.dim.code"},
+        {"name": "share", "type": "DECIMAL(5,4)"}, {"name": "n", "type": "INTEGER"}, {"name": "free"}, {"name": "gone", "type": "TIMESTAMP"},
+    ]
+    assert [x.check_type for x in contract.column_rules(spec)] == ["not_null", "max_length", "foreign_key"]
+    assert [x.check_type for x in contract.column_rules(spec, linked=["code"])] == ["not_null", "max_length"]
+    df = spark.createDataFrame([(1, "x", 0.5, 3)], "id long, code string, share double, n long")
+    got = {(x.column, x.change, x.severity) for x in contract.schema_changes(df, spec).collect()}
+    assert got == {("share", "widened", "warn"), ("n", "widened", "warn"), ("gone", "removed", "fail")}

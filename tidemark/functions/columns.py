@@ -84,8 +84,10 @@ def matches(c: Column | str, pattern: str) -> Column:
 
 
 def period(c: Column | str, unit: str) -> Column:
-    """Start date of the day, week (Monday), month, quarter or year."""
+    """Start date of the day, week (Monday), month, quarter or year; start time of the hour, minute or second."""
     c = col_of(c)
+    if unit in ("hour", "minute", "second"):
+        return F.date_trunc(unit, c)
     return c.cast("date") if unit == "day" else F.date_trunc(unit, c).cast("date")
 
 

@@ -58,17 +58,18 @@ def rfm(orders: DataFrame, as_of: Sequence[str], customer: str, date: str, amoun
         F.count(F.lit(1)).alias("frequency"),
         F.sum("_m").cast("double").alias("monetary"),
     )
-    base = settle(base.withColumn("_nr", -F.col("recency_days")), "rfm")
-    ranked = base
-    for name, col in {"r": "_nr", "f": "frequency", "m": "monetary"}.items():
-        tiles = ntile_by_rank(base.select("as_of", customer, col), ["as_of"], [col, customer], 5, name)
-        ranked = ranked.join(tiles.drop(col), ["as_of", customer])
+    own = base.columns
+    scores = {"r": -F.col("recency_days"), "f": F.col("frequency"), "m": F.col("monetary")}
+    entries = F.array(*[F.struct(F.lit(s).alias("_score"), c.cast("double").alias("_by")) for s, c in scores.items()])
+    tiles = ntile_by_rank(base.select("*", F.inline(entries)), ["as_of", "_score"], ["_by", customer], 5, "_tile")  # all three in one ordered pass
+    picked = [F.max(F.when(F.col("_score") == s, F.col("_tile"))).alias(s) for s in scores]
+    ranked = tiles.groupBy(*own).agg(*picked)
     r, fm = F.col("r"), (F.col("f") + F.col("m")) / 2
     label = (
         F.when((r >= 4) & (fm >= 4), "Champions").when((r >= 3) & (fm >= 3), "Loyal").when((r <= 2) & (fm >= 3), "At-Risk")
         .when((r <= 2) & (fm < 3), "Lost").when((r == 5) & (fm < 3), "New").otherwise("Regular")
     )
-    return ranked.drop("_nr").withColumn("segment", label)
+    return ranked.withColumn("segment", label)
 
 
 def clv(orders: DataFrame, as_of: str, customer: str, date: str, amount: str, months: int = 12) -> DataFrame:

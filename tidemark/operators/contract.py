@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import yaml
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidemark.operators import rules as r
 
@@ -13,10 +13,27 @@ from tidemark.operators import rules as r
 CRITICALITY = {"error": "critical", "warn": "important", "info": "informational"}
 
 
-def column_rules(columns: Sequence[dict]) -> list:
-    """Rules implied by column definitions: required, key, pattern, bounds, values, length."""
+def _known(where: str, given: dict, *names: str) -> dict:
+    """The section, if it holds no other keys: a key that no rule takes would be read over."""
+    unknown = set(given) - set(names)
+    if unknown:
+        raise ValueError(f"unknown keys {sorted(unknown)} in {where}")
+    return given
+
+
+# What a column definition may hold: keys that make rules or types, and notes for people.
+COLUMN_RULES = ("name", "type", "required", "primaryKey", "unique", "pattern", "minimum", "maximum", "allowedValues", "enum", "references")
+COLUMN_NOTES = ("description", "businessName", "title", "examples", "tags", "classification")
+
+
+def column_rules(columns: Sequence[dict], linked: Sequence[str] = ()) -> list:
+    """Rules implied by column definitions: required, key, pattern, bounds, values, length, reference.
+
+    A reference is left to the table's foreign keys for the columns in ``linked``.
+    """
     out: list = []
     for spec in columns:
+        _known(f"column {spec.get('name')}", spec, *COLUMN_RULES, *COLUMN_NOTES)
         name, kind = spec["name"], str(spec.get("type", "")).upper()
         if spec.get("required"):
             out += r.not_null([name])
@@ -31,15 +48,35 @@ def column_rules(columns: Sequence[dict]) -> list:
             out.append(r.accepted(name, values))
         if kind.startswith("VARCHAR("):
             out.append(r.max_length(name, int(kind[8:-1])))
+        if spec.get("references") and name not in linked:
+            parent, column = spec["references"].split(".")[-2:]
+            out.append(r.foreign_key(name, parent, column, True))
     return out
 
 
-def _known(where: str, given: dict, *names: str) -> dict:
-    """The section, if it holds no other keys: a key that no rule takes would be read over."""
-    unknown = set(given) - set(names)
-    if unknown:
-        raise ValueError(f"unknown keys {sorted(unknown)} in {where}")
-    return given
+# Spark's names of the type names that contracts use beside its own.
+TYPE_NAMES = {"VARCHAR": "string", "CHAR": "string", "TEXT": "string", "INTEGER": "int", "NUMERIC": "decimal", "DOUBLE PRECISION": "double"}
+
+
+def locked_schema(columns: Sequence[dict]) -> T.StructType:
+    """The schema that column definitions state; a column without a type is left out."""
+    fields = []
+    for spec in columns:
+        kind = str(spec.get("type") or "").upper()
+        if not kind:
+            continue
+        base, _, rest = kind.partition("(")
+        name = TYPE_NAMES.get(base.strip(), base.strip().lower())
+        fields.append(T.StructField(spec["name"], T.DataType.fromDDL(name if name == "string" or not rest else f"{name}({rest}"), not spec.get("required")))
+    return T.StructType(fields)
+
+
+def schema_changes(df: DataFrame, columns: Sequence[dict]) -> DataFrame:
+    """How the table's columns and types differ from the contract: column, change, severity (see ``rules.schema_diff``).
+
+    Files don't keep NOT NULL, so a required column is a matter of its rule, not of the type.
+    """
+    return r.schema_diff(df, locked_schema(columns)).filter("change <> 'became_nullable'")
 
 
 # Keys that describe a check for people or other tools and decide nothing.
@@ -109,7 +146,7 @@ def quality_rule(rule: dict, as_of: str | None = None, key: Sequence[str] = ())
 
 def table_rules(table: dict, columns: Sequence[dict], quality, as_of: str | None) -> list:
     key = list(table.get("primaryKey") or [])
-    found = column_rules(columns)
+    found = column_rules(columns, [link["column"] for link in table.get("foreignKeys") or []])
     if key:
         found += r.not_null(key) + [r.unique(key)]
     for link in table.get("foreignKeys") or []:

@@ -263,7 +263,7 @@ def build_fact(
 def periodic_snapshot(moves: DataFrame, key: str, date: str, qty: Column | str, until: Column | None = None):
     """Balance per key and day from movements, from the key's first day to the last day overall."""
     q = F.col(qty) if isinstance(qty, str) else qty
-    daily = moves.groupBy(key, F.col(date).cast("date").alias("day")).agg(F.sum(q).alias("moved"))
+    daily = settle(moves.groupBy(key, F.col(date).cast("date").alias("day")).agg(F.sum(q).alias("moved")), "daily")
     last = daily.agg(F.max("day")).scalar() if until is None else until
     spine = daily.groupBy(key).agg(F.min("day").alias("_a")).withColumn("_b", last)
     spine = spine.select(F.col(key).alias("_k"), F.explode(F.sequence("_a", "_b")).alias("_d"))

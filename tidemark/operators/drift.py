@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from bisect import bisect_left, insort
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from tidemark.functions.columns import safe_div
 from tidemark.functions.distributions import kolmogorov_sf
@@ -241,12 +244,73 @@ def modified_z(df: DataFrame, col: str, t: float = 3.5) -> DataFrame:
 def naive_interval(df: DataFrame, key: Sequence[str], date: str, val: str, lag_days: int) -> DataFrame:
     """Seasonal-naive forecast with the P10-P90 band of residuals seen before that day."""
     r = seasonal_naive(df, key, date, val, lag_days)
-    w = W.partitionBy(*key).orderBy(day_number(date)).rangeBetween(W.unboundedPreceding, -1)
-    lo, hi = F.percentile("residual", F.lit(0.1)).over(w), F.percentile("residual", F.lit(0.9)).over(w)
-    out = r.withColumns({"lower": F.col("forecast") + lo, "upper": F.col("forecast") + hi})
+    banded = earlier_quantiles(r.withColumn("_day", day_number(date).cast("long")), key, "_day", "residual", {"_lo": 0.1, "_hi": 0.9})
+    out = banded.withColumns({"lower": F.col("forecast") + F.col("_lo"), "upper": F.col("forecast") + F.col("_hi")}).drop("_day", "_lo", "_hi")
     return out.withColumn("inside", F.col(val).between(F.col("lower"), F.col("upper")))
 
 
+class SortedRuns:
+    """Numbers in ascending order, kept as short runs: an insertion moves one run only."""
+
+    def __init__(self, run: int = 512):
+        self.run, self.runs, self.n = run, [[]], 0
+
+    def add(self, value: float) -> None:
+        tops = [own[-1] for own in self.runs[:-1]]
+        at = bisect_left(tops, value)
+        own = self.runs[at]
+        insort(own, value)
+        self.n += 1
+        if len(own) > 2 * self.run:
+            self.runs[at : at + 1] = [own[: self.run], own[self.run :]]
+
+    def __getitem__(self, rank: int) -> float:
+        for own in self.runs:
+            if rank < len(own):
+                return own[rank]
+            rank -= len(own)
+        raise IndexError(rank)
+
+    def quantile(self, p: float) -> float | None:
+        """Linear between the two order statistics around the position."""
+        if not self.n:
+            return None
+        position = (self.n - 1) * p
+        lo = self[math.floor(position)]
+        hi = self[math.ceil(position)]
+        return lo if lo == hi else lo + (hi - lo) * (position - math.floor(position))
+
+
+def earlier_quantiles(df: DataFrame, key: Sequence[str], order: str, value: str, probs: Mapping[str, float]) -> DataFrame:
+    """Exact quantiles of all values of the same key with a smaller ``order``, beside each row; NULL values don't count.
+
+    A window would sort what it has seen anew for every row. Here each key's rows pass in
+    order through a sorted list: n log n and a little. A key is one series
+    (one row per period), which has to fit into a task.
+    """
+    names = list(probs)
+    schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
+
+    def fill(table: pa.Table) -> pa.Table:
+        table = table.sort_by(order)
+        seen, waiting, last = SortedRuns(), [], None
+        columns: list[list] = [[] for _ in names]
+        for at, x in zip(table[order].to_pylist(), table[value].cast(pa.float64()).to_pylist()):
+            if at != last:
+                for v in waiting:
+                    seen.add(v)
+                waiting, last = [], at
+            for column, p in zip(columns, probs.values()):
+                column.append(seen.quantile(p) if at is not None else None)
+            if x is not None and at is not None:
+                waiting.append(x)
+        for n, column in zip(names, columns):
+            table = table.append_column(n, pa.array(column, pa.float64()))
+        return table
+
+    return df.groupBy(*key).applyInArrow(fill, schema)
+
+
 def interval_coverage(intervals: DataFrame, key: Sequence[str]) -> DataFrame:
     known = intervals.filter(F.col("inside").isNotNull())
     return known.groupBy(*key).agg(

@@ -50,7 +50,7 @@ def _join_keys(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def describe_stats(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), k: float = 1.5) -> DataFrame:
-    """n, missing share, mean, sd, quartiles, bias-corrected skewness and kurtosis, outliers."""
+    """n, missing share, mean, sd, extremes, quartiles and their range, bias-corrected skewness and kurtosis, outliers."""
     keys = [*by, "column"]
     rows = unpivot_numeric(df, cols, by)
     base = rows.groupBy(*keys).agg(
@@ -58,6 +58,8 @@ def describe_stats(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), k
         (100.0 * safe_div(F.count(F.when(F.col("value").isNull(), 1)), F.count(F.lit(1)))).alias("missing_pct"),
         F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("sd"),
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
     )
     known = rows.filter("value IS NOT NULL")
     q = exact_quantiles(known, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, by=keys)
@@ -82,7 +84,7 @@ def describe_stats(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), k
         (safe_div(n - 1, (n - 2) * (n - 3)) * ((n + 1) * F.col("_g2") + 6)).alias("kurtosis"),
         "n_outliers",
     )
-    return _join_keys(_join_keys(base, q, keys), shape, keys)
+    return _join_keys(_join_keys(base, q.withColumn("iqr", F.col("q3") - F.col("q1")), keys), shape, keys)
 
 
 def robust_stats(df: DataFrame, col: str, by: Sequence[str] = (), trim: float = 0.1) -> DataFrame:

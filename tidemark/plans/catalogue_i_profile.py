@@ -199,24 +199,21 @@ def _(t):
     return pf.table_summary(t.customer)
 
 
-VOLUME = """c AS (SELECT CAST(date_trunc('week', l_shipdate) AS DATE) AS period, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' AND l_quantity = 50 AND l_discount = 0.04 GROUP BY 1),
-  s AS (SELECT CAST(unnest(generate_series((SELECT min(period) FROM c), (SELECT max(period) FROM c), INTERVAL 1 WEEK)) AS DATE) AS period),
+def _volume(unit):
+    return f"""c AS (SELECT date_trunc('{unit}', ts) AS period, count(*) AS n FROM events GROUP BY 1),
+  s AS (SELECT unnest(generate_series((SELECT min(period) FROM c), (SELECT max(period) FROM c), INTERVAL 1 {unit})) AS period),
   v AS (SELECT period, coalesce(n, 0) AS n, CASE WHEN coalesce(n, 0) = 0 THEN 'gap' WHEN n > 2 * (SELECT median(n) FROM c) THEN 'spike' ELSE 'ok' END AS flag
         FROM s LEFT JOIN c USING (period))"""
 
 
-def rare(t):
-    return t.lineitem.filter("l_returnflag = 'R' AND l_quantity = 50 AND l_discount = 0.04")
-
-
-@query("i13_volume_by_period", f"WITH {VOLUME} SELECT * FROM v")
+@query("i13_volume_by_period", f"WITH {_volume('hour')} SELECT * FROM v")
 def _(t):
-    return pf.volume_by_period(rare(t), "l_shipdate", "week", spike=2)
+    return pf.volume_by_period(t.events, "ts", "hour", spike=2)
 
 
-@query("i14_missing_periods", f"WITH {VOLUME} SELECT period FROM v WHERE n = 0")
+@query("i14_missing_periods", f"WITH {_volume('minute')} SELECT period FROM v WHERE n = 0")
 def _(t):
-    return pf.missing_periods(rare(t), "l_shipdate", "week")
+    return pf.missing_periods(t.events, "ts", "minute")
 
 
 @query(

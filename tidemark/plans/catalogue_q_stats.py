@@ -19,14 +19,14 @@ def rnd(*cols, n=6):
 
 
 def _describe(c):
-    return f"""SELECT l_returnflag, '{c}' AS "column", count({c}) AS n, 0.0::DOUBLE AS missing_pct, round(avg({c}), 5) AS mean, round(stddev_samp({c}), 5) AS sd, round(quantile_cont({c}, 0.25), 6) AS q1, round(quantile_cont({c}, 0.5), 6) AS median,
-        round(quantile_cont({c}, 0.75), 6) AS q3, round(skewness({c}), 6) AS skewness, round(kurtosis({c}), 6) AS kurtosis, 0::BIGINT AS n_outliers FROM lineitem GROUP BY 1"""
+    return f"""SELECT l_returnflag, '{c}' AS "column", count({c}) AS n, 0.0::DOUBLE AS missing_pct, round(avg({c}), 5) AS mean, round(stddev_samp({c}), 5) AS sd, min({c}) AS min, max({c}) AS max, round(quantile_cont({c}, 0.25), 6) AS q1, round(quantile_cont({c}, 0.5), 6) AS median,
+        round(quantile_cont({c}, 0.75), 6) AS q3, round(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25), 6) AS iqr, round(skewness({c}), 6) AS skewness, round(kurtosis({c}), 6) AS kurtosis, 0::BIGINT AS n_outliers FROM lineitem GROUP BY 1"""
 
 
 @query("q1_descriptives", union(_describe(c) for c in ("l_quantity", "l_extendedprice")))
 def _(t):
     out = st.describe_stats(t.lineitem, ["l_quantity", "l_extendedprice"], ["l_returnflag"])
-    six = ("q1", "median", "q3", "skewness", "kurtosis")
+    six = ("q1", "median", "q3", "iqr", "skewness", "kurtosis")
     return out.withColumns({c: F.round(c, 6) for c in six} | {c: F.round(c, 5) for c in ("mean", "sd")})
 
 

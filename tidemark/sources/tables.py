@@ -26,9 +26,13 @@ def read_table(
     schema: T.StructType | str | None = None,
     order_by: Sequence[str] | None = None,
     limit: int | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Open a table; CSV columns stay text unless a schema is given.
 
+    ``multi_line`` reads CSV records with line breaks inside quotes as one. Such a file
+    can't be split: each is read by one task, so keep the files of a large table small.
+
     ``limit`` needs ``order_by``: "the first n" means nothing without an order.
     """
     fmt = detect_format(path, fmt)
@@ -36,7 +40,7 @@ def read_table(
         df = spark.read.parquet(path)
     elif fmt == "csv":
         reader = spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
-        reader = reader.option("quote", '"').option("escape", '"').option("multiLine", False)
+        reader = reader.option("quote", '"').option("escape", '"').option("multiLine", multi_line)
         df = (reader.schema(schema) if schema else reader).csv(path)
         first = df.columns[0]
         if first.startswith(BOM):
