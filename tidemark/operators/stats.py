@@ -30,6 +30,7 @@ from tidemark.operators.ordered import (
     unpivot_numeric,
     value_counts_table,
 )
+from tidemark.operators.resample import LEAVES, arm_sums, bootstrap_medians, bootstrap_totals, summary
 
 # Fixed value: normal quantile of a two-sided 95 percent interval.
 Z95 = 1.959963984540054
@@ -120,45 +121,13 @@ def mean_ci(df: DataFrame, by: Sequence[str], col: str, conf: float = 0.95) -> D
     )
 
 
-def poisson_weight(key: Sequence[Column], replicate: Column, seed: int) -> Column:
-    """Repeatable Poisson(1) bootstrap weight of a row in a replicate."""
-    u = (F.pmod(F.xxhash64(*key, replicate, F.lit(seed)), F.lit(2**53)).cast("double") + 0.5) / F.lit(float(2**53))
-    out = F.lit(0)
-    mass, total = float(np.exp(-1.0)), 0.0
-    k = 0
-    while 1.0 - total > 2.0**-53:  # until what is left is below the resolution of the draw
-        total += mass
-        out = out + (u > total).cast("int")
-        k += 1
-        mass /= k
-    return out
-
-
-def bootstrap_ci(
-    df: DataFrame, key: Sequence[str], col: str, stat: str = "mean", n: int = 10_000, conf: float = 0.95, seed: int = 42
-) -> DataFrame:
-    """Percentile interval of a statistic over Poisson bootstrap replicates.
-
-    Replicates unfold inside the scan and collapse in the map-side aggregate, so
-    only ``n`` partial rows per task are shuffled for mean and sum; the median
-    shuffles weighted distinct values.
-    """
-    base = df.filter(F.col(col).isNotNull()).select(F.col(col).cast("double").alias("_v"), F.struct(*key).alias("_k"))
-    base = base.select("*", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("rep"))
-    w = base.withColumn("_w", poisson_weight([F.col("_k")], F.col("rep"), seed)).filter("_w > 0")
-    if stat == "mean":
-        reps = w.groupBy("rep").agg((F.sum(F.col("_v") * F.col("_w")) / F.sum("_w")).alias("stat"))
-    elif stat == "sum":
-        reps = w.groupBy("rep").agg(F.sum(F.col("_v") * F.col("_w")).alias("stat"))
-    elif stat == "median":
-        reps = exact_quantiles(w, "_v", {"stat": 0.5}, by=["rep"], weight="_w")
-    else:
-        raise ValueError(f"unknown statistic {stat!r}")
-    a = (1 - conf) / 2
-    return reps.agg(  # n rows
-        F.avg("stat").alias("boot_mean"), F.stddev_samp("stat").alias("boot_se"),
-        F.percentile("stat", F.lit(a)).alias("ci_low"), F.percentile("stat", F.lit(1 - a)).alias("ci_high"),
-    )
+def bootstrap_ci(df: DataFrame, col: str, stat: str = "mean", n: int = 10_000, conf: float = 0.95, seed: int = 42, leaves: int = LEAVES) -> DataFrame:
+    """Percentile interval of a mean, sum or median over bootstrap replicates; see ``operators/resample.py``."""
+    if stat in ("mean", "sum"):
+        return summary(bootstrap_totals(df, col, stat, n, seed, leaves), conf)
+    if stat == "median":
+        return summary(bootstrap_medians(df, col, n, seed), conf)
+    raise ValueError(f"unknown statistic {stat!r}")
 
 
 def proportion_ci(df: DataFrame, by: Sequence[str], flag: Column, conf: float = 0.95) -> DataFrame:
@@ -633,31 +602,22 @@ def did(df: DataFrame, treated: Column, post: Column, y: str) -> DataFrame:
     return m.select("m11", "m10", "m01", "m00", est.alias("effect"), se.alias("se"))
 
 
-def permutation_test(
-    df: DataFrame, key: Sequence[str], is_b: Column, y: str, n: int = 200, seed: int = 42, exact: bool = True
-) -> DataFrame:
+def permutation_test(df: DataFrame, is_b: Column, y: str, n: int = 10_000, seed: int = 42, exact: bool = True, leaves: int = LEAVES) -> DataFrame:
     """Share of relabelled samples whose mean difference is at least as large.
 
-    ``exact`` keeps the arm sizes by ranking a hash per replicate (every row is
-    shuffled once per replicate). Otherwise each row draws its arm with the
-    observed share, which collapses on the map side and suits very large inputs.
+    ``exact`` keeps the arm sizes; otherwise each row draws its arm with the observed
+    share. Neither unfolds the rows: see ``operators/resample.py``. Rows without an arm or a value are left out.
     """
-    v = F.col(y).cast("double")
-    base = df.filter(F.col(y).isNotNull()).select(v.alias("_v"), is_b.alias("_b"), F.struct(*key).alias("_k"))
+    base = df.select(F.col(y).cast("double").alias("_v"), is_b.alias("_b")).filter("_v IS NOT NULL AND _b IS NOT NULL")
+    one = lambda arm: F.when(arm, F.col("_v"))
     obs = base.agg(
-        F.struct(
-            (F.avg(F.when(F.col("_b"), F.col("_v"))) - F.avg(F.when(~F.col("_b"), F.col("_v")))).alias("d"),
-            F.count(F.when(F.col("_b"), 1)).alias("nb"), F.count(F.lit(1)).alias("n"),
-        ).alias("o")
-    ).first()["o"]  # three numbers
-    reps = base.select("_v", "_k", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("rep"))
-    reps = reps.withColumn("_h", F.pmod(F.xxhash64("_k", "rep", F.lit(seed)), F.lit(2**53)))
-    if exact:
-        ranked = running_sums(reps.withColumn("_one", F.lit(1)), ["_h", "_k"], {"_r": "_one"}, by=["rep"])
-        arm = F.col("_r") <= F.lit(obs["nb"])
-    else:
-        ranked, arm = reps, F.col("_h") < F.lit(int(2**53 * obs["nb"] / obs["n"]))
-    d = ranked.groupBy("rep").agg((F.avg(F.when(arm, F.col("_v"))) - F.avg(F.when(~arm, F.col("_v")))).alias("d"))
+        (F.avg(one(F.col("_b"))) - F.avg(one(~F.col("_b")))).alias("d"), F.count(one(F.col("_b"))).alias("nb"), F.count(F.lit(1)).alias("n"), F.sum("_v").alias("total")
+    ).first()  # four numbers
+    if obs["d"] is None:
+        raise ValueError("both arms need values")
+    arms = arm_sums(base, "_v", obs["nb"], n, seed, exact, leaves)
+    size, total = F.col("size"), F.col("total")
+    d = arms.select((F.try_divide(total, size) - F.try_divide(F.lit(obs["total"]) - total, F.lit(float(obs["n"])) - size)).alias("d"))
     hit = F.count(F.when(F.abs("d") >= abs(obs["d"]), 1))
     return d.agg(F.lit(obs["d"]).alias("observed"), F.count(F.lit(1)).alias("n_permutations"), ((hit + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"))
 

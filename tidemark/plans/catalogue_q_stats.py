@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.functions import columns as fx
+from tidemark.functions import columns as fx, distributions as ds
 from tidemark.operators import stats as st
 from tidemark.plans.registry import query
 from tidemark.plans.sqltext import union
@@ -47,14 +47,65 @@ def _(t):
     return st.mean_ci(t.orders, ["o_orderstatus"], "o_totalprice")
 
 
-@query("q4_bootstrap_mean")
+REPS, LEAVES = 10_000, 64
+
+
+def _uniform(*node):
+    text = " || '/' || ".join(["'42'", "CAST(rep AS VARCHAR)", *node])
+    return f"(('0x' || substr(md5({text}), 1, 13))::BIGINT + 0.5) / 4503599627370496.0"
+
+
+def _horner(coefficients, x):
+    out = f"({coefficients[0]!r})"
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + ({c!r}))"
+    return out
+
+
+def _normal(u):
+    """The normal quantile of column ``u`` by the published rational approximation."""
+    low, high = f"sqrt(-2.0 * ln({u}))", f"sqrt(-2.0 * ln(1.0 - {u}))"
+    mid = f"({u} - 0.5)"
+    r = f"({mid} * {mid})"
+    tail = lambda q: f"({_horner(ds.QUANTILE_C, q)} / {_horner((*ds.QUANTILE_D, 1.0), q)})"
+    return f"CASE WHEN {u} < 0.02425 THEN {tail(low)} WHEN {u} > 1 - 0.02425 THEN -{tail(high)} ELSE {_horner(ds.QUANTILE_A, r)} * {mid} / {_horner((*ds.QUANTILE_B, 1.0), r)} END"
+
+
+def _leaves(rows):
+    """Ranges of equal shares of ``rows`` (column v) with their counts and moments."""
+    cuts = ", ".join(repr(i / LEAVES) for i in range(1, LEAVES))
+    return f"""cuts AS (SELECT quantile_cont(v, [{cuts}]) AS cut FROM {rows}),
+      leaves AS (SELECT CAST(len(list_filter(cut, lambda q: q < v)) AS BIGINT) AS leaf, count(*)::DOUBLE AS c, avg(v) AS m, var_pop(v) AS s2 FROM {rows}, cuts GROUP BY 1)"""
+
+
+BOOT = "SELECT round(avg(stat), 6) AS boot_mean, round(stddev_samp(stat), 6) AS boot_se, round(quantile_cont(stat, 0.025), 6) AS ci_low, round(quantile_cont(stat, 0.975), 6) AS ci_high FROM stats"
+
+
+def _booted(t, stat):
+    return st.bootstrap_ci(t.events, "value", stat).select(*rnd("boot_mean", "boot_se", "ci_low", "ci_high"))
+
+
+@query(
+    "q4_bootstrap_mean",
+    f"""WITH e AS (SELECT value AS v FROM events WHERE value IS NOT NULL), {_leaves('e')},
+      u AS (SELECT rep, c, m, s2, {_uniform("CAST(leaf AS VARCHAR)", "'n'")} AS un, {_uniform("CAST(leaf AS VARCHAR)", "'s'")} AS us FROM range(1, {REPS + 1}) AS r(rep), leaves),
+      z AS (SELECT *, {_normal('un')} AS zn, {_normal('us')} AS zs FROM u),
+      w AS (SELECT *, greatest(0.0, floor(c + sqrt(c) * zn + (zn * zn - 1) / 6 + 0.5)) AS w FROM z),
+      stats AS (SELECT rep, sum(w * m + sqrt(w * s2) * zs) / sum(w) AS stat FROM w GROUP BY rep) {BOOT}""",
+)
 def _(t):
-    return st.bootstrap_ci(t.events, ["event_id"], "value", "mean", 200)
+    return _booted(t, "mean")
 
 
-@query("q4_bootstrap_median")
+@query(
+    "q4_bootstrap_median",
+    f"""WITH e AS (SELECT value AS v, row_number() OVER (ORDER BY value) AS place, count(*) OVER () AS n FROM events WHERE value IS NOT NULL),
+      u AS (SELECT rep, {_uniform("'median'")} AS u FROM range(1, {REPS + 1}) AS r(rep)), z AS (SELECT rep, {_normal('u')} AS z, (SELECT max(n) FROM e) AS n FROM u),
+      k AS (SELECT rep, least(greatest(ceil((0.5 + 0.5 / sqrt(n + 2) * (z - (z * z * z - 3 * z) / (4.0 * (n + 4)))) * n), 1), n) AS place FROM z),
+      stats AS (SELECT rep, v AS stat FROM k JOIN e USING (place)) {BOOT}""",
+)
 def _(t):
-    return st.bootstrap_ci(t.events, ["event_id"], "value", "median", 50)
+    return _booted(t, "median")
 
 
 @query("q5_proportion_ci")
@@ -395,16 +446,51 @@ def _(t):
     return st.did(t.orders, urgent(), post, "o_totalprice").select(*rnd("m11", "m10", "m01", "m00", "effect", "se", n=4))
 
 
-@query("q25_permutation_test")
-def _(t):
+TWO_ARMS = f"""WITH e AS (SELECT value AS v, event_type = 'click' AS b FROM events WHERE event_type IN ('view', 'click') AND value IS NOT NULL),
+  o AS (SELECT avg(v) FILTER (b) - avg(v) FILTER (NOT b) AS d, count(*) FILTER (b)::DOUBLE AS nb, count(*)::DOUBLE AS n, sum(v) AS total FROM e), {_leaves('e')}"""
+PERMUTED = f"""us AS (SELECT rep, c, m, s2, h, {_uniform("CAST(leaf AS VARCHAR)", "'s'")} AS u FROM drawn),
+  zs AS (SELECT *, {_normal('u')} AS z FROM us),
+  arms AS (SELECT rep, sum(h) AS size, sum(h * m + sqrt(h * (c - h) / greatest(c - 1, 1) * s2) * z) AS total FROM zs GROUP BY rep)
+  SELECT round(any_value(d), 6) AS observed, count(*) AS n_permutations, round((count(*) FILTER (abs(a.total / a.size - (o.total - a.total) / (n - a.size)) >= abs(d)) + 1) / (count(*) + 1), 8) AS p_value FROM arms AS a, o"""
+
+
+def _tree():
+    """Rows of one arm dealt down a binary tree of ranges, each split hypergeometric."""
+    parts = [f"full_leaves AS (SELECT i AS leaf, coalesce(c, 0.0) AS c FROM range({LEAVES}) AS r(i) LEFT JOIN leaves ON leaf = i)",
+             f"t{LEAVES} AS (SELECT rep, 1 AS node, nb AS h FROM range(1, {REPS + 1}) AS r(rep), o)"]
+    width = LEAVES
+    while width > 1:
+        parts += [
+            f"n{width} AS (SELECT {LEAVES // width} + leaf // {width} AS node, sum(c) AS c, sum(c) FILTER (leaf % {width} < {width // 2}) AS l FROM full_leaves GROUP BY 1)",
+            f"u{width} AS (SELECT rep, node, h, c, l, {_uniform('CAST(node AS VARCHAR)', chr(39) + 'n' + chr(39))} AS u FROM t{width} JOIN n{width} USING (node))",
+            f"z{width} AS (SELECT *, {_normal('u')} AS z, h * l / c AS share FROM u{width})",
+            f"""s{width} AS (SELECT rep, node, h, CASE WHEN c > 0 THEN least(greatest(floor(share + sqrt(greatest(0.0, share * (1 - l / c) * (c - h) / greatest(c - 1, 1.0))) * z
+                + (c - 2 * l) * (c - 2 * h) / (c * greatest(c - 2, 1.0)) * (z * z - 1) / 6 + 0.5), 0.0, h - (c - l)), h, l) ELSE 0.0 END AS d FROM z{width})""",
+            f"t{width // 2} AS (SELECT rep, 2 * node AS node, d AS h FROM s{width} UNION ALL SELECT rep, 2 * node + 1, h - d FROM s{width})",
+        ]
+        width //= 2
+    return ", ".join(parts) + f", drawn AS (SELECT rep, leaf, c, m, s2, h FROM t1 JOIN leaves ON leaf = node - {LEAVES})"
+
+
+def _clicks(t, exact):
     df = t.events.filter("event_type IN ('view', 'click')")
-    return st.permutation_test(df, ["event_id"], F.col("event_type") == "click", "value", 100)
+    out = st.permutation_test(df, F.col("event_type") == "click", "value", exact=exact)
+    return out.select(F.round("observed", 6).alias("observed"), "n_permutations", F.round("p_value", 8).alias("p_value"))
 
 
-@query("q25_rerandomisation")
+@query("q25_permutation_test", f"{TWO_ARMS}, {_tree()}, {PERMUTED}")
 def _(t):
-    df = t.events.filter("event_type IN ('view', 'click')")
-    return st.permutation_test(df, ["event_id"], F.col("event_type") == "click", "value", 100, exact=False)
+    return _clicks(t, True)
+
+
+@query(
+    "q25_rerandomisation",
+    f"""{TWO_ARMS}, un AS (SELECT rep, leaf, c, m, s2, nb / n AS q, {_uniform("CAST(leaf AS VARCHAR)", "'n'")} AS u FROM range(1, {REPS + 1}) AS r(rep), leaves, o),
+      zn AS (SELECT *, {_normal('u')} AS z FROM un),
+      drawn AS (SELECT rep, leaf, c, m, s2, least(greatest(floor(c * q + sqrt(c * (q * (1 - q))) * z + (1 - 2 * q) * (z * z - 1) / 6 + 0.5), 0.0), c) AS h FROM zn), {PERMUTED}""",
+)
+def _(t):
+    return _clicks(t, False)
 
 
 @query(
