@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as fx, distributions as ds
-from tidemark.operators import stats as st
+from tidemark.operators import concordance, stats as st
 from tidemark.plans.registry import query
 from tidemark.plans.sqltext import union
 
@@ -293,6 +293,29 @@ def _(t):
     return st.corr_matrix(t.lineitem, ["l_quantity", "l_extendedprice"], "spearman").withColumn("r", F.round("r", 8))
 
 
+def _kendall(cells):
+    """All pairs of distinct (x, y) cells with their counts n."""
+    return f"""WITH c AS ({cells}), p AS (SELECT a.n * b.n AS w, sign(a.x - b.x) * sign(a.y - b.y) AS s FROM c a JOIN c b ON (a.x, a.y) < (b.x, b.y)),
+      d AS (SELECT sum(w) FILTER (s > 0)::DOUBLE AS agree, sum(w) FILTER (s < 0)::DOUBLE AS against FROM p),
+      t AS (SELECT (SELECT sum(n)::DOUBLE FROM c) AS n, (SELECT sum(t * (t - 1) / 2) FROM (SELECT sum(n)::DOUBLE AS t FROM c GROUP BY x)) AS tx, (SELECT sum(t * (t - 1) / 2) FROM (SELECT sum(n)::DOUBLE AS t FROM c GROUP BY y)) AS ty)
+      SELECT CAST(n AS BIGINT) AS n, CAST(agree AS BIGINT) AS concordant, CAST(against AS BIGINT) AS discordant, round((agree - against) / sqrt((n * (n - 1) / 2 - tx) * (n * (n - 1) / 2 - ty)), 8) AS tau_b FROM d, t"""
+
+
+def _tau(df, x, y):
+    out = concordance.kendall(df, x, y)
+    return out.select("n", *[F.col(c).cast("long").alias(c) for c in ("concordant", "discordant")], F.round("tau_b", 8).alias("tau_b"))
+
+
+@query("q15_kendall", _kendall("SELECT p_size::DOUBLE AS x, p_retailprice AS y, count(*) AS n FROM part GROUP BY 1, 2"))
+def _(t):
+    return _tau(t.part, "p_size", "p_retailprice")
+
+
+@query("q15_kendall_ties", _kendall("SELECT l_quantity::DOUBLE AS x, l_discount AS y, count(*) AS n FROM lineitem GROUP BY 1, 2"))
+def _(t):
+    return _tau(t.lineitem, "l_quantity", "l_discount")
+
+
 @query(
     "q16_simple_ols",
     """SELECT 'intercept' AS term, round(regr_intercept(l_extendedprice, l_quantity), 4) AS estimate, round(regr_r2(l_extendedprice, l_quantity), 8) AS r_squared, count(*) AS n FROM lineitem
