@@ -63,9 +63,11 @@ def _node(depth: Column) -> Column:
 
 
 def trie(sided: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes on each word's path: side, word, stops; edges: node, label, child) of words with a side.
+    """(nodes on each word's path: side, word, stops; edges: node, label, child, ahead) of words with a side.
 
     Of a path only the part that a word of a length one more or less can reach is built.
+    ``ahead`` has a bit for every letter (modulo 64) that goes on from the child, and
+    for the end of a word: a state that finds no way on is not even made.
     """
     low = F.greatest(F.lit(0), F.floor((_size() - 1 + F.col("side")) / 2).cast("int"))
     places = sided.select("side", "word", F.explode(F.sequence(low, _size())).alias("d"))
@@ -81,7 +83,20 @@ def trie(sided: DataFrame) -> tuple[DataFrame, DataFrame]:
     steps = paths.select("side", "word", F.posexplode("stops").alias("i", "d"), "stops").withColumn("to", F.try_element_at("stops", F.col("i") + 2))
     steps = steps.filter("to IS NOT NULL")
     labelled = steps.select(_node(F.col("d")).alias("node"), _part("word", F.col("d"), F.col("to") - F.col("d")).alias("label"), _node(F.col("to")).alias("child"))
-    return paths, settle(labelled.distinct(), "edges")
+    edges = settle(labelled.distinct(), "edges")
+    letters = edges.select("node", F.ascii(_part("label", 0, 1)).alias("letter"))
+    letters = letters.unionByName(sided.select(_node(_size()).alias("node"), F.lit(0).alias("letter")))
+    ahead = letters.groupBy(F.col("node").alias("child")).agg(F.bit_or(_bit(F.col("letter"))).alias("ahead"))
+    return paths, settle(edges.join(ahead, "child"), "edges")
+
+
+def _bit(letter: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), letter.bitwiseAND(63))
+
+
+def _goes_on(position: Column) -> Column:
+    """Does the child lead on by the word's letter at the position, or end where the word does?"""
+    return F.col("ahead").bitwiseAND(_bit(F.ascii(_part("word", position, 1)))) != 0
 
 
 def _first_edits(paths: DataFrame, edges: DataFrame) -> DataFrame:
@@ -92,9 +107,10 @@ def _first_edits(paths: DataFrame, edges: DataFrame) -> DataFrame:
     leaving = own.join(edges, "node").filter(_part("label", 0, 1) != _part("word", F.col("d"), 1))
     d, k, n = F.col("d"), F.char_length("label"), _size()
     tail = F.substring("label", F.lit(2), k)
-    replaced = F.when((d + k <= n) & (_part("word", d + 1, k - 1) == tail), d + k)
-    inserted = F.when((d + k - 1 <= n) & (_part("word", d, k - 1) == tail), d + k - 1)
-    deleted = F.when((d + 1 + k <= n) & (_part("word", d + 1, k) == F.col("label")), d + 1 + k)
+    replaced = F.when((d + k <= n) & _goes_on(d + k) & (_part("word", d + 1, k - 1) == tail), d + k)
+    inserted = F.when((d + k - 1 <= n) & _goes_on(d + k - 1) & (_part("word", d, k - 1) == tail), d + k - 1)
+    deleted = F.when((d + 1 + k <= n) & _goes_on(d + 1 + k) & (_part("word", d + 1, k) == F.col("label")), d + 1 + k)
+    leaving = leaving.filter(replaced.isNotNull() | inserted.isNotNull() | deleted.isNotNull())
     moved = leaving.select("side", "word", F.explode(F.array_compact(F.array(replaced, inserted, deleted))).alias("position"), F.col("child").alias("node"))
     return moved.unionByName(last)
 
@@ -107,9 +123,10 @@ def near_words(words: DataFrame) -> DataFrame:
     states = settle(_first_edits(paths, edges), "states")
     ended = [states.filter(F.col("position") == _size())]
     while True:
-        ahead = states.filter(F.col("position") < _size()).join(edges, "node")
+        met = states.filter(F.col("position") < _size()).join(edges, "node")
         fits = (F.col("position") + F.char_length("label") <= _size()) & (_part("word", F.col("position"), F.char_length("label")) == F.col("label"))
-        states = ahead.filter(fits).select("side", "word", (F.col("position") + F.char_length("label")).alias("position"), F.col("child").alias("node"))
+        after = F.col("position") + F.char_length("label")
+        states = met.filter(fits & _goes_on(after)).select("side", "word", after.alias("position"), F.col("child").alias("node"))
         states = settle(states, "states")
         if states.isEmpty():
             break
