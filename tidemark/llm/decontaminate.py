@@ -17,6 +17,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.session import settle
+
 # What stands between words.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 RAW_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
@@ -48,7 +50,8 @@ def identified(docs: DataFrame) -> DataFrame:
     """KEY columns and ``_row`` with all columns of the documents, whatever their names."""
     text = F.coalesce("text", F.lit(""))
     keys = [F.col("doc_id").alias("_id"), F.xxhash64(text).alias("_hash"), F.octet_length(text).alias("_bytes")]
-    return docs.select(*keys, F.struct(*docs.columns).alias("_row"))
+    named = [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
+    return docs.select(*keys, F.struct(*named).alias("_row"))
 
 
 def find(docs: DataFrame, items: DataFrame, width: int = WIDTH, broadcast_rows: int = 200_000) -> tuple[DataFrame, DataFrame]:
@@ -91,6 +94,7 @@ def same_key(left: DataFrame, right: DataFrame) -> Column:
 def report(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every document."""
     hits, owners = find(docs, items, width)
+    hits = settle(hits, "hits")
     counts, names = covered(hits), listed(hits, owners)
     found = counts.join(names, same_key(counts, names), "left").select(*[counts[k] for k in KEY], "n_hit", "items")
     n_words = F.size(words(F.col("_row.text"))).cast("long").alias("n_words")
@@ -111,7 +115,7 @@ def report(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
 def drop_documents(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     """The documents in which no window occurs, with all their columns."""
     hits, _ = find(docs, items, width)
-    marked = hits.select(*KEY).distinct()
+    marked = settle(hits.select(*KEY).distinct(), "marked")
     rows = identified(docs)
     return rows.join(marked, same_key(rows, marked), "left_anti").select("_row.*")
 

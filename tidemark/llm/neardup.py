@@ -268,6 +268,9 @@ def _links_between(group: dict, pair: tuple[int, int], most: int, percent: int):
     if not len(a):
         return *none, False
     both = common(group["prints"], a, b)
+    # equal prints of different shingles of one set hide some; as many as the lesser loss may be shared, and confirm() has the last word
+    lost = sizes - np.array([len(p) // 4 for p in group["prints"]])
+    both = both + np.minimum(lost[a], lost[b])
     linked = 100 * both >= percent * (sizes[a] + sizes[b] - both)
     a, b, both = a[linked], b[linked], both[linked]
     low, high = np.minimum(comps[a], comps[b]), np.maximum(comps[a], comps[b])
@@ -377,5 +380,5 @@ def drop_near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) ->
     """One document of each group, the one of smallest doc_id, with all columns. Rows that
     repeat a kept doc_id all stay; rows without a doc_id stay unless an identified document has an equal set."""
     placed = near_duplicates(docs, width, percent)
-    gone = placed.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_gone"))
+    gone = settle(placed.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_gone")), "gone")
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

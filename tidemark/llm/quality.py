@@ -55,14 +55,14 @@ def count_features(texts: pa.Array) -> dict[str, np.ndarray]:
     data, offsets, n = flat.data, flat.offsets, len(texts)
     lead = (data & 0xC0) != 0x80
     words = ragged.words(flat)
-    hashes = ragged.span_hashes(data, words.starts, words.ends)
+    hashes = ragged.span_hashes(data, words.starts, words.ends, ragged.SECRET)
     owners = words.owners()
 
     lines = ragged.runs(data != 0x0A, offsets)
     solid = np.concatenate(([0], np.cumsum(~ragged.SPACE[data])))
     has_word = solid[lines.ends] > solid[lines.starts]
     line_owner = lines.owners()[has_word]
-    line_hash = ragged.span_hashes(data, lines.starts[has_word], lines.ends[has_word])
+    line_hash = ragged.span_hashes(data, lines.starts[has_word], lines.ends[has_word], ragged.SECRET)
     dup_lines, _ = _seen_before(line_hash, line_owner)
 
     windows, at = ragged.window_hashes(hashes, words.first, 3)

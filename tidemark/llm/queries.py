@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import block_max, chat, checks, decontaminate, differencing, html_text, neardup, packing, pii, quality, secret_scan, shards, spelling, token_counts
-from tidemark.session import show_package, small_batches
+from tidemark.session import new_path, show_package, small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECK_SQL: dict[str, str] = {}
@@ -48,8 +48,10 @@ def _(spark, folder):
 @query("op4_shard_lookup", checks.SHARDING)
 def _(spark, folder):
     names = [f"shard-{i:02d}" for i in range(checks.SHARDS)]
-    docs = table(spark, folder, "documents").select("doc_id", "source", "lang", "n_chars")
-    return shards.place(docs, names, checks.SLOTS, fallback=["source", "lang", "n_chars"]).select("doc_id", "slot", "shard")
+    placed = shards.place(table(spark, folder, "documents"), names, checks.SLOTS, fallback=["source", "lang", "n_chars"])
+    path = new_path(spark, "shards")
+    shards.write_shards(placed, path)
+    return spark.read.parquet(path).select("doc_id", "slot", "shard")
 
 
 @query("op5_bestfit_packing")

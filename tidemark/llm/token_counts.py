@@ -154,7 +154,7 @@ def count_chunk(texts: pa.Array, merges: Merges) -> np.ndarray:
     spans = pretokens(flat)
     if not len(spans.starts):
         return np.zeros(len(texts), np.int64)
-    hashes = ragged.span_hashes(flat.data, spans.starts, spans.ends)
+    hashes = ragged.span_hashes(flat.data, spans.starts, spans.ends, ragged.SECRET)
     found = merges.known.find(hashes)
     missed = np.flatnonzero(found < 0)
     if len(missed):
