@@ -62,3 +62,22 @@ def test_entry_survives_a_missing_package(missing):
     done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True)
     n, has_op = done.stdout.split()[-2:]
     assert int(n) > 300 and has_op == "False"
+
+
+def test_keys_are_found_and_grains_checked(spark):
+    from tidemark.operators import profile as pf
+
+    n = 5000
+    df = spark.range(n).select(
+        "id", (F.col("id") % 100).alias("a"), F.floor(F.col("id") / 100).alias("b"), F.when(F.col("id") != 7, F.col("id")).alias("holed"),
+        F.when(F.col("id") == 1, 0).otherwise(F.col("id")).alias("almost"), F.lit("x").alias("flat"), F.struct((F.col("id") % 50).alias("s")).alias("c"),
+    )
+    assert {tuple(r) for r in pf.find_keys(df).collect()} == {("id", 1), ("a,b", 2), ("a,almost", 2), ("almost,c", 2)}
+    assert pf.find_keys(df.drop("id"), 1).isEmpty()
+    plan = pf.find_keys(df.drop("id"))._jdf.queryExecution().toString()
+    assert "json" not in plan.lower()
+    rows = [(1, "k", "a", None), (1, "k", "a", 2), (None, "k", "b", 5), (None, "k", "c", 5), (2, None, "d", 1), (3, "k", "e", None), (3, "k", "e", None)]
+    got = pf.grain_check(spark.createDataFrame(rows, "p int, q string, v string, w int"), ["p", "q"]).collect()
+    assert {(r["column"], r["duplicate_groups"], r["groups_differing"]) for r in got} == {("v", 3, 1), ("w", 3, 1)}
+    unique = pf.grain_check(spark.createDataFrame(rows[:1], "p int, q string, v string, w int"), ["p", "q"]).collect()
+    assert {(r["column"], r["duplicate_groups"], r["groups_differing"]) for r in unique} == {("v", 0, 0), ("w", 0, 0)}

@@ -310,22 +310,29 @@ def sentinel_scan(df: DataFrame, sentinels: Sequence) -> DataFrame:
     return rows.groupBy("column", F.trim("value").alias("sentinel")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _prints(cols: Sequence[str]) -> list[Column]:
+    """128 bits of the values of some columns, as two numbers. NULLs count by their place only if there is one column."""
+    return [F.xxhash64(*cols), F.xxhash64(*cols, F.lit(7))]
+
+
 def grain_check(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Per non-key column: in how many duplicate key groups its values differ."""
+    """Per non-key column: in how many duplicate key groups its values differ.
+
+    Keys are counted first; only rows of keys that occur twice are looked at again, and their
+    values are compared as 128-bit hashes. NULL is a value like any other.
+    """
     others = [c for c in df.columns if c not in keys]
-    n = F.count(F.lit(1))
-    differs = [
-        ((F.min(c) != F.max(c)) | (F.count(c).between(1, n - 1))).cast("long").alias(f"_d{i}")
-        for i, c in enumerate(others)
-    ]
-    groups = df.groupBy(*keys).agg(n.alias("_n"), *differs).filter("_n > 1")
-    structs = [
-        F.struct(F.lit(c).alias("column"), F.coalesce(F.sum(f"_d{i}"), F.lit(0)).alias("groups_differing"))
-        for i, c in enumerate(others)
-    ]
-    return groups.agg(F.count(F.lit(1)).alias("duplicate_groups"), F.array(*structs).alias("r")).select(
-        "duplicate_groups", F.inline("r")
-    )
+    twice = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    twice = settle(twice.withColumnsRenamed({k: f"_k_{k}" for k in keys}), "twice")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    rows = df.join(twice, same, "left_semi")
+    hashed = rows.select(*keys, *[h.alias(f"_h{i}_{j}") for i, c in enumerate(others) for j, h in enumerate(_prints([c]))])
+    differs = [(F.min(f"_h{i}_0") != F.max(f"_h{i}_0")) | (F.min(f"_h{i}_1") != F.max(f"_h{i}_1")) for i in range(len(others))]
+    groups = hashed.groupBy(*keys).agg(*[d.cast("long").alias(f"_d{i}") for i, d in enumerate(differs)])
+    structs = [F.struct(F.lit(c).alias("column"), F.coalesce(F.sum(f"_d{i}"), F.lit(0)).alias("groups_differing")) for i, c in enumerate(others)]
+    return groups.agg(F.count(F.lit(1)).alias("duplicate_groups"), F.array(*structs).alias("r")).select("duplicate_groups", F.inline("r"))
 
 
 def classify_duplicates(df: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
@@ -350,30 +357,36 @@ def classify_duplicates(df: DataFrame, keys: Sequence[str], ts: str) -> DataFram
     )
 
 
+SKETCH_ERROR = 0.02
+
+
 def find_keys(df: DataFrame, max_cols: int = 2) -> DataFrame:
     """Single columns, then pairs, that identify every row.
 
-    The profile (one row per column) prunes pairs whose distinct counts cannot
-    reach the row count; the remaining pairs share one pass over long form.
+    One pass keeps a mergeable distinct sketch for every column and every pair. Only those
+    whose estimate comes within eight standard errors of the row count are verified, by
+    counting 128-bit hashes; columns with NULLs and pairs with a key in them are left out.
     """
-    stats = {r["column"]: r for r in profile(df).collect()}  # one row per column
-    usable = [c for c in df.columns if stats[c]["nulls"] == 0]
-    single = [c for c in usable if stats[c]["unique_count"] == stats[c]["total_rows"]]
-    rows = [(c,) for c in single]
-    pairs = []
-    if max_cols > 1:
-        rest = [c for c in usable if c not in single]
-        total = stats[df.columns[0]]["total_rows"] if stats else 0
-        pairs = [p for p in combinations(rest, 2) if stats[p[0]]["unique_count"] * stats[p[1]]["unique_count"] >= total]
-    out = df.sparkSession.createDataFrame([(c, 1) for (c,) in rows], "key string, n_columns int")
-    if not pairs:
-        return out
-    combos = F.array(
-        *[F.struct(F.lit(",".join(p)).alias("key"), F.to_json(F.struct(*p)).alias("v")) for p in pairs]
-    )
-    seen = df.select(F.inline(combos)).groupBy("key", "v").agg(F.count(F.lit(1)).alias("n"))
-    unique = seen.groupBy("key").agg(F.max("n").alias("m")).filter("m = 1")
-    return out.unionByName(unique.select("key", F.lit(2).alias("n_columns")))
+    cols = df.columns
+    sets = [(c,) for c in cols] + (list(combinations(cols, 2)) if max_cols > 1 else [])
+    sketches = [F.approx_count_distinct(F.xxhash64(*own), SKETCH_ERROR).alias(f"_s{i}") for i, own in enumerate(sets)]
+    one = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(f"_c{i}") for i, c in enumerate(cols)], *sketches).first()  # a number per column and pair
+    usable = {c for i, c in enumerate(cols) if one[f"_c{i}"] == one["_n"]}
+    near = [own for i, own in enumerate(sets) if usable >= set(own) and one[f"_s{i}"] >= one["_n"] * (1 - 8 * SKETCH_ERROR)]
+    single = _identifying(df, [own for own in near if len(own) == 1])
+    taken = {c for own in single for c in own}
+    pairs = _identifying(df, [own for own in near if len(own) == 2 and not taken & set(own)])
+    return df.sparkSession.createDataFrame([(",".join(own), len(own)) for own in single + pairs], "key string, n_columns int")
+
+
+def _identifying(df: DataFrame, sets: list[tuple]) -> list[tuple]:
+    """Which of the column sets have no two equal rows."""
+    if not sets:
+        return []
+    entries = F.array(*[F.struct(F.lit(i).alias("i"), *[h.alias(f"h{j}") for j, h in enumerate(_prints(own))]) for i, own in enumerate(sets)])
+    doubled = df.select(F.inline(entries)).groupBy("i", "h0", "h1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    failed = {r["i"] for r in doubled.select("i").distinct().collect()}  # a number per set at most
+    return [own for i, own in enumerate(sets) if i not in failed]
 
 
 def null_report(df: DataFrame, threshold: float = 0.05) -> DataFrame:
