@@ -167,26 +167,79 @@ def cycles_stream(
     return closed
 
 
-def upsert_stream(df: DataFrame, path: str, key: Sequence[str], order: Sequence[str]) -> None:
-    """Append the newest row per key of every batch; readers merge with ``read_upserted``.
+RUNS = "level int, first long, last long, folder string"
 
-    A batch writes only its own folder, so replays are harmless and no large
-    table is rewritten per batch.
+
+def _store(spark: SparkSession, path: str):
+    """The file system of a path and the path in its terms."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    store, where = _store(spark, path)
+    store.delete(where, True)
+
+
+def _runs(spark: SparkSession, path: str, batch_id: int) -> list[dict]:
+    """The live runs after a batch, newest last; a few rows."""
+    if batch_id < 0:
+        return []
+    found = spark.read.schema(RUNS).parquet(f"{path}/manifest/batch={batch_id}").collect()
+    return sorted((r.asDict() for r in found), key=lambda r: r["first"])
+
+
+def upsert_stream(df: DataFrame, path: str, key: Sequence[str], order: Sequence[str], fan_in: int = 4) -> None:
+    """Keep the newest row per key of a stream in runs that are merged as they grow; read with ``read_upserted``.
+
+    A batch is a run of level 0 in its own folder. Whenever ``fan_in`` runs of one level stand
+    together, they are merged, the newest row per key, into one run of the next
+    level, dealt and sorted by key: each row is rewritten once per level, and there
+    are never more than ``fan_in`` - 1 runs a level, so that readers merge few. The manifest of a
+    batch lists the live runs and is written last. A replayed batch starts
+    from the manifest before it and rewrites the same folders. Runs that two manifests
+    no longer list are removed, which leaves readers a batch's time.
     """
     from tidemark.operators.windows import dedup_latest
 
+    newest = [F.desc(c) for c in order]
+
     def handle(batch: DataFrame, batch_id: int) -> None:
-        _write_batch(dedup_latest(batch, key, [F.desc(c) for c in order]), f"{path}/log", batch_id)
+        spark = batch.sparkSession
+        before = _runs(spark, path, batch_id - 1)
+        live = [*before, {"level": 0, "first": batch_id, "last": batch_id, "folder": f"log/batch={batch_id}"}]
+        written = [live[-1]["folder"]]
+        dedup_latest(batch, key, newest).write.mode("overwrite").parquet(f"{path}/{written[0]}")
+        while len(live) >= fan_in and len({r["level"] for r in live[-fan_in:]}) == 1:
+            parts, live = live[-fan_in:], live[:-fan_in]
+            run = {"level": parts[0]["level"] + 1, "first": parts[0]["first"], "last": batch_id}
+            run["folder"] = f"runs/level={run['level']}-{run['first']}-{run['last']}"
+            merged = dedup_latest(spark.read.parquet(*[f"{path}/{r['folder']}" for r in parts]), key, newest)
+            merged.hint("rebalance", *key).sortWithinPartitions(*key).write.mode("overwrite").parquet(f"{path}/{run['folder']}")
+            live.append(run)
+            written.append(run["folder"])
+        rows = [tuple(r[c] for c in ("level", "first", "last", "folder")) for r in live]
+        spark.createDataFrame(rows, RUNS).coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/batch={batch_id}")
+        for folder in set(written) - {r["folder"] for r in live}:  # merged at once, so that no manifest lists it
+            _remove(spark, f"{path}/{folder}")
+        store, old = _store(spark, f"{path}/manifest/batch={batch_id - 2}")
+        if batch_id >= 2 and store.exists(old):  # a replay finds it removed
+            held = {r["folder"] for r in [*before, *live]}
+            for run in _runs(spark, path, batch_id - 2):
+                if run["folder"] not in held:
+                    _remove(spark, f"{path}/{run['folder']}")
+            _remove(spark, f"{path}/manifest/batch={batch_id - 2}")
 
     run_batches(df, handle, f"{path}/checkpoint")
 
 
 def read_upserted(spark: SparkSession, path: str, key: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Current rows: the newest per key over all batches."""
+    """Current rows: the newest per key over the runs of the latest manifest."""
     from tidemark.operators.windows import dedup_latest
 
-    log = spark.read.parquet(f"{path}/log")
-    return dedup_latest(log, key, [F.desc(c) for c in order]).drop("batch")
+    newest = spark.read.parquet(f"{path}/manifest").agg(F.max("batch")).first()[0]
+    folders = [f"{path}/{r['folder']}" for r in _runs(spark, path, newest)]
+    return dedup_latest(spark.read.parquet(*folders), key, [F.desc(c) for c in order])
 
 
 def mark_failures(df: DataFrame, rules: Sequence[RowRule]) -> DataFrame:
