@@ -77,7 +77,7 @@ class WordIds:
 
     def places(self, points: np.ndarray, spans: ragged.Spans) -> np.ndarray:
         """Index into ``lengths`` and ``starts`` of every word."""
-        hashes = ragged.span_hashes(points, spans.starts, spans.ends, ragged.SECRET)
+        hashes = ragged.span_hashes(points.astype(np.uint16), spans.starts, spans.ends, ragged.SECRET)  # all are below FAST_BELOW
         if not self.known.room(len(hashes)):
             self.forget()
             if not self.known.room(len(hashes)):  # one text of a million words and more

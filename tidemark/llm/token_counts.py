@@ -154,7 +154,8 @@ def count_chunk(texts: pa.Array, merges: Merges) -> np.ndarray:
     spans = pretokens(flat)
     if not len(spans.starts):
         return np.zeros(len(texts), np.int64)
-    hashes = ragged.span_hashes(flat.data, spans.starts, spans.ends, ragged.SECRET)
+    narrow = flat.data.max() < 1 << 16  # a word may get one hash in either width; they only serve the task's memory of words
+    hashes = ragged.span_hashes(flat.data.astype(np.uint16) if narrow else flat.data, spans.starts, spans.ends, ragged.SECRET)
     found = merges.known.find(hashes)
     missed = np.flatnonzero(found < 0)
     if len(missed):
