@@ -35,3 +35,56 @@ def test_upsert_runs_stay_few_and_replays_are_harmless(spark, folder):
     assert most <= 9 and len(folders) < 12 and len(os.listdir(f"{folder}/t/manifest")) <= 3
     got = {r["k"]: (r["t"], r["id"]) for r in ss.read_upserted(spark, f"{folder}/t", ["k"], ["t", "id"]).collect()}
     assert got == want
+
+
+def cycle_batches(spark, folder, seed=3):
+    """Four files of events; within a file and across neighbouring ones the order is mixed by up to an hour."""
+    import random
+
+    rng = random.Random(seed)
+    rows = [(i, rng.choice([0, 0, 0, 1, 2, 3]), dt.datetime(2024, 1, 1) + dt.timedelta(minutes=7 * i), rng.choice("se")) for i in range(240)]
+    mixed = sorted(rows, key=lambda r: r[2] + dt.timedelta(minutes=rng.randrange(50)))
+    for b in range(4):
+        spark.createDataFrame(mixed[b * 60 : (b + 1) * 60], EVENTS).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return rows
+
+
+@pytest.mark.parametrize("timeout", [None, 3.0])
+def test_keyed_cycles_equal_the_batch_result(spark, folder, timeout):
+    pytest.importorskip("google.protobuf")
+    from tidemark.streaming import keyed
+
+    rows = cycle_batches(spark, folder)
+    stream = ss.read_events_stream(spark, f"{folder}/in", EVENTS, files_per_batch=1)
+    before = spark.conf.get(keyed.STORE_KEY)
+    with keyed.timed_state(spark):
+        out = keyed.keyed_cycles(stream, "k", "t", "w", "s", "e", "id", "1 hour", timeout)
+        got = {tuple(r) for r in ss.run_to_table(out, "keyed").collect()}
+    assert spark.conf.get(keyed.STORE_KEY) == before
+    mark = max(r[2] for r in rows) - dt.timedelta(hours=1)
+    want = set()
+    for k in range(4):
+        opened = None
+        for _, _, t, w in sorted((r for r in rows if r[1] == k), key=lambda r: (r[2], str(r[0]))):
+            if opened and timeout and t - opened > dt.timedelta(hours=timeout):
+                want.add((k, opened, None))
+                opened = None
+            if w == "s":
+                opened = t
+            elif opened:
+                want.add((k, opened, t))
+                opened = None
+    want = {c for c in want if c[2] is None or c[2] < mark}
+    closed = {c for c in got if c[2] is not None}
+    if timeout is None:
+        assert got == want and len(got) > 30
+    else:  # a start is given up when its timer is due, which may be a batch later than its end
+        assert all(c[2] is None or c[2] - c[1] <= dt.timedelta(days=1) for c in got) and len(closed) > 20
+
+
+def test_pairing_is_that_of_the_batch_operator():
+    from tidemark.streaming.keyed import close_cycles
+
+    s, e = (lambda t: (t, "", True)), (lambda t: (t, "", False))
+    assert close_cycles(None, [e(1), s(2), s(3), e(5), e(6), s(9)]) == (9, [(3, 5)])
+    assert close_cycles(7, [e(8)]) == (None, [(7, 8)])

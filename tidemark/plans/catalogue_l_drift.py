@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as fx
-from tidemark.operators import drift as dr
+from tidemark.operators import drift as dr, robust
 from tidemark.plans.registry import query
 from tidemark.plans.sqltext import union
 
@@ -178,6 +178,29 @@ def _(t):
     return out.select("k", "day", "v", *[F.round(c, 4).alias(c) for c in ("trend", "seasonal", "residual")])
 
 
+def _robust(rounds=4, period=7, half=7):
+    """The rounds of weighted lines, phase means and bisquare weights, one CTE after another."""
+    parts = [f"r0 AS (SELECT k, day, v::DOUBLE AS y, {DN} AS d, {DN} % {period} AS ph, ({DN} - min({DN}) OVER (PARTITION BY k))::DOUBLE AS t, 1.0::DOUBLE AS w, 0.0::DOUBLE AS s FROM s)"]
+    for i in range(rounds):
+        parts += [
+            f"""a{i} AS (SELECT *, sum(w) OVER x AS a0, sum(w * t) OVER x AS a1, sum(w * t * t) OVER x AS a2, sum(w * (y - s)) OVER x AS b0, sum(w * t * (y - s)) OVER x AS b1
+                FROM r{i} WINDOW x AS (PARTITION BY k ORDER BY d RANGE BETWEEN {half} PRECEDING AND {half} FOLLOWING))""",
+            f"""b{i} AS (SELECT *, CASE WHEN a0 * a2 - a1 * a1 > 1e-6 THEN (a2 * b0 - a1 * b1 + t * (a0 * b1 - a1 * b0)) / (a0 * a2 - a1 * a1) ELSE b0 / a0 END AS trend FROM a{i})""",
+            f"c{i} AS (SELECT *, sum(w * (y - trend)) OVER (PARTITION BY k, ph) / sum(w) OVER (PARTITION BY k, ph) AS raw FROM b{i})",
+            f"d{i} AS (SELECT *, raw - sum(w * raw) OVER (PARTITION BY k) / sum(w) OVER (PARTITION BY k) AS seasonal FROM c{i})",
+            f"m{i} AS (SELECT k, median(abs(y - trend - seasonal)) AS m FROM d{i} GROUP BY 1)",
+            f"""r{i + 1} AS (SELECT k, day, y, d, ph, t, seasonal AS s, {"trend, y - trend - seasonal AS residual, " if i == rounds - 1 else ""}
+                CASE WHEN abs(y - trend - seasonal) < 6 * m THEN pow(1 - pow(abs(y - trend - seasonal) / (6 * m), 2), 2) ELSE 0.0 END AS w FROM d{i} JOIN m{i} USING (k))""",
+        ]
+    return ", ".join(parts) + f" SELECT k, day, y AS v, round(trend, 4) AS trend, round(s, 4) AS seasonal, round(residual, 4) AS residual, round(w, 4) AS weight FROM r{rounds}"
+
+
+@query("l10_robust_decomposition", f"WITH {DAILY}, {_robust()}")
+def _(t):
+    out = robust.robust_decompose(daily(t).withColumn("v", F.col("v").cast("double")), ["k"], "day", "v", 7)
+    return out.select("k", "day", "v", *[F.round(c, 4).alias(c) for c in ("trend", "seasonal", "residual", "weight")])
+
+
 @query(
     "l11_volume_anomaly",
     f"""WITH c AS (SELECT CAST(l_shipdate AS DATE) AS day, count(*) AS n FROM lineitem GROUP BY 1), s AS (SELECT CAST(unnest(generate_series((SELECT min(day)::TIMESTAMP FROM c), (SELECT max(day)::TIMESTAMP FROM c), INTERVAL 1 DAY)) AS DATE) AS day),
@@ -211,6 +234,16 @@ def _(t):
     return dr.modified_z(t.events, "value").select("event_id", F.round("modified_z", 6).alias("modified_z"))
 
 
+@query("l13_robust_distances", "SELECT count(*) AS n, count(*) AS n_scored, count(*) AS n_outliers FROM customer WHERE c_custkey % 8 = 0")
+def _(t):
+    """A cluster of an eighth of all customers is moved off the line that the others lie on; all of it is found."""
+    noise = F.conv(F.substring(F.md5(F.col("c_custkey").cast("string")), 1, 6), 16, 10).cast("double") / 16777.216
+    planted = F.col("c_custkey") % 8 == 0
+    df = t.customer.withColumn("y", 2 * F.col("c_acctbal") + noise + F.when(planted, 9000).otherwise(0))
+    out = robust.robust_distances(df, ["c_acctbal", "y"]).filter(planted)
+    return out.agg(F.count("*").alias("n"), F.count("distance").alias("n_scored"), F.count(F.when(F.col("is_outlier"), 1)).alias("n_outliers"))
+
+
 INTERVAL = f"""{DAILY}, r AS (SELECT a.k, a.day, a.v, b.v AS forecast, a.v - b.v AS residual FROM s a LEFT JOIN s b ON a.k = b.k AND b.day + 7 = a.day),
   i AS (SELECT a.k, a.day, any_value(a.v) AS v, any_value(a.forecast) AS forecast, any_value(a.forecast) + quantile_cont(p.residual, 0.1) AS lower, any_value(a.forecast) + quantile_cont(p.residual, 0.9) AS upper FROM r a LEFT JOIN r p ON p.k = a.k AND p.day < a.day GROUP BY 1, 2)"""
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as fx, distributions as ds
-from tidemark.operators import concordance, stats as st
+from tidemark.operators import concordance, robust, stats as st
 from tidemark.plans.registry import query
 from tidemark.plans.sqltext import union
 
@@ -42,9 +42,19 @@ def _(t):
     return out.select("event_type", *rnd("trimmed_mean", "median", "mad"), "mode")
 
 
-@query("q3_mean_ci")
+# the t quantile by its expansion around the normal one, good to ten digits from a hundred rows on
+T975 = """(z + (z*z*z + z) / (4 * v) + (5 * pow(z, 5) + 16 * pow(z, 3) + 3 * z) / (96 * v * v) + (3 * pow(z, 7) + 19 * pow(z, 5) + 17 * pow(z, 3) - 15 * z) / (384 * pow(v, 3))
+  + (79 * pow(z, 9) + 776 * pow(z, 7) + 1482 * pow(z, 5) - 1920 * pow(z, 3) - 945 * z) / (92160 * pow(v, 4)))"""
+
+
+@query(
+    "q3_mean_ci",
+    f"""WITH g AS (SELECT o_orderstatus, count(*) AS n, avg(o_totalprice) AS mean, sqrt(var_samp(o_totalprice) / count(*)) AS se, (count(*) - 1)::DOUBLE AS v, 1.959963984540054::DOUBLE AS z FROM orders GROUP BY 1)
+        SELECT o_orderstatus, n, round(mean, 4) AS mean, round(mean - {T975} * se, 3) AS ci_low, round(mean + {T975} * se, 3) AS ci_high FROM g""",
+)
 def _(t):
-    return st.mean_ci(t.orders, ["o_orderstatus"], "o_totalprice")
+    out = st.mean_ci(t.orders, ["o_orderstatus"], "o_totalprice")
+    return out.select("o_orderstatus", "n", F.round("mean", 4).alias("mean"), *rnd("ci_low", "ci_high", n=3))
 
 
 REPS, LEAVES = 10_000, 64
@@ -108,9 +118,25 @@ def _(t):
     return _booted(t, "median")
 
 
-@query("q5_proportion_ci")
+def _binomial_tail(first, last, p):
+    """P(first <= X <= last) of n draws with probability p."""
+    term = f"exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({p}) + (n - j) * ln(1 - {p}))"
+    return f"list_sum(list_transform(range({first}, {last} + 1), lambda j: {term}))"
+
+
+@query(
+    "q5_proportion_ci",
+    f"""WITH RECURSIVE g AS (SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS x, count(*) AS n FROM orders GROUP BY 1),
+          b AS (SELECT o_orderpriority, x, n, 0 AS step, 0.0::DOUBLE AS a0, 1.0::DOUBLE AS a1, 0.0::DOUBLE AS b0, 1.0::DOUBLE AS b1 FROM g
+                UNION ALL
+                SELECT o_orderpriority, x, n, step + 1, CASE WHEN low < 0.025 THEN (a0 + a1) / 2 ELSE a0 END, CASE WHEN low < 0.025 THEN a1 ELSE (a0 + a1) / 2 END,
+                       CASE WHEN high > 0.025 THEN (b0 + b1) / 2 ELSE b0 END, CASE WHEN high > 0.025 THEN b1 ELSE (b0 + b1) / 2 END
+                FROM (SELECT *, {_binomial_tail('x', 'n', '((a0 + a1) / 2)')} AS low, {_binomial_tail('0', 'x', '((b0 + b1) / 2)')} AS high FROM b WHERE step < 45) AS y)
+        SELECT o_orderpriority, x, n, round(x::DOUBLE / n, 8) AS proportion, round(a0, 6) AS ci_low, round(b0, 6) AS ci_high FROM b WHERE step = 45""",
+)
 def _(t):
-    return st.proportion_ci(t.orders, ["o_orderpriority"], F.col("o_orderstatus") == "F")
+    out = st.proportion_ci(t.orders, ["o_orderpriority"], F.col("o_orderstatus") == "F")
+    return out.select("o_orderpriority", "x", "n", F.round(F.col("x") / F.col("n"), 8).alias("proportion"), *rnd("ci_low", "ci_high", n=6))
 
 
 ARMS = f"""m AS (SELECT count(*) FILTER (NOT u) AS n_a, count(*) FILTER (u) AS n_b, avg(v) FILTER (NOT u) AS mean_a, avg(v) FILTER (u) AS mean_b, var_samp(v) FILTER (NOT u) AS va, var_samp(v) FILTER (u) AS vb
@@ -449,6 +475,17 @@ def _(t):
     return out.withColumns({"adjusted_effect": F.round("adjusted_effect", 4), "aggregate_effect": F.round("aggregate_effect", 4)})
 
 
+@query(
+    "q23_planted_effect",
+    "SELECT count(*) AS n_treated, 5.0::DOUBLE AS att FROM customer WHERE c_mktsegment = 'BUILDING'",
+)
+def _(t):
+    """Where treatment adds 5 to an outcome that is otherwise the same for all, every matched pair differs by 5."""
+    df = t.customer.withColumns({"treated": (F.col("c_mktsegment") == "BUILDING").cast("int"), "nation": F.col("c_nationkey").cast("double")})
+    df = df.withColumn("outcome", 100.0 + 5.0 * F.col("treated"))
+    return st.psm_att(df, "c_custkey", "treated", "outcome", ["c_acctbal", "nation"]).select("n_treated", F.round("att", 9).alias("att"))
+
+
 @query("q23_propensity_matching")
 def _(t):
     df = t.customer.withColumns({"treated": (F.col("c_mktsegment") == "BUILDING").cast("int"), "nation": F.col("c_nationkey").cast("double")})
@@ -545,6 +582,29 @@ def _(t):
     return st.missingness(df, ["prio"], "o_totalprice").select("column", "n_missing", *rnd("mean_missing", "mean_present", "difference", n=4))
 
 
+def _holes(t, dependent):
+    """Orders with a third of the dates missing: by a hash, or where the price is high."""
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit("hole/"), F.col("o_orderkey").cast("string"))), 1, 6), 16, 10).cast("long")
+    gone = F.col("o_totalprice") > 300000 if dependent else draw % 3 == 0
+    day = F.datediff("o_orderdate", F.lit("1992-01-01").cast("date")).cast("double")
+    noise = F.when(draw % 5 > 0, F.conv(F.substring(F.md5(F.col("o_orderkey").cast("string")), 1, 6), 16, 10).cast("double"))
+    df = t.orders.select("o_totalprice", F.when(~gone, day).alias("day"), noise.alias("noise"))
+    out = robust.littles_test(df, ["o_totalprice", "day", "noise"])
+    return out.select("n", "n_patterns", "df", (F.col("p_value") < 0.001).alias("is_dependent"))
+
+
+for _name, _dependent in (("q27_missing_at_random", False), ("q27_missing_dependent", True)):
+    _gone = "o_totalprice > 300000" if _dependent else "h % 3 = 0"
+
+    @query(
+        _name,
+        f"""WITH o AS (SELECT o_totalprice, ('0x' || substr(md5('hole/' || CAST(o_orderkey AS VARCHAR)), 1, 6))::BIGINT AS h FROM orders), p AS (SELECT ({_gone}) AS a, h % 5 = 0 AS b, count(*) AS n FROM o GROUP BY 1, 2)
+            SELECT CAST(sum(n) AS BIGINT) AS n, CAST(count(*) AS INTEGER) AS n_patterns, CAST(sum(3 - a::INT - b::INT) - 3 AS INTEGER) AS df, {str(_dependent).lower()} AS is_dependent FROM p""",
+    )
+    def _(t, dependent=_dependent):
+        return _holes(t, dependent)
+
+
 @query(
     "q28_autocorrelation",
     """WITH s AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*)::DOUBLE AS n FROM events GROUP BY 1, 2), e AS (SELECT *, n - avg(n) OVER (PARTITION BY event_type) AS e, lag(n, 7) OVER w AS l FROM s WINDOW w AS (PARTITION BY event_type ORDER BY day)),

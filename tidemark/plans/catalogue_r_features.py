@@ -225,6 +225,14 @@ def _(t):
     return ft.auc(ft.score(ft.fit_classifier(x, "y", XS), x, "s"), "y", "s")
 
 
+@query("r17_mean_score", f"WITH {SCORED} SELECT count(*) AS n, count(*) AS n_scored, round(avg(y), 3) AS mean_score FROM x")
+def _(t):
+    """An unpenalised logistic fit reproduces the share of ones."""
+    x = scored(t)
+    s = ft.score(ft.fit_classifier(x, "y", XS), x, "s")
+    return s.agg(F.count("*").alias("n"), F.count("s").alias("n_scored"), F.round(F.avg("s"), 3).alias("mean_score"))
+
+
 @query("r17_fit_boosted")
 def _(t):
     x = scored(t)
@@ -238,6 +246,23 @@ def _(t):
     return ft.adversarial_auc(t.lineitem.filter(F.col("l_shipdate") < cut), t.lineitem.filter(F.col("l_shipdate") >= cut), xs)
 
 
+@query("r18_separable", "SELECT 1.0::DOUBLE AS auc_roc, true AS is_drifted")
+def _(t):
+    """Two samples that a feature separates are told apart without an error."""
+    cut = F.lit("1998-01-01").cast("timestamp_ntz")
+    df = t.lineitem.withColumn("day", F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date")).cast("double"))
+    out = ft.adversarial_auc(df.filter(F.col("l_shipdate") < cut), df.filter(F.col("l_shipdate") >= cut), ["day"])
+    return out.select(F.round("auc_roc", 6).alias("auc_roc"), "is_drifted")
+
+
+@query("r19_constant_feature", "SELECT 'flat' AS feature, 0.0::DOUBLE AS auc_drop")
+def _(t):
+    """A feature with one value is worth nothing, whatever the others are worth."""
+    x = scored(t).withColumn("flat", F.lit(7.0))
+    out = ft.permutation_importance(ft.fit_classifier(x, "y", [*XS, "flat"]), x, "o_orderkey", "y", [*XS, "flat"])
+    return out.filter("feature = 'flat'").select("feature", F.round("auc_drop", 9).alias("auc_drop"))
+
+
 @query("r19_permutation_importance")
 def _(t):
     x = scored(t)
@@ -256,6 +281,36 @@ def _(t):
     return ft.cluster_outcomes(df, ["spend", "n_orders"], 4, "c_acctbal")
 
 
+@query(
+    "r20_cluster_totals",
+    """SELECT 4 AS n_clusters, count(*) AS n, round(avg(c_acctbal), 4) AS mean_outcome, round(avg(n_orders), 6) AS mean_orders
+       FROM (SELECT o_custkey, count(*) AS n_orders FROM orders GROUP BY 1) JOIN customer ON o_custkey = c_custkey""",
+)
+def _(t):
+    """Sizes and means of the clusters add up to those of all customers."""
+    spend = t.orders.groupBy("o_custkey").agg(fx.money_sum("o_totalprice").alias("spend"), F.count("*").cast("double").alias("n_orders"))
+    df = spend.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    g = ft.cluster_outcomes(df, ["spend", "n_orders"], 4, "c_acctbal")
+    weighted = lambda c: F.sum(F.col("n") * F.col(c)) / F.sum("n")
+    return g.agg(
+        F.count("cluster").cast("int").alias("n_clusters"), F.sum("n").alias("n"), F.round(weighted("mean_outcome"), 4).alias("mean_outcome"),
+        F.round(weighted("mean_n_orders"), 6).alias("mean_orders"),
+    )
+
+
+@query(
+    "r21_batch_scores",
+    "SELECT o_orderpriority, count(*) AS n, count(*) FILTER (o_totalprice <= 200000) AS n_scored FROM orders GROUP BY 1",
+)
+def _(t):
+    """Every row is kept; a row with an unknown feature has no score, the others have one between 0 and 1."""
+    x = scored(t)
+    model = ft.fit_classifier(x, "y", XS)
+    holed = x.withColumn("o_totalprice", F.when(F.col("o_totalprice") <= 200000, F.col("o_totalprice")))
+    s = ft.score(model, holed, "s")
+    return s.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.count(F.when(F.col("s").between(0, 1), 1)).alias("n_scored"))
+
+
 @query("r21_score_drift")
 def _(t):
     x = scored(t)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import rules as rl
 from tidemark.plans.registry import query
 from tidemark.session import new_path
-from tidemark.streaming import streams as ss
+from tidemark.streaming import keyed, streams as ss
 
 
 def stream(t):
@@ -86,6 +86,18 @@ def _(t):
     return t.spark.read.parquet(path).select("user_id", "cycle_no", "started_at", "ended_at")
 
 
+@query(
+    "s7_keyed_state",
+    """WITH m AS (SELECT user_id, ts, event_type, sum((event_type = 'signup')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS cycle_no FROM events WHERE event_type IN ('signup', 'purchase')),
+            c AS (SELECT user_id, min(ts) FILTER (event_type = 'signup') AS started_at, min(ts) FILTER (event_type = 'purchase') AS ended_at FROM m WHERE cycle_no > 0 GROUP BY user_id, cycle_no)
+       SELECT * FROM c WHERE ended_at < (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 6 HOUR FROM events)""",
+)
+def _(t):
+    with keyed.timed_state(t.spark):
+        out = keyed.keyed_cycles(stream(t), "user_id", "ts", "event_type", "signup", "purchase", "event_id", "6 hours")
+        return ss.run_to_table(out, "keyed")
+
+
 @query(
     "s8_upsert_stream",
     "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",

@@ -29,6 +29,7 @@ DAYS: dict[str, tuple[str, ...]] = {
     "l9_sigma_anomalies": ("day",),
     "l9_mad_anomalies": ("day",),
     "l10_decomposition": ("day",),
+    "l10_robust_decomposition": ("day",),
     "l11_volume_anomaly": ("day",),
     "l14_naive_interval": ("day",),
     "m1_dim_date": ("date",),
