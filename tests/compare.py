@@ -93,7 +93,7 @@ def compare(spark_table, duck_table) -> list[str]:
 
 def main() -> int:
     import __spark_entry__ as entry
-    from tidemark.session import bench_master, get_spark
+    from tidemark.session import bench_master, clean_up, get_spark
 
     folder = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.01")
     spark = get_spark(
@@ -124,6 +124,7 @@ def main() -> int:
             problems, took, table, slow = [str(err)[:900]], time.time() - start, None, ""
             if os.environ.get("TRACE"):
                 traceback.print_exc()
+        clean_up(spark)
         if problems:
             bad += 1
             print(f"BAD  {name} {took:.1f}s{slow}", flush=True)

@@ -81,3 +81,13 @@ def test_keys_are_found_and_grains_checked(spark):
     assert {(r["column"], r["duplicate_groups"], r["groups_differing"]) for r in got} == {("v", 3, 1), ("w", 3, 1)}
     unique = pf.grain_check(spark.createDataFrame(rows[:1], "p int, q string, v string, w int"), ["p", "q"]).collect()
     assert {(r["column"], r["duplicate_groups"], r["groups_differing"]) for r in unique} == {("v", 0, 0), ("w", 0, 0)}
+
+
+def test_settled_tables_are_cleaned_up(spark):
+    from tidemark import session
+
+    kept = session.new_path(spark, "kept")
+    spark.range(3).write.parquet(kept)
+    path = session.settle(spark.range(5), "gone").inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:")
+    assert os.path.isdir(path) and session.clean_up(spark) >= 1
+    assert not os.path.isdir(path) and spark.read.parquet(kept).count() == 3 and session.clean_up(spark) == 0

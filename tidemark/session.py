@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -40,7 +42,10 @@ def show_package(spark: SparkSession) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bound the memory of Python workers and Arrow buffers for tables of long texts."""
+    """Bound the memory of Python workers and Arrow buffers for tables of long texts.
+
+    It stays set for the session: plans made here are run later.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
@@ -58,6 +63,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     base = tempfile.mkdtemp(prefix="tidemark-")
+    atexit.register(shutil.rmtree, base, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", base)
     return base
 
@@ -76,9 +82,25 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    _settled.append(path)
     return df.sparkSession.read.parquet(path)
 
 
+_settled: list[str] = []
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Remove the intermediate tables that this driver has settled; returns their number.
+
+    To be called when their results have been read or written elsewhere, at the end of a job.
+    """
+    n, conf = len(_settled), spark._jsc.hadoopConfiguration()
+    while _settled:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_settled.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
+
+
 def shuffle_width(spark: SparkSession, df: DataFrame | None = None, target: int = 64 << 20) -> int:
     """Number of ranges to cut ordered work into: one per shuffle task, fewer for a table
     that the planner knows to be small (``target`` bytes a range)."""
