@@ -3,12 +3,15 @@
 A page is parsed into a tree of elements (end tags may be missing, as HTML allows).
 What is never article text is cut off first: scripts, forms (of one that wraps most of
 the page, its controls only), navigation and elements whose class, id or role says
-advert, comment, side bar and the like. Of the latter, those that are or hold an article,
-are named like one as well or hold most of the page's prose only score less. Every
+advert, comment, side bar and the like. A name says so if it consists of such words and of
+layout words ("share-buttons"); a name with other words ("share-price") only together with the
+form: many links or controls. Headings never go for a title's name. Of what a name speaks
+against, elements that are or hold an article, are named like one as well or hold most of the
+page's prose only score less. Every
 paragraph then gives points for its length and its commas to its ancestors, less the
 farther up; a container's points are discounted by the share of its text inside links.
-The best container is kept with those siblings that score well or read like prose, and
-their blocks are the text. Where that is little of the page's prose and nothing else is
+The best container is kept with those siblings that score well, read like prose or are
+sections of sentences like it, and their blocks are the text. Where that is little of the page's prose and nothing else is
 an article by its name, names are left aside in a second try.
 
 Defined cases: NULL or empty html gives an empty text, as does a page without text;
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -49,6 +53,12 @@ UNLIKELY = frozenset(
     "login register popup modal overlay pager pagination paging search toolbar tags taglist reply replies respond responses feedback "
     "skip hidden complementary contentinfo noprint shoutbox trackback pingback cta paywall".split()
 )
+#: Words that stand beside these in names of the same things.
+LAYOUT = frozenset(
+    "box boxes container wrapper wrap area section block list item items link links button buttons btn bar inner outer slot unit left right top "
+    "bottom column col row group panel pane module icon icons title heading label form posts stories articles entries thread threads count "
+    "meta info site global fixed sticky small large mobile desktop primary secondary the".split()
+)
 NEGATING = frozenset("with has no without non".split())
 TITLE_WORDS = frozenset("header head".split())
 LIKELY = frozenset("article body content entry hentry main page post story text blog".split())
@@ -57,33 +67,56 @@ CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 PARAGRAPHS = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6 figcaption div section article main body".split())
 
 
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+CONTROLS = frozenset("form button select input textarea label".split())
+COMMAS = re.compile("[,，、،]")
+SENTENCE = re.compile(r"[.!?…。！？](?:\s|[\"'”’»)]|\Z)")
+
+
 class Node:
-    __slots__ = ("tag", "names", "children", "parent", "gone")
+    __slots__ = ("tag", "tokens", "names", "children", "parent", "block", "gone", "controls")
 
-    def __init__(self, tag: str, names: tuple[str, ...] = (), parent: Node | None = None, gone: bool = False):
-        self.tag, self.names, self.parent, self.gone = tag, names, parent, gone
+    def __init__(self, tag: str, tokens: tuple[tuple[str, ...], ...] = (), parent: Node | None = None, gone: bool = False):
+        self.tag, self.tokens, self.parent, self.gone, self.controls = tag, tokens, parent, gone, False
+        self.names = tuple(w for t in tokens for w in t)
+        self.block: Node = self if tag in BLOCKS or parent is None else parent.block
         self.children: list = []
 
 
-def _names(attributes: str) -> tuple[tuple[str, ...], bool]:
-    """Words of class, id and role; is the element hidden?"""
-    words: list[str] = []
+def _names(attributes: str) -> tuple[tuple[tuple[str, ...], ...], bool]:
+    """The names in class, id and role, each as its words; is the element hidden?"""
+    words: list[tuple[str, ...]] = []
     hidden = False
     for name, double, single, bare in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), double or single or bare
         if name in ("class", "id", "role"):
-            words += SPLIT_NAMES.split(CAMEL.sub("-", html.unescape(value)).lower())
+            tokens = CAMEL.sub("-", html.unescape(value)).lower().split()
+            words += [tuple(w for w in SPLIT_NAMES.split(t) if w) for t in tokens]
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             hidden = True
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             hidden = True
-    return tuple(w for w in words if w), hidden
+    return tuple(t for t in words if t), hidden
 
 
 def parse(page: str) -> Node:
     """The tree of a page; text children are strings with character references decoded."""
     root = Node("#root")
     at, here, position = root, 0, 0
+    opened: Counter = Counter()  # open elements by name, inline ones by their block as well: no search for what is not there
+
+    def key(node: Node) -> tuple:
+        return (node.tag, None if node.tag in BLOCKS else id(node.block))
+
+    def leave(node: Node) -> Node:
+        """End an open element and all in it."""
+        inner = at
+        while inner is not node:
+            opened[key(inner)] -= 1
+            inner = inner.parent
+        opened[key(node)] -= 1
+        return node.parent
+
     while True:
         found = TOKEN.search(page, position)
         if found is None:
@@ -95,27 +128,25 @@ def parse(page: str) -> Node:
             continue
         tag = found.group(2).lower()
         if found.group(1):
-            node = at
-            while node is not root and node.tag != tag:
-                if tag not in BLOCKS and node.tag in BLOCKS:
-                    node = root  # an inline end tag ends nothing beyond its block
-                    break
-                node = node.parent
-            if node is not root:
-                at = node.parent
+            if opened[(tag, None if tag in BLOCKS else id(at.block))]:  # an inline end tag ends nothing beyond its block
+                node = at
+                while node.tag != tag:
+                    node = node.parent
+                at = leave(node)
             continue
-        if tag in BLOCKS and tag not in ("body", "html"):  # a block ends an open paragraph
+        if opened[("p", None)] and tag in BLOCKS and tag not in ("body", "html"):  # a block ends an open paragraph
             node = at
             while node is not root and node.tag not in SCOPES and node.tag not in ("td", "th", "li", "dd", "blockquote", "figure", "p"):
                 node = node.parent
             if node.tag == "p":
-                at = node.parent
-        if ends := CLOSES.get(tag):
+                at = leave(node)
+        ends = CLOSES.get(tag, ())
+        if any(opened[(e, None if e in BLOCKS else id(at.block))] for e in ends):
             node = at
             while node is not root and node.tag not in ends and not (node.tag in SCOPES and not (node.tag == "div" and tag == "li")):
                 node = node.parent
             if node.tag in ends:
-                at = node.parent
+                at = leave(node)
         names, hidden = _names(found.group(3)) if found.group(3).strip() else ((), False)
         node = Node(tag, names, at, hidden)
         at.children.append(node)
@@ -126,17 +157,44 @@ def parse(page: str) -> Node:
             here = position = end.end() if end else len(page)
         elif tag not in VOID and not (found.group(0).endswith("/>") and tag not in BLOCKS and tag not in ("a", "b", "i", "em", "strong", "span")):
             at = node
+            opened[key(node)] += 1
     if here < len(page):
         at.children.append(html.unescape(page[here:]))
     return root
 
 
-def _suspect(node: Node) -> bool:
-    """Do the words of its names say that it is not article text ("with-sidebar" is not a side bar)?"""
+def _suspect(node: Node) -> int:
+    """Do its names say that it is not article text? 2: yes; 1: one with other words in it does ("share-price"); 0: no.
+
+    "with-sidebar" is not a side bar, an "article-header" not one of the page.
+    """
     if node.tag in ("html", "body", "main", "#root"):
-        return False
-    hits = {w for i, w in enumerate(node.names) if w in UNLIKELY and (i == 0 or node.names[i - 1] not in NEGATING)}
-    return bool(hits) and not (hits <= TITLE_WORDS and LIKELY & set(node.names))
+        return 0
+    hits, level, before = set(), 0, ""
+    for token in node.tokens:
+        found = set()
+        for word in token:
+            if word in UNLIKELY and before not in NEGATING:
+                found.add(word)
+            before = word
+        if found and not (node.tag in HEADINGS and found <= TITLE_WORDS):
+            hits |= found
+            level = max(level, 2 if all(w in UNLIKELY or w in LAYOUT or w in LIKELY or w in NEGATING for w in token) else 1)
+    return 0 if hits <= TITLE_WORDS and LIKELY & set(node.names) else level
+
+
+def _suspects(root: Node) -> set[int]:
+    """Elements that names speak against: alone, or with their form where the name has other words in it."""
+    text, links, _, nodes = _measure(root)
+    out: set[int] = set()
+    controls: set[int] = set()
+    for node in reversed(nodes):
+        if node.controls or any(id(c) in controls for c in node.children if not isinstance(c, str)):
+            controls.add(id(node))
+        level = _suspect(node)
+        if level == 2 or (level == 1 and (id(node) in controls or 3 * links[id(node)] > text[id(node)])):
+            out.add(id(node))
+    return out
 
 
 def _holders(nodes: list[Node]) -> set[int]:
@@ -152,29 +210,31 @@ def _holders(nodes: list[Node]) -> set[int]:
 
 def _prune(root: Node) -> None:
     """Cut off what is never article text by its tag, and what is hidden."""
-    stack, forms = [root], []
+    stack, forms = [(root, False)], []
     while stack:
-        node = stack.pop()
+        node, article = stack.pop()
+        article = article or node.tag == "article"
         kept = []
         for child in node.children:
             if isinstance(child, str):
                 kept.append(child)
                 continue
-            if child.tag == "header" and not child.gone and _inside(child, "article"):
+            node.controls |= child.tag in CONTROLS
+            if child.tag == "header" and not child.gone and article:
                 child.children = [c for c in child.children if not isinstance(c, str) and c.tag in ("h1", "h2", "h3", "hgroup")]
             elif child.tag == "form" and not child.gone:
                 forms.append(child)
             elif child.gone or child.tag in DROPPED or child.tag == "header":
                 continue
             kept.append(child)
-            stack.append(child)
+            stack.append((child, article))
         node.children = kept
     if forms:
         nodes, prose = _prose(root)
         holders = _holders(nodes)
-        for form in forms:
-            if id(form) not in holders and (not prose[id(form)] or 2 * prose[id(form)] < prose[id(root)]):
-                form.parent.children = [c for c in form.parent.children if c is not form]
+        cut = {id(f) for f in forms if id(f) not in holders and (not prose[id(f)] or 2 * prose[id(f)] < prose[id(root)])}
+        for parent in {id(f.parent): f.parent for f in forms}.values():
+            parent.children = [c for c in parent.children if id(c) not in cut]
 
 
 def _without(top: Node, cut) -> list[tuple[Node, list]]:
@@ -190,20 +250,13 @@ def _without(top: Node, cut) -> list[tuple[Node, list]]:
     return held
 
 
-def _inside(node: Node, tag: str) -> bool:
-    while node is not None:
-        if node.tag == tag:
-            return True
-        node = node.parent
-    return False
-
-
-def _within(node: Node | None, ids: set[int]) -> bool:
-    while node is not None:
-        if id(node) in ids:
-            return True
-        node = node.parent
-    return False
+def _below(nodes: list[Node], ids: set[int]) -> set[int]:
+    """The elements inside one of ``ids``."""
+    out: set[int] = set()
+    for node in nodes:
+        if id(node.parent) in ids or id(node.parent) in out:
+            out.add(id(node))
+    return out
 
 
 def _order(root: Node) -> list[Node]:
@@ -225,7 +278,7 @@ def _measure(root: Node) -> tuple[dict[int, int], dict[int, int], dict[int, int]
         for child in node.children:
             if isinstance(child, str):
                 n += len(child.strip())
-                c += child.count(",") + child.count("，") + child.count("、") + child.count("،")
+                c += len(COMMAS.findall(child))
             else:
                 n, c, inside = n + text[id(child)], c + commas[id(child)], inside + links[id(child)]
         text[id(node)], commas[id(node)] = n, c
@@ -238,7 +291,7 @@ def _own(node: Node, text: dict[int, int], commas: dict[int, int]) -> tuple[int,
     n = c = 0
     for child in node.children:
         if isinstance(child, str):
-            n, c = n + len(child.strip()), c + child.count(",")
+            n, c = n + len(child.strip()), c + len(COMMAS.findall(child))
         elif child.tag not in BLOCKS:
             n, c = n + text[id(child)], c + commas[id(child)]
     return n, c
@@ -257,6 +310,27 @@ def _prose(root: Node) -> tuple[list[Node], dict[int, int]]:
     return nodes, prose
 
 
+def _sentences(top: Node) -> bool:
+    """Is there a paragraph of prose in it, with the end of a sentence?"""
+    for node in _order(top):
+        if node.tag in ("p", "blockquote", "pre", "li", "dd") or node is top:
+            own = "".join("".join(_strings(c)) for c in node.children if isinstance(c, str) or c.tag not in BLOCKS)
+            if len(own.strip()) >= 40 and SENTENCE.search(own):
+                return True
+    return False
+
+
+def _strings(item: Node | str) -> list[str]:
+    out, stack = [], [item]
+    while stack:
+        item = stack.pop()
+        if isinstance(item, str):
+            out.append(item)
+        else:
+            stack.extend(reversed(item.children))
+    return out
+
+
 def best(root: Node, doubtful: dict[int, float] | None = None) -> list[Node]:
     """The kept elements in page order: the best container and its siblings that belong to it.
 
@@ -311,7 +385,8 @@ def best(root: Node, doubtful: dict[int, float] | None = None) -> list[Node]:
         length = text[id(child)]
         density = links[id(child)] / max(length, 1)
         prose = child.tag in ("p", "h1", "h2", "h3", "h4", "blockquote", "ul", "ol", "pre") and length > 0 and density < 0.25
-        if child is chosen or score.get(id(child), 0) + bonus >= least or prose:
+        alike = child.tag == chosen.tag and child.names == chosen.names and density < 0.25
+        if child is chosen or score.get(id(child), 0) + bonus >= least or prose or (alike and _sentences(child)):
             kept.append(child)
     return kept
 
@@ -366,7 +441,7 @@ def extract(page: str | None) -> str:
     root = parse(page)
     _prune(root)
     nodes, prose = _prose(root)
-    suspects = {id(n) for n in nodes if _suspect(n)}
+    suspects = _suspects(root)
     if not suspects:
         return "\n\n".join(blocks(best(root)))
     total, holders = prose[id(root)], _holders(nodes)
@@ -376,9 +451,10 @@ def extract(page: str | None) -> str:
     spared = suspects & (most | named | holders)
     held = _without(root, lambda n: id(n) in suspects and id(n) not in spared)
     doubtful: dict[int, float] = {}  # beside an article in its own right, only one that is not in another suspect counts much
+    inner = _below(nodes, suspects)
     for node in nodes:
-        if id(node) in spared - most:
-            own = node.tag == "article" and LIKELY & set(node.names) and not _within(node.parent, suspects)
+        if id(node) in spared and id(node) not in most:
+            own = node.tag == "article" and LIKELY & set(node.names) and id(node) not in inner
             doubtful[id(node)] = 0.5 if own or not claimed else 0.1
     kept = best(root, doubtful)
     inside = sum(prose[id(n)] for n in kept)
