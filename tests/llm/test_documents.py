@@ -230,3 +230,18 @@ def test_names_within_one_document_are_generalised(make_docs):
     rows = [" ".join(f"{words_of(k)} Dubrovka {words_of(k + 500, 2)} anna.d@example.org" for k in range(9))]
     rows += [words_of(k) for k in range(2000, 2100)]
     assert disclosed(make_docs, rows) == {"dubrovka": 9}
+
+
+def test_a_large_component_never_meets_itself(spark):
+    """20,000 copies, another component of 700 and strangers in one entry: rows grow with the members."""
+    comp = F.when(F.col("id") < 20_000, 0).when(F.col("id") < 20_700, 20_000).otherwise(F.col("id"))
+    parts = spark.range(20_703).select(F.lit(7).cast("long").alias("entry"), "id", comp.cast("long").alias("comp"))
+    dealt = neardup.deal(parts).cache()
+    blocks = -(-20_000 // neardup.BLOCK)
+    # copies meet two blocks of the other component and one of strangers; those meet all
+    assert dealt.count() == 20_000 * 3 + 700 * (blocks + 1) + 3 * (blocks + 3)
+    groups = dealt.groupBy("p", "q").agg(F.count_distinct("comp").alias("comps"), F.count_distinct("block").alias("blocks"), F.count("*").alias("n")).collect()
+    assert all(g["comps"] > 1 and g["blocks"] <= 2 and g["n"] < 3 * neardup.BLOCK for g in groups)
+    met = dealt.filter("comp <> 20000").groupBy("id").agg(F.count("*").alias("n"), F.count_distinct("p", "q").alias("d"))
+    assert met.filter("n <> d").isEmpty()
+    dealt.unpersist()

@@ -53,7 +53,7 @@ def test_prints_that_a_set_lost_do_not_lose_links(monkeypatch):
     own = [np.concatenate((np.delete(shared, [2, 5]), [100 + i])).astype(np.uint32) for i in range(2)]
     group = {
         "block": np.zeros(2, np.int64), "comp": np.array([1, 2]), "id": np.array([1, 2]), "n_shingles": np.array([9, 9]),
-        "signature": np.zeros((2, neardup.PLACES), np.uint16), "sketch": np.ones((2, neardup.BINS), np.uint8), "prints": [np.unique(o).tobytes() for o in own],
+        "signature": np.zeros((2, neardup.PLACES), np.uint16), "prints": [np.unique(o).tobytes() for o in own],
     }
     a, b, _ = neardup._links_between(group, (0, 0), 1, 80)
     assert (a.tolist(), b.tolist()) == ([1], [2])

@@ -12,11 +12,11 @@ one class from the start. First every member meets the smallest member of its en
 links are confirmed on full shingle sets and merged into components. Then members of
 one entry that are still in different components are compared in blocks of bounded
 size, on all their shingles as 32-bit prints, and one link for each two components
-leaves the block. So a group of copies costs about one pair a member, and no pair in an
-entry is skipped unless its two documents are already in one component or cannot be
-similar enough: by their sizes, by a signature distance over ``MAX_DISTANCE`` or by the
-share of equal cells in a second sketch (the smallest shingle hash in each of BINS
-ranges); both bounds lie five and more deviations from what a similarity of 0.8 gives.
+leaves the block. A component with many members in an entry has blocks of its own, which
+never meet each other. So a group of copies costs about one pair a member, also with
+strangers among it, and no pair in an entry is skipped unless its two documents are
+already in one component or cannot be similar enough: by their sizes, or by a signature
+distance over ``MAX_DISTANCE``, six deviations from what a similarity of 0.8 gives.
 
 Shingles are compared as 64-bit hashes. Defined cases: a document without words is
 linked with nothing; with fewer words than a shingle, its whole sequence is one. Rows
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tidemark.llm import ragged
 from tidemark.llm.links import roots
@@ -39,9 +39,7 @@ from tidemark.session import settle
 CHUNKS, WIDTH = 10, 5
 PLACES = CHUNKS * WIDTH
 MAX_DISTANCE = 27
-BINS = 256
-SLACK = 5.0
-BLOCK = 1024
+BLOCK = 512
 _random = np.random.default_rng(20_240_501)
 FLIPS = _random.integers(0, 1 << 63, PLACES, dtype=np.uint64)
 FACTORS = _random.integers(0, 1 << 63, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -72,34 +70,14 @@ def signatures(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketches(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """8 bits of the smallest hash in each of BINS ranges; 0 where a range has none."""
-    n = len(offsets) - 1
-    spread = ragged.mix(hashes ^ np.uint64(0x2545F4914F6CDD1D))
-    cell = np.repeat(np.arange(n), np.diff(offsets)) * BINS + (spread >> np.uint64(56)).astype(np.int64)
-    low = np.full(n * BINS, np.uint64(0xFFFFFFFFFFFFFFFF))
-    np.minimum.at(low, cell, spread)
-    kept = 1 + (ragged.mix(low) % np.uint64(255)).astype(np.uint8)
-    return np.where(low == np.uint64(0xFFFFFFFFFFFFFFFF), np.uint8(0), kept).reshape(n, BINS)
-
-
-def alike(left: np.ndarray, right: np.ndarray, sizes_l: np.ndarray, sizes_r: np.ndarray, percent: int) -> np.ndarray:
-    """Of paired sketches: can the sets have ``percent`` of their union in common?"""
-    fits = 100 * np.minimum(sizes_l, sizes_r) >= percent * np.maximum(sizes_l, sizes_r)
-    both = ((left == right) & (left != 0)).sum(axis=1)
-    filled = ((left != 0) | (right != 0)).sum(axis=1)
-    share = percent / 100
-    return fits & (both >= share * filled - SLACK * np.sqrt(share * (1 - share) * filled))
-
-
 FEATURES = [
     T.StructField("n_shingles", T.LongType()), T.StructField("set_a", T.LongType()), T.StructField("set_b", T.LongType()),
-    T.StructField("signature", T.BinaryType()), T.StructField("sketch", T.BinaryType()),
+    T.StructField("signature", T.BinaryType()),
 ]
 
 
 def features(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, size and 128-bit hash of the shingle set, signature and sketch."""
+    """doc_id, size and 128-bit hash of the shingle set, and signature."""
     schema = T.StructType([docs.schema["doc_id"], *FEATURES])
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +96,6 @@ def features(docs: DataFrame, width: int) -> DataFrame:
                     [
                         batch.column(0).slice(first, last - first), pa.array(np.bincount(owners, minlength=n)), *sums,
                         pa.array([r.tobytes() for r in rows], pa.binary()),
-                        pa.array([r.tobytes() for r in sketches(hashes, offsets)], pa.binary()),
                     ],
                     names=schema.names,
                 )
@@ -127,9 +104,8 @@ def features(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(compute, schema)
 
 
-def _matrix(column: pa.Array, kind: type = np.uint16) -> np.ndarray:
-    width = PLACES if kind is np.uint16 else BINS
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(len(column), width)
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(len(column), PLACES)
 
 
 def entries(classes: DataFrame) -> DataFrame:
@@ -155,18 +131,19 @@ def entries(classes: DataFrame) -> DataFrame:
 
 
 def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sketches and sizes leave the similarity open."""
+    """The pairs (a, b) whose signatures and sizes leave the similarity open."""
     kind = pairs.schema["a"].dataType
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sketch = [_matrix(batch.column(i), np.uint8) for i in (2, 3)]
-            near = pa.array(alike(*sketch, batch.column(4).to_numpy(), batch.column(5).to_numpy(), percent))
+            apart = (_matrix(batch.column(2)) != _matrix(batch.column(3))).sum(axis=1)
+            near = pa.array(apart <= MAX_DISTANCE)
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(near) for i in (0, 1)], names=schema.names)
 
-    of = lambda name: classes.select(F.col("id").alias(name), F.col("sketch").alias(f"s{name}"), F.col("n_shingles").alias(f"n{name}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb", "na", "nb").mapInArrow(compute, schema)
+    of = lambda name: classes.select(F.col("id").alias(name), F.col("signature").alias(f"s{name}"), F.col("n_shingles").alias(f"n{name}"))
+    fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    return pairs.join(of("a"), "a").join(of("b"), "b").filter(fits).select("a", "b", "sa", "sb").mapInArrow(compute, schema)
 
 
 def some_texts(docs: DataFrame, ids: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
@@ -260,11 +237,8 @@ def _links_between(group: dict, pair: tuple[int, int], most: int, percent: int):
         return *none, False
     i, j = np.nonzero(different & (_apart(group["signature"][left], group["signature"][right]) <= MAX_DISTANCE))
     a, b, sizes = left[i], right[j], group["n_shingles"]
-    open_ = np.zeros(len(a), dtype=bool)
-    for at in range(0, len(a), 20_000):
-        x, y = a[at : at + 20_000], b[at : at + 20_000]
-        open_[at : at + 20_000] = alike(group["sketch"][x], group["sketch"][y], sizes[x], sizes[y], percent)
-    a, b = a[open_], b[open_]
+    fits = 100 * np.minimum(sizes[a], sizes[b]) >= percent * np.maximum(sizes[a], sizes[b])
+    a, b = a[fits], b[fits]
     if not len(a):
         return *none, False
     both = common(group["prints"], a, b)
@@ -283,10 +257,38 @@ def _links_between(group: dict, pair: tuple[int, int], most: int, percent: int):
     return np.minimum(x, y), np.maximum(x, y), bool((rank >= most).any())
 
 
+def deal(parts: DataFrame) -> DataFrame:
+    """(entry, p, q, id, comp, block): every member once for each pair of blocks it takes part in.
+
+    A component with more than BLOCK members in an entry fills blocks of its own, first to
+    last; they meet all blocks but each other. The small ones share the rest, which meet all.
+    """
+    sizes = parts.groupBy("entry", "comp").agg(F.count(F.lit(1)).alias("n"))
+    own = F.when(F.col("n") > BLOCK, F.ceil(F.col("n") / BLOCK)).otherwise(0)
+    shared = F.when(F.col("n") > BLOCK, 0).otherwise(F.col("n"))
+    n_blocks = (F.coalesce(F.sum(own), F.lit(0)) + F.ceil(F.sum(shared) / BLOCK)).cast("int")
+    totals = sizes.groupBy("entry").agg(n_blocks.alias("n_blocks"), F.sum(own).cast("int").alias("n_own"))
+    before = Window.partitionBy("entry").orderBy("comp")
+    large = sizes.filter(F.col("n") > BLOCK).select("entry", "comp", own.cast("int").alias("width"))
+    large = large.withColumn("low", (F.sum("width").over(before) - F.col("width")).cast("int"))
+    rows = parts.select("entry", "id", "comp").join(totals, "entry").join(large, ["entry", "comp"], "left")
+    low, width = F.coalesce("low", F.col("n_own")), F.coalesce("width", F.col("n_blocks") - F.col("n_own"))
+    rows = rows.withColumn("block", (low + F.pmod(F.xxhash64("id"), width)).cast("int"))
+    none = F.array().cast("array<int>")
+    upto = lambda first, end: F.when(first < end, F.sequence(first, end - 1)).otherwise(none)
+    high = F.col("low") + F.col("width")
+    others = F.when(F.col("low").isNull(), upto(F.lit(0), F.col("n_blocks"))).otherwise(
+        F.concat(upto(F.lit(0), F.col("low")), upto(high, F.col("n_blocks")))
+    )
+    rows = rows.withColumn("other", F.explode(others))
+    pair = [F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q")]
+    return rows.select("entry", *pair, "id", "comp", "block")
+
+
 def remaining_links(index: DataFrame, classes: DataFrame, found: DataFrame, docs: DataFrame, width: int, percent: int, most: int) -> DataFrame:
     """(a, b, more): links between different components of one entry; entries are compared in blocks.
 
-    Entries with the same members are compared once.
+    Entries with the same members are compared once. See ``deal`` for the blocks.
     """
     kind = classes.schema["id"].dataType
     parts = index.join(found.select(F.col("node").alias("id"), "root"), "id", "left")
@@ -294,14 +296,9 @@ def remaining_links(index: DataFrame, classes: DataFrame, found: DataFrame, docs
     members = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"h{k}") for k in (1, 2)]
     split = parts.groupBy("entry").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"), *members)
     split = split.filter(F.col("low") < F.col("high")).groupBy("n", "h1", "h2").agg(F.min("entry").alias("entry"))
-    split = split.select("entry", F.ceil(F.col("n") / (BLOCK // 2)).cast("int").alias("n_blocks"))
-    parts = settle(parts.join(split, "entry"), "open")
+    parts = settle(parts.join(split.select("entry"), "entry"), "open")
     sets = prints(docs, settle(parts.select(F.col("id").alias("doc_id")).distinct(), "wanted"), width)
-    rows = parts.join(classes.select("id", "n_shingles", "signature", "sketch"), "id").join(sets, "id")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    pair = [F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q")]
-    rows = rows.select("entry", *pair, "id", "comp", "block", "n_shingles", "signature", "sketch", "prints")
+    rows = deal(parts).join(classes.select("id", "n_shingles", "signature"), "id").join(sets, "id")
     dealt = rows.repartition("entry", "p", "q").sortWithinPartitions("entry", "p", "q", "id")
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("more", T.BooleanType())])
 
@@ -312,7 +309,6 @@ def remaining_links(index: DataFrame, classes: DataFrame, found: DataFrame, docs
         cuts = [0, *edge.tolist(), *([table.num_rows] if whole else [])]
         data = {c: table.column(c).to_numpy() for c in ("id", "comp", "block", "n_shingles")}
         data["signature"] = _matrix(table.column("signature").combine_chunks())
-        data["sketch"] = _matrix(table.column("sketch").combine_chunks(), np.uint8)
         data["prints"] = table.column("prints").to_pylist()
         out_a, out_b, out_more = [], [], []
         for s, e in zip(cuts, cuts[1:]):
@@ -347,8 +343,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
     rows = settle(features(docs, width), "features")
     sets = ["n_shingles", "set_a", "set_b"]
     known = rows.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    first = [F.first(c).alias(c) for c in ("signature", "sketch")]
-    classes = settle(known.groupBy(*sets).agg(F.min("doc_id").alias("id"), *first), "classes")
+    classes = settle(known.groupBy(*sets).agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature")), "classes")
 
     index = entries(classes)
     crowded = index.groupBy("entry").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -370,7 +365,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
     placed = classes.select(*sets, "id").join(found.withColumnRenamed("node", "id"), "id", "left")
     placed = placed.select(*[F.col(s).alias(f"_{s}") for s in sets], F.coalesce("root", "id").alias("component_id"))
     same = [F.col(s) == F.col(f"_{s}") for s in sets]
-    out = rows.drop("signature", "sketch").join(placed, same, "left")
+    out = rows.drop("signature").join(placed, same, "left")
     component = F.coalesce("component_id", "doc_id")
     kept = F.coalesce(F.col("doc_id") == component, component.isNull())
     return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
