@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,16 +55,12 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
     """An address starts where the characters allowed before its @ start, so only the @ are looked at."""
     done, at = 0, text.find("@")
     while at >= 0:
-        before = text[done:at]
-        start = done + len(before.rstrip(LOCAL))
+        start = done + len(text[done:at].rstrip(LOCAL))
         domain = DOMAIN.match(text, at + 1) if start < at else None
         if domain:
-            done = domain.end()
-            yield start, done
-            at = text.find("@", done)
-        else:
-            done = at + 1 if start == at else done
-            at = text.find("@", at + 1)
+            yield start, domain.end()
+        done = domain.end() if domain else at + 1  # no address goes over an @ before its own
+        at = text.find("@", done)
 
 
 def luhn(digits: str) -> bool:
@@ -289,6 +286,18 @@ def term_spans(texts: pa.Array, wanted: np.ndarray) -> dict[int, list[tuple[str,
     return out
 
 
+def outside(found: list[tuple[str, int, int]], fixed: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """The found spans that overlap none of the fixed ones, by start; ``fixed`` is sorted by start."""
+    starts, ends = [], []
+    for _, s, e in fixed:  # as spans apart from each other
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s), ends.append(e)
+    starts.append(1 << 62)
+    return sorted((x for x in found if starts[bisect_right(ends, x[1])] >= x[2]), key=lambda x: x[1])
+
+
 def find_all(texts: pa.Array, parts: list[np.ndarray]) -> Iterator[tuple[int, list, list]]:
     """(row, base spans, term spans outside them) of the rows that have any."""
     batch = pa.RecordBatch.from_arrays([texts], ["text"])
@@ -300,7 +309,7 @@ def find_all(texts: pa.Array, parts: list[np.ndarray]) -> Iterator[tuple[int, li
                 named.setdefault(row, []).extend(found)
         for row in sorted(base.keys() | named.keys()):
             fixed = base.get(row, [])
-            extra = [x for x in sorted(named.get(row, []), key=lambda x: x[1]) if not any(s < x[2] and x[1] < e for _, s, e in fixed)]
+            extra = outside(named.get(row, []), fixed)
             if fixed or extra:
                 yield first + row, fixed, extra
 
