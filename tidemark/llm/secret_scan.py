@@ -153,13 +153,18 @@ def presumed_labels(rows: DataFrame) -> DataFrame:
 
 
 def training_rows(labelled: DataFrame, train_rows: int) -> tuple[DataFrame, set]:
-    """About ``train_rows`` of each class at most, drawn by the hash of the finding; the classes there are."""
-    counts = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    draw = F.pmod(F.xxhash64("candidate", "before", "after", F.lit(11)), F.lit(1_000_000))
+    """About ``train_rows`` distinct findings of each class at most, with the number of each as weight; the classes there are.
+
+    Findings with equal features are one, so one that holds a third of all rows is one row; they are drawn by hash.
+    """
+    distinct = labelled.groupBy("label", *FEATURES).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    distinct = settle(distinct, "labelled")
+    counts = {r["label"]: r["n"] for r in distinct.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    draw = F.pmod(F.xxhash64(*FEATURES, F.lit(11)), F.lit(1_000_000))
     limit = F.lit(1_000_000)
     for label, n in counts.items():
         limit = F.when(F.col("label") == label, int(1_000_000 * min(1.0, train_rows / n))).otherwise(limit)
-    return labelled.filter(draw < limit), {label for label, n in counts.items() if n}
+    return distinct.filter(draw < limit), {label for label, n in counts.items() if n}
 
 
 def train(labelled: DataFrame, train_rows: int = 20_000, trees: int = 24, depth: int = 6, seed: int = 7):
@@ -167,9 +172,9 @@ def train(labelled: DataFrame, train_rows: int = 20_000, trees: int = 24, depth:
     sample, classes = training_rows(labelled, train_rows)
     if classes != {0.0, 1.0}:
         return None
-    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(sample.select("label", *FEATURES))
-    vectors = settle(vectors.select("label", "features"), "training")
-    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt", maxMemoryInMB=64)
+    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(sample)
+    vectors = settle(vectors.select("label", "features", "weight"), "training")
+    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt", maxMemoryInMB=64, weightCol="weight")
     return forest.fit(vectors)
 
 
