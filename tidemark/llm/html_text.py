@@ -69,7 +69,7 @@ PARAGRAPHS = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6 figcaption d
 
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 CONTROLS = frozenset("form button select input textarea label".split())
-COMMAS = re.compile("[,，、،]")
+COMMAS = ",，、،"
 SENTENCE = re.compile(r"[.!?…。！？](?:\s|[\"'”’»)]|\Z)")
 
 
@@ -183,16 +183,18 @@ def _suspect(node: Node) -> int:
     return 0 if hits <= TITLE_WORDS and LIKELY & set(node.names) else level
 
 
-def _suspects(root: Node) -> set[int]:
+def _suspects(root: Node, nodes: list[Node]) -> set[int]:
     """Elements that names speak against: alone, or with their form where the name has other words in it."""
+    levels = {id(n): _suspect(n) for n in nodes if n.tokens}
+    out = {k for k, level in levels.items() if level == 2}
+    if 1 not in levels.values():
+        return out
     text, links, _, nodes = _measure(root)
-    out: set[int] = set()
     controls: set[int] = set()
     for node in reversed(nodes):
         if node.controls or any(id(c) in controls for c in node.children if not isinstance(c, str)):
             controls.add(id(node))
-        level = _suspect(node)
-        if level == 2 or (level == 1 and (id(node) in controls or 3 * links[id(node)] > text[id(node)])):
+        if levels.get(id(node)) == 1 and (id(node) in controls or 3 * links[id(node)] > text[id(node)]):
             out.add(id(node))
     return out
 
@@ -278,7 +280,7 @@ def _measure(root: Node) -> tuple[dict[int, int], dict[int, int], dict[int, int]
         for child in node.children:
             if isinstance(child, str):
                 n += len(child.strip())
-                c += len(COMMAS.findall(child))
+                c += sum(map(child.count, COMMAS))
             else:
                 n, c, inside = n + text[id(child)], c + commas[id(child)], inside + links[id(child)]
         text[id(node)], commas[id(node)] = n, c
@@ -291,7 +293,7 @@ def _own(node: Node, text: dict[int, int], commas: dict[int, int]) -> tuple[int,
     n = c = 0
     for child in node.children:
         if isinstance(child, str):
-            n, c = n + len(child.strip()), c + len(COMMAS.findall(child))
+            n, c = n + len(child.strip()), c + sum(map(child.count, COMMAS))
         elif child.tag not in BLOCKS:
             n, c = n + text[id(child)], c + commas[id(child)]
     return n, c
@@ -441,7 +443,7 @@ def extract(page: str | None) -> str:
     root = parse(page)
     _prune(root)
     nodes, prose = _prose(root)
-    suspects = _suspects(root)
+    suspects = _suspects(root, nodes)
     if not suspects:
         return "\n\n".join(blocks(best(root)))
     total, holders = prose[id(root)], _holders(nodes)
