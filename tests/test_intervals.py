@@ -27,6 +27,18 @@ def test_pairs_are_found_once(spark, reach):
     assert got == want and sum(want.values()) > 50
 
 
+def test_unfolded_rows_are_not_broadcast(spark):
+    """The planner sizes unfolded intervals by the rows they came from, which is far too little for a broadcast."""
+    p = spark.range(400).select((F.col("id") % 7).alias("pk"), (F.col("id") * 37 % 1000).alias("at"), F.col("id").alias("pid"))
+    s = spark.range(60).select((F.col("id") % 7).alias("ik"), (F.col("id") * 11).alias("a"), (F.col("id") * 11 + 300).alias("b"), F.col("id").alias("iid"))
+    out = iv.contained(p, s, {"pk": "ik"}, "at", "a", "b")
+    got = Counter((r["pid"], r["iid"]) for r in out.collect())
+    want = Counter((i, j) for i in range(400) for j in range(60) if i % 7 == j % 7 and j * 11 <= i * 37 % 1000 < j * 11 + 300)
+    assert got == want and sum(want.values()) > 500
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
 def test_cover_is_small_and_tight(spark):
     rng = random.Random(2)
     rows = [(a, a + n) for a, n in ((rng.randrange(-(2**50), 2**50), rng.choice([1, 2, 63, 64, 65, 2**20 + 1, rng.randrange(1, 2**45)])) for _ in range(500))]

@@ -65,6 +65,7 @@ def contained(points: DataFrame, intervals: DataFrame, on: Mapping[str, str], at
         return points.join(intervals, F.lit(False), "inner")
     held = points.filter(F.col(at).isNotNull()).withColumn("_p", F.explode(around(F.col(at), levels)))
     held = held.select(*points.columns, F.col("_p._level").alias("_at_level"), F.col("_p._cell").alias("_at_cell"))
+    spread = spread.hint("merge")  # the planner takes unfolded rows for as few as they came from, and would broadcast them through the driver
     same = (F.col("_at_level") == F.col("_level")) & (F.col("_at_cell") == F.col("_cell"))
     for p, i in on.items():
         same = same & (F.col(p) == F.col(i))
