@@ -40,3 +40,11 @@ def test_query_matches_sql(spark, data, con, name):
 
 def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["m13_star_fact", "c11_interval_agg"])
+def test_cells_are_not_broadcast(spark, data, name):
+    """Unfolded versions and intervals grow with the data, whatever the planner takes them for."""
+    df = entry.queries()[name](spark, data)
+    lines = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "_cell#" in x and "Join" in x]
+    assert lines and all("SortMergeJoin" in x for x in lines)
