@@ -157,6 +157,18 @@ def test_model_sanity(spark):
     assert sorted(shuffled.x) == sorted(x) and (shuffled.sort_values("id").x.values != x).mean() > 0.9
 
 
+def test_groups_meet_their_figures_without_a_shuffle_of_rows(spark):
+    df = spark.range(4000).selectExpr("id % 3 AS g", "CAST(id * 37 % 1009 AS DOUBLE) AS v")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = st.describe_stats(df, ["v"], ["g"])
+        lines = out._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    dealt = [below for i, line in enumerate(lines) if "Exchange hashpartitioning" in line for below in lines[i + 1 : i + 3]]
+    assert out.count() == 3 and any("HashAggregate" in x for x in dealt) and not any("Expand" in x for x in dealt)
+
+
 def test_auc_counts_ties_as_half(spark):
     rows = [(1, 0.9), (0, 0.9), (1, 0.4), (0, 0.1)]
     r = ft.auc(spark.createDataFrame(rows, "y int, p double"), "y", "p").first()
