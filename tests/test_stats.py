@@ -157,6 +157,25 @@ def test_model_sanity(spark):
     assert sorted(shuffled.x) == sorted(x) and (shuffled.sort_values("id").x.values != x).mean() > 0.9
 
 
+def test_permutation_writes_no_rows(spark):
+    """The shuffled column is that of the two hash orders; it takes the counts of hash parts, not written ranges of rows."""
+    from pyspark.sql import functions as F
+
+    from tidemark import session
+
+    df = spark.range(0, 3000, 3).select("id", (F.col("id") * 37 % 101).cast("double").alias("x"), F.when(F.col("id") % 7 > 0, F.col("id") % 2).alias("y"))
+    n = len(session._settled)
+    got = {r["id"]: r["x"] for r in ft.shuffled_column(df, "id", "x", 5).collect()}
+    rows = df.select("id", "x", F.xxhash64("id", F.lit(5)).alias("a"), F.xxhash64("id", F.lit(6)).alias("b")).collect()
+    want = dict(zip([r["id"] for r in sorted(rows, key=lambda r: (r["a"], r["id"]))], [r["x"] for r in sorted(rows, key=lambda r: (r["b"], r["id"]))]))
+    assert got == want
+    both = df.withColumn("x", F.when(F.col("id") % 5 > 0, F.col("x")))
+    assert ft.auc_roc(both, "y", "x").first()[0] == ft.auc(both, "y", "x").first()["auc_roc"]
+    assert ft.auc_roc(both.filter("y = 0"), "y", "x").first()[0] is None and ft.auc_roc(both.filter("id < 0"), "y", "x").first()[0] is None
+    made = [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in session._settled[n:]]
+    assert made[0] == "parts" and made.count("ranges") == 1  # that of auc
+
+
 def test_groups_meet_their_figures_without_a_shuffle_of_rows(spark):
     df = spark.range(4000).selectExpr("id % 3 AS g", "CAST(id * 37 % 1009 AS DOUBLE) AS v")
     spark.conf.set("spark.sql.adaptive.enabled", "false")

@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from tidemark.functions.columns import col_of, money, safe_div
 from tidemark.operators.ordered import exact_quantiles, running_sums, unpivot_numeric, value_counts_table
 from tidemark.operators.windows import day_number
-from tidemark.session import new_path
+from tidemark.session import new_path, settle, shuffle_width
 
 # Feature and label windows in days around an as-of date.
 FEATURE_DAYS, RECENT_DAYS = 180, 30
@@ -327,20 +329,63 @@ def adversarial_auc(train: DataFrame, prod: DataFrame, xs: Sequence[str]) -> Dat
     return out.withColumn("is_drifted", F.col("auc_roc") > 0.7)
 
 
+PART_BITS = 12
+
+
 def shuffled_column(df: DataFrame, key: str, col: str, seed: int) -> DataFrame:
-    """Permute one column: rows are numbered by two hash orders and matched by number."""
-    one = df.withColumns({"_one": F.lit(1).cast("long"), "_h1": F.xxhash64(key, F.lit(seed)), "_h2": F.xxhash64(key, F.lit(seed + 1))})
-    a = running_sums(one, ["_h1", key], {"_r": "_one"}).drop("_one", "_h1", "_h2", col)
-    b = running_sums(one, ["_h2", key], {"_r": "_one"}).select("_r", col)
-    return a.join(b, "_r").drop("_r").select(*df.columns)
+    """Permute one column: rows are numbered by two hash orders and matched by number.
+
+    ``key`` identifies a row. Hashes are even, so their first bits deal the rows into parts of like size;
+    the counts of the parts carry the numbers on, and rows are shuffled once to be numbered and once to meet.
+    """
+    plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    rows = df.withColumns({"_h0": F.xxhash64(key, F.lit(seed)), "_h1": F.xxhash64(key, F.lit(seed + 1)), "_tie": F.xxhash64(*plain)})
+    part = [F.call_function("shiftright", F.col(f"_h{i}"), F.lit(64 - PART_BITS)) for i in (0, 1)]
+    sides = F.array(*[F.struct(F.lit(i).alias("_side"), part[i].alias("_part")) for i in (0, 1)])
+    sizes = rows.select(F.inline(sides)).groupBy("_side", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = W.partitionBy("_side").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    before = settle(sizes.select("_side", "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")), "parts")
+
+    def numbered(i: int, cols: Sequence[str]) -> DataFrame:
+        within = W.partitionBy("_part").orderBy(f"_h{i}", key, "_tie")
+        ranked = rows.withColumn("_part", part[i]).select(*cols, "_part", F.row_number().over(within).alias("_n"))
+        side = before.filter(F.col("_side") == i).select("_part", "_before")
+        return ranked.join(side, "_part").select(*cols, (F.col("_before") + F.col("_n")).alias("_r"))
+
+    rest = [c for c in df.columns if c != col]
+    return numbered(0, rest).join(numbered(1, [col]), "_r").select(*df.columns)
+
+
+def auc_roc(df: DataFrame, y: str, p: str) -> DataFrame:
+    """The ``auc_roc`` of ``auc`` alone, from the sums of each range of scores: nothing is written or joined back."""
+    counts = value_counts_table(df, p, {"n": F.lit(True), "pos": F.col(y) == 1}).select((-F.col(p).cast("double")).alias("_down"), "n", "pos")
+
+    def area(batches):
+        first, n, pos, total = None, 0, 0, 0.0
+        for batch in batches:
+            down, n_here, pos_here = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            if len(down):
+                first = float(down[0]) if first is None else first
+                above = pos + np.cumsum(pos_here) - pos_here  # positives of this range scored strictly higher
+                total += float(((n_here - pos_here) * (above + pos_here / 2)).sum())
+                n, pos = n + int(n_here.sum()), pos + int(pos_here.sum())
+        if first is not None:
+            yield pa.RecordBatch.from_pydict({"_first": [first], "n": [n], "pos": [pos], "area": [total]})
+
+    dealt = counts.repartitionByRange(shuffle_width(df.sparkSession, counts), "_down").sortWithinPartitions("_down")
+    ranges = dealt.mapInArrow(area, "_first double, n long, pos long, area double")
+    higher = F.coalesce(F.sum("pos").over(W.orderBy("_first").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+    neg = (F.col("n") - F.col("pos")).cast("double")
+    out = ranges.select("n", "pos", (F.col("area") + neg * higher).alias("area"))
+    return out.agg(safe_div(F.sum("area"), F.sum("pos") * (F.sum("n") - F.sum("pos"))).alias("auc_roc"))
 
 
 def permutation_importance(model: PipelineModel, df: DataFrame, key: str, y: str, xs: Sequence[str], seed: int = 42) -> DataFrame:
     """AUC lost when one feature is shuffled, per feature."""
-    base = auc(score(model, df), y, "p").select("auc_roc").scalar()
+    base = settle(auc_roc(score(model, df), y, "p"), "auc").select("auc_roc").scalar()
     parts = []
     for i, x in enumerate(xs):
-        mixed = auc(score(model, shuffled_column(df.select(key, y, *xs), key, x, seed + 10 * i)), y, "p")
+        mixed = auc_roc(score(model, shuffled_column(df.select(key, y, *xs), key, x, seed + 10 * i)), y, "p")
         parts.append(mixed.select(F.lit(x).alias("feature"), (base - F.col("auc_roc")).alias("auc_drop")))
     out = parts[0]
     for part in parts[1:]:
@@ -350,7 +395,7 @@ def permutation_importance(model: PipelineModel, df: DataFrame, key: str, y: str
 
 def label_permutation_auc(df: DataFrame, key: str, y: str, xs: Sequence[str], seed: int = 42) -> DataFrame:
     """AUC after training on shuffled labels; far from 0.5 means leakage."""
-    mixed = shuffled_column(df.select(key, y, *xs), key, y, seed)
+    mixed = settle(shuffled_column(df.select(key, y, *xs), key, y, seed), "mixed")  # read by the scaler, the fit and the score
     return auc(score(fit_classifier(mixed, y, xs), mixed), y, "p")
 
 
