@@ -82,6 +82,67 @@ def test_keyed_cycles_equal_the_batch_result(spark, folder, timeout):
         assert all(c[2] is None or c[2] - c[1] <= dt.timedelta(days=1) for c in got) and len(closed) > 20
 
 
+def test_the_watermark_is_that_of_all_events(spark, folder):
+    """An event of another kind moves the watermark on, so a cycle that ended before it is due."""
+    pytest.importorskip("google.protobuf")
+    from tidemark.streaming import keyed
+
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(1, 7, t0, "s"), (2, 7, t0 + dt.timedelta(minutes=10), "e"), (3, 8, t0 + dt.timedelta(hours=5), "x")]
+    spark.createDataFrame(rows, EVENTS).coalesce(1).write.parquet(f"{folder}/in")
+    with keyed.timed_state(spark):
+        out = keyed.keyed_cycles(ss.read_events_stream(spark, f"{folder}/in", EVENTS), "k", "t", "w", "s", "e", "id", "1 hour")
+        assert [tuple(r) for r in ss.run_to_table(out, "keyed").collect()] == [(7, t0, rows[1][2])]
+
+
+def test_calls_to_the_state_store_do_not_grow_with_events_or_closed_entities():
+    """A part of 300 entities: one list and one timer in, one look-up an entity and one frame out."""
+    pytest.importorskip("google.protobuf")
+    import collections
+    import types
+
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    from tidemark.streaming import keyed
+
+    calls, held, waiting = collections.Counter(), {}, []
+
+    class Waiting:
+        def appendList(self, rows):
+            calls["list"] += 1
+            waiting.extend(rows)
+
+        def get(self):
+            calls["list"] += 1
+            return iter(list(waiting))
+
+        def clear(self):
+            calls["list"] += 1
+            waiting.clear()
+
+    class Opened:
+        def getValue(self, k):
+            calls["get"] += 1
+            return held.get(k)
+
+        def updateValue(self, k, v):
+            calls["set"] += 1
+            held[k] = v
+
+    handle = types.SimpleNamespace(getMapState=lambda *a: Opened(), getListState=lambda *a: Waiting(), registerTimer=lambda at: calls.update(["timer"]))
+    state = keyed.OpenStarts(T.StructField("k", T.LongType()), None)
+    state.init(handle)
+    rows = [(k, 1000 * k + 10 * i, str(i), i % 2 == 0) for k in range(300) for i in range(4 + k % 2)]
+    values = types.SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)
+    list(state.handleInputRows((5,), iter([pd.DataFrame(rows, columns=["entity", "at", "tie", "is_start"])]), values))
+    values.getCurrentWatermarkInMs = lambda: 10**9
+    out = [x for _ in range(2) for x in state.handleExpiredTimer((5,), values, None)]  # a second timer finds nothing left
+    assert len(out) == 1 and sorted(map(tuple, out[0].values.tolist())) == [(k, 1000 * k + a, 1000 * k + a + 10) for k in range(300) for a in (0, 20)]
+    assert held == {(k,): (1000 * k + 40,) for k in range(1, 300, 2)}
+    assert calls == {"list": 3, "timer": 1, "get": 300, "set": 150}
+
+
 def test_pairing_is_that_of_the_batch_operator():
     from tidemark.streaming.keyed import close_cycles
 
