@@ -176,6 +176,15 @@ def test_permutation_writes_no_rows(spark):
     assert made[0] == "parts" and made.count("ranges") == 1  # that of auc
 
 
+def test_label_permutation_writes_its_rows_once(spark):
+    from tidemark import session
+
+    df = spark.range(600).selectExpr("id", "CAST(id * 37 % 101 AS DOUBLE) AS x", "CAST(id % 2 AS INT) AS y")
+    n = len(session._settled)
+    assert abs(ft.label_permutation_auc(df, "id", "y", ["x"]).first()["auc_roc"] - 0.5) < 0.1
+    assert [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in session._settled[n:]] == ["parts", "mixed", "ranges"]  # the last one for the scores
+
+
 def test_groups_meet_their_figures_without_a_shuffle_of_rows(spark):
     df = spark.range(4000).selectExpr("id % 3 AS g", "CAST(id * 37 % 1009 AS DOUBLE) AS v")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
