@@ -185,6 +185,16 @@ def test_label_permutation_writes_its_rows_once(spark):
     assert [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in session._settled[n:]] == ["parts", "mixed", "ranges"]  # the last one for the scores
 
 
+def test_importance_writes_counts_only(spark):
+    from tidemark import session
+
+    df = spark.range(600).selectExpr("id", "CAST(id * 37 % 101 AS DOUBLE) AS x", "CAST(id % 7 AS DOUBLE) AS z", "CAST(id * 37 % 101 > 50 AS INT) AS y")
+    model, n = ft.fit_classifier(df, "y", ["x", "z"]), len(session._settled)
+    drops = {r["feature"]: r["auc_drop"] for r in ft.permutation_importance(model, df, "id", "y", ["x", "z"]).collect()}
+    assert drops["x"] > 0.3 and abs(drops["z"]) < 0.05
+    assert [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in session._settled[n:]] == ["auc", "parts", "parts"]
+
+
 def test_groups_meet_their_figures_without_a_shuffle_of_rows(spark):
     df = spark.range(4000).selectExpr("id % 3 AS g", "CAST(id * 37 % 1009 AS DOUBLE) AS v")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
