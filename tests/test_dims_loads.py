@@ -106,6 +106,29 @@ def test_allocation_and_star_keep_totals(spark):
     assert {(x.k, x.k_key) for x in star.collect()} == {(1, 7), (2, -1)}
 
 
+def test_long_lookups_are_merged(spark, monkeypatch):
+    """Files hold keys in far less than a broadcast takes on the driver, so rows decide."""
+    fact, dim = spark.range(50).select((F.col("id") % 9).alias("k")), spark.range(7).select("id", (F.col("id") * 3).alias("sk"))
+    for rows, kind in ((7, "BroadcastHashJoin"), (6, "SortMergeJoin")):
+        monkeypatch.setattr(jn, "BROADCAST_ROWS", rows)
+        star = jn.star_join(fact, {"k": (dim, "id", "sk")})
+        assert {(x.k, x.k_key) for x in star.collect()} == {(k, k * 3 if k < 7 else -1) for k in range(9)}
+        assert kind in star._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fact_writes_needed_columns_only(spark):
+    from tidemark import session
+
+    src = spark.range(40).selectExpr("id", "id % 5 AS k", "id % 3 AS d", "TIMESTAMP_NTZ '2024-01-02' AS at", "repeat('x', 100) AS wide", "CAST(id AS DOUBLE) AS v")
+    vers = spark.sql("SELECT 2L AS bk, 'b' AS sk, TIMESTAMP_NTZ '2024-01-01' AS row_effective_from, CAST(NULL AS TIMESTAMP_NTZ) AS row_effective_to")
+    n = len(session._settled)
+    out = dm.build_fact(src, {"d": (spark.range(2).selectExpr("id", "id + 10 AS sk"), "id", "sk")}, {"k": (vers, "bk", "sk")}, "at", ["id"], {"twice": F.col("v") * 2})
+    got = {x.id: (x.d_key, x.k_version_key, x.date_key, x.twice) for x in out.collect()}
+    assert got == {i: (-1 if i % 3 == 2 else i % 3 + 10, "b" if i % 5 == 2 else "-1", 20240102, 2.0 * i) for i in range(40)}
+    facts = next(p for p in session._settled[n:] if "/facts-" in p)
+    assert sorted(spark.read.parquet(facts).columns) == ["_id", "_m_twice", "at", "d_key", "id", "k"]
+
+
 def test_date_dimension_edges(spark):
     b = spark.sql("SELECT DATE '2023-12-31' AS a, DATE '2024-03-31' AS b")
     d = {x.date: x for x in dm.dim_date(b, "a", "b", 4, ["2024-01-01"], "2024-01-02").collect()}

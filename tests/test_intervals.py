@@ -39,6 +39,17 @@ def test_unfolded_rows_are_not_broadcast(spark):
     assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
 
 
+def test_levels_are_those_of_the_cells(spark):
+    rng = random.Random(5)
+    spans = [(a, a + n) for a, n in ((rng.randrange(-(2**50), 2**50), rng.choice([0, 1, 2, 15, 16, 17, 255, 256, 2**20, rng.randrange(1, 2**45)])) for _ in range(300))]
+    spans += [(16 * k, 16 * k + 16 * n) for k in range(4) for n in (1, 2, 16)] + [(None, 5), (5, None), (9, 3)]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(spans)], "id int, a long, b long")
+    each = df.withColumn("c", F.explode(iv.cover(F.col("a"), F.col("b")))).select("id", "c._level").distinct()
+    assert iv.levels_used(df, F.col("a"), F.col("b")) == sorted({r["_level"] for r in each.collect()})
+    for i in range(0, len(spans), 23):
+        assert iv.levels_used(df.filter(f"id = {i}"), F.col("a"), F.col("b")) == sorted(r["_level"] for r in each.filter(f"id = {i}").collect())
+
+
 def test_cover_is_small_and_tight(spark):
     rng = random.Random(2)
     rows = [(a, a + n) for a, n in ((rng.randrange(-(2**50), 2**50), rng.choice([1, 2, 63, 64, 65, 2**20 + 1, rng.randrange(1, 2**45)])) for _ in range(500))]

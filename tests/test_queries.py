@@ -48,3 +48,13 @@ def test_cells_are_not_broadcast(spark, data, name):
     df = entry.queries()[name](spark, data)
     lines = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "_cell#" in x and "Join" in x]
     assert lines and all("SortMergeJoin" in x for x in lines)
+
+
+def test_orders_of_a_fact_are_not_broadcast(spark, data):
+    """Orders grow with the lines; in memory they take ten times what their files do."""
+    df = entry.queries()["m13_star_fact"](spark, data)
+    assert not [p for p in df.inputFiles() if "orders" in p]  # joined and written before
+    from tidemark.plans.registry import Tables
+
+    plan = Tables(spark, data).order_lines._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

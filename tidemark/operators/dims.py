@@ -249,15 +249,18 @@ def build_fact(
     """Star fact: type 1 keys, versioned keys valid at ``ts``, date key, typed measures.
 
     ``dims`` and ``scd2_dims`` map a fact column to (dimension, business key, surrogate key).
+    Columns that the fact does not need are left out before rows are written or dealt.
     """
     out = star_join(src, dims, UNKNOWN_KEY)
+    needed = dict.fromkeys([*keep, *[f"{fk}_key" for fk in dims], *scd2_dims, ts])
+    out = out.select(*needed, *[m.alias(f"_m_{n}") for n, m in measures.items()])
     for fk, (dim, bk, sk) in scd2_dims.items():
         side = dim.select(F.col(bk).alias("_dim_bk"), F.col(sk).alias("_dim_sk"), FROM, TO)
         out = join_scd2(out, side, fk, ts, dim_bk="_dim_bk", dense=dense)
         out = out.withColumn(f"{fk}_version_key", F.coalesce("_dim_sk", F.lit(UNKNOWN_KEY).cast(side.schema["_dim_sk"].dataType)))
         out = out.drop("_dim_sk")
     keys = [f"{fk}_key" for fk in dims] + [f"{fk}_version_key" for fk in scd2_dims]
-    return out.select(*keep, *keys, date_key(ts).alias("date_key"), *[m.alias(n) for n, m in measures.items()])
+    return out.select(*keep, *keys, date_key(ts).alias("date_key"), *[F.col(f"_m_{n}").alias(n) for n in measures])
 
 
 def periodic_snapshot(moves: DataFrame, key: str, date: str, qty: Column | str, until: Column | None = None):

@@ -27,15 +27,29 @@ def _range(first: Column, last: Column) -> Column:
     return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
 
 
+def _edges(start: Column, end: Column) -> tuple[Column, ...]:
+    """Finest level of [start, end), its cells there from ``first`` to before ``last``, and the whole cells of the next level."""
+    bits = F.length(F.bin(end - start))
+    low = (F.greatest(F.lit(0), F.floor((bits - 3) / STEP)) * STEP).cast("int")
+    first, last = _shift(start, low), _shift(end - 1, low) + 1
+    return low, first, last, _shift(first + (2**STEP - 1), STEP), _shift(last, STEP)
+
+
+def levels_used(intervals: DataFrame, start: Column, end: Column) -> list[int]:
+    """Levels that the covers have cells of: from the bounds alone, nothing unfolds."""
+    low, first, last, up_first, up_last = _edges(start, end)
+    some, wide = start < end, up_first < up_last
+    fine = ~wide | (first < up_first * 2**STEP) | (up_last * 2**STEP < last)
+    found = intervals.agg(F.collect_set(F.when(some & fine, low)), F.collect_set(F.when(some & wide, low + STEP))).first()
+    return sorted({*found[0], *found[1]})  # 17 numbers at most
+
+
 def cover(start: Column, end: Column) -> Column:
     """Cells (level, cell) whose union is the least that covers [start, end) at the interval's own finest level.
 
     Empty for an empty interval or NULL bounds.
     """
-    bits = F.length(F.bin(end - start))
-    low = (F.greatest(F.lit(0), F.floor((bits - 3) / STEP)) * STEP).cast("int")
-    first, last = _shift(start, low), _shift(end - 1, low) + 1
-    up_first, up_last = _shift(first + (2**STEP - 1), STEP), _shift(last, STEP)
+    low, first, last, up_first, up_last = _edges(start, end)
     wide = up_first < up_last
     sides = F.concat(_range(first, up_first * 2**STEP - 1), _range(up_last * 2**STEP, last - 1))
     fine = F.when(wide, sides).otherwise(_range(first, last - 1))
@@ -60,7 +74,7 @@ def contained(points: DataFrame, intervals: DataFrame, on: Mapping[str, str], at
     key, point or bound meets nothing.
     """
     spread = intervals.withColumn("_c", F.explode(cover(F.col(start), F.col(end)))).select(*intervals.columns, "_c.*")
-    levels = sorted(r[0] for r in spread.select("_level").distinct().collect())  # 16 numbers at most
+    levels = levels_used(intervals, F.col(start), F.col(end))
     if not levels:
         return points.join(intervals, F.lit(False), "inner")
     held = points.filter(F.col(at).isNotNull()).withColumn("_p", F.explode(around(F.col(at), levels)))

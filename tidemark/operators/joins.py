@@ -25,11 +25,23 @@ def left_join_on(
     return df.join(right, F.col(left_on) == F.col(right_on), "left")
 
 
+BROADCAST_ROWS = 1 << 19
+
+
+def unless_long(lookup: DataFrame) -> DataFrame:
+    """A lookup that is merged, not broadcast, if it has very many rows.
+
+    The planner sizes a table by its files, which hold keys and repeated values in a tenth
+    of the memory that a broadcast takes on the driver; so rows are counted.
+    """
+    return lookup.hint("merge") if lookup.count() > BROADCAST_ROWS else lookup
+
+
 def star_join(fact: DataFrame, dims: Mapping[str, tuple[DataFrame, str, str]], unknown: int = -1) -> DataFrame:
     """Resolve business keys: ``{fact column: (dim, business key, surrogate key)}``."""
     out = fact
     for fk, (dim, bk, sk) in dims.items():
-        lookup = dim.select(F.col(bk).alias(f"_bk_{fk}"), F.col(sk).alias(f"_sk_{fk}"))
+        lookup = unless_long(dim.select(F.col(bk).alias(f"_bk_{fk}"), F.col(sk).alias(f"_sk_{fk}")))
         out = out.join(lookup, F.col(fk) == F.col(f"_bk_{fk}"), "left")
         out = out.withColumn(f"{fk}_key", F.coalesce(f"_sk_{fk}", F.lit(unknown))).drop(f"_bk_{fk}", f"_sk_{fk}")
     return out
@@ -111,6 +123,7 @@ def join_scd2(
     versions = dim.select(
         F.col(dim_bk or bk).alias("_bk"), start.alias("_from"), F.coalesce(end, F.greatest(last, start + 1)).alias("_to"), F.struct(*attrs).alias("_v")
     )
+    versions = settle(versions, "versions")  # read for the levels and for the join
     found = contained(points, versions, {"_key": "_bk"}, "_at", "_from", "_to").select("_id", "_v")
     out = rows.join(found, "_id", how)
     return out.select(*fact.columns, *[F.col(f"_v.{c}").alias(c) for c in attrs])

@@ -139,7 +139,7 @@ for _name, _dense in (("c9_scd2_range_join", False), ("c9_scd2_dense_join", True
 
 
 def _versioned_revenue(t, dense):
-    fact = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    fact = t.order_lines
     fact = fact.select("o_custkey", "l_shipdate", "l_returnflag", "l_extendedprice")
     out = jn.join_scd2(fact, customer_versions(t), "o_custkey", "l_shipdate", dim_bk="bk", dense=dense)
     return out.groupBy("prio", "l_returnflag").agg(

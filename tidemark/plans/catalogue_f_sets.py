@@ -53,7 +53,7 @@ def _(t):
        WHERE NOT (l_shipdate >= o_orderdate) ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey LIMIT 20""",
 )
 def _(t):
-    df = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    df = t.order_lines
     df = df.select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "o_orderdate")
     order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"]
     return st.violations(df, F.col("l_shipdate") >= F.col("o_orderdate"), order, 20)

@@ -17,7 +17,7 @@ PRIO = "nullif(o_orderpriority, '5-LOW')"
 
 def lines(t):
     """Order lines with their order date."""
-    df = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    df = t.order_lines
     return df.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
         "l_returnflag", "l_shipdate", "o_orderdate", "o_orderstatus",

@@ -219,11 +219,10 @@ def _(t):
        LEFT JOIN v ON v.bk = o_custkey AND l_shipdate >= vf AND (vt IS NULL OR l_shipdate < vt)""",
 )
 def _(t):
-    src = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
     part = t.part.filter("p_size > 10").select("p_partkey", F.col("p_partkey").alias("part_sk"))
     vers = customer_versions(t).withColumn("version_sk", F.concat_ws(":", F.col("bk").cast("string"), fx.date_key(dm.FROM).cast("string")))
     out = dm.build_fact(
-        src, {"l_partkey": (part, "p_partkey", "part_sk")}, {"o_custkey": (vers, "bk", "version_sk")}, "l_shipdate",
+        t.order_lines, {"l_partkey": (part, "p_partkey", "part_sk")}, {"o_custkey": (vers, "bk", "version_sk")}, "l_shipdate",
         ["l_orderkey", "l_linenumber", "l_partkey"], {"amount": fx.money("l_extendedprice")},
     )
     return out.withColumn("amount", F.col("amount").cast("double"))
@@ -297,7 +296,7 @@ def _(t):
         t.lineitem.agg(F.min("l_shipdate").alias("a"), F.max("l_shipdate").alias("b"))
     )
     dates = dm.dim_date(bounds.agg(F.min("a").alias("a"), F.max("b").alias("b")), "a", "b")
-    fact = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+    fact = t.order_lines.select(
         fx.date_key("o_orderdate").alias("ok"), fx.date_key("l_shipdate").alias("sk")
     )
     out = dm.role_play(fact, dates, {"order": "ok", "ship": "sk"}, ["year", "quarter_name"])

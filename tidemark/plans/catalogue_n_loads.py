@@ -107,7 +107,7 @@ def _(t):
 
 
 def loaded(t):
-    df = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    df = t.order_lines
     return df.select("l_orderkey", "l_linenumber", "l_partkey", "o_orderdate", "l_shipdate")
 
 

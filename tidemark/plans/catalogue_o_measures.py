@@ -30,7 +30,7 @@ def model(t):
     dates = t.orders.select(F.col("o_orderdate").alias("d")).unionByName(t.lineitem.select(F.col("l_shipdate").alias("d")))
     dates = dates.distinct().select(F.col("d").alias("date"), F.year("d").alias("year"))
     geo = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
-    fact = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    fact = t.order_lines
     return ms.Model(
         fact,
         {

@@ -141,7 +141,7 @@ LINES = "lineitem JOIN orders ON l_orderkey = o_orderkey"
 
 
 def lines(t):
-    return t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return t.order_lines
 
 
 @query(

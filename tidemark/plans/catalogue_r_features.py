@@ -61,7 +61,7 @@ def _(t):
     """SELECT 'l_shipdate' AS feature, count(*) FILTER (l_shipdate >= o_orderdate) AS n_leaks, CAST(max(date_diff('day', o_orderdate, l_shipdate)) AS INTEGER) AS worst_days, count(*) FILTER (l_shipdate >= o_orderdate) = 0 AS is_clean FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
 )
 def _(t):
-    df = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    df = t.order_lines
     return ft.leakage_audit(df, "o_orderdate", ["l_shipdate"])
 
 

@@ -19,7 +19,7 @@ DEC = "DECIMAL(18,2)"
        FROM v JOIN q USING (o_orderstatus) GROUP BY o_orderstatus, q1, median, q3""",
 )
 def _(t):
-    df = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    df = t.order_lines
     df = df.groupBy("l_orderkey", "o_orderstatus").agg(fx.money_sum("l_extendedprice").alias("v"))
     out = sh.boxplot_stats(df, ["o_orderstatus"], "v")
     return out.withColumns({c: F.round(c, 4) for c in ("q1", "median", "q3")})

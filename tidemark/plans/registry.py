@@ -24,6 +24,11 @@ class Tables:
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"
 
+    @property
+    def order_lines(self) -> DataFrame:
+        """Lines with their orders. Orders grow with the lines, and their files say too little about their size in memory to broadcast them."""
+        return self.lineitem.join(self.orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
+
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise AttributeError(name)
