@@ -185,6 +185,19 @@ def test_label_permutation_writes_its_rows_once(spark):
     assert [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in session._settled[n:]] == ["parts", "mixed", "ranges"]  # the last one for the scores
 
 
+def test_importance_scores_orders_once(spark, data):
+    """The scores that the query makes of each order are read by the fit and three times per feature."""
+    import __spark_entry__ as entry
+    from tidemark import session
+
+    n = len(session._settled)
+    out = entry.queries()["r19_permutation_importance"](spark, data)
+    assert not [f for f in out.inputFiles() if "orders" in f]
+    assert [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in session._settled[n:]] == ["scored", "auc", "parts", "parts"]
+    drops = {r["feature"]: r["auc_drop"] for r in out.collect()}
+    assert drops["p"] > 0.2 and abs(drops["o_totalprice"]) < 0.01
+
+
 def test_importance_writes_counts_only(spark):
     from tidemark import session
 
