@@ -86,6 +86,17 @@ def test_overlapping_versions_give_a_row_each(spark):
     assert jn.join_scd2(fact, dim.limit(0), "k", "at").count() == 6 and jn.join_scd2(fact.limit(0), dim, "k", "at").count() == 0
 
 
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_facts_are_not_broadcast(spark, how):
+    """Facts meet their versions by row number; the files of the facts say too little about their size in memory."""
+    dim = spark.sql("SELECT 1L AS k, TIMESTAMP_NTZ '2024-01-02' AS row_effective_from, CAST(NULL AS TIMESTAMP_NTZ) AS row_effective_to, 'v' AS v")
+    fact = spark.range(20).selectExpr("id", "id % 2 AS k", "TIMESTAMP_NTZ '2024-01-01' + make_interval(0, 0, 0, 1) * (id % 3) AS at")
+    out = jn.join_scd2(fact, dim, "k", "at", how=how)
+    live = {i for i in range(20) if i % 2 and i % 3}
+    assert {(r["id"], r["v"]) for r in out.collect()} == {(i, "v" if i in live else None) for i in (range(20) if how == "left" else live)}
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_interval_sums_keep_all_digits(spark):
     t = lambda d: dt.datetime(2024, 1, d)
     cycles = spark.createDataFrame([(1, "a", t(2), t(5)), (2, "a", t(1), t(9)), (3, "b", t(1), t(2)), (4, "a", t(3), t(3))], "id int, k string, s timestamp_ntz, e timestamp_ntz")

@@ -80,8 +80,9 @@ def contained(points: DataFrame, intervals: DataFrame, on: Mapping[str, str], at
     held = points.filter(F.col(at).isNotNull()).withColumn("_p", F.explode(around(F.col(at), levels)))
     held = held.select(*points.columns, F.col("_p._level").alias("_at_level"), F.col("_p._cell").alias("_at_cell"))
     spread = spread.hint("merge")  # the planner takes unfolded rows for as few as they came from, and would broadcast them through the driver
-    same = (F.col("_at_level") == F.col("_level")) & (F.col("_at_cell") == F.col("_cell"))
-    for p, i in on.items():
+    pairs = [*on.items(), ("_at_cell", "_cell"), ("_at_level", "_level")]  # the few levels come last: rows are sorted by the first that differs
+    same = F.lit(True)
+    for p, i in pairs:
         same = same & (F.col(p) == F.col(i))
     inside = (F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))
     return held.join(spread, same & inside).select(*points.columns, *intervals.columns)

@@ -125,7 +125,7 @@ def join_scd2(
     )
     versions = settle(versions, "versions")  # read for the levels and for the join
     found = contained(points, versions, {"_key": "_bk"}, "_at", "_from", "_to").select("_id", "_v")
-    out = rows.join(found, "_id", how)
+    out = rows.join(found.hint("merge"), "_id", how)  # both grow with the facts
     return out.select(*fact.columns, *[F.col(f"_v.{c}").alias(c) for c in attrs])
 
 
